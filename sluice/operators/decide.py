@@ -229,17 +229,16 @@ Enrich = "Callable[[DataFrame], DataFrame] | None"
 
 def _finish(out: DataFrame, blocked: Column, gate: Column, req_c: Column, glob_c: Column,
             an: Analyzers, reached_blocked: Column, reached_pass: Column, stage: str) -> DataFrame:
-    out = out.withColumn("phase2", F.when(~blocked, phase2(F.col("_feat"), req_c, glob_c, an)))
-    out = out.withColumn("phase3", F.when(~blocked, phase3(F.col("phase2"), glob_c)))
-    fin = F.when(blocked, gate).otherwise(final_action(F.col("phase2"), F.col("phase3"), req_c))
-    return (
-        out.withColumn("_fin", fin)
-        .withColumn("stage", F.lit(stage))
-        .withColumn("action", F.col("_fin.action"))
-        .withColumn("reason_code", F.col("_fin.reason_code"))
-        .withColumn("detail", F.col("_fin.detail"))
-        .withColumn("reached", F.when(blocked, reached_blocked).otherwise(reached_pass))
-        .drop("_fin", "_feat", "_gate")
+    keep = [c for c in out.columns if c not in ("_feat", "_gate")]
+    out = out.select(*keep, F.col("_feat"), gate.alias("_gate"),
+                     F.when(~blocked, phase2(F.col("_feat"), req_c, glob_c, an)).alias("phase2"))
+    out = out.select("*", F.when(~blocked, phase3(F.col("phase2"), glob_c)).alias("phase3"))
+    fin = F.when(blocked, F.col("_gate")).otherwise(final_action(F.col("phase2"), F.col("phase3"), req_c))
+    out = out.select("*", fin.alias("_fin"))
+    return out.select(
+        *keep, "phase2", "phase3", F.lit(stage).alias("stage"), F.col("_fin.action").alias("action"),
+        F.col("_fin.reason_code").alias("reason_code"), F.col("_fin.detail").alias("detail"),
+        F.when(blocked, reached_blocked).otherwise(reached_pass).alias("reached"),
     )
 
 
@@ -259,9 +258,9 @@ def evaluate_input(df: DataFrame, *, text: str = "text", key: str = "key", strea
     s = F.coalesce(F.col(stream), F.lit(False)) if stream else F.lit(False)
     tc = F.col(tool_count) if tool_count else F.lit(0)
     lim = F.col(limited) if limited else F.lit(False)
-    out = df.withColumn("phase1", phase1(t, k, s, tc, lim, req_c, rules))
+    out = df.select("*", phase1(t, k, s, tc, lim, req_c, rules).alias("phase1"))
     blocked = F.col("phase1.action") == "block"
-    out = out.withColumn("_feat", F.when(~blocked, text_features(t, req_c, glob_c, analyzers)))
+    out = out.select("*", F.when(~blocked, text_features(t, req_c, glob_c, analyzers)).alias("_feat"))
     if drop_text:
         out = out.drop(text, key)
     if enrich is not None:
@@ -284,9 +283,9 @@ def evaluate_output(df: DataFrame, *, text: str = "text", key: str = "key",
         .when((F.size(hits) > 0) & req_c["output_blocklist_enforce"],
               _p1("block", "BLOCKLIST_MATCH", hits_detail(hits, "Output matched blocklist terms: ")))
     )
-    out = df.withColumn("_gate", gate).withColumn("phase1", F.lit(None).cast(P1_TYPE))
+    out = df.select("*", gate.alias("_gate"), F.lit(None).cast(P1_TYPE).alias("phase1"))
     blocked = F.col("_gate").isNotNull()
-    out = out.withColumn("_feat", F.when(~blocked, text_features(t, req_c, glob_c, analyzers)))
+    out = out.select("*", F.when(~blocked, text_features(t, req_c, glob_c, analyzers)).alias("_feat"))
     if drop_text:
         out = out.drop(text, key)
     if enrich is not None:

@@ -70,34 +70,42 @@ def pattern_ranks_literal(text: Column, patterns) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+def text_grams(key: Column, n_max: int = GRAM) -> Column:
+    """Distinct overlapping 1..n_max-grams of a string in linear time.
+
+    A zero-width lookahead capturing n characters visits every start
+    position once; ``.`` with DOTALL matches whole code points.
+    """
+    return F.array_distinct(F.concat(*[
+        F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, n_max + 1)
+    ]))
+
+
 def term_hits_long(docs: DataFrame, id_cols: list[str], key_col: str, terms_df: DataFrame) -> DataFrame:
     """J4 long form for term lists of any size: one row per (doc, term) hit.
 
     ``terms_df`` has ``term`` and ``key`` (casefolded, one row per key).  A
-    term can only occur in a text that contains the term's first n
-    characters (n = min(len, GRAM)), so documents emit their distinct
-    n-grams for n = 1..GRAM, equi-join the term table on (n, leading gram)
-    - a shuffle join whose hot grams AQE splits - and each candidate is
-    verified with ``instr``.  No term count limit, no nested loop.
+    term can only occur in a text that contains its first n characters
+    (n = min(len, GRAM)), so each document emits its distinct 1..GRAM-grams
+    (ids only, never the text), those equi-join the term table on the
+    leading gram, candidates are grouped per document, and one join back to
+    the documents verifies them with ``instr``.  No term-count limit, no
+    nested-loop join; AQE broadcasts whichever side is small at run time.
     """
     terms = terms_df.select(
-        "term", "key",
-        F.least(F.length("key"), F.lit(GRAM)).alias("n"),
-    ).withColumn("g", F.expr("substring(key, 1, n)"))
-    key = F.col(key_col)
-    grams = docs.select(
-        *id_cols, key_col,
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))),
-            lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)),
-                                  lambda n: F.struct(n.alias("n"), F.substring(key, i, n).alias("g"))),
-        )))).alias("ng"),
-    ).select(*id_cols, key_col, "ng.n", "ng.g").where(F.length("g") == F.col("n"))
+        "term", F.col("key").alias("_tkey"),
+        F.expr(f"substring(key, 1, {GRAM})").alias("g"),
+    )
+    grams = docs.select(*id_cols, F.explode(text_grams(F.col(key_col))).alias("g"))
+    cand = (
+        grams.join(terms, "g")
+        .groupBy(*id_cols)
+        .agg(F.collect_list(F.struct(F.col("term"), F.col("_tkey").alias("key"))).alias("_cand"))
+    )
     return (
-        grams.join(terms, ["n", "g"])
-        .where(F.instr(key, F.col("key")) > 0)
-        .select(*id_cols, "term")
-        .distinct()
+        docs.select(*id_cols, F.col(key_col).alias("_dkey"))
+        .join(cand, id_cols)
+        .select(*id_cols, F.explode(blocklist_hits(F.col("_dkey"), F.col("_cand"))).alias("term"))
     )
 
 

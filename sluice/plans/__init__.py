@@ -1,0 +1,28 @@
+"""Registered queries over the driver tables (one module per input table)."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = (
+    "q_documents",
+    "q_conversations",
+    "q_events",
+    "q_embeddings",
+    "q_policy",
+    "q_ops",
+    "q_streaming",
+)
+
+
+def all_queries():
+    """Import every query module; return (name -> fn, name -> SQL)."""
+    for m in MODULES:
+        try:
+            importlib.import_module(f"{__name__}.{m}")
+        except ModuleNotFoundError as exc:
+            if exc.name != f"{__name__}.{m}":
+                raise
+    from .registry import ORACLE, QUERIES
+
+    return QUERIES, ORACLE
