@@ -144,3 +144,47 @@ def doc_decision_sql(direction: str = "input", rules: RuleSet = DOC_RULES, enfor
         gate IS NOT NULL AS gated
       FROM p3
     )"""
+
+
+def chain_sql(src: str, ids: str, direction: str, rules: RuleSet, max_len: int, enforce: bool,
+              tox: str = "NULL") -> str:
+    """Generic DuckDB decision chain over ``src`` (a SELECT with ``ids``, text
+    and a toxicity score expression ``tox``), no rate limit, non-stream.
+
+    Returns the SELECT body with ids, stage, action, reason_code, detail, gated.
+    """
+    hits = sql_term_hits(sql_casefold("text"), rules.terms)
+    if direction == "input":
+        pat = sql_first_pattern("text", rules.patterns)
+        gate = f"""CASE WHEN length(text) > {max_len} THEN 'INPUT_TOO_LONG'
+                        WHEN len(hits) > 0 THEN 'BLOCKLIST_MATCH'
+                        WHEN pat IS NOT NULL THEN 'PROMPT_INJECTION_PATTERN' END"""
+        gate_detail = f"""CASE WHEN length(text) > {max_len} THEN 'Input exceeded max chars {max_len}'
+                        WHEN len(hits) > 0 THEN 'Input matched blocklist terms: ' || array_to_string(hits[1:5], ', ')
+                        WHEN pat IS NOT NULL THEN 'Input matched pattern ' || pat END"""
+    else:
+        pat = "NULL"
+        gate = f"""CASE WHEN length(text) > {max_len} THEN 'OUTPUT_TOO_LONG'
+                       WHEN len(hits) > 0 THEN 'BLOCKLIST_MATCH' END"""
+        gate_detail = f"""CASE WHEN length(text) > {max_len} THEN 'Output exceeded non-stream character limit'
+                        WHEN len(hits) > 0 THEN 'Output matched blocklist terms: ' || array_to_string(hits[1:5], ', ') END"""
+    verb = "enforced" if enforce else "observed"
+    gray_action = "'block'" if enforce else "'observe'"
+    return f"""
+SELECT {ids}, '{direction}' AS stage,
+  CASE WHEN gate IS NOT NULL THEN 'block' WHEN decision = 'safe' THEN 'allow' ELSE {gray_action} END AS action,
+  CASE WHEN gate IS NOT NULL THEN gate WHEN decision = 'pii_detected' THEN 'PII_DETECTED'
+       WHEN decision = 'toxicity_high' THEN 'TOXICITY_HIGH' WHEN decision = 'review' THEN 'GRAY_ZONE' END AS reason_code,
+  CASE WHEN gate IS NOT NULL THEN gate_detail WHEN decision = 'safe' THEN 'guardrails_allow'
+       ELSE 'Semantic guardrails {verb} decision ' || decision END AS detail,
+  gate IS NOT NULL AS gated
+FROM (
+  SELECT *, CASE WHEN gate IS NOT NULL THEN NULL
+                 WHEN length(trim(text)) = 0 THEN 'safe'
+                 WHEN {sql_pii_count('text')} > 0 THEN 'pii_detected'
+                 WHEN coalesce(tox, 0) >= 0.7 THEN 'toxicity_high'
+                 WHEN coalesce(tox, 0) <= 0.3 THEN 'safe'
+                 ELSE 'review' END AS decision
+  FROM (SELECT *, {gate} AS gate, {gate_detail} AS gate_detail
+        FROM (SELECT *, {hits} AS hits, {pat} AS pat, {tox} AS tox FROM ({src})))
+)"""
