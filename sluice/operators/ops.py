@@ -89,3 +89,80 @@ def rate_key(explicit: Column, api_key: Column, host: Column) -> Column:
     e = _py_strip(explicit)
     return F.coalesce(F.when(F.length(e) > 0, e), F.when(F.length(api_key) > 0, api_key),
                       F.when(F.length(host) > 0, host), F.lit("anonymous"))
+
+
+# ------------------------------------------------------------------ D1, D3, D4, O2, J7, P12
+
+def kv_upsert(base: DataFrame, updates: DataFrame, *, key: str, value: str, line_no: str, order: str) -> DataFrame:
+    """KEY=VALUE upsert.  Every line of an updated key takes the last
+    update's value; absent keys are appended.  Reads: last match (``tail
+    -n1``) and first match.  Both sides are pre-aggregated per key before
+    the full outer join, so a hot key costs one row."""
+    b = base.groupBy(key).agg(F.max_by(value, line_no).alias("_last"), F.min_by(value, line_no).alias("_first"),
+                              F.count(F.lit(1)).alias("_n"))
+    u = updates.groupBy(key).agg(F.max_by(value, order).alias("_upd"))
+    j = b.join(u, key, "full_outer")
+    return j.select(key, F.coalesce("_upd", "_last").alias("last_value"), F.coalesce("_upd", "_first").alias("first_value"),
+                    F.coalesce("_n", F.lit(1)).cast("bigint").alias("n_lines"),
+                    F.when(F.col("_n").isNull(), "appended").when(F.col("_upd").isNotNull(), "updated")
+                    .otherwise("kept").alias("status"))
+
+
+def payload_kind(body: Column) -> Column:
+    """D3: classify a response body by its leading bytes."""
+    b = body.cast("binary")
+    head4, head3 = F.hex(F.substring(b, 1, 4)), F.hex(F.substring(b, 1, 3))
+    as_text = b.cast("string")
+    is_obj = F.coalesce(F.schema_of_variant(F.try_parse_json(as_text)).startswith("OBJECT"), F.lit(False))
+    err = is_obj & F.coalesce(F.array_contains(F.json_object_keys(as_text), "error"), F.lit(False))
+    return (F.when(b.isNull() | (F.length(b) == 0), "empty").when(err, "json_error")
+            .when(head4 == "52494646", "wav").when(head3 == "494433", "mp3").otherwise("other"))
+
+
+def log_lines(df: DataFrame, *, service: str, doc: str, text: str) -> DataFrame:
+    """Split texts into (service, doc, line_idx, line)."""
+    return df.select(service, doc, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_idx", "line"))
+
+
+def log_scan(lines: DataFrame, *, service: str, pattern: str, order: list[str]) -> DataFrame:
+    """Case-insensitive regex per service -> hit count, fail flag and the
+    last matched text (``max_by`` over line order)."""
+    hit = F.col("line").rlike(f"(?i){pattern}")
+    m = F.regexp_extract(F.col("line"), f"(?i){pattern}", 0)
+    return lines.where(hit).groupBy(service).agg(
+        F.count(F.lit(1)).alias("hit_lines"), F.max_by(m, F.struct(*order)).alias("last_match")) \
+        .withColumn("failed", F.col("hit_lines") > 0)
+
+
+def first_log_hits(lines: DataFrame, *, service: str, pattern: str, order: list[str], k: int = 20) -> DataFrame:
+    """O2: first ``k`` matching lines per service.  ``row_number() <= k`` is
+    planned as a window group limit: each task keeps its own first k per
+    service before the shuffle, so a hot service ships only k rows per task."""
+    w = Window.partitionBy(service).orderBy(*order)
+    return lines.where(F.col("line").rlike(f"(?i){pattern}")).withColumn("rn", F.row_number().over(w)) \
+        .where(F.col("rn") <= k)
+
+
+def new_keys_only(existing: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Insert candidates whose key is absent (409 otherwise)."""
+    fresh = candidates.join(existing.select(key), key, "left_anti")
+    return existing.withColumn("source", F.lit("existing")).unionByName(fresh.withColumn("source", F.lit("inserted")))
+
+
+# Generation request limits.
+GEN_RULES = (
+    ("prompt_length", "length(prompt) < 1 OR length(prompt) > 2000"),
+    ("negative_prompt_length", "negative_prompt IS NOT NULL AND length(negative_prompt) > 2000"),
+    ("height_range", "height < 256 OR height > 768"),
+    ("width_range", "width < 256 OR width > 768"),
+    ("steps_range", "num_inference_steps < 1 OR num_inference_steps > 50"),
+    ("guidance_range", "guidance_scale < 0.0 OR guidance_scale > 20.0"),
+    ("num_images_range", "num_images < 1 OR num_images > 2"),
+    ("response_format", "NOT (response_format RLIKE '^(b64_json)$')"),
+)
+
+
+def validate_generation(df: DataFrame) -> DataFrame:
+    """Every violated rule, as an array of rule names (empty = valid)."""
+    checks = [F.when(F.expr(cond), F.lit(name)) for name, cond in GEN_RULES]
+    return df.withColumn("violations", F.array_compact(F.array(*checks)))

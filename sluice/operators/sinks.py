@@ -80,34 +80,34 @@ def analyzer_latency(lat: DataFrame, name: str = "analyzer", ms: str = "latency_
                  .otherwise(F.lit(0.0)))
 
 
-def metric_rows(dec: DataFrame, latency: DataFrame | None = None, rate_limit_hits: DataFrame | None = None) -> DataFrame:
-    """Every counter as long-form (metric, label_key, label_value, value)."""
-    parts = [
-        request_totals(dec).select(F.lit("guardrails_requests_total").alias("metric"),
-                                   F.lit(None).cast("string").alias("label_key"),
-                                   F.lit(None).cast("string").alias("label_value"),
-                                   F.col("requests").cast("double").alias("value")),
-        blocks_by_reason(dec).select(F.lit("guardrails_blocks_total").alias("metric"), F.lit("reason").alias("label_key"),
-                                     F.col("reason_code").alias("label_value"), F.col("blocks").cast("double").alias("value")),
-        phase_hits(dec).select(F.lit("guardrails_phase_hits_total").alias("metric"), F.lit("phase").alias("label_key"),
-                               F.col("phase").alias("label_value"), F.col("hits").cast("double").alias("value")),
-        final_actions(dec).select(F.lit("guardrails_final_actions_total").alias("metric"), F.lit("action").alias("label_key"),
-                                  F.col("action").alias("label_value"), F.col("n").cast("double").alias("value")),
-    ]
-    rl = dec.where(F.col("reason_code") == "RATE_LIMITED") if rate_limit_hits is None else rate_limit_hits
-    parts.append(rl.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit("guardrails_rate_limit_hits_total").alias("metric"), F.lit(None).cast("string").alias("label_key"),
-        F.lit(None).cast("string").alias("label_value"), "value"))
-    parts.append(dec.agg(F.lit(0.0).alias("value")).select(
-        F.lit("guardrails_analyzer_timeouts_total").alias("metric"), F.lit(None).cast("string").alias("label_key"),
-        F.lit(None).cast("string").alias("label_value"), "value"))
+def metric_rows(dec: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """Every counter as long-form (metric, label_key, label_value, value).
+
+    One pass: each decision row emits the counter keys it increments, and a
+    single partially-aggregated ``groupBy`` counts them.  Zero-valued
+    totals are kept by a final union with constant rows.
+    """
+    k = lambda m, lk, lv: F.struct(F.lit(m).alias("metric"), F.lit(lk).cast("string").alias("label_key"),
+                                   lv.cast("string").alias("label_value"))
+    keys = F.array_compact(F.array(
+        k("guardrails_requests_total", None, F.lit(None)),
+        F.when((F.col("action") == "block") & F.col("reason_code").isNotNull(),
+               k("guardrails_blocks_total", "reason", F.col("reason_code"))),
+        k("guardrails_final_actions_total", "action", F.col("action")),
+        F.when(F.col("reason_code") == "RATE_LIMITED", k("guardrails_rate_limit_hits_total", None, F.lit(None))),
+    ))
+    phase_keys = F.transform(F.coalesce(F.col("reached"), F.array().cast("array<string>")),
+                             lambda p: k("guardrails_phase_hits_total", "phase", p))
+    rows = dec.select(F.explode(F.concat(keys, phase_keys)).alias("m")).select("m.*")
+    counted = rows.groupBy("metric", "label_key", "label_value").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    zeros = dec.sparkSession.createDataFrame(
+        [("guardrails_rate_limit_hits_total", None, None, 0.0), ("guardrails_analyzer_timeouts_total", None, None, 0.0)],
+        "metric string, label_key string, label_value string, value double")
+    out = counted.unionByName(zeros).groupBy("metric", "label_key", "label_value").agg(F.sum("value").alias("value"))
     if latency is not None:
-        parts.append(analyzer_latency(latency).select(
+        out = out.unionByName(analyzer_latency(latency).select(
             F.lit("guardrails_analyzer_latency_ms_avg").alias("metric"), F.lit("analyzer").alias("label_key"),
             F.col("analyzer").alias("label_value"), F.col("latency_ms_avg").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     return out
 
 
