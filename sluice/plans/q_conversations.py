@@ -136,11 +136,11 @@ def phase1_q(spark, sf):
                     p1["detail"].alias("detail"))
 
 
-def conv_decisions(spark, sf) -> DataFrame:
+def conv_decisions(spark, sf, rows: DataFrame | None = None) -> DataFrame:
     """F13 evaluate_text: user rows -> input chain, assistant rows -> output
     chain, any other direction -> a MALFORMED_INPUT error row.  Routing is a
     column predicate over one scan (no per-row branching in Python)."""
-    rows = _canon_rows(spark, sf)
+    rows = _canon_rows(spark, sf) if rows is None else rows
     rules = Rules(CONV_RULES.effective())
     inp = evaluate_input(rows.where(F.col("role") == "user"), req=CONV_REQ, glob=DEFAULTS, rules=rules, drop_text=True)
     out = evaluate_output(rows.where(F.col("role") == "assistant"), req=CONV_REQ, glob=DEFAULTS, rules=rules,
