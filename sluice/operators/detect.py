@@ -109,5 +109,18 @@ def term_hits_long(docs: DataFrame, id_cols: list[str], key_col: str, terms_df:
     )
 
 
+def term_hits(docs: DataFrame, id_cols: list[str], key_col: str, terms_df: DataFrame) -> DataFrame:
+    """J4 dispatcher: the term table's size is checked (a bounded read of a
+    config table); within MAX_PACKED_TERMS the list is folded into the plan
+    as a constant array and every row is matched in place (no join, no
+    shuffle); beyond it the gram equi-join handles any list length."""
+    rows = terms_df.select("term", "key").limit(MAX_PACKED_TERMS + 1).collect()
+    if len(rows) > MAX_PACKED_TERMS:
+        return term_hits_long(docs, id_cols, key_col, terms_df)
+    arr = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["key"]).alias("key")) for r in rows]) \
+        if rows else F.array().cast(TERM_TYPE)
+    return docs.select(*id_cols, F.explode(blocklist_hits(F.col(key_col), arr)).alias("term"))
+
+
 def casefold_terms(df: DataFrame, term_col: str = "term") -> DataFrame:
     return df.withColumn("key", casefold(F.col(term_col)))

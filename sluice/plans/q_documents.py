@@ -9,7 +9,7 @@ from ..functions.pii import DEFAULT_RECOGNIZERS, pii_spans
 from ..functions.rules import term_entries
 from ..operators.decide import toxicity_score
 from ..operators.detect import blocklist_hits, first_pattern_literal, hits_detail, pattern_ranks_literal, \
-    term_hits_long, terms_literal
+    term_hits, terms_literal
 from ..operators.sinks import audit_rows
 from ..session import spread, table
 from .chains import (DOC_RULES, PII_SQL, canon_docs, doc_decision_sql, doc_input_decisions,
@@ -105,10 +105,10 @@ SELECT doc_id, unnest(hits) AS term
 FROM (SELECT doc_id, {sql_term_hits(sql_casefold('text'), DOC_RULES.terms)} AS hits FROM documents)
 """)
 def terms_theta(spark, sf):
-    """Text x terms containment, one row per hit, via the gram equi-join
-    (exact for a term list of any size; no nested-loop join)."""
+    """Text x terms containment, one row per hit: packed constant array
+    within the size bound, gram equi-join beyond it (never a nested loop)."""
     d = canon_docs(spark, sf)
-    return term_hits_long(d, ["doc_id"], "key", _term_table(spark, DOC_RULES.terms))
+    return term_hits(d, ["doc_id"], "key", _term_table(spark, DOC_RULES.terms))
 
 
 _PAT_UNION = " UNION ALL ".join(
