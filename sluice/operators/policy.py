@@ -54,11 +54,14 @@ def accept_changes(log: DataFrame) -> DataFrame:
     not yet deleted or swept by a replacement).  delete: the first delete of
     a live entry.  Activations are pointer moves, not versions.
     """
-    plist = Window.partitionBy("policy_id", "list").orderBy("seq")
+    # "first replacement after this row" as a running minimum in descending
+    # order: an incrementally grown frame (linear), where a following-rows
+    # frame would be recomputed for every row.
+    later = Window.partitionBy("policy_id", "list").orderBy(F.col("seq").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     ent = Window.partitionBy("policy_id", "list", "entry_id")
     is_add = F.col("action").isin("add", "replace")
-    ev = log.withColumn("_next_rep", F.min(F.when(F.col("action") == "replace", F.col("seq")))
-                        .over(plist.rowsBetween(1, Window.unboundedFollowing)))
+    ev = log.withColumn("_next_rep", F.min(F.when(F.col("action") == "replace", F.col("seq"))).over(later))
     ev = ev.withColumn("_add", F.min(F.when(is_add, F.col("seq"))).over(ent)) \
         .withColumn("_add_rep", F.min(F.when(is_add, F.col("_next_rep"))).over(ent))
     ev = ev.withColumn("_del", F.min(F.when((F.col("action") == "delete") & (F.col("seq") > F.col("_add")),
@@ -81,10 +84,10 @@ def accept_changes(log: DataFrame) -> DataFrame:
 def entry_intervals(accepted: DataFrame) -> DataFrame:
     """V1: (policy_id, list, entry_id, value, valid_from, valid_to)."""
     acc = accepted.where(F.col("accepted"))
-    plist = Window.partitionBy("policy_id", "list").orderBy("seq")
+    later = Window.partitionBy("policy_id", "list").orderBy(F.col("seq").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     ent = Window.partitionBy("policy_id", "list", "entry_id").orderBy("seq")
-    acc = acc.withColumn("_rep_after", F.min(F.when(F.col("action") == "replace", F.col("version")))
-                         .over(plist.rowsBetween(1, Window.unboundedFollowing)))
+    acc = acc.withColumn("_rep_after", F.min(F.when(F.col("action") == "replace", F.col("version"))).over(later))
     acc = acc.withColumn("_next_edit", F.lead("version").over(ent))
     opened = acc.where(F.col("action").isin("add", "update", "replace"))
     return opened.select(
