@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import formats as FMT
 from ..functions.pii import SPAN_TYPE, pii_spans
 from ..functions.rules import RuleSet
 from ..functions.text import is_blank
@@ -94,16 +95,16 @@ def phase1(text: Column, key: Column, stream: Column, tool_count: Column, limite
     hits = blocklist_hits(key, rules.term_array())
     pat = rules.first_pattern(text)
     return (
-        F.when(~req["phase1_enabled"], _p1("pass", None, "phase1_disabled"))
+        F.when(~req["phase1_enabled"], _p1("pass", None, FMT.MSG_PHASE1_DISABLED))
         .when(F.coalesce(limited, F.lit(False)),
-              _p1("block", "RATE_LIMITED", "Too many requests for the current API key window"))
+              _p1("block", "RATE_LIMITED", FMT.MSG_RATE_LIMITED))
         .when(F.length(text) > limit,
-              _p1("block", "INPUT_TOO_LONG", F.concat(F.lit("Input exceeded max chars "), limit.cast("string"))))
-        .when(F.size(hits) > 0, _p1("block", "BLOCKLIST_MATCH", hits_detail(hits, "Input matched blocklist terms: ")))
-        .when(pat.isNotNull(), _p1("block", "PROMPT_INJECTION_PATTERN", F.concat(F.lit("Input matched pattern "), pat)))
+              _p1("block", "INPUT_TOO_LONG", F.concat(F.lit(FMT.MSG_INPUT_TOO_LONG), limit.cast("string"))))
+        .when(F.size(hits) > 0, _p1("block", "BLOCKLIST_MATCH", hits_detail(hits, FMT.MSG_INPUT_TERMS)))
+        .when(pat.isNotNull(), _p1("block", "PROMPT_INJECTION_PATTERN", F.concat(F.lit(FMT.MSG_INPUT_PATTERN), pat)))
         .when(stream_tool_blocked(stream, tool_count, req),
-              _p1("block", "STREAM_TOOL_LIMIT", "Streaming requests allow fewer tools"))
-        .otherwise(_p1("pass", None, "phase1_pass"))
+              _p1("block", "STREAM_TOOL_LIMIT", FMT.MSG_STREAM_TOOLS))
+        .otherwise(_p1("pass", None, FMT.MSG_PHASE1_PASS))
     )
 
 
@@ -212,13 +213,13 @@ def final_action(p2: Column, p3: Column, req: Column) -> Column:
     return (
         F.when((p3["action"] == "gray") & (req["phase3_mode"] == "enforce"), _p1(
             "block", F.coalesce(p3["reason_code"], F.lit("GRAY_ZONE")),
-            F.concat(F.lit("Semantic guardrails enforced decision "), p3["decision"])))
+            F.concat(F.lit(FMT.MSG_ENFORCED), p3["decision"])))
         .when(p3["action"] == "gray", _p1(
-            "observe", p3["reason_code"], F.concat(F.lit("Semantic guardrails observed decision "), p3["decision"])))
+            "observe", p3["reason_code"], F.concat(F.lit(FMT.MSG_OBSERVED), p3["decision"])))
         .when(F.size(timeouts) > 0, _p1(
             "allow", "ANALYZER_TIMEOUT_OBSERVE",
-            F.concat(F.lit("Analyzer timeout observed for "), F.array_join(timeouts, ", "))))
-        .otherwise(_p1("allow", None, "guardrails_allow"))
+            F.concat(F.lit(FMT.MSG_TIMEOUT), F.array_join(timeouts, ", "))))
+        .otherwise(_p1("allow", None, FMT.MSG_ALLOW))
     )
 
 
@@ -279,9 +280,9 @@ def evaluate_output(df: DataFrame, *, text: str = "text", key: str = "key",
     hits = blocklist_hits(k, rules.term_array())
     gate = (
         F.when(F.length(t) > req_c["max_non_stream_output_chars"],
-               _p1("block", "OUTPUT_TOO_LONG", "Output exceeded non-stream character limit"))
+               _p1("block", "OUTPUT_TOO_LONG", FMT.MSG_OUTPUT_TOO_LONG))
         .when((F.size(hits) > 0) & req_c["output_blocklist_enforce"],
-              _p1("block", "BLOCKLIST_MATCH", hits_detail(hits, "Output matched blocklist terms: ")))
+              _p1("block", "BLOCKLIST_MATCH", hits_detail(hits, FMT.MSG_OUTPUT_TERMS)))
     )
     out = df.select("*", gate.alias("_gate"), F.lit(None).cast(P1_TYPE).alias("phase1"))
     blocked = F.col("_gate").isNotNull()

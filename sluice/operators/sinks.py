@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import formats as FMT
+
 AUDIT_COLUMNS = ("request_id", "stage", "slot", "policy_id", "policy_version", "final_action", "reason_code")
 
 
@@ -35,7 +37,7 @@ def audit_json(dec: DataFrame, request_id: Column, *, slot: str, path: str, poli
         F.col("phase1"), F.col("phase2"), F.col("phase3"),
         F.col("action").alias("final_action"), F.col("reason_code"),
         F.lit(None).cast("double").alias("upstream_latency_ms"),
-        F.lit(None).cast("double").alias("guardrails_latency_ms"),
+        F.lit(None).cast("double").alias(FMT.AUDIT_LATENCY_FIELD),
     )
     return dec.where(F.col("action") != "allow").select(F.to_json(rec).alias("value"))
 
@@ -90,23 +92,23 @@ def metric_rows(dec: DataFrame, latency: DataFrame | None = None) -> DataFrame:
     k = lambda m, lk, lv: F.struct(F.lit(m).alias("metric"), F.lit(lk).cast("string").alias("label_key"),
                                    lv.cast("string").alias("label_value"))
     keys = F.array_compact(F.array(
-        k("guardrails_requests_total", None, F.lit(None)),
+        k(FMT.METRIC_REQUESTS, None, F.lit(None)),
         F.when((F.col("action") == "block") & F.col("reason_code").isNotNull(),
-               k("guardrails_blocks_total", "reason", F.col("reason_code"))),
-        k("guardrails_final_actions_total", "action", F.col("action")),
-        F.when(F.col("reason_code") == "RATE_LIMITED", k("guardrails_rate_limit_hits_total", None, F.lit(None))),
+               k(FMT.METRIC_BLOCKS, "reason", F.col("reason_code"))),
+        k(FMT.METRIC_FINAL_ACTIONS, "action", F.col("action")),
+        F.when(F.col("reason_code") == "RATE_LIMITED", k(FMT.METRIC_RATE_LIMIT_HITS, None, F.lit(None))),
     ))
     phase_keys = F.transform(F.coalesce(F.col("reached"), F.array().cast("array<string>")),
-                             lambda p: k("guardrails_phase_hits_total", "phase", p))
+                             lambda p: k(FMT.METRIC_PHASE_HITS, "phase", p))
     rows = dec.select(F.explode(F.concat(keys, phase_keys)).alias("m")).select("m.*")
     counted = rows.groupBy("metric", "label_key", "label_value").agg(F.count(F.lit(1)).cast("double").alias("value"))
     zeros = dec.sparkSession.createDataFrame(
-        [("guardrails_rate_limit_hits_total", None, None, 0.0), ("guardrails_analyzer_timeouts_total", None, None, 0.0)],
+        [(FMT.METRIC_RATE_LIMIT_HITS, None, None, 0.0), (FMT.METRIC_TIMEOUTS, None, None, 0.0)],
         "metric string, label_key string, label_value string, value double")
     out = counted.unionByName(zeros).groupBy("metric", "label_key", "label_value").agg(F.sum("value").alias("value"))
     if latency is not None:
         out = out.unionByName(analyzer_latency(latency).select(
-            F.lit("guardrails_analyzer_latency_ms_avg").alias("metric"), F.lit("analyzer").alias("label_key"),
+            F.lit(FMT.METRIC_LATENCY_AVG).alias("metric"), F.lit("analyzer").alias("label_key"),
             F.col("analyzer").alias("label_value"), F.col("latency_ms_avg").alias("value")))
     return out
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import formats as FMT
 from ..functions.rules import RuleSet
 from ..functions.text import canon
 from ..operators.decide import Analyzers, Rules, evaluate_input, evaluate_output
@@ -97,7 +98,7 @@ def doc_decision_sql(direction: str = "input", rules: RuleSet = DOC_RULES, enfor
     """DuckDB CTE body 'dec' with doc_id, action, reason_code, detail, phase_n."""
     terms = sql_term_hits("key", rules.terms)
     mode_block = "'block'" if enforce else "'observe'"
-    gray_detail = "'Semantic guardrails enforced decision '" if enforce else "'Semantic guardrails observed decision '"
+    gray_detail = sql_str(FMT.MSG_ENFORCED if enforce else FMT.MSG_OBSERVED)
     if direction == "input":
         gate = f"""CASE WHEN length(text) > 12000 THEN 'INPUT_TOO_LONG'
                         WHEN len(hits) > 0 THEN 'BLOCKLIST_MATCH'
@@ -139,7 +140,7 @@ def doc_decision_sql(direction: str = "input", rules: RuleSet = DOC_RULES, enfor
              WHEN decision = 'toxicity_high' THEN 'TOXICITY_HIGH'
              WHEN decision = 'review' THEN 'GRAY_ZONE' END AS reason_code,
         CASE WHEN gate IS NOT NULL THEN gate_detail
-             WHEN decision = 'safe' THEN 'guardrails_allow'
+             WHEN decision = 'safe' THEN {sql_str(FMT.MSG_ALLOW)}
              ELSE {gray_detail} || decision END AS detail,
         gate IS NOT NULL AS gated
       FROM p3
@@ -168,15 +169,14 @@ def chain_sql(src: str, ids: str, direction: str, rules: RuleSet, max_len: int,
                        WHEN len(hits) > 0 THEN 'BLOCKLIST_MATCH' END"""
         gate_detail = f"""CASE WHEN length(text) > {max_len} THEN 'Output exceeded non-stream character limit'
                         WHEN len(hits) > 0 THEN 'Output matched blocklist terms: ' || array_to_string(hits[1:5], ', ') END"""
-    verb = "enforced" if enforce else "observed"
     gray_action = "'block'" if enforce else "'observe'"
     return f"""
 SELECT {ids}, '{direction}' AS stage,
   CASE WHEN gate IS NOT NULL THEN 'block' WHEN decision = 'safe' THEN 'allow' ELSE {gray_action} END AS action,
   CASE WHEN gate IS NOT NULL THEN gate WHEN decision = 'pii_detected' THEN 'PII_DETECTED'
        WHEN decision = 'toxicity_high' THEN 'TOXICITY_HIGH' WHEN decision = 'review' THEN 'GRAY_ZONE' END AS reason_code,
-  CASE WHEN gate IS NOT NULL THEN gate_detail WHEN decision = 'safe' THEN 'guardrails_allow'
-       ELSE 'Semantic guardrails {verb} decision ' || decision END AS detail,
+  CASE WHEN gate IS NOT NULL THEN gate_detail WHEN decision = 'safe' THEN {sql_str(FMT.MSG_ALLOW)}
+       ELSE {sql_str(FMT.MSG_ENFORCED if enforce else FMT.MSG_OBSERVED)} || decision END AS detail,
   gate IS NOT NULL AS gated
 FROM (
   SELECT *, CASE WHEN gate IS NOT NULL THEN NULL

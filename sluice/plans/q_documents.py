@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import formats as FMT
+
 from ..functions.pii import DEFAULT_RECOGNIZERS, pii_spans
 from ..functions.rules import term_entries
 from ..operators.decide import toxicity_score
@@ -199,7 +201,7 @@ def phase2_q(spark, sf):
 @register("phase3", sql=f"""
 WITH {doc_decision_sql('input')}
 SELECT doc_id, CASE WHEN reason_code IS NULL THEN 'pass' ELSE 'gray' END AS p3_action,
-       CASE WHEN reason_code IS NULL THEN 'safe' ELSE substr(detail, length('Semantic guardrails enforced decision ') + 1) END AS decision,
+       CASE WHEN reason_code IS NULL THEN 'safe' ELSE substr(detail, {len(FMT.MSG_ENFORCED)} + 1) END AS decision,
        reason_code
 FROM dec WHERE NOT gated
 """)

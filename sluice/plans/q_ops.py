@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from .. import formats as FMT
 from ..functions.rules import DEFAULT_PATTERNS, DEFAULT_TERMS
 from ..operators import ops as O
 from ..operators.sinks import exposition_lines, metric_rows
@@ -171,14 +172,14 @@ def latest_run_files_q(spark, sf):
 @register("metrics_rows", sql=f"""
 WITH {doc_decision_sql('output')},
 m AS (
-  SELECT 'guardrails_requests_total' AS metric, NULL AS label_key, NULL AS label_value, CAST(count(*) AS DOUBLE) AS value FROM dec
-  UNION ALL SELECT 'guardrails_blocks_total', 'reason', reason_code, CAST(count(*) AS DOUBLE) FROM dec
+  SELECT '{FMT.METRIC_REQUESTS}' AS metric, NULL AS label_key, NULL AS label_value, CAST(count(*) AS DOUBLE) AS value FROM dec
+  UNION ALL SELECT '{FMT.METRIC_BLOCKS}', 'reason', reason_code, CAST(count(*) AS DOUBLE) FROM dec
             WHERE action = 'block' AND reason_code IS NOT NULL GROUP BY reason_code
-  UNION ALL SELECT 'guardrails_phase_hits_total', 'phase', 'phase2', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
-  UNION ALL SELECT 'guardrails_phase_hits_total', 'phase', 'phase3', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
-  UNION ALL SELECT 'guardrails_final_actions_total', 'action', action, CAST(count(*) AS DOUBLE) FROM dec GROUP BY action
-  UNION ALL SELECT 'guardrails_rate_limit_hits_total', NULL, NULL, 0.0
-  UNION ALL SELECT 'guardrails_analyzer_timeouts_total', NULL, NULL, 0.0
+  UNION ALL SELECT '{FMT.METRIC_PHASE_HITS}', 'phase', 'phase2', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
+  UNION ALL SELECT '{FMT.METRIC_PHASE_HITS}', 'phase', 'phase3', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
+  UNION ALL SELECT '{FMT.METRIC_FINAL_ACTIONS}', 'action', action, CAST(count(*) AS DOUBLE) FROM dec GROUP BY action
+  UNION ALL SELECT '{FMT.METRIC_RATE_LIMIT_HITS}', NULL, NULL, 0.0
+  UNION ALL SELECT '{FMT.METRIC_TIMEOUTS}', NULL, NULL, 0.0
 )
 SELECT metric, label_value,
        metric || CASE WHEN label_key IS NULL THEN '' ELSE '{{' || label_key || '="' || label_value || '"}}' END
