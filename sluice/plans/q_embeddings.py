@@ -82,7 +82,7 @@ def rerank_topn_q(spark, sf):
     emb = _emb(spark, sf).select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = _golden(spark, sf).select(F.col("label").cast("int").alias("label"), F.col("vec").alias("qv"))
     out = rerank_topn(q, emb, group="label", qvec="qv", cvec="v", cand_id="vec_id", top_n=5)
-    return out.select("label", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return out.select("label", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("score_udf", sql="""

@@ -82,7 +82,7 @@ SELECT service, doc_id, CAST(line_idx AS INTEGER) AS line_idx, rn FROM (
 def first_log_hits(spark, sf):
     """O2: the first 20 matching lines per service with their position."""
     h = O.first_log_hits(_lines(spark, sf), service="service", pattern=LOG_PATTERN, order=["doc_id", "line_idx"])
-    return h.select("service", "doc_id", "line_idx", "rn")
+    return h.select("service", "doc_id", "line_idx", F.col("rn").cast("bigint").alias("rn"))
 
 
 @register("new_keys_only", sql="""
@@ -135,7 +135,7 @@ def load_terms(spark, sf):
     lines of the ``benchmark`` texts; ``sources.files.load_terms`` applies it
     to a text file."""
     b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "value"))
-    return term_lines(b).select("item_id", "line_idx", "term")
+    return term_lines(b).select("item_id", F.col("line_idx").cast("bigint").alias("line_idx"), "term")
 
 
 @register("load_rules", sql=f"""
