@@ -31,6 +31,10 @@ def test_query_matches_oracle(spark, sf, con, name):
     want = _norm(cur.fetchall())
     assert df.columns == cols
     assert got == want
+    types = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+             "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+    duck_types = [r[1] for r in con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()]
+    assert [types.get(t, t) for _, t in df.dtypes] == duck_types
 
 
 def test_every_query_has_an_oracle_or_is_listed():
