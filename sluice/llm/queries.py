@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_dedup, mixing, secret_scan, url_filter
+from . import ann, decontam, langid, license_scan, line_dedup, mixing, secret_scan, url_filter
 from .common import documents
 
 QUERIES: dict = {}
@@ -22,6 +22,19 @@ def _query(name: str, sql: str | None = None):
     return deco
 
 
+@_query("op1_license_scan")
+def licenses(spark, sf_dir):
+    got = license_scan.scan(documents(spark, sf_dir))
+    base = F.filter("detections", lambda d: d.base)
+    places = F.transform(base, lambda d: d["first"])
+    joined = lambda ds: F.array_join(F.array_sort(F.array_distinct(F.transform(ds, lambda d: d.label))), ",")
+    return got.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.col("detections")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: d.confidence)), F.lit(0.0)).alias("score"),
+    )
+
+
 @_query("op2_secret_scan")
 def secrets(spark, sf_dir):
     out = secret_scan.scan(documents(spark, sf_dir))
@@ -58,6 +71,29 @@ def mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+@_query("op5_nearest_neighbours", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+
+
+@_query("op7_language_id")
+def languages(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.learned(docs)).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query("op8_decontaminate")
+def contamination(spark, sf_dir):
+    return decontam.judge(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @_query("op9_url_filter")
 def url_verdicts(spark, sf_dir):
     bad = F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1)))
