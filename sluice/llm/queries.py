@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, decontam, langid, license_scan, line_dedup, mixing, secret_scan, url_filter
+from . import ann, decontam, langid, license_scan, line_dedup, minhash, mixing, secret_scan, suffix_dedup, url_filter
 from .common import documents
 
 QUERIES: dict = {}
@@ -47,6 +47,24 @@ def secrets(spark, sf_dir):
     )
 
 
+@_query("op3_minhash_dedup", """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.seen),
+c AS (SELECT node, min(seen) AS c FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""")
+def near_duplicates(spark, sf_dir):
+    out = minhash.near_duplicates(documents(spark, sf_dir))
+    ids = lambda c: minhash.original_id(F.col(c))
+    return out.select(ids("id").alias("doc_id"), "n_shingles", ids("component").alias("component_id"), "kept")
+
+
 @_query("op4_mix_sources", """
 WITH d AS (SELECT doc_id, source, (source IS NULL) AS nul, coalesce(source, '') AS src,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -83,6 +101,12 @@ def neighbours(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
+@_query("op6_suffix_dedup")
+def repeats(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select(minhash.original_id(F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query("op7_language_id")
 def languages(spark, sf_dir):
     docs = documents(spark, sf_dir)
