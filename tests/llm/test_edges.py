@@ -1,0 +1,194 @@
+"""Every operator and pipeline stage on rows with all defined edge cases, on
+empty tables, and with extra columns of clashing names."""
+
+import hashlib
+from collections import Counter
+
+import brute
+import pytest
+
+from sluice.llm import ann, decontam, langid, license_scan, line_dedup, minhash, mixing, secret_scan, suffix_dedup, url_filter
+
+ROWS = brute.rows()
+IDS = [r[0] for r in ROWS]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return brute.edge_docs(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return brute.empty_docs(spark)
+
+
+def same(got, want):
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_license_scan(docs, none):
+    got = []
+    for r in license_scan.scan(docs).collect():
+        base = [d for d in r.detections if d.base]
+        places = [d.first for d in base]
+        got.append((r.doc_id, r.n_words, len(base), min(places, default=None), max(places, default=None), ",".join(sorted({d.label for d in base}))))
+    same(got, [(i, *brute.license_base(t)) for i, t, _, _ in ROWS])
+    assert license_scan.scan(none).count() == 0
+
+
+def test_secret_scan(docs, none):
+    from pyspark.sql import functions as F
+
+    out = secret_scan.scan(docs)
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    n = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k))
+    got = [tuple(r) for r in out.select("doc_id", n(0), n(1), n(2), F.sha2(secret_scan.written(base), 256)).collect()]
+    same(got, [(i, *brute.secret_base(t)) for i, t, _, _ in ROWS])
+    assert secret_scan.scan(none).count() == 0
+
+
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(docs, none, size, percent):
+    got = [(None if r.id == brute.LAST else r.id, r.n_shingles, r.component, r.kept) for r in minhash.near_duplicates(docs, size, percent).collect()]
+    want = brute.near_classes([(i, t) for i, t, _, _ in ROWS], size, percent)
+    same(got, [(i, *w) for i, w in zip(IDS, want)])
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_mix(docs, none):
+    got = mixing.mix(docs).collect()
+    size = lambda t: len(brute.BLANK_WORD.findall(t or ""))
+    same([(r.doc_id, r.source, r.size) for r in got], [(i, s, size(t)) for i, t, _, s in ROWS])
+    sizes = Counter()
+    for _, t, _, s in ROWS:
+        sizes[s] += size(t)
+    want = brute.targets(dict(sizes))
+    taken = Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(float(want[r.source]), rel=1e-12)
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s in sizes:
+        assert taken[s] == int(want[s])
+    assert sorted(map(repr, mixing.mix(docs.repartition(3)).collect())) == sorted(map(repr, got))
+    assert mixing.mix(none).count() == 0
+
+
+def test_nearest(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [float(i % 3), 1.0, -float(i)]) for i in range(0, 61)] + [
+        (100, None), (101, [0.0, 0.0, 0.0]), (102, [nan, 1.0, 1.0]), (103, [inf, 1.0, 1.0]), (104, [None, 1.0, 2.0]), (105, [1.0, 2.0]),
+        (None, [1.0, 1.0, 1.0]), (7, [1.0, 1.0, -7.0]), (120, []), (106, [1.0, 1.0, -7.0])]
+    df = spark.createDataFrame([(i, v, "clash", "clash", 1) for i, v in rows], "id bigint, v array<double>, code string, cb string, norm int")
+    got = [tuple(r) for r in ann.nearest(df, k=5).collect()]
+    valid = {i: v for i, v in rows if i is not None and i not in range(100, 106) and i != 120}
+    want = []
+    for q in (i for i in valid if i % 20 == 0):
+        score = {i: sum(a * b for a, b in zip(v, valid[q])) for i, v in valid.items() if i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        want += [(q, n, i, score[i]) for n, i in enumerate(best, 1)]
+    same(got, want)
+    assert ann.nearest(df.where("id > 1000")).count() == 0
+    few = [tuple(r) for r in ann.nearest(df.where("id in (20, 21, 22)")).collect()]
+    assert [(r[0], r[1], r[2]) for r in sorted(few)] == [(20, 1, 22), (20, 2, 21)]
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup(docs, none, hot):
+    got = [(None if r.id == brute.LAST else r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, hot).collect()]
+    same(got, [(i, *w) for i, w in zip(IDS, brute.repeats([t for _, t, _, _ in ROWS]))])
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_language_id(docs, none):
+    prototypes = langid.train(docs)
+    got = {}
+    for r in langid.predict(docs, prototypes).collect():
+        assert r.lang_pred in (*prototypes, "und") and 0 <= r.score <= 1
+        got.setdefault(r.doc_id, []).append(r.lang_pred)
+    assert set(prototypes) == {"en", "de"}
+    assert [got[i] for i in (3, 4, 6, 16)] == [["und"]] * 4 and "und" not in got[7]
+    assert langid.predict(docs, {}).where("lang_pred <> 'und' or score <> 0").count() == 0
+    assert langid.predict(none, langid.train(none)).count() == 0
+
+
+def items(spark, rows):
+    return spark.createDataFrame(rows, "item_id bigint, text string, doc_id string")
+
+
+def test_decontaminate(spark, docs, none):
+    got = decontam.judge(docs, items(spark, [(1, "the lazy dog and runs far away from the old red barn", ""), (2, None, ""), (3, "", ""), (4, "too few words", ""),
+                                             (None, A_WORDS, ""), (5, "the lazy dog and runs far away from the old red barn", "")])).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert r.contaminated == (r.item_id is not None) and (not r.contaminated or (r.score == 1.0 and r.item_id == 1 and r.n_items == 2))
+    same([r.doc_id for r in got if r.contaminated], [i for i, t, _, _ in ROWS if t and brute.A in t])
+    assert decontam.judge(docs, items(spark, [])).where("contaminated").count() == 0
+    assert decontam.judge(none, items(spark, [(1, brute.A, "")])).count() == 0
+
+
+A_WORDS = brute.A
+
+
+def test_url_filter(spark):
+    urls = ["https://A.Example.com/de/x/1?q", "http://www.example.net/en/2", "ftp://x.net/", "http://net/a", "http://x.net", "x.org/fr/3", None, "",
+            "http://sub.x.org/fr/9#f", "http://org/fr", "http://notnet/", "HTTP://example.com/DE/", "a://b://c/d", "://h", "http://h/123?x=/de/", "http://h/123?x=/de/"]
+    pages = spark.createDataFrame([(i, u, "c", "c", "c") for i, u in enumerate(urls)] + [(None, "http://k.net/", "c", "c", "c")],
+                                  "page_id bigint, url string, host string, bad string, p1 string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "key bigint, bad int")
+    got = {r.page_id: r for r in url_filter.judge(pages, labels).collect()}
+    want = {0: ("a.example.com", "/de/x/1", "example.com/de/", "block"), 1: ("www.example.net", "/en/2", "example.net/en/", "allow"), 2: ("x.net", "/", "net/", "block"),
+            3: ("net", "/a", "net/", "block"), 4: ("x.net", "", None, None), 5: ("", "", None, None), 6: ("", "", None, None), 7: ("", "", None, None),
+            8: ("sub.x.org", "/fr/9", "org/fr/", "allow"), 9: ("org", "/fr", None, None), 10: ("notnet", "/", None, None), 11: ("example.com", "/DE/", None, None),
+            12: ("b:", "", None, None), 13: ("h", "", None, None), 14: ("h", "/123", None, None), 15: ("h", "/123", None, None), None: ("k.net", "/", "net/", "block")}
+    want[12] = ("b:", "//c/d", None, None)
+    assert set(got) == set(want)
+    for i, (host, path, rule, verdict) in want.items():
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), i
+        assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
+    assert url_filter.judge(pages.limit(0), labels.limit(0)).count() == 0
+
+
+def test_line_dedup(docs, none):
+    got = [(r.row.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.drop_lines(docs).collect()]
+    same(got, [(i, *w) for i, w in zip(IDS, brute.line_dedup([(i, t) for i, t, _, _ in ROWS]))])
+    assert line_dedup.drop_lines(none).count() == 0
+
+
+def test_line_runs_over_days(spark, tmp_path):
+    """New batches meet the runs of old ones, also after compaction."""
+    runs = line_dedup.LineRuns(spark, str(tmp_path))
+    seen = set()
+    for day in range(5):
+        lines = {f"{(day * 7 + i * i) % 23}" for i in range(12)}
+        df = spark.createDataFrame([(bytearray(h.encode()), day) for h in lines], "h binary, id bigint")
+        fresh = {bytes(r.h).decode() for r in runs.add(df).collect()}
+        assert fresh == lines - seen
+        seen |= lines
+        runs.compact()
+        assert all(len(level) < line_dedup.FANOUT for level in runs.levels)
+
+
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    import corpus_pipeline as cp
+
+    items(spark, [(1, brute.PASSAGE, "")]).drop("doc_id").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, none):
+        at = table
+        for i, (name, stage) in enumerate(cp.STAGES):
+            stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{table is none}-{i}")
+            new = spark.read.parquet(f"{tmp_path}/{table is none}-{i}")
+            assert new.columns[: len(at.columns)] == at.columns or (name.startswith("mixing") and set(at.columns) - {"mix_taken"} <= set(new.columns)), name
+            assert new.count() <= at.count()
+            at = new
+        if table is none:
+            assert at.count() == 0
+    keep = lambda i: Counter(r.doc_id for r in spark.read.parquet(f"{tmp_path}/False-{i}").select("doc_id").collect())
+    assert not set(keep(0)) & {3, 4, 6, 16} and keep(0)[2] == 2 and keep(0)[7] == 2
+    assert 11 in keep(2) and not {11, 12} & set(keep(3))
+    assert {5, 7, 14, 15} <= set(keep(3))
+
+
+def test_oracle_hash_of_nothing():
+    assert brute.repeats([None])[0][3] == hashlib.sha256(b"").hexdigest()
