@@ -14,6 +14,28 @@ MSG_ENFORCED = "Semantic guardrails enforced decision "
 MSG_OBSERVED = "Semantic guardrails observed decision "
 MSG_TIMEOUT = "Analyzer timeout observed for "
 MSG_ALLOW = "guardrails_allow"
+MSG_DIRECTION = "direction must be input or output"
+MSG_NO_MESSAGES = "messages must be a non-empty array"
+MSG_MANY_MESSAGES = "messages exceeds max count "
+MSG_MANY_TOOLS = "tools exceeds max count "
+
+# History action names and summaries per list and change kind;
+# a summary ends with the added value or the entry id, replacements with nothing.
+HISTORY = {
+    ("blocklist", "add"): ("blocklist_entry_added", "Added blocklist term: "),
+    ("blocklist", "update"): ("blocklist_entry_updated", "Updated blocklist entry "),
+    ("blocklist", "delete"): ("blocklist_entry_deleted", "Deleted blocklist entry "),
+    ("blocklist", "replace"): ("blocklist_replaced", "Replaced active blocklist"),
+    ("prompt_patterns", "add"): ("prompt_pattern_added", "Added prompt pattern: "),
+    ("prompt_patterns", "update"): ("prompt_pattern_updated", "Updated prompt pattern entry "),
+    ("prompt_patterns", "delete"): ("prompt_pattern_deleted", "Deleted prompt pattern entry "),
+    ("prompt_patterns", "replace"): ("prompt_patterns_replaced", "Replaced active prompt patterns"),
+    ("golden_set", "add"): ("golden_set_entry_added", "Added golden set entry "),
+    ("golden_set", "update"): ("golden_set_entry_updated", "Updated golden set entry "),
+    ("golden_set", "delete"): ("golden_set_entry_deleted", "Deleted golden set entry "),
+    ("golden_set", "replace"): ("golden_set_replaced", "Replaced active golden set"),
+}
+HISTORY_ACTIVATED = ("policy_activated", "policy", "Activated policy ", " version ")
 
 # Counter names of the metrics exposition.
 METRIC_REQUESTS = "guardrails_requests_total"

@@ -6,47 +6,37 @@ Two shapes are supported:
 * nested requests (FIXTURES schema): ``messages`` ARRAY<STRUCT<role,
   content, parts>>, ``response.choices[].message`` - flattened with
   higher-order functions in the row, no shuffle;
-* the long ``conversations`` table (one row per message) - grouped per
-  conversation.  The grouping is bounded: message counts are counted first
-  (a partial aggregate) and conversations above ``max_message_count`` are
-  rejected without collecting their text, so no group collected here is
-  larger than the limit.
+* the long ``conversations`` table (one row per message) - one array per
+  conversation, as a request carries its messages in one payload.  Where a
+  message limit holds, messages are counted first (a partial aggregate) and
+  a conversation above the limit keeps its count and no messages.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .text import is_ascii, ascii_strip
+from .text import is_ascii, is_blank, strip
 
 PART_TYPE = "array<struct<type:string,text:string>>"
 MESSAGE_TYPE = f"array<struct<role:string,content:string,parts:{PART_TYPE}>>"
 
 
-def _canon_one(s):
-    return None if s is None else unicodedata.normalize("NFC", s).strip()
-
-
 @pandas_udf(T.ArrayType(T.StringType()))
 def _canon_list_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda xs: None if xs is None else [_canon_one(x) for x in xs])
+    flat = s.explode().str.normalize("NFC").str.strip()
+    return flat.groupby(level=0, sort=False).agg(list).reindex(s.index).where(s.notna(), None)
 
 
 def canon_list(arr: Column) -> Column:
     """NFC + strip of every element; all-ASCII arrays stay in the JVM."""
     all_ascii = F.forall(arr, lambda x: x.isNull() | is_ascii(x))
-    return F.when(arr.isNull(), arr).when(all_ascii, F.transform(arr, lambda x: ascii_strip(x))) \
-        .otherwise(_canon_list_udf(F.when(~all_ascii, arr)))
-
-
-def _py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    slow = _canon_list_udf(F.when(~all_ascii, arr))
+    return F.when(arr.isNull(), arr).when(all_ascii, F.transform(arr, strip)).otherwise(slow)
 
 
 def message_segments(messages: Column) -> Column:
@@ -62,7 +52,7 @@ def message_segments(messages: Column) -> Column:
 
 def join_segments(segs: Column) -> Column:
     """Non-empty segments joined by newline, then stripped."""
-    return _py_strip(F.array_join(F.filter(segs, lambda s: F.length(s) > 0), "\n"))
+    return strip(F.array_join(F.filter(segs, lambda s: F.length(s) > 0), "\n"))
 
 
 def flatten_chat(messages: Column) -> Column:
@@ -74,7 +64,7 @@ def input_messages(messages: Column, text: Column, role: Column) -> Column:
     """Messages, or a single message built from ``text`` (null when neither)."""
     single = F.array(F.struct(F.coalesce(role, F.lit("user")).alias("role"), text.alias("content"),
                               F.lit(None).cast(PART_TYPE).alias("parts")))
-    blank = text.isNull() | (F.length(_py_strip(text)) == 0)
+    blank = is_blank(text)
     return F.when(messages.isNotNull(), messages).when(~blank, single)
 
 
@@ -89,21 +79,21 @@ def output_text(response: Column, text: Column) -> Column:
     from .text import normalize_text
 
     a = assistant_text(response)
-    t_ok = text.isNotNull() & (F.length(_py_strip(text)) > 0)
+    t_ok = ~is_blank(text)
     raw = F.when(response.isNotNull(), F.when(F.length(a) > 0, a)).when(t_ok, text)
     return normalize_text(raw)
 
 
 def conversation_messages(conv: DataFrame, *, conv_id: str, turn: str, role: str, text: str,
-                          max_messages: int) -> DataFrame:
-    """Long table -> one row per conversation with its ordered message array.
-
-    Counts first (partial aggregate, skew-safe); conversations over the limit
-    get ``messages`` null and a ``message_count`` for the MALFORMED gate.
-    """
+                          max_messages: int | None = None) -> DataFrame:
+    """Long table -> one row per conversation with its ordered message array
+    and ``message_count``.  With a limit, conversations above it have null
+    ``messages`` (the count gate makes them MALFORMED_INPUT)."""
     counts = conv.groupBy(conv_id).agg(F.count(F.lit(1)).alias("message_count"))
-    ok = counts.where(F.col("message_count") <= max_messages)
-    bounded = conv.join(ok.select(conv_id), conv_id, "left_semi")
+    bounded = conv
+    if max_messages is not None:
+        ok = counts.where(F.col("message_count") <= max_messages)
+        bounded = conv.join(ok.select(conv_id), conv_id, "left_semi")
     msgs = bounded.groupBy(conv_id).agg(F.array_sort(F.collect_list(
         F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content")))).alias("_m"))
     msgs = msgs.select(conv_id, F.transform("_m", lambda m: F.struct(
@@ -115,4 +105,4 @@ def conversation_messages(conv: DataFrame, *, conv_id: str, turn: str, role: str
 def segment_concat(df: DataFrame, *, key: str, order: str, text: str) -> DataFrame:
     """Ordered segments of one transcript joined with no separator, stripped."""
     g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))).alias("_s"))
-    return g.select(key, _py_strip(F.array_join(F.transform("_s", lambda s: s[text]), "")).alias("text"))
+    return g.select(key, strip(F.array_join(F.transform("_s", lambda s: s[text]), "")).alias("text"))

@@ -1,10 +1,6 @@
 """PII span finding (F7 pii_spans, U1 regex_recognizer) in pure Catalyst.
 
-Offsets are code points, like Python string offsets: ``split`` by the
-recogniser regex yields the text between hits, ``regexp_extract_all`` the
-hits themselves, both from the same ``Matcher.find`` sequence, so the start
-of hit i is the length of everything before it.  One left fold per row
-keeps it linear in the number of hits.
+Offsets are code points, like Python string offsets (see ``spans``).
 """
 
 from __future__ import annotations
@@ -15,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import java_regex
+from .spans import match_spans
 
 
 @dataclass(frozen=True)
@@ -40,28 +37,12 @@ SPAN_TYPE = "array<struct<entity_type:string,start:int,end:int,score:double>>"
 
 
 def recognizer_spans(text: Column, rec: Recognizer) -> Column:
-    pat = java_regex(rec.regex, RECOGNIZER_FLAGS)
-    hits = F.regexp_extract_all(text, F.lit(pat), F.lit(0))
-    gaps = F.slice(F.split(text, pat, -1), F.lit(1), F.size(hits))
-    pairs = F.arrays_zip(gaps.alias("g"), hits.alias("m"))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
-
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.struct(
-            F.lit(rec.entity_type).alias("entity_type"),
-            start.alias("start"),
-            end.alias("end"),
-            F.lit(float(rec.score)).alias("score"),
-        )
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
-
-    spans = F.aggregate(pairs, init, step, lambda acc: acc["out"])
-    # Most texts have no hit: one cheap test first, the split/extract pair
-    # (two more scans plus the fold) only where a hit can exist.
-    maybe = F.instr(text, rec.hint) > 0 if rec.hint else text.rlike(pat)
-    return F.when(maybe, spans).otherwise(F.array().cast(SPAN_TYPE))
+    spans = F.transform(match_spans(text, java_regex(rec.regex, RECOGNIZER_FLAGS)), lambda s: F.struct(
+        F.lit(rec.entity_type).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"),
+        F.lit(float(rec.score)).alias("score")))
+    if not rec.hint:
+        return spans
+    return F.when(F.instr(text, rec.hint) > 0, spans).otherwise(F.array().cast(SPAN_TYPE))
 
 
 def pii_spans(text: Column, recognizers=DEFAULT_RECOGNIZERS) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 
 # Runtime fallbacks used when a term file is empty or the
@@ -52,11 +51,6 @@ SHIPPED_PATTERNS = (
     r"(output|show)\s+(the\s+)?(api\s*key|access\s*token|environment\s+variables?)",
 )
 
-# Beyond this many terms per rule set the packed array form is replaced by
-# the gram-join form (see operators.detect.term_hits_long).
-MAX_PACKED_TERMS = 2048
-
-
 def java_regex(py_pattern: str, flags: str = "iU") -> str:
     """Python ``re`` pattern -> Java pattern with Python's Unicode semantics.
 
@@ -69,10 +63,6 @@ def java_regex(py_pattern: str, flags: str = "iU") -> str:
     return f"(?{flags}){body}" if flags else body
 
 
-def py_strip(s: str) -> str:
-    return unicodedata.normalize("NFC", s).strip()
-
-
 def clean_list(values) -> list[str]:
     """strip, drop blank (the term/pattern list normaliser, literal form)."""
     return [v.strip() for v in values if isinstance(v, str) and v.strip()]

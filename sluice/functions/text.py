@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-# Characters for which Python's str.isspace() is true inside ASCII.
-_ASCII_WS = r"[\t\n\x0B\f\r\x1C-\x1F ]"
+# The characters for which Python's str.isspace() is true.
+WHITESPACE = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 
@@ -33,13 +34,10 @@ def _casefold_udf(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 
 
-@pandas_udf(T.StringType())
-def _nfc_udf(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
-
-
-def ascii_strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{_ASCII_WS}+|{_ASCII_WS}+$", "")
+def strip(col: Column) -> Column:
+    """Python's ``str.strip()``.  A trim by a character list reads each end
+    once; a regex anchored at the end would start anew at every blank inside."""
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def is_ascii(col: Column) -> Column:
@@ -50,7 +48,7 @@ def canon(col: Column) -> Column:
     """STRUCT<text, key>: NFC + Unicode strip, and the casefold of that."""
     ascii_row = is_ascii(col)
     slow = _canon_udf(F.when(~ascii_row, col))
-    fast_text = ascii_strip(col)
+    fast_text = strip(col)
     return F.when(col.isNull(), F.lit(None).cast("struct<text:string,key:string>")).when(
         ascii_row, F.struct(fast_text.alias("text"), F.lower(fast_text).alias("key"))
     ).otherwise(slow)
@@ -65,10 +63,6 @@ def casefold(col: Column) -> Column:
     return F.when(is_ascii(col), F.lower(col)).otherwise(_casefold_udf(F.when(~is_ascii(col), col)))
 
 
-def nfc(col: Column) -> Column:
-    return F.when(is_ascii(col), col).otherwise(_nfc_udf(F.when(~is_ascii(col), col)))
-
-
 def is_blank(col: Column) -> Column:
-    """Python ``not s.strip()`` for an already-canonical string."""
-    return col.isNull() | (F.length(F.regexp_replace(col, r"(?U)^\s+|\s+$", "")) == 0)
+    """Python ``not s.strip()``."""
+    return col.isNull() | (strip(col) == "")

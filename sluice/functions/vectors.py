@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GOLDEN_TYPE = "array<struct<label:string,vec:array<double>>>"
-
+from .spans import let
 
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
@@ -22,11 +21,15 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0.0 when either vector has zero norm."""
-    na, nb = norm(a), norm(b)
+    return normed_cosine(a, norm(a), b, norm(b))
+
+
+def normed_cosine(a: Column, na: Column, b: Column, nb: Column) -> Column:
+    """Cosine similarity with both norms at hand."""
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
 
-def best_match(target: Column, golden: Column) -> Column:
+def best_match(target: Column, target_norm: Column, golden: Column) -> Column:
     """STRUCT<score DOUBLE, label STRING>: first strictly-best cosine.
 
     Starts from -1.0 and replaces only on a strictly greater score, so ties
@@ -35,7 +38,7 @@ def best_match(target: Column, golden: Column) -> Column:
     init = F.struct(F.lit(-1.0).alias("score"), F.lit(None).cast("string").alias("label"))
 
     def step(acc, g):
-        s = cosine(g["vec"], target)
-        return F.when(s > acc["score"], F.struct(s.alias("score"), g["label"].alias("label"))).otherwise(acc)
+        return let(normed_cosine(g["vec"], g["norm"], target, target_norm), lambda s: F.when(
+            s > acc["score"], F.struct(s.alias("score"), g["label"].alias("label"))).otherwise(acc))
 
     return F.aggregate(golden, init, step)

@@ -73,12 +73,12 @@ def length_limit(req: Column, stream: Column) -> Column:
 
 def count_gate(message_count: Column, tool_count: Column | None, req: Column) -> Column:
     """MALFORMED_INPUT detail for bad message/tool counts, else null."""
-    out = F.when(message_count.isNull() | (message_count == 0), F.lit("messages must be a non-empty array")) \
+    out = F.when(message_count.isNull() | (message_count == 0), F.lit(FMT.MSG_NO_MESSAGES)) \
         .when(message_count > req["max_message_count"],
-              F.concat(F.lit("messages exceeds max count "), req["max_message_count"].cast("string")))
+              F.concat(F.lit(FMT.MSG_MANY_MESSAGES), req["max_message_count"].cast("string")))
     if tool_count is not None:
         out = out.when(tool_count > req["max_tool_count"],
-                       F.concat(F.lit("tools exceeds max count "), req["max_tool_count"].cast("string")))
+                       F.concat(F.lit(FMT.MSG_MANY_TOOLS), req["max_tool_count"].cast("string")))
     return out
 
 
@@ -225,30 +225,28 @@ def final_action(p2: Column, p3: Column, req: Column) -> Column:
 
 # ---------------------------------------------------------------- chains
 
-Enrich = "Callable[[DataFrame], DataFrame] | None"
-
-
-def _finish(out: DataFrame, blocked: Column, gate: Column, req_c: Column, glob_c: Column,
-            an: Analyzers, reached_blocked: Column, reached_pass: Column, stage: str) -> DataFrame:
-    keep = [c for c in out.columns if c not in ("_feat", "_gate")]
-    out = out.select(*keep, F.col("_feat"), gate.alias("_gate"),
-                     F.when(~blocked, phase2(F.col("_feat"), req_c, glob_c, an)).alias("phase2"))
-    out = out.select("*", F.when(~blocked, phase3(F.col("phase2"), glob_c)).alias("phase3"))
-    fin = F.when(blocked, F.col("_gate")).otherwise(final_action(F.col("phase2"), F.col("phase3"), req_c))
-    out = out.select("*", fin.alias("_fin"))
-    return out.select(
-        *keep, "phase2", "phase3", F.lit(stage).alias("stage"), F.col("_fin.action").alias("action"),
-        F.col("_fin.reason_code").alias("reason_code"), F.col("_fin.detail").alias("detail"),
-        F.when(blocked, reached_blocked).otherwise(reached_pass).alias("reached"),
+def output_gate(text: Column, key: Column, req: Column, rules: Rules) -> Column:
+    """Output checks before phase 2: length, then terms where enforced."""
+    hits = blocklist_hits(key, rules.term_array())
+    return (
+        F.when(F.length(text) > req["max_non_stream_output_chars"], _p1("block", "OUTPUT_TOO_LONG", FMT.MSG_OUTPUT_TOO_LONG))
+        .when((F.size(hits) > 0) & req["output_blocklist_enforce"],
+              _p1("block", "BLOCKLIST_MATCH", hits_detail(hits, FMT.MSG_OUTPUT_TERMS)))
     )
 
 
-def evaluate_input(df: DataFrame, *, text: str = "text", key: str = "key", stream: str | None = None,
-                   tool_count: str | None = None, limited: str | None = None,
-                   req: Settings | Column = DEFAULTS, glob: Settings | Column = DEFAULTS,
-                   rules: Rules = Rules(RuleSet().effective()), analyzers: Analyzers = Analyzers(),
-                   drop_text: bool = False, enrich=None) -> DataFrame:
-    """F13 input chain; adds stage, action, reason_code, detail, phase1/2/3, reached.
+def evaluate(df: DataFrame, direction: Column, *, text: str = "text", key: str = "key", stream: str | None = None,
+             tool_count: str | None = None, limited: str | None = None, malformed: Column | None = None,
+             req: Settings | Column = DEFAULTS, glob: Settings | Column = DEFAULTS,
+             rules: Rules = Rules(RuleSet().effective()), analyzers: Analyzers = Analyzers(),
+             drop_text: bool = False, enrich=None) -> DataFrame:
+    """both chains in one projection over one scan; adds stage, action,
+    reason_code, detail, phase1/2/3, reached.
+
+    CASE takes a row down its own direction's branch: ``input`` rows through
+    phase 1, ``output`` rows through length and terms (no rate limit, no
+    patterns), both through phases 2 and 3.  Any other direction, or a
+    non-null ``malformed`` message, gives a MALFORMED_INPUT error row.
 
     ``enrich`` (DataFrame -> DataFrame) runs after the text-dependent work;
     with ``drop_text`` the text and key columns are gone by then, so a join
@@ -259,45 +257,51 @@ def evaluate_input(df: DataFrame, *, text: str = "text", key: str = "key", strea
     s = F.coalesce(F.col(stream), F.lit(False)) if stream else F.lit(False)
     tc = F.col(tool_count) if tool_count else F.lit(0)
     lim = F.col(limited) if limited else F.lit(False)
-    out = df.select("*", phase1(t, k, s, tc, lim, req_c, rules).alias("phase1"))
-    blocked = F.col("phase1.action") == "block"
-    out = out.select("*", F.when(~blocked, text_features(t, req_c, glob_c, analyzers)).alias("_feat"))
-    if drop_text:
-        out = out.drop(text, key)
+    none = F.lit(None).cast("string")
+    bad = F.when(~F.coalesce(direction.isin("input", "output"), F.lit(False)), F.lit(FMT.MSG_DIRECTION))
+    bad = bad if malformed is None else F.coalesce(bad, malformed)
+    cols = [F.col(c) for c in df.columns if not (drop_text and c in (text, key))]
+    out = df.select("*", direction.alias("_dir"), bad.alias("_bad"))
+    ok = F.col("_bad").isNull()
+    out = out.select(
+        "*", F.when(ok & (F.col("_dir") == "input"), phase1(t, k, s, tc, lim, req_c, rules)).alias("phase1"),
+        F.when(ok & (F.col("_dir") == "output"), output_gate(t, k, req_c, rules)).alias("_gate"))
+    gate = F.coalesce(F.when(F.col("phase1.action") == "block", F.col("phase1")), F.col("_gate"))
+    out = out.select(*cols, "_dir", "_bad", "phase1", gate.alias("_gate"),
+                     F.when(ok & gate.isNull(), text_features(t, req_c, glob_c, analyzers)).alias("_feat"))
     if enrich is not None:
         out = enrich(out)
-    return _finish(out, blocked, F.col("phase1"), req_c, glob_c, analyzers,
-                   F.array(F.lit("phase1")), F.array(F.lit("phase1"), F.lit("phase2"), F.lit("phase3")), "input")
+    goes_on = F.col("_bad").isNull() & F.col("_gate").isNull()
+    out = out.select("*", F.when(goes_on, phase2(F.col("_feat"), req_c, glob_c, analyzers)).alias("phase2"))
+    out = out.select("*", F.when(goes_on, phase3(F.col("phase2"), glob_c)).alias("phase3"))
+    fin = (F.when(F.col("_bad").isNotNull(), F.struct(F.lit("error").alias("action"), F.lit("MALFORMED_INPUT").alias("reason_code"),
+                                                      F.col("_bad").alias("detail")))
+           .when(F.col("_gate").isNotNull(), F.col("_gate")).otherwise(final_action(F.col("phase2"), F.col("phase3"), req_c)))
+    out = out.select("*", fin.alias("_fin"))
+    reached = F.concat(
+        F.when(F.col("phase1").isNotNull(), F.array(F.lit("phase1"))).otherwise(F.array().cast("array<string>")),
+        F.when(goes_on, F.array(F.lit("phase2"), F.lit("phase3"))).otherwise(F.array().cast("array<string>")))
+    keep = [c for c in out.columns if c not in ("_dir", "_bad", "_gate", "_feat", "_fin", "phase2", "phase3")]
+    return out.select(
+        *keep, "phase2", "phase3", F.when(F.col("_bad").isNull(), F.col("_dir")).otherwise(none).alias("stage"),
+        F.col("_fin.action").alias("action"), F.col("_fin.reason_code").alias("reason_code"),
+        F.col("_fin.detail").alias("detail"), reached.alias("reached"))
 
 
-def evaluate_output(df: DataFrame, *, text: str = "text", key: str = "key",
-                    req: Settings | Column = DEFAULTS, glob: Settings | Column = DEFAULTS,
-                    rules: Rules = Rules(RuleSet().effective()), analyzers: Analyzers = Analyzers(),
-                    drop_text: bool = False, enrich=None) -> DataFrame:
-    """F13 output chain: length, terms (if enforced), then phases 2-3; no rate limit, no patterns."""
-    req_c, glob_c = lit_settings(req), lit_settings(glob)
-    t, k = F.col(text), F.col(key)
-    hits = blocklist_hits(k, rules.term_array())
-    gate = (
-        F.when(F.length(t) > req_c["max_non_stream_output_chars"],
-               _p1("block", "OUTPUT_TOO_LONG", FMT.MSG_OUTPUT_TOO_LONG))
-        .when((F.size(hits) > 0) & req_c["output_blocklist_enforce"],
-              _p1("block", "BLOCKLIST_MATCH", hits_detail(hits, FMT.MSG_OUTPUT_TERMS)))
-    )
-    out = df.select("*", gate.alias("_gate"), F.lit(None).cast(P1_TYPE).alias("phase1"))
-    blocked = F.col("_gate").isNotNull()
-    out = out.select("*", F.when(~blocked, text_features(t, req_c, glob_c, analyzers)).alias("_feat"))
-    if drop_text:
-        out = out.drop(text, key)
-    if enrich is not None:
-        out = enrich(out)
-    return _finish(out, blocked, F.col("_gate"), req_c, glob_c, analyzers,
-                   F.array().cast("array<string>"), F.array(F.lit("phase2"), F.lit("phase3")), "output")
+def evaluate_input(df: DataFrame, **how) -> DataFrame:
+    """F13 input chain (see ``evaluate``)."""
+    return evaluate(df, F.lit("input"), **how)
+
+
+def evaluate_output(df: DataFrame, **how) -> DataFrame:
+    """F13 output chain (see ``evaluate``)."""
+    return evaluate(df, F.lit("output"), **how)
 
 
 def decision_struct(df: DataFrame, request_id: str, applied_policy: Column, applied_version: Column,
-                    metadata: Column | None = None) -> DataFrame:
-    """The serialised result shape, metadata merged with the applied policy."""
+                    normalized: Column, metadata: Column | None = None) -> DataFrame:
+    """The serialised result shape: the request as it was read
+    (``normalized``), metadata merged with the applied policy."""
     meta = metadata if metadata is not None else F.create_map().cast("map<string,string>")
     applied = F.create_map(F.lit("applied_policy_id"), applied_policy.cast("string"),
                            F.lit("applied_policy_version"), applied_version.cast("string"))
@@ -306,5 +310,5 @@ def decision_struct(df: DataFrame, request_id: str, applied_policy: Column, appl
     return df.withColumn("decision", F.struct(
         F.col(request_id).cast("string").alias("request_id"), F.col("stage"), F.col("action"),
         F.col("reason_code"), F.col("detail"), F.col("phase1"), F.col("phase2"), F.col("phase3"),
-        merged.alias("metadata"),
+        normalized.alias("normalized"), merged.alias("metadata"),
     ))

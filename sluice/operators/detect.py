@@ -9,8 +9,9 @@ Rules arrive in one of two shapes:
 * per-row array columns produced by the policy join (J1): the same
   expressions evaluated through higher-order functions.
 
-A literal term list is size-checked; past ``MAX_PACKED_TERMS`` the long
-(gram-join) form is used instead, which is exact for any list length.
+A term table (J4) is gathered into one such array by a Spark aggregate, so a
+list of any length takes the same path: one narrow projection over the
+texts, no shuffle of them.
 """
 
 from __future__ import annotations
@@ -18,18 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import MAX_PACKED_TERMS, java_regex, term_entries
+from ..functions.rules import java_regex, term_entries
 from ..functions.text import casefold
 
 TERM_TYPE = "array<struct<term:string,key:string>>"
-GRAM = 3
 
 
 def terms_literal(terms) -> Column:
     entries = term_entries(terms)
-    if len(entries) > MAX_PACKED_TERMS:
-        raise ValueError(
-            f"{len(entries)} terms exceed the packed limit {MAX_PACKED_TERMS}; use term_hits_long")
     if not entries:
         return F.array().cast(TERM_TYPE)
     return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(k).alias("key")) for t, k in entries])
@@ -70,56 +67,15 @@ def pattern_ranks_literal(text: Column, patterns) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
-def text_grams(key: Column, n_max: int = GRAM) -> Column:
-    """Distinct overlapping 1..n_max-grams of a string in linear time.
-
-    A zero-width lookahead capturing n characters visits every start
-    position once; ``.`` with DOTALL matches whole code points.
-    """
-    return F.array_distinct(F.concat(*[
-        F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, n_max + 1)
-    ]))
-
-
-def term_hits_long(docs: DataFrame, id_cols: list[str], key_col: str, terms_df: DataFrame) -> DataFrame:
-    """J4 long form for term lists of any size: one row per (doc, term) hit.
-
-    ``terms_df`` has ``term`` and ``key`` (casefolded, one row per key).  A
-    term can only occur in a text that contains its first n characters
-    (n = min(len, GRAM)), so each document emits its distinct 1..GRAM-grams
-    (ids only, never the text), those equi-join the term table on the
-    leading gram, candidates are grouped per document, and one join back to
-    the documents verifies them with ``instr``.  No term-count limit, no
-    nested-loop join; AQE broadcasts whichever side is small at run time.
-    """
-    terms = terms_df.select(
-        "term", F.col("key").alias("_tkey"),
-        F.expr(f"substring(key, 1, {GRAM})").alias("g"),
-    )
-    grams = docs.select(*id_cols, F.explode(text_grams(F.col(key_col))).alias("g"))
-    cand = (
-        grams.join(terms, "g")
-        .groupBy(*id_cols)
-        .agg(F.collect_list(F.struct(F.col("term"), F.col("_tkey").alias("key"))).alias("_cand"))
-    )
-    return (
-        docs.select(*id_cols, F.col(key_col).alias("_dkey"))
-        .join(cand, id_cols)
-        .select(*id_cols, F.explode(blocklist_hits(F.col("_dkey"), F.col("_cand"))).alias("term"))
-    )
+def term_array(terms_df: DataFrame) -> DataFrame:
+    """One row: all (term, key) rows of a term table as an array ``terms``."""
+    return terms_df.agg(F.sort_array(F.collect_list(F.struct("term", "key"))).alias("terms"))
 
 
 def term_hits(docs: DataFrame, id_cols: list[str], key_col: str, terms_df: DataFrame) -> DataFrame:
-    """J4 dispatcher: the term table's size is checked (a bounded read of a
-    config table); within MAX_PACKED_TERMS the list is folded into the plan
-    as a constant array and every row is matched in place (no join, no
-    shuffle); beyond it the gram equi-join handles any list length."""
-    rows = terms_df.select("term", "key").limit(MAX_PACKED_TERMS + 1).collect()
-    if len(rows) > MAX_PACKED_TERMS:
-        return term_hits_long(docs, id_cols, key_col, terms_df)
-    arr = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["key"]).alias("key")) for r in rows]) \
-        if rows else F.array().cast(TERM_TYPE)
-    return docs.select(*id_cols, F.explode(blocklist_hits(F.col(key_col), arr)).alias("term"))
+    """One row per (text, term) containment."""
+    rows = docs.select(*id_cols, F.col(key_col).alias("_key"), term_array(terms_df).scalar().alias("terms"))
+    return rows.select(*id_cols, F.explode(blocklist_hits(F.col("_key"), F.col("terms"))).alias("term"))
 
 
 def casefold_terms(df: DataFrame, term_col: str = "term") -> DataFrame:

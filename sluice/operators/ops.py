@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .ratelimit import rate_limit
 
 # Watchdog defaults.
@@ -67,26 +68,40 @@ def is_json_object(body: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
 
 
+def error_message(body: Column) -> Column:
+    """The message of a JSON object's ``error``: an object's non-empty
+    ``message`` or else the object itself, anything else as text ("None" for
+    JSON null); "" without one."""
+    v = F.try_parse_json(body)
+    err = F.try_variant_get(v, "$.error", "variant")
+    kind = F.schema_of_variant(err)
+    inner = F.try_variant_get(v, "$.error.message", "string")
+    has = is_json_object(body) & F.coalesce(F.array_contains(F.json_object_keys(body), "error"), F.lit(False))
+    text = (F.when(kind.startswith("OBJECT"), F.when(F.length(inner) > 0, inner).otherwise(F.to_json(err)))
+            .when(kind == "VOID", F.lit("None"))
+            .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(v, "$.error", "string")))
+            .otherwise(F.try_variant_get(v, "$.error", "string")))
+    return F.when(has, F.coalesce(text, F.lit("None"))).otherwise(F.lit(""))
+
+
 def probe_verdict(df: DataFrame, *, code: str, body: str, expect_key: str) -> DataFrame:
-    """Code != 200 -> FAIL; JSON ``error`` present -> FAIL; key found -> PASS."""
+    """Code != 200 -> FAIL; an error message in the JSON -> FAIL with that
+    message; expected key found -> PASS, else FAIL."""
     b = F.col(body)
-    has_error = is_json_object(b) & F.coalesce(F.array_contains(F.json_object_keys(b), "error"), F.lit(False))
+    message = error_message(b)
+    has_error = message != ""
     found = json_has_key(b, F.col(expect_key))
     verdict = F.when(F.col(code) != 200, "FAIL").when(has_error, "FAIL").when(found, "PASS").otherwise("FAIL")
     reason = (F.when(F.col(code) != 200, F.concat(F.lit("http "), F.col(code).cast("string")))
-              .when(has_error, F.lit("error payload"))
+              .when(has_error, F.concat(F.lit("error payload: "), message))
               .when(found, F.lit(None).cast("string"))
               .otherwise(F.concat(F.lit("missing key: "), F.col(expect_key))))
     return df.withColumn("verdict", verdict).withColumn("reason", reason)
 
 
-def _py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
-
-
 def rate_key(explicit: Column, api_key: Column, host: Column) -> Column:
     """P10: explicit non-blank key (stripped), else API key, else host, else anonymous."""
-    e = _py_strip(explicit)
+    e = strip(explicit)
     return F.coalesce(F.when(F.length(e) > 0, e), F.when(F.length(api_key) > 0, api_key),
                       F.when(F.length(host) > 0, host), F.lit("anonymous"))
 
@@ -113,8 +128,7 @@ def payload_kind(body: Column) -> Column:
     b = body.cast("binary")
     head4, head3 = F.hex(F.substring(b, 1, 4)), F.hex(F.substring(b, 1, 3))
     as_text = b.cast("string")
-    is_obj = F.coalesce(F.schema_of_variant(F.try_parse_json(as_text)).startswith("OBJECT"), F.lit(False))
-    err = is_obj & F.coalesce(F.array_contains(F.json_object_keys(as_text), "error"), F.lit(False))
+    err = error_message(as_text) != ""
     return (F.when(b.isNull() | (F.length(b) == 0), "empty").when(err, "json_error")
             .when(head4 == "52494646", "wav").when(head3 == "494433", "mp3").otherwise("other"))
 
@@ -126,11 +140,12 @@ def log_lines(df: DataFrame, *, service: str, doc: str, text: str) -> DataFrame:
 
 def log_scan(lines: DataFrame, *, service: str, pattern: str, order: list[str]) -> DataFrame:
     """Case-insensitive regex per service -> hit count, fail flag and the
-    last matched text (``max_by`` over line order)."""
+    last matched text (``max_by`` over line order).  A service whose lines
+    hold no hit is reported as passed, with a null match."""
     hit = F.col("line").rlike(f"(?i){pattern}")
-    m = F.regexp_extract(F.col("line"), f"(?i){pattern}", 0)
-    return lines.where(hit).groupBy(service).agg(
-        F.count(F.lit(1)).alias("hit_lines"), F.max_by(m, F.struct(*order)).alias("last_match")) \
+    m = F.when(hit, F.regexp_extract(F.col("line"), f"(?i){pattern}", 0))
+    return lines.groupBy(service).agg(
+        F.count_if(hit).alias("hit_lines"), F.max_by(m, F.when(hit, F.struct(*order))).alias("last_match")) \
         .withColumn("failed", F.col("hit_lines") > 0)
 
 

@@ -25,6 +25,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..settings import DEFAULTS, MUTABLE_FIELDS, field_kind
 
 ENTRY_PREFIX = {"blocklist": "bl", "prompt_patterns": "pp", "golden_set": "gs"}
@@ -244,7 +245,7 @@ def entry_id_for(prefix: str, *parts: Column) -> Column:
 def normalize_entries(df: DataFrame, *, list_name: str, value: str, given_id: str | None,
                       origin: list[str]) -> DataFrame:
     """Trim values, drop blank ones, keep a given id or mint a stable one."""
-    v = F.regexp_replace(F.col(value), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    v = strip(F.col(value))
     minted = entry_id_for(ENTRY_PREFIX[list_name], *[F.col(c).cast("string") for c in origin])
     gid = F.col(given_id) if given_id else F.lit(None).cast("string")
     out = df.withColumn("_v", v).where(F.col("_v").isNotNull() & (F.length("_v") > 0))

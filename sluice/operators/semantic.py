@@ -1,11 +1,10 @@
 """Semantic analyzers: F9 golden_relevance, J6 golden_cross, O3 best_label,
 O4 rerank_topn, U2 score_udf, U3 embed_udf.
 
-The golden set is policy configuration: a bounded list of labelled
-vectors.  Its size is checked before it is attached to rows as a constant
-array (no join, no shuffle: every row is scored in place).  Beyond the
-bound the long form is used: rows join the golden table on the policy key
-and ``max_by`` picks the winner - exact, shuffle-based.
+The golden set is a table.  A Spark aggregate gathers it into one row, an
+array of (idx, label, vector, norm) in list order, and every row is scored
+against that array in place: no shuffle of the rows, one path for a set of
+any size, and no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -18,10 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.vectors import GOLDEN_TYPE, best_match, cosine
-
-MAX_GOLDEN = 4096
-
+from ..functions.spans import let
+from ..functions.vectors import best_match, cosine, norm, normed_cosine
 
 def golden_rows(df: DataFrame, label: str, vec: str, order: str) -> DataFrame:
     """(idx, label, vec); ``idx`` (the list order) is the ``order`` column."""
@@ -29,57 +26,36 @@ def golden_rows(df: DataFrame, label: str, vec: str, order: str) -> DataFrame:
                      F.col(vec).cast("array<double>").alias("vec"))
 
 
-def golden_literal(golden: DataFrame) -> Column | None:
-    """Constant ARRAY<STRUCT<label, vec>> in list order, or None when the set
-    is larger than MAX_GOLDEN (caller then takes the long form)."""
-    rows = golden.orderBy("idx").limit(MAX_GOLDEN + 1).collect()
-    if len(rows) > MAX_GOLDEN:
-        return None
-    if not rows:
-        return F.array().cast(GOLDEN_TYPE)
-    return F.array(*[
-        F.struct(F.lit(r["label"]).alias("label"), F.array(*[F.lit(float(x)) for x in r["vec"]]).alias("vec"))
-        for r in rows
-    ])
-
-
-def golden_cross(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str],
-                 policy: str | None = None) -> DataFrame:
-    """J6 long form: one row per (row, golden item) with the cosine score.
-
-    Within the size bound every row scores the constant golden array in
-    place (``explode`` of a ``transform``; no join).  Above it the rows
-    equi-join the golden table on the policy key.
-    """
-    lit = golden_literal(golden)
-    v = F.col(vec).cast("array<double>")
-    if lit is not None:
-        scores = F.transform(lit, lambda g, i: F.struct(
-            (i + 1).alias("idx"), g["label"].alias("golden_label"), cosine(g["vec"], v).alias("score")))
-        return df.select(*id_cols, F.explode(scores).alias("s")).select(*id_cols, "s.idx", "s.golden_label", "s.score")
-    if policy is None:
-        raise ValueError(f"golden set above {MAX_GOLDEN} items needs a policy key to join on")
-    g = golden.select(F.col("idx"), F.col("label").alias("golden_label"), F.col("vec").alias("_gvec"), policy)
-    j = df.select(*id_cols, policy, vec).join(g, policy)
-    return j.select(*id_cols, "idx", "golden_label", cosine(F.col("_gvec"), v).alias("score"))
-
-
-def best_label(long: DataFrame, id_cols: list[str]) -> DataFrame:
-    """O3: first-best arg-max over the long form: highest score, then lowest
-    index; a best of exactly -1.0 (never beaten) gives a null label."""
-    g = long.groupBy(*id_cols).agg(F.max_by(F.struct("golden_label", "score"),
-                                            F.struct(F.col("score"), -F.col("idx"))).alias("b"))
-    return g.select(*id_cols, F.when(F.col("b.score") > -1.0, F.col("b.golden_label")).alias("best_label"),
-                    F.greatest(F.col("b.score"), F.lit(-1.0)).alias("score"))
+def golden_array(golden: DataFrame) -> DataFrame:
+    """One row: the golden set as ARRAY<STRUCT<idx, label, vec, norm>>."""
+    item = F.struct("idx", "label", "vec", norm(F.col("vec")).alias("norm"))
+    return golden.agg(F.sort_array(F.collect_list(item)).alias("_golden"))
+
+
+def _against(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
+    return df.select(*id_cols, F.col(vec).cast("array<double>").alias("_v"), golden_array(golden).scalar().alias("_golden"))
+
+
+def golden_cross(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
+    """One row per (row, golden item) with the cosine score, the long form
+    that the query asks for."""
+    scores = let(norm(F.col("_v")), lambda n: F.transform("_golden", lambda g, i: F.struct(
+        (i + 1).alias("idx"), g["label"].alias("golden_label"), normed_cosine(g["vec"], g["norm"], F.col("_v"), n).alias("score"))))
+    return _against(df, vec, golden, id_cols).select(*id_cols, F.explode(scores).alias("s")) \
+        .select(*id_cols, "s.idx", "s.golden_label", "s.score")
 
 
 def relevance(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
     """(score, label) of the best golden match for every row."""
-    lit = golden_literal(golden)
-    if lit is not None:
-        m = best_match(F.col(vec).cast("array<double>"), lit)
-        return df.select(*id_cols, m["label"].alias("matched_label"), m["score"].alias("score"))
-    raise ValueError(f"golden set above {MAX_GOLDEN} items: use golden_cross with a policy key + best_label")
+    m = let(norm(F.col("_v")), lambda n: best_match(F.col("_v"), n, F.col("_golden")))
+    out = _against(df, vec, golden, id_cols).select(*id_cols, m.alias("m"))
+    return out.select(*id_cols, F.col("m.label").alias("matched_label"), F.col("m.score").alias("score"))
+
+
+def best_label(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
+    """O3: first-best arg-max, taken inside the row: highest score, then lowest
+    index; a best of exactly -1.0 (never beaten) gives a null label."""
+    return relevance(df, vec, golden, id_cols).withColumnRenamed("matched_label", "best_label")
 
 
 def rerank_topn(queries: DataFrame, candidates: DataFrame, *, group: str, qvec: str, cvec: str,
@@ -135,9 +111,6 @@ def make_embed_udf(dim: int, embed: Callable[[pd.Series], pd.Series] | None = No
         for batch in it:
             vecs = fn(batch)
             ok = vecs.map(lambda v: v is not None and len(v) == dim)
-            yield pd.DataFrame({
-                "vector": [list(map(float, v)) if good else None for v, good in zip(vecs, ok)],
-                "error": [None if good else "embedding_shape_mismatch" for good in ok],
-            })
+            yield pd.DataFrame({"vector": vecs.where(ok, None), "error": ok.map({True: None, False: "embedding_shape_mismatch"})})
 
     return embed_udf

@@ -14,19 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import formats as FMT
 
-AUDIT_COLUMNS = ("request_id", "stage", "slot", "policy_id", "policy_version", "final_action", "reason_code")
-
-
-def audit_rows(dec: DataFrame, request_id: Column, *, slot: str, policy_id: Column,
-               policy_version: Column) -> DataFrame:
-    """Rows the audit log receives: every decision whose action is not allow."""
-    return dec.where(F.col("action") != "allow").select(
-        request_id.alias("request_id"), F.col("stage"), F.lit(slot).alias("slot"),
-        policy_id.cast("string").alias("policy_id"), policy_version.cast("int").alias("policy_version"),
-        F.col("action").alias("final_action"), F.col("reason_code"),
-    )
-
-
 def audit_json(dec: DataFrame, request_id: Column, *, slot: str, path: str, policy_id: Column,
                policy_version: Column, stream: Column | None = None) -> DataFrame:
     """The full audit record as one JSON string per row (for a text sink)."""
@@ -42,12 +29,9 @@ def audit_json(dec: DataFrame, request_id: Column, *, slot: str, path: str, poli
     return dec.where(F.col("action") != "allow").select(F.to_json(rec).alias("value"))
 
 
-def write_audit(audit: DataFrame, path: str, partition_col: str | None = None) -> None:
-    """Append audit JSON lines, optionally partitioned (e.g. by date)."""
-    w = audit.write.mode("append")
-    if partition_col:
-        w = w.partitionBy(partition_col)
-    w.text(path) if audit.columns == ["value"] else w.json(path)
+def write_audit(audit: DataFrame, path: str) -> None:
+    """Append audit records, one JSON text a line."""
+    audit.write.mode("append").text(path)
 
 
 # ------------------------------------------------------------------ counters
@@ -82,41 +66,55 @@ def analyzer_latency(lat: DataFrame, name: str = "analyzer", ms: str = "latency_
                  .otherwise(F.lit(0.0)))
 
 
+#: Metric families in the order they are written, with their kind.
+FAMILIES = ((FMT.METRIC_REQUESTS, "counter"), (FMT.METRIC_BLOCKS, "counter"), (FMT.METRIC_PHASE_HITS, "counter"),
+            (FMT.METRIC_FINAL_ACTIONS, "counter"), (FMT.METRIC_TIMEOUTS, "counter"), (FMT.METRIC_RATE_LIMIT_HITS, "counter"),
+            (FMT.METRIC_LATENCY_AVG, "gauge"))
+
+
 def metric_rows(dec: DataFrame, latency: DataFrame | None = None) -> DataFrame:
     """Every counter as long-form (metric, label_key, label_value, value).
 
-    One pass: each decision row emits the counter keys it increments, and a
-    single partially-aggregated ``groupBy`` counts them.  Zero-valued
-    totals are kept by a final union with constant rows.
+    One pass and one partially aggregated ``groupBy``: each decision row emits
+    the counters it increments with weight 1; totals that may be zero are rows
+    of weight 0, added before the grouping.
     """
-    k = lambda m, lk, lv: F.struct(F.lit(m).alias("metric"), F.lit(lk).cast("string").alias("label_key"),
-                                   lv.cast("string").alias("label_value"))
+    def k(m, lk, lv):
+        return F.struct(F.lit(m).alias("metric"), F.lit(lk).cast("string").alias("label_key"), lv.cast("string").alias("label_value"))
+
+    none = F.lit(None)
     keys = F.array_compact(F.array(
-        k(FMT.METRIC_REQUESTS, None, F.lit(None)),
-        F.when((F.col("action") == "block") & F.col("reason_code").isNotNull(),
-               k(FMT.METRIC_BLOCKS, "reason", F.col("reason_code"))),
+        k(FMT.METRIC_REQUESTS, None, none),
+        F.when((F.col("action") == "block") & F.col("reason_code").isNotNull(), k(FMT.METRIC_BLOCKS, "reason", F.col("reason_code"))),
         k(FMT.METRIC_FINAL_ACTIONS, "action", F.col("action")),
-        F.when(F.col("reason_code") == "RATE_LIMITED", k(FMT.METRIC_RATE_LIMIT_HITS, None, F.lit(None))),
+        F.when(F.col("reason_code") == "RATE_LIMITED", k(FMT.METRIC_RATE_LIMIT_HITS, None, none)),
     ))
-    phase_keys = F.transform(F.coalesce(F.col("reached"), F.array().cast("array<string>")),
-                             lambda p: k(FMT.METRIC_PHASE_HITS, "phase", p))
-    rows = dec.select(F.explode(F.concat(keys, phase_keys)).alias("m")).select("m.*")
-    counted = rows.groupBy("metric", "label_key", "label_value").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    phases = F.transform(F.coalesce("reached", F.array().cast("array<string>")), lambda p: k(FMT.METRIC_PHASE_HITS, "phase", p))
+    rows = dec.select(F.explode(F.concat(keys, phases)).alias("m"), F.lit(1.0).alias("w")).select("m.*", "w")
     zeros = dec.sparkSession.createDataFrame(
-        [(FMT.METRIC_RATE_LIMIT_HITS, None, None, 0.0), (FMT.METRIC_TIMEOUTS, None, None, 0.0)],
-        "metric string, label_key string, label_value string, value double")
-    out = counted.unionByName(zeros).groupBy("metric", "label_key", "label_value").agg(F.sum("value").alias("value"))
+        [(m, None, None, 0.0) for m in (FMT.METRIC_REQUESTS, FMT.METRIC_RATE_LIMIT_HITS, FMT.METRIC_TIMEOUTS)],
+        "metric string, label_key string, label_value string, w double")
+    out = rows.unionByName(zeros).groupBy("metric", "label_key", "label_value").agg(F.sum("w").alias("value"))
     if latency is not None:
-        out = out.unionByName(analyzer_latency(latency).select(
-            F.lit(FMT.METRIC_LATENCY_AVG).alias("metric"), F.lit("analyzer").alias("label_key"),
-            F.col("analyzer").alias("label_value"), F.col("latency_ms_avg").alias("value")))
+        lat = latency.groupBy("analyzer").agg(F.sum("latency_ms").alias("s"), F.count("latency_ms").alias("n"))
+        out = out.unionByName(lat.select(
+            F.lit(FMT.METRIC_LATENCY_AVG).alias("metric"), F.lit("analyzer").alias("label_key"), F.col("analyzer").alias("label_value"),
+            F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.lit(0.0)).alias("value")))
     return out
 
 
 def exposition_lines(rows: DataFrame) -> DataFrame:
-    """Text exposition: ``name{key="value"} v`` per row, averages at 3 decimals."""
-    val = F.when(F.col("metric").endswith("_avg"), F.format_string("%.3f", F.col("value"))) \
+    """Text exposition, ``name{key="value"} v`` per row (averages at 3
+    decimals) and a ``# TYPE`` line per family.  Ordered by (family, label)
+    it is the text: label "" sorts the type line and label-free rows first;
+    where both exist the type line is the one that starts with ``#``."""
+    order = F.create_map(*(x for i, (m, _) in enumerate(FAMILIES) for x in (F.lit(m), F.lit(i))))
+    val = F.when(F.col("metric") == FMT.METRIC_LATENCY_AVG, F.format_string("%.3f", F.col("value"))) \
         .otherwise(F.col("value").cast("bigint").cast("string"))
     label = F.when(F.col("label_key").isNull(), F.lit("")).otherwise(
         F.format_string('{%s="%s"}', F.col("label_key"), F.col("label_value")))
-    return rows.select("metric", "label_value", F.concat(F.col("metric"), label, F.lit(" "), val).alias("line"))
+    lines = rows.select(order[F.col("metric")].cast("bigint").alias("family"), F.coalesce("label_value", F.lit("")).alias("label"),
+                        F.concat(F.col("metric"), label, F.lit(" "), val).alias("line"))
+    types = rows.sparkSession.createDataFrame([(i, "", f"# TYPE {m} {kind}") for i, (m, kind) in enumerate(FAMILIES)],
+                                              "family long, label string, line string")
+    return types.unionByName(lines)

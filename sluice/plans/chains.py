@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import formats as FMT
+from ..functions.pii import DEFAULT_RECOGNIZERS
 from ..functions.rules import RuleSet
 from ..functions.text import canon
 from ..operators.decide import Analyzers, Rules, evaluate_input, evaluate_output
-from ..session import spread, table
+from ..session import table
 from ..settings import DEFAULTS
 
 DOC_RULES = RuleSet(
@@ -27,7 +28,8 @@ DOC_GLOB = DEFAULTS
 
 def canon_docs(spark: SparkSession, sf: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
     c = canon(F.col("text"))
-    return spread(table(spark, sf, name).select(id_col, "text")).select(id_col, c.alias("c")).select(id_col, "c.text", "c.key")
+    return table(spark, sf, name).select(id_col, "text").select(id_col, c.alias("c")).select(
+        id_col, "c.text", "c.key", F.length("c.text").cast("bigint").alias("n_output_chars"))
 
 
 def with_doc_labels(spark: SparkSession, sf: str):
@@ -68,11 +70,7 @@ def sql_casefold(col: str) -> str:
     return f"replace(lower({col}), 'ß', 'ss')"
 
 
-PII_SQL = (
-    r"(?:\+82[- ]?)?0?1[0-9][- ]?\d{3,4}[- ]?\d{4}",
-    r"\b\d{6}-?[1-4]\d{6}\b",
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-)
+PII_SQL = tuple(r.regex for r in DEFAULT_RECOGNIZERS)
 
 
 def sql_term_hits(key: str, terms) -> str:

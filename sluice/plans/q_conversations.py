@@ -10,9 +10,9 @@ from ..functions.chat import (assistant_text, conversation_messages, flatten_cha
                               output_text, segment_concat)
 from ..functions.rules import RuleSet
 from ..functions.text import canon
-from ..operators.decide import Rules, count_gate, evaluate_input, evaluate_output, phase1
+from ..operators.decide import Rules, count_gate, evaluate, phase1
 from ..operators.sinks import phase_hits as phase_hits_agg
-from ..session import spread, table
+from ..session import table
 from ..settings import DEFAULTS, settings_struct
 from .chains import chain_sql, sql_casefold, sql_first_pattern, sql_term_hits
 from .registry import register
@@ -24,7 +24,7 @@ CONV_REQ = DEFAULTS.with_(max_input_chars=300, max_stream_input_chars=150,
 
 
 def _conv(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "conversations"))
+    return table(spark, sf, "conversations")
 
 
 def _canon_rows(spark, sf) -> DataFrame:
@@ -36,44 +36,60 @@ _AGG_TEXT = "string_agg(CASE WHEN text <> '' THEN text END, chr(10) ORDER BY tur
 
 
 @register("flatten_chat", sql=f"""
-SELECT conv_id, count(*) AS message_count, CAST(length({_AGG_TEXT}) AS BIGINT) AS n_chars, md5({_AGG_TEXT}) AS text_md5
+SELECT conv_id, count(*) AS message_count, CASE WHEN count(*) > 4 THEN 'MALFORMED_INPUT' ELSE 'ok' END AS status,
+       CASE WHEN count(*) <= 4 THEN CAST(length({_AGG_TEXT}) AS BIGINT) END AS n_chars,
+       CASE WHEN count(*) <= 4 THEN md5({_AGG_TEXT}) END AS text_md5
 FROM conversations GROUP BY conv_id
 """)
 def flatten_chat_q(spark, sf):
-    """Messages in turn order -> canonical segments joined by newline."""
+    """Messages in turn order -> canonical segments joined by newline;
+    above the policy's message limit the request is malformed."""
     m = conversation_messages(_conv(spark, sf), conv_id="conv_id", turn="turn", role="role", text="text",
-                              max_messages=DEFAULTS.max_message_count)
+                              max_messages=CONV_REQ.max_message_count)
+    bad = count_gate(F.col("message_count"), None, settings_struct(CONV_REQ)).isNotNull()
     t = flatten_chat(F.col("messages"))
-    return m.select("conv_id", "message_count", F.length(t).cast("bigint").alias("n_chars"), F.md5(t).alias("text_md5"))
+    return m.select("conv_id", "message_count", F.when(bad, "MALFORMED_INPUT").otherwise("ok").alias("status"),
+                    F.length(t).cast("bigint").alias("n_chars"), F.md5(t).alias("text_md5"))
 
 
 @register("count_gates", sql="""
 SELECT conv_id, count(*) AS message_count,
        CASE WHEN count(*) = 0 THEN 'messages must be a non-empty array'
-            WHEN count(*) > 4 THEN 'messages exceeds max count 4' END AS malformed_detail
+            WHEN count(*) > 4 THEN 'messages exceeds max count 4'
+            WHEN conv_id % 11 > 8 THEN 'tools exceeds max count 8' END AS malformed_detail
 FROM conversations GROUP BY conv_id
 """)
 def count_gates(spark, sf):
-    """message count must be 1..max_message_count (4 here) -> MALFORMED_INPUT."""
-    m = conversation_messages(_conv(spark, sf), conv_id="conv_id", turn="turn", role="role", text="text",
-                              max_messages=CONV_REQ.max_message_count)
-    gate = count_gate(F.col("message_count"), None, settings_struct(CONV_REQ))
+    """message count must be 1..max_message_count (4 here), and the tool
+    count (conv_id mod 11 here) at most max_tool_count -> MALFORMED_INPUT."""
+    m = _conv(spark, sf).groupBy("conv_id").agg(F.count(F.lit(1)).alias("message_count"))
+    gate = count_gate(F.col("message_count"), F.col("conv_id") % 11, settings_struct(CONV_REQ))
     return m.select("conv_id", "message_count", gate.alias("malformed_detail"))
 
 
 @register("input_payload", sql="""
-SELECT conv_id, turn, role,
-       CASE WHEN text IS NULL OR trim(text) = '' THEN NULL ELSE 1 END AS message_count,
-       text IS NULL OR trim(text) = '' AS malformed
+SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 2 WHEN turn % 3 = 0 OR trim(text) = '' THEN NULL ELSE 1 END AS message_count,
+       CASE WHEN turn % 5 <> 0 AND turn % 3 <> 0 AND trim(text) <> '' THEN CASE WHEN turn % 2 = 0 THEN role ELSE 'user' END
+            WHEN turn % 5 = 0 THEN 'system' END AS first_role,
+       CASE WHEN turn % 5 <> 0 AND turn % 3 <> 0 AND trim(text) <> '' THEN md5(text) WHEN turn % 5 = 0 THEN md5('be brief') END AS first_md5,
+       turn % 5 <> 0 AND (turn % 3 = 0 OR trim(text) = '') AS malformed
 FROM conversations
 """)
 def input_payload(spark, sf):
-    """A text-only request becomes one message with its role; blank -> malformed."""
-    c = _conv(spark, sf)
-    msgs = input_messages(F.lit(None).cast("array<struct<role:string,content:string,parts:array<struct<type:string,text:string>>>>"),
-                          F.col("text"), F.col("role"))
-    return c.select("conv_id", "turn", "role", F.size(msgs).alias("message_count"), msgs.isNull().alias("malformed")) \
-        .withColumn("message_count", F.when(F.col("malformed"), None).otherwise(F.col("message_count")))
+    """``messages`` win (every fifth turn here), else ``text`` becomes one
+    message with its role, ``user`` by default; neither, or blank text (every
+    third turn here), is malformed."""
+    kind = "array<struct<role:string,content:string,parts:array<struct<type:string,text:string>>>>"
+    parts = F.lit(None).cast("array<struct<type:string,text:string>>").alias("parts")
+    given = F.array(F.struct(F.lit("system").alias("role"), F.lit("be brief").alias("content"), parts),
+                    F.struct(F.col("role"), F.col("text").alias("content"), parts))
+    turn = F.col("turn")
+    msgs = input_messages(F.when(turn % 5 == 0, given.cast(kind)), F.when(turn % 3 == 0, F.lit(" \t")).otherwise(F.col("text")),
+                          F.when(turn % 2 == 0, F.col("role")))
+    c = _conv(spark, sf).select("conv_id", "turn", msgs.alias("m"))
+    return c.select("conv_id", "turn", F.when(F.col("m").isNotNull(), F.size("m")).alias("message_count"),
+                    F.get("m", F.lit(0))["role"].alias("first_role"), F.md5(F.get("m", F.lit(0))["content"]).alias("first_md5"),
+                    F.col("m").isNull().alias("malformed"))
 
 
 @register("assistant_text", sql="""
@@ -85,8 +101,7 @@ FROM conversations WHERE role = 'assistant' GROUP BY conv_id
 def assistant_text_q(spark, sf):
     """P5: every assistant message of a conversation as one choice; contents joined."""
     a = _conv(spark, sf).where(F.col("role") == "assistant")
-    m = conversation_messages(a, conv_id="conv_id", turn="turn", role="role", text="text",
-                              max_messages=DEFAULTS.max_message_count)
+    m = conversation_messages(a, conv_id="conv_id", turn="turn", role="role", text="text")
     resp = F.struct(F.transform("messages", lambda x: F.struct(x.alias("message"))).alias("choices"))
     t = assistant_text(resp)
     return m.select("conv_id", F.col("message_count").alias("n_choices"), F.length(t).cast("bigint").alias("n_chars"),
@@ -97,11 +112,12 @@ def assistant_text_q(spark, sf):
 SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'response' ELSE 'text' END AS source,
        text IS NULL OR trim(text) = '' AS malformed,
        CASE WHEN text IS NULL OR trim(text) = '' THEN NULL ELSE CAST(length(text) AS BIGINT) END AS n_chars
-FROM conversations
+FROM (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN '  ' ELSE text END AS text FROM conversations)
 """)
 def output_payload(spark, sf):
-    """Assistant rows carry a ``response`` (wins), others plain ``text``."""
-    c = _conv(spark, sf)
+    """Assistant rows carry a ``response`` (wins), others plain ``text``;
+    blank ones (every fourth turn here) are malformed."""
+    c = _conv(spark, sf).withColumn("text", F.when(F.col("turn") % 4 == 0, "  ").otherwise(F.col("text")))
     parts_t = "array<struct<type:string,text:string>>"
     resp = F.when(F.col("role") == "assistant", F.struct(F.array(F.struct(F.struct(
         F.col("role").alias("role"), F.col("text").alias("content"), F.lit(None).cast(parts_t).alias("parts"))
@@ -137,20 +153,12 @@ def phase1_q(spark, sf):
 
 
 def conv_decisions(spark, sf, rows: DataFrame | None = None) -> DataFrame:
-    """F13 evaluate_text: user rows -> input chain, assistant rows -> output
-    chain, any other direction -> a MALFORMED_INPUT error row.  Routing is a
-    column predicate over one scan (no per-row branching in Python)."""
+    """F13 evaluate_text: user rows take the input chain, assistant rows the
+    output chain, other roles give an error row; one scan, one projection."""
     rows = _canon_rows(spark, sf) if rows is None else rows
-    rules = Rules(CONV_RULES.effective())
-    inp = evaluate_input(rows.where(F.col("role") == "user"), req=CONV_REQ, glob=DEFAULTS, rules=rules, drop_text=True)
-    out = evaluate_output(rows.where(F.col("role") == "assistant"), req=CONV_REQ, glob=DEFAULTS, rules=rules,
-                          drop_text=True)
-    cols = ["conv_id", "turn", "stage", "action", "reason_code", "detail", "reached"]
-    bad = rows.where(~F.col("role").isin("user", "assistant")).select(
-        "conv_id", "turn", F.lit(None).cast("string").alias("stage"), F.lit("error").alias("action"),
-        F.lit("MALFORMED_INPUT").alias("reason_code"), F.lit("direction must be input or output").alias("detail"),
-        F.array().cast("array<string>").alias("reached"))
-    return inp.select(*cols).unionByName(out.select(*cols)).unionByName(bad)
+    direction = F.when(F.col("role") == "user", "input").when(F.col("role") == "assistant", "output").otherwise("other")
+    dec = evaluate(rows, direction, req=CONV_REQ, glob=DEFAULTS, rules=Rules(CONV_RULES.effective()), drop_text=True)
+    return dec.select("conv_id", "turn", "stage", "action", "reason_code", "detail", "reached")
 
 
 _CONV_IN = chain_sql("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'", "conv_id, turn",
@@ -171,8 +179,9 @@ def evaluate_text(spark, sf):
 
 @register("request_totals", sql=f"SELECT count(*) AS requests FROM ({_CONV_ALL}) WHERE action <> 'error'")
 def request_totals(spark, sf):
-    """A1: checks counted; malformed (error) rows are not requests."""
-    return conv_decisions(spark, sf).where(F.col("action") != "error").agg(F.count(F.lit(1)).alias("requests"))
+    """A1: checks counted; malformed (error) rows are not requests.  Whether a
+    row is well-formed shows without judging it, so no text is read."""
+    return _conv(spark, sf).where(F.col("role").isin("user", "assistant")).agg(F.count(F.lit(1)).alias("requests"))
 
 
 @register("phase_hits", sql=f"""

@@ -12,8 +12,8 @@ from ..functions.rules import term_entries
 from ..operators.decide import toxicity_score
 from ..operators.detect import blocklist_hits, first_pattern_literal, hits_detail, pattern_ranks_literal, \
     term_hits, terms_literal
-from ..operators.sinks import audit_rows
-from ..session import spread, table
+from ..operators.sinks import audit_json, write_audit
+from ..session import scratch_path, table
 from .chains import (DOC_RULES, PII_SQL, canon_docs, doc_decision_sql, doc_input_decisions,
                      doc_output_decisions, sql_casefold, sql_first_pattern, sql_str, sql_term_hits)
 from .registry import register
@@ -252,21 +252,33 @@ def final_actions(spark, sf):
 
 @register("audit_sink", sql=f"""
 WITH {doc_decision_sql('output')}
-SELECT CAST(doc_id AS VARCHAR) AS request_id, 'output' AS stage, 'documents' AS slot,
-       'default' AS policy_id, CAST(1 AS INTEGER) AS policy_version, action AS final_action, reason_code
+SELECT CAST(doc_id AS VARCHAR) AS request_id, 'documents' AS slot, '/guardrails/output/check' AS path, false AS stream,
+       'default' AS policy_id, CAST(1 AS INTEGER) AS policy_version, action AS final_action, reason_code,
+       CASE WHEN gated THEN NULL ELSE 'gray' END AS p3_action, NOT gated AS has_phase2
 FROM dec WHERE action <> 'allow'
 """)
 def audit_sink(spark, sf):
-    """One audit row per non-allow decision (the rows the sink appends)."""
+    """One full audit record per non-allow decision, appended as JSON lines
+    to the shared folder and read back."""
+    path = scratch_path(spark, "audit")
     dec = doc_output_decisions(spark, sf)
-    return audit_rows(dec, F.col("doc_id").cast("string"), slot="documents", policy_id=F.lit("default"),
-                      policy_version=F.lit(1))
+    write_audit(audit_json(dec, F.col("doc_id").cast("string"), slot="documents", path="/guardrails/output/check",
+                           policy_id=F.lit("default"), policy_version=F.lit(1)), path)
+    v = F.parse_json("value")
+    get = lambda p, kind: F.variant_get(v, f"$.{p}", kind)
+    return spark.read.text(path).select(
+        *(get(c, "string").alias(c) for c in ("request_id", "slot", "path")), get("stream", "boolean").alias("stream"),
+        get("policy_id", "string").alias("policy_id"), get("policy_version", "int").alias("policy_version"),
+        get("final_action", "string").alias("final_action"), get("reason_code", "string").alias("reason_code"),
+        get("phase3.action", "string").alias("p3_action"), get("phase2.ran", "boolean").isNotNull().alias("has_phase2"))
 
 
 @register("decision_struct", sql=f"""
 WITH {doc_decision_sql('output')}
 SELECT CAST(doc_id AS VARCHAR) AS request_id, 'output' AS stage, action, reason_code, detail,
-       'default' AS applied_policy_id, '1' AS applied_policy_version
+       'default' AS applied_policy_id, '1' AS applied_policy_version,
+       CAST(NULL AS VARCHAR) AS p1_action, CASE WHEN gated THEN NULL WHEN reason_code IS NULL THEN 'pass' ELSE 'gray' END AS p3_action,
+       (SELECT CAST(length(text) AS BIGINT) FROM documents d WHERE d.doc_id = dec.doc_id) AS n_output_chars
 FROM dec
 """)
 def decision_struct_q(spark, sf):
@@ -274,10 +286,12 @@ def decision_struct_q(spark, sf):
     from ..operators.decide import decision_struct
 
     dec = doc_output_decisions(spark, sf)
-    out = decision_struct(dec, "doc_id", F.lit("default"), F.lit(1))
+    out = decision_struct(dec, "doc_id", F.lit("default"), F.lit(1), F.struct(F.col("n_output_chars")))
     return out.select(
         F.col("decision.request_id").alias("request_id"), F.col("decision.stage").alias("stage"),
         F.col("decision.action").alias("action"), F.col("decision.reason_code").alias("reason_code"),
         F.col("decision.detail").alias("detail"),
         F.col("decision.metadata").getItem("applied_policy_id").alias("applied_policy_id"),
-        F.col("decision.metadata").getItem("applied_policy_version").alias("applied_policy_version"))
+        F.col("decision.metadata").getItem("applied_policy_version").alias("applied_policy_version"),
+        F.col("decision.phase1.action").alias("p1_action"), F.col("decision.phase3.action").alias("p3_action"),
+        F.col("decision.normalized.n_output_chars").alias("n_output_chars"))

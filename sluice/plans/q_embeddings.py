@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.semantic import (best_label, golden_cross, golden_rows, make_embed_udf, make_score_udf,
                                   relevance, rerank_topn)
-from ..session import spread, table
+from ..session import table
 from .registry import register
 
 # The golden set: the lowest vec_id of each label, in vec_id order.
@@ -30,7 +30,7 @@ def _golden(spark, sf):
 
 
 def _emb(spark, sf):
-    return spread(table(spark, sf, "embeddings"))
+    return table(spark, sf, "embeddings")
 
 
 @register("golden_relevance", sql=f"""
@@ -59,9 +59,8 @@ WITH {_GOLDEN_SQL}
 SELECT vec_id, arg_max(golden_label, [score, -idx]) AS best_label FROM scored GROUP BY vec_id
 """)
 def best_label_q(spark, sf):
-    """O3: first-best arg-max over the long form via ``max_by``."""
-    long = golden_cross(_emb(spark, sf), "embedding", _golden(spark, sf), ["vec_id"])
-    return best_label(long, ["vec_id"]).select("vec_id", "best_label")
+    """O3: first-best arg-max over the golden set, in the row."""
+    return best_label(_emb(spark, sf), "embedding", _golden(spark, sf), ["vec_id"]).select("vec_id", "best_label")
 
 
 @register("rerank_topn", sql="""
@@ -98,13 +97,15 @@ def score_udf_q(spark, sf):
 
 
 @register("embed_udf", sql="""
-SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim,
-       CASE WHEN len(embedding) = 64 THEN NULL ELSE 'embedding_shape_mismatch' END AS error
-FROM embeddings
+SELECT vec_id, CAST(len(v) AS INTEGER) AS dim, CASE WHEN len(v) = 64 THEN list_sum(v) END AS vector_sum,
+       CASE WHEN len(v) = 64 THEN NULL ELSE 'embedding_shape_mismatch' END AS error
+FROM (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN CAST(embedding AS DOUBLE[])[1:63] ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings)
 """)
 def embed_udf_q(spark, sf):
-    """Vectors from the pluggable embedder (default: stored), shape-checked."""
+    """Vectors from the pluggable embedder (default: stored), shape-checked;
+    every seventh comes one component short."""
     udf = make_embed_udf(64)
-    e = _emb(spark, sf).select("vec_id", udf(F.col("embedding")).alias("r"))
-    return e.select("vec_id", F.coalesce(F.size("r.vector"), F.lit(64)).cast("int").alias("dim"),
-                    F.col("r.error").alias("error"))
+    v = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    e = _emb(spark, sf).select("vec_id", v.alias("v")).select("vec_id", F.size("v").alias("dim"), udf(F.col("v")).alias("r"))
+    total = F.aggregate("r.vector", F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", "dim", total.alias("vector_sum"), F.col("r.error").alias("error"))

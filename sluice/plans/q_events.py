@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ratelimit import rate_limit, rate_limit_sql
-from ..session import spread, table
+from ..session import table
 from .registry import register
 
 RL_WINDOW = 86400  # the default 60 s never fires on these tables
@@ -92,39 +92,74 @@ def probe_summary(spark, sf):
 
 @register("probe_verdict", sql="""
 SELECT event_id,
-  CASE WHEN code <> 200 THEN 'FAIL'
-       WHEN json_valid(props) AND json_type(props) = 'OBJECT' AND json_exists(props, '$.error') THEN 'FAIL'
-       WHEN json_valid(props) AND regexp_matches(CAST(json(props) AS VARCHAR), '[{,]"k":') THEN 'PASS'
-       ELSE 'FAIL' END AS verdict,
-  CASE WHEN code <> 200 THEN 'http ' || CAST(code AS VARCHAR)
-       WHEN json_valid(props) AND json_type(props) = 'OBJECT' AND json_exists(props, '$.error') THEN 'error payload'
-       WHEN json_valid(props) AND regexp_matches(CAST(json(props) AS VARCHAR), '[{,]"k":') THEN NULL
-       ELSE 'missing key: k' END AS reason
-FROM (SELECT event_id, props, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code FROM events)
+  CASE WHEN code = 200 AND kind IN (0, 3, 5) AND has_k THEN 'PASS' ELSE 'FAIL' END AS verdict,
+  CASE WHEN code <> 200 THEN 'http 500' WHEN kind = 1 THEN 'error payload: slot ' || CAST(user_id AS VARCHAR) || ' down'
+       WHEN kind = 2 THEN 'error payload: {"code":' || CAST(user_id AS VARCHAR) || '}'
+       WHEN kind = 4 THEN 'error payload: None' WHEN kind = 6 THEN 'error payload: boom'
+       WHEN NOT has_k OR kind = 7 THEN 'missing key: k' END AS reason
+FROM (SELECT event_id, user_id, event_id % 8 AS kind, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code,
+             json_valid(props) AND regexp_matches(CAST(json(props) AS VARCHAR), '[{,]"k":') AS has_k FROM events)
 """)
 def probe_verdict_q(spark, sf):
-    """HTTP code, error payload, expected key at any depth (key 'k')."""
+    """HTTP code, error message, expected key at any depth (key 'k').  By
+    event_id the body has no error, an object with or without a message, an
+    empty one, null, an empty string, a text, or is no JSON."""
     from ..operators.ops import probe_verdict
 
+    uid, props = F.col("user_id").cast("string"), F.col("props")
+    with_error = lambda e: F.concat(F.lit('{"data": '), props, F.lit(', "error": '), e, F.lit("}"))
+    kind = F.col("event_id") % 8
+    body = (F.when(kind == 1, with_error(F.concat(F.lit('{"message": "slot '), uid, F.lit(' down"}'))))
+            .when(kind == 2, with_error(F.concat(F.lit('{"code": '), uid, F.lit("}"))))
+            .when(kind == 3, with_error(F.lit('""'))).when(kind == 4, with_error(F.lit("null")))
+            .when(kind == 6, with_error(F.lit('"boom"'))).when(kind == 7, F.lit("k is missing"))
+            .otherwise(props))
     ev = table(spark, sf, "events").select(
-        "event_id", F.col("props").alias("body"),
+        "event_id", body.alias("body"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("code"), F.lit("k").alias("expect_key"))
     return probe_verdict(ev, code="code", body="body", expect_key="expect_key").select("event_id", "verdict", "reason")
 
 
+def request_bodies(spark, sf):
+    """Check-call bodies as JSON text, derived from the conversation turns:
+    messages, parts, text with a role, tools, stream, metadata, and every
+    twelfth body broken (not JSON, or a list)."""
+    turn, cid = F.col("turn"), F.col("conv_id")
+    q = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    js = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)  # noqa: E731  one JSON value
+    text = js(F.coalesce("text", F.lit("")))
+    shape = (F.when(cid % 3 == 0, q("messages", F.concat(F.lit('[{"role": "user", "content": '), text, F.lit("}]"))))
+             .when(cid % 3 == 1, q("messages", F.concat(F.lit('[{"role": "user", "content": [{"type": "text", "text": '), text,
+                                                        F.lit('}, {"type": "image", "url": "x"}]}, {"role": "system", "content": "be brief"}]'))))
+             .otherwise(F.concat(q("text", text), F.lit(", "), q("role", js(F.col("role"))))))
+    tools = q("tools", F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"name": "t"}'), (turn % 6).cast("int")), ", "), F.lit("]")))
+    meta = q("metadata", F.concat(F.lit('{"policy_id": "p'), (cid % 5).cast("string"), F.lit('", "trace": "'), cid.cast("string"), F.lit('"}')))
+    body = F.concat(F.lit("{"), F.concat_ws(", ", shape, tools, q("stream", F.when(turn % 4 == 0, "true").otherwise("false")), meta), F.lit("}"))
+    broken = (cid + turn) % 12
+    return table(spark, sf, "conversations").where("role = 'user'").select(
+        "conv_id", "turn", F.when(broken == 0, F.concat(F.lit("["), body, F.lit("]"))).when(broken == 6, F.lit("{oops")).otherwise(body).alias("body"))
+
+
 @register("parse_requests", sql="""
-SELECT event_id,
-  CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN TRY_CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
-  NOT (json_valid(props) AND json_type(props) = 'OBJECT') AS malformed
-FROM events
+SELECT conv_id, turn, bad AS malformed, CASE WHEN NOT bad AND conv_id % 3 < 2 THEN 1 + conv_id % 3 END AS n_messages,
+  CASE WHEN bad THEN NULL WHEN conv_id % 3 = 2 THEN role ELSE 'user' END AS role,
+  CASE WHEN NOT bad THEN md5(coalesce(text, '')) END AS content_md5,
+  CASE WHEN NOT bad THEN CAST(turn % 6 AS INTEGER) END AS tool_count, CASE WHEN NOT bad THEN turn % 4 = 0 END AS stream,
+  CASE WHEN NOT bad THEN 'p' || CAST(conv_id % 5 AS VARCHAR) END AS meta_policy_id,
+  CASE WHEN NOT bad THEN CAST(conv_id AS VARCHAR) END AS trace
+FROM (SELECT *, (conv_id + turn) % 12 IN (0, 6) AS bad FROM conversations WHERE role = 'user')
 """)
 def parse_requests(spark, sf):
-    """S3: JSON body -> typed request; non-JSON or non-object -> malformed."""
-    from ..sources.requests import parse_json_column
-
-    ev = table(spark, sf, "events").select("event_id", "props")
-    p = parse_json_column(ev, "props", "k INT")
-    return p.select("event_id", F.col("parsed.k").alias("k"), "malformed")
+    """S3: JSON body -> typed check request; non-JSON or non-object -> malformed."""
+    from ..sources.requests import parse_check_requests
+
+    p = parse_check_requests(request_bodies(spark, sf), "body")
+    r = lambda c: F.col(f"request.{c}")
+    first = F.get(r("messages"), F.lit(0))
+    content = F.coalesce(first["content"], F.get(first["parts"], F.lit(0))["text"], r("text"))
+    return p.select("conv_id", "turn", "malformed", F.when(r("messages").isNotNull(), F.size(r("messages")).cast("bigint")).alias("n_messages"),
+                    r("role").alias("role"), F.md5(content).alias("content_md5"), r("tool_count").alias("tool_count"),
+                    r("stream").alias("stream"), r("meta_policy_id").alias("meta_policy_id"), r("metadata")["trace"].alias("trace"))
 
 
 @register("stream_tool_gate", sql="""

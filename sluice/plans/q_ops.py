@@ -3,51 +3,56 @@ key inserts, generation validation, term/rule/run-file sources, metrics."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from .. import formats as FMT
-from ..functions.rules import DEFAULT_PATTERNS, DEFAULT_TERMS
+from ..functions.rules import DEFAULT_PATTERNS
 from ..operators import ops as O
 from ..operators.sinks import exposition_lines, metric_rows
-from ..session import scratch_path, spread, table
-from ..sources.files import latest_run_files, rules_from_json, term_lines
+from ..session import scratch_path, table
+from ..sources.files import latest_run_files, load_terms, rules_from_json
 from .chains import doc_decision_sql, doc_output_decisions
 from .registry import register
 
 
 @register("kv_upsert", sql="""
 WITH b AS (SELECT 'N' || CAST(c_nationkey AS VARCHAR) AS k, arg_max(c_name, c_custkey) AS last_v,
-                  arg_min(c_name, c_custkey) AS first_v, count(*) AS n FROM customer GROUP BY 1),
-     u AS (SELECT 'N' || CAST(s_nationkey AS VARCHAR) AS k, arg_max(s_name, s_suppkey) AS upd FROM supplier GROUP BY 1)
+                  arg_min(c_name, c_custkey) AS first_v, count(*) AS n FROM customer WHERE c_nationkey < 20 GROUP BY 1),
+     u AS (SELECT 'N' || CAST(s_nationkey AS VARCHAR) AS k, arg_max(s_name, s_suppkey) AS upd FROM supplier WHERE s_nationkey > 4 GROUP BY 1)
 SELECT coalesce(b.k, u.k) AS "key", coalesce(upd, last_v) AS last_value, coalesce(upd, first_v) AS first_value,
        CAST(coalesce(n, 1) AS BIGINT) AS n_lines,
        CASE WHEN n IS NULL THEN 'appended' WHEN upd IS NOT NULL THEN 'updated' ELSE 'kept' END AS status
 FROM b FULL OUTER JOIN u ON b.k = u.k
 """)
 def kv_upsert(spark, sf):
-    """Customer rows as KEY=VALUE lines, supplier rows as upserts."""
-    base = table(spark, sf, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("key"),
+    """Customer rows as KEY=VALUE lines (nations below 20), supplier rows as
+    upserts (above 4), so keys are kept, updated and appended."""
+    base = table(spark, sf, "customer").where("c_nationkey < 20").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("key"),
                                                F.col("c_name").alias("value"), F.col("c_custkey").alias("line_no"))
-    upd = table(spark, sf, "supplier").select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("key"),
+    upd = table(spark, sf, "supplier").where("s_nationkey > 4").select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("key"),
                                               F.col("s_name").alias("value"), F.col("s_suppkey").alias("ord"))
     return O.kv_upsert(base, upd, key="key", value="value", line_no="line_no", order="ord")
 
 
 @register("payload_kind", sql="""
-SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty'
-  WHEN json_valid(text) AND json_type(text) = 'OBJECT' AND json_exists(text, '$.error') THEN 'json_error'
-  WHEN starts_with(text, 'RIFF') THEN 'wav' WHEN starts_with(text, 'ID3') THEN 'mp3' ELSE 'other' END AS kind
-FROM documents
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'json_error' WHEN 2 THEN 'wav' WHEN 3 THEN 'mp3' ELSE 'other' END AS kind
+FROM documents WHERE text IS NOT NULL
 """)
 def payload_kind(spark, sf):
-    """D3: document bodies classified by leading bytes."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", O.payload_kind(F.col("text")).alias("kind"))
+    """D3: response bodies classified by leading bytes.  By doc_id a document
+    is emptied, wrapped as a JSON error, given an audio header, wrapped as JSON
+    with an empty error, or left as it is."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    kind, text = F.col("doc_id") % 7, F.col("text")
+    json = lambda e: F.to_json(F.struct(text.alias("data"), F.lit(e).alias("error")))
+    body = (F.when(kind == 0, F.lit("")).when(kind == 1, json("no such model")).when(kind == 2, F.concat(F.lit("RIFF"), text))
+            .when(kind == 3, F.concat(F.lit("ID3"), text)).when(kind == 4, json("")).otherwise(text))
+    return d.select("doc_id", O.payload_kind(body).alias("kind"))
 
 
 LOG_PATTERN = "(license|token|reserved)"
+#: Matches in few services only, so others pass the scan.
+RARE_PATTERN = "gnu general public license"
 _LINES_SQL = """
 lines AS (
   SELECT source AS service, doc_id, i - 1 AS line_idx, parts[i] AS line
@@ -57,19 +62,21 @@ lines AS (
 
 
 def _lines(spark, sf):
-    d = spread(table(spark, sf, "documents").select("source", "doc_id", "text"))
+    d = table(spark, sf, "documents").select("source", "doc_id", "text")
     return O.log_lines(d, service="source", doc="doc_id", text="text").withColumnRenamed("source", "service")
 
 
 @register("log_scan", sql=f"""
 WITH {_LINES_SQL}
-SELECT service, count(*) AS hit_lines,
-       arg_max(regexp_extract(line, '(?i){LOG_PATTERN}', 0), doc_id * 100000 + line_idx) AS last_match, true AS failed
-FROM lines WHERE regexp_matches(line, '(?i){LOG_PATTERN}') GROUP BY service
+SELECT service, count(*) FILTER (hit) AS hit_lines,
+       arg_max(regexp_extract(line, '(?i){RARE_PATTERN}', 0), doc_id * 100000 + line_idx) FILTER (hit) AS last_match,
+       count(*) FILTER (hit) > 0 AS failed
+FROM (SELECT *, regexp_matches(line, '(?i){RARE_PATTERN}') AS hit FROM lines) GROUP BY service
 """)
 def log_scan(spark, sf):
-    """Per service (document source), lines matching the error regex."""
-    return O.log_scan(_lines(spark, sf), service="service", pattern=LOG_PATTERN, order=["doc_id", "line_idx"]) \
+    """Per service (document source), lines matching the error regex;
+    services without a hit are reported as passed."""
+    return O.log_scan(_lines(spark, sf), service="service", pattern=RARE_PATTERN, order=["doc_id", "line_idx"]) \
         .select("service", "hit_lines", "last_match", "failed")
 
 
@@ -125,33 +132,35 @@ def validate_generation(spark, sf):
 
 
 @register("load_terms", sql="""
-SELECT item_id, i - 1 AS line_idx, regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS term
-FROM (SELECT item_id, string_split(text, chr(10)) AS parts FROM benchmark), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)
-WHERE length(regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g')) > 0
-  AND NOT starts_with(regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g'), '#')
+SELECT regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS term, count(*) AS n
+FROM (SELECT unnest(string_split(CASE item_id % 3 WHEN 0 THEN '# ' WHEN 1 THEN '  ' ELSE '' END || text || chr(10) || '  ', chr(10))) AS line
+      FROM benchmark)
+WHERE length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) > 0 AND NOT starts_with(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '#')
+GROUP BY ALL
 """)
-def load_terms(spark, sf):
-    """The phrase-file rule (strip, drop blank and '#' lines) over the
-    lines of the ``benchmark`` texts; ``sources.files.load_terms`` applies it
-    to a text file."""
-    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "value"))
-    return term_lines(b).select("item_id", F.col("line_idx").cast("bigint").alias("line_idx"), "term")
+def load_terms_q(spark, sf):
+    """Phrase files (strip, drop blank and '#' lines) written from the
+    ``benchmark`` texts to the shared folder and read back."""
+    path = scratch_path(spark, "terms")
+    lead = F.when(F.col("item_id") % 3 == 0, "# ").when(F.col("item_id") % 3 == 1, "  ").otherwise("")
+    table(spark, sf, "benchmark").select(F.concat(lead, F.col("text"), F.lit("\n  "))).write.text(path)
+    return load_terms(spark, path).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("load_rules", sql=f"""
-SELECT event_id,
-  CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' AND json_exists(props, '$.prompt_injection_patterns')
-       THEN CAST(json_array_length(props, '$.prompt_injection_patterns') AS INTEGER) ELSE {len(DEFAULT_PATTERNS)} END AS n_patterns,
-  NOT (json_valid(props) AND json_type(props) = 'OBJECT' AND json_exists(props, '$.prompt_injection_patterns')) AS from_defaults
-FROM events
+SELECT event_id % 4 AS doc_kind, count(*) AS n_docs,
+       CAST(sum(CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE {len(DEFAULT_PATTERNS)} END) AS BIGINT) AS n_patterns
+FROM events GROUP BY 1
 """)
-def load_rules(spark, sf):
-    """Each event's ``props`` read as a rules document: invalid -> {},
-    missing key -> the four default patterns."""
-    e = table(spark, sf, "events").select("event_id", "props")
-    r = rules_from_json(F.col("props"))
-    has = F.coalesce(F.array_contains(F.json_object_keys("props"), "prompt_injection_patterns"), F.lit(False))
-    return e.select("event_id", F.size(r).alias("n_patterns"), (~has).alias("from_defaults"))
+def load_rules_q(spark, sf):
+    """Rule documents made of the events' ``props``: with two patterns, an
+    empty list, no such key, or broken; each file read as one document."""
+    e = table(spark, sf, "events")
+    kind = F.col("event_id") % 4
+    doc = (F.when(kind == 0, F.concat(F.lit('{"a": '), F.col("props"), F.lit(', "prompt_injection_patterns": ["x\\\\s+y", "z"]}')))
+           .when(kind == 1, F.lit('{"prompt_injection_patterns": []}')).when(kind == 2, F.col("props")).otherwise(F.lit("{not json")))
+    rules = e.select(kind.alias("doc_kind"), rules_from_json(doc).alias("p"))
+    return rules.groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("p")).cast("bigint").alias("n_patterns"))
 
 
 @register("latest_run_files", sql="""
@@ -169,24 +178,35 @@ def latest_run_files_q(spark, sf):
     return f.groupBy("run_id").agg(F.sum("length").cast("bigint").alias("total_bytes"))
 
 
+_COUNTERS = (FMT.METRIC_REQUESTS, FMT.METRIC_BLOCKS, FMT.METRIC_PHASE_HITS, FMT.METRIC_FINAL_ACTIONS, FMT.METRIC_TIMEOUTS,
+             FMT.METRIC_RATE_LIMIT_HITS)
+
+
 @register("metrics_rows", sql=f"""
 WITH {doc_decision_sql('output')},
 m AS (
-  SELECT '{FMT.METRIC_REQUESTS}' AS metric, NULL AS label_key, NULL AS label_value, CAST(count(*) AS DOUBLE) AS value FROM dec
-  UNION ALL SELECT '{FMT.METRIC_BLOCKS}', 'reason', reason_code, CAST(count(*) AS DOUBLE) FROM dec
+  SELECT 0 AS family, '{FMT.METRIC_REQUESTS}' AS metric, NULL AS label_key, NULL AS label_value, CAST(count(*) AS DOUBLE) AS value FROM dec
+  UNION ALL SELECT 1, '{FMT.METRIC_BLOCKS}', 'reason', reason_code, CAST(count(*) AS DOUBLE) FROM dec
             WHERE action = 'block' AND reason_code IS NOT NULL GROUP BY reason_code
-  UNION ALL SELECT '{FMT.METRIC_PHASE_HITS}', 'phase', 'phase2', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
-  UNION ALL SELECT '{FMT.METRIC_PHASE_HITS}', 'phase', 'phase3', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
-  UNION ALL SELECT '{FMT.METRIC_FINAL_ACTIONS}', 'action', action, CAST(count(*) AS DOUBLE) FROM dec GROUP BY action
-  UNION ALL SELECT '{FMT.METRIC_RATE_LIMIT_HITS}', NULL, NULL, 0.0
-  UNION ALL SELECT '{FMT.METRIC_TIMEOUTS}', NULL, NULL, 0.0
-)
-SELECT metric, label_value,
+  UNION ALL SELECT 2, '{FMT.METRIC_PHASE_HITS}', 'phase', 'phase2', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
+  UNION ALL SELECT 2, '{FMT.METRIC_PHASE_HITS}', 'phase', 'phase3', CAST(count(*) AS DOUBLE) FROM dec WHERE NOT gated
+  UNION ALL SELECT 3, '{FMT.METRIC_FINAL_ACTIONS}', 'action', action, CAST(count(*) AS DOUBLE) FROM dec GROUP BY action
+  UNION ALL SELECT 4, '{FMT.METRIC_TIMEOUTS}', NULL, NULL, 0.0
+  UNION ALL SELECT 5, '{FMT.METRIC_RATE_LIMIT_HITS}', NULL, NULL, 0.0
+  UNION ALL SELECT 6, '{FMT.METRIC_LATENCY_AVG}', 'analyzer', event_type, CASE WHEN count(value) > 0 THEN sum(value) / count(value) ELSE 0.0 END
+            FROM events GROUP BY event_type
+),
+t AS (SELECT unnest(range(0, 7)) AS family, unnest([{', '.join("'" + c + "'" for c in _COUNTERS)}, '{FMT.METRIC_LATENCY_AVG}']) AS metric)
+SELECT family, '' AS label, '# TYPE ' || metric || CASE WHEN family = 6 THEN ' gauge' ELSE ' counter' END AS line FROM t
+UNION ALL
+SELECT family, coalesce(label_value, '') AS label,
        metric || CASE WHEN label_key IS NULL THEN '' ELSE '{{' || label_key || '="' || label_value || '"}}' END
-              || ' ' || CAST(CAST(value AS BIGINT) AS VARCHAR) AS line
+              || ' ' || CASE WHEN family = 6 THEN printf('%.3f', value) ELSE CAST(CAST(value AS BIGINT) AS VARCHAR) END AS line
 FROM m
 """)
 def metrics_rows(spark, sf):
-    """Counters of the documents output chain as exposition lines."""
+    """The full exposition text of the documents output chain, with the
+    events' values as analyzer latencies; (family, label) is the line order."""
     dec = doc_output_decisions(spark, sf)
-    return exposition_lines(metric_rows(dec))
+    lat = table(spark, sf, "events").select(F.col("event_type").alias("analyzer"), F.col("value").alias("latency_ms"))
+    return exposition_lines(metric_rows(dec, lat)).select("family", "label", "line")

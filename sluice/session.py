@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,12 +52,9 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``sluice`` importable on executors (Arrow UDFs and mapInPandas
     folds run there): zip the package once and ``addPyFile`` it."""
     sc = spark.sparkContext
-    key = id(sc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
-    import os
-    import zipfile
-
     pkg = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="sluice-pkg-", dir="/tmp")
     zpath = os.path.join(out_dir, "sluice.zip")
@@ -70,13 +69,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator of the job sets it to a shared filesystem; we
-    only choose one ourselves when it is unset (local tests).
+    A cluster job must set it to a shared filesystem.  Unset, a folder is made
+    for local masters only, where driver and executors are one process.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="sluice-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -85,36 +86,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (never machine-local)."""
+    """A fresh sub-folder of the shared checkpoint folder.  The folder's owner
+    cleans it up (a lifecycle rule), as results may still be read from it."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    import uuid
-
     return f"{base}/{name}-{uuid.uuid4().hex[:10]}"
 
 
+#: Session setting: read tables into so many partitions (a round-robin
+#: shuffle).  Unset, scans are split by Spark's own settings; the bench sets it
+#: because its tables are single files of one row group, which can't be split.
+INPUT_PARTITIONS = "sluice.input.partitions"
+
 _TABLES: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Parquet table ``name`` under ``sf_dir`` (DataFrame reused per session;
-    file listing and footer reads happen once)."""
+    """Parquet table ``name`` under ``sf_dir`` (DataFrame reused per
+    application; file listing and footer reads happen once)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, id(spark), path)
     if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        parts = spark.conf.get(INPUT_PARTITIONS, None)
+        _TABLES[key] = df.repartition(int(parts)) if parts else df
     return _TABLES[key]
-
-
-def spread(df, factor: int = 2):
-    """Round-robin a DataFrame whose scan yields fewer partitions than the
-    cluster can run at once (small single-row-group files).
-
-    At scale a scan of many files already has far more partitions than
-    cores and this is a no-op (no shuffle is added); only tiny inputs pay a
-    cheap shuffle to use every core for CPU-bound text work.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(want)

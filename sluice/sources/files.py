@@ -7,13 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import DEFAULT_PATTERNS, DEFAULT_TERMS
+from ..functions.text import strip
 
-_STRIP = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+#: Files Spark's writers leave beside the data.
+WRITER_MARKERS = ("_SUCCESS", "_committed", "_started")
 
 
 def term_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """S1 rule over any line table: strip, drop blank and ``#`` comment lines."""
-    s = F.regexp_replace(F.col(line), _STRIP, "")
+    s = strip(F.col(line))
     return lines.withColumn("term", s).where((F.length("term") > 0) & ~F.col("term").startswith("#"))
 
 
@@ -22,9 +24,8 @@ def load_terms(spark: SparkSession, path: str) -> DataFrame:
     runtime defaults.  ``pos`` keeps file order."""
     raw = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
     terms = term_lines(raw).select("pos", "term")
-    if terms.limit(1).count() == 0:
-        return spark.createDataFrame(list(enumerate(DEFAULT_TERMS)), "pos long, term string")
-    return terms
+    defaults = spark.createDataFrame(list(enumerate(DEFAULT_TERMS)), "pos long, term string")
+    return terms.unionByName(defaults.where(terms.agg(F.count(F.lit(1))).scalar() == 0))
 
 
 def rules_from_json(doc: Column) -> Column:
@@ -54,6 +55,6 @@ def latest_run_files(spark: SparkSession, root: str) -> DataFrame:
     rel = F.regexp_replace(F.regexp_extract(F.col("path"), r"^.*/([^/]+)/([^/]+)$", 1), "^[^=/]+=", "")
     name = F.regexp_extract(F.col("path"), r"^.*/([^/]+)/([^/]+)$", 2)
     f = files.select(rel.alias("run_id"), name.alias("file"), "length", "content", "modificationTime")
-    f = f.where(~F.col("file").startswith("_") & ~F.col("file").startswith("."))
+    f = f.where(~F.col("file").isin(*WRITER_MARKERS) & ~F.col("file").rlike(r"^[.].*[.]crc$"))
     newest = f.agg(F.max("run_id").alias("run_id"))
     return f.join(F.broadcast(newest), "run_id", "left_semi")

@@ -33,11 +33,14 @@ from ..session import scratch_path
 MICROS = 1_000_000
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """New files of table ``name`` as a stream (explicit schema, no inference)."""
+def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """New files of table ``name`` as a stream, with the schema of the files
+    that are there; ``max_files`` bounds a micro-batch if the caller wants."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]"))
+    stream = spark.readStream.schema(schema)
+    if max_files is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    return stream.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def run_to_sink(df: DataFrame, name: str, mode: str = "append") -> str:

@@ -10,7 +10,7 @@ from sluice.functions.pii import DEFAULT_RECOGNIZERS, pii_spans
 from sluice.functions.rules import RuleSet
 from sluice.functions.text import canon
 from sluice.operators.decide import Rules, evaluate_input
-from sluice.operators.detect import blocklist_hits, term_hits_long, terms_literal
+from sluice.operators.detect import blocklist_hits, term_hits, terms_literal
 from sluice.operators.ops import failure_streak
 from sluice.operators.ratelimit import rate_limit
 from sluice.settings import DEFAULTS
@@ -46,12 +46,12 @@ def test_overlapping_terms(spark):
     assert _hits(spark, "abcd", ["abc", "bcd"]) == ["abc", "bcd"]
 
 
-def test_gram_join_equals_packed(spark):
+def test_term_table_equals_containment(spark):
     terms = ["ab", "abc", "bcd", "ß", "x", "long term here"]
     texts = ["abcd", "straße", "no hit", "xx long term here", "", "b"]
     docs = spark.createDataFrame([(i, t.casefold()) for i, t in enumerate(texts)], "id int, key string")
     tdf = spark.createDataFrame([(t, t.casefold()) for t in terms], "term string, key string")
-    long = sorted((r.id, r.term) for r in term_hits_long(docs, ["id"], "key", tdf).collect())
+    long = sorted((r.id, r.term) for r in term_hits(docs, ["id"], "key", tdf).collect())
     want = sorted((i, t) for i, x in enumerate(texts) for t in terms if t.casefold() in x.casefold())
     assert long == want
 
