@@ -235,29 +235,26 @@ def output_gate(text: Column, key: Column, req: Column, rules: Rules) -> Column:
     )
 
 
-def evaluate(df: DataFrame, direction: Column, *, text: str = "text", key: str = "key", stream: str | None = None,
-             tool_count: str | None = None, limited: str | None = None, malformed: Column | None = None,
-             req: Settings | Column = DEFAULTS, glob: Settings | Column = DEFAULTS,
-             rules: Rules = Rules(RuleSet().effective()), analyzers: Analyzers = Analyzers(),
-             drop_text: bool = False, enrich=None) -> DataFrame:
-    """both chains in one projection over one scan; adds stage, action,
-    reason_code, detail, phase1/2/3, reached.
+def gates(df: DataFrame, direction: Column, *, text: str = "text", key: str = "key", stream: str | None = None,
+          tool_count: str | None = None, limited: str | None = None, malformed: Column | None = None,
+          req: Settings | Column = DEFAULTS, glob: Settings | Column = DEFAULTS,
+          rules: Rules = Rules(RuleSet().effective()), analyzers: Analyzers = Analyzers(),
+          drop_text: bool = False) -> DataFrame:
+    """The part of F13 that reads the text, for both chains in one projection:
+    adds ``_dir``, ``_bad`` (error message), ``phase1``, ``_gate`` (the block of
+    phase 1 or of the output checks) and ``_feat`` (see ``text_features``).
 
     CASE takes a row down its own direction's branch: ``input`` rows through
     phase 1, ``output`` rows through length and terms (no rate limit, no
-    patterns), both through phases 2 and 3.  Any other direction, or a
-    non-null ``malformed`` message, gives a MALFORMED_INPUT error row.
-
-    ``enrich`` (DataFrame -> DataFrame) runs after the text-dependent work;
-    with ``drop_text`` the text and key columns are gone by then, so a join
-    it performs shuffles only narrow rows.
+    patterns).  Any other direction, or a non-null ``malformed`` message, is
+    bad.  With ``drop_text`` the text and key columns go, so whatever is joined
+    afterwards shuffles narrow rows only.
     """
     req_c, glob_c = lit_settings(req), lit_settings(glob)
     t, k = F.col(text), F.col(key)
     s = F.coalesce(F.col(stream), F.lit(False)) if stream else F.lit(False)
     tc = F.col(tool_count) if tool_count else F.lit(0)
     lim = F.col(limited) if limited else F.lit(False)
-    none = F.lit(None).cast("string")
     bad = F.when(~F.coalesce(direction.isin("input", "output"), F.lit(False)), F.lit(FMT.MSG_DIRECTION))
     bad = bad if malformed is None else F.coalesce(bad, malformed)
     cols = [F.col(c) for c in df.columns if not (drop_text and c in (text, key))]
@@ -267,10 +264,25 @@ def evaluate(df: DataFrame, direction: Column, *, text: str = "text", key: str =
         "*", F.when(ok & (F.col("_dir") == "input"), phase1(t, k, s, tc, lim, req_c, rules)).alias("phase1"),
         F.when(ok & (F.col("_dir") == "output"), output_gate(t, k, req_c, rules)).alias("_gate"))
     gate = F.coalesce(F.when(F.col("phase1.action") == "block", F.col("phase1")), F.col("_gate"))
-    out = out.select(*cols, "_dir", "_bad", "phase1", gate.alias("_gate"),
-                     F.when(ok & gate.isNull(), text_features(t, req_c, glob_c, analyzers)).alias("_feat"))
-    if enrich is not None:
-        out = enrich(out)
+    return out.select(*cols, "_dir", "_bad", "phase1", gate.alias("_gate"),
+                      F.when(ok & gate.isNull(), text_features(t, req_c, glob_c, analyzers)).alias("_feat"))
+
+
+def rate_gate(out: DataFrame, limited: str, req: Settings | Column = DEFAULTS) -> DataFrame:
+    """Applies the rate limit to rows that went through ``gates`` without it:
+    it comes before every other check of phase 1, so it takes their place."""
+    hit = (F.coalesce(F.col(limited), F.lit(False)) & F.col("_bad").isNull() & (F.col("_dir") == "input")
+           & lit_settings(req)["phase1_enabled"])
+    block = _p1("block", "RATE_LIMITED", FMT.MSG_RATE_LIMITED)
+    return out.withColumns({c: F.when(hit, block).otherwise(F.col(c)) for c in ("phase1", "_gate")})
+
+
+def decide(out: DataFrame, *, req: Settings | Column = DEFAULTS, glob: Settings | Column = DEFAULTS,
+           analyzers: Analyzers = Analyzers()) -> DataFrame:
+    """The rest of F13, on the narrow rows of ``gates``: phases 2 and 3 and the
+    final action; adds phase2, phase3, stage, action, reason_code, detail and
+    ``reached``."""
+    req_c, glob_c = lit_settings(req), lit_settings(glob)
     goes_on = F.col("_bad").isNull() & F.col("_gate").isNull()
     out = out.select("*", F.when(goes_on, phase2(F.col("_feat"), req_c, glob_c, analyzers)).alias("phase2"))
     out = out.select("*", F.when(goes_on, phase3(F.col("phase2"), glob_c)).alias("phase3"))
@@ -278,16 +290,24 @@ def evaluate(df: DataFrame, direction: Column, *, text: str = "text", key: str =
                                                       F.col("_bad").alias("detail")))
            .when(F.col("_gate").isNotNull(), F.col("_gate")).otherwise(final_action(F.col("phase2"), F.col("phase3"), req_c)))
     out = out.select("*", fin.alias("_fin"))
-    reached = F.concat(
-        F.when(F.col("phase1").isNotNull(), F.array(F.lit("phase1"))).otherwise(F.array().cast("array<string>")),
-        F.when(goes_on, F.array(F.lit("phase2"), F.lit("phase3"))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    reached = F.concat(F.when(F.col("phase1").isNotNull(), F.array(F.lit("phase1"))).otherwise(none),
+                       F.when(goes_on, F.array(F.lit("phase2"), F.lit("phase3"))).otherwise(none))
     keep = [c for c in out.columns if c not in ("_dir", "_bad", "_gate", "_feat", "_fin", "phase2", "phase3")]
     return out.select(
-        *keep, "phase2", "phase3", F.when(F.col("_bad").isNull(), F.col("_dir")).otherwise(none).alias("stage"),
+        *keep, "phase2", "phase3", F.when(F.col("_bad").isNull(), F.col("_dir")).alias("stage"),
         F.col("_fin.action").alias("action"), F.col("_fin.reason_code").alias("reason_code"),
         F.col("_fin.detail").alias("detail"), reached.alias("reached"))
 
 
+def evaluate(df: DataFrame, direction: Column, *, req: Settings | Column = DEFAULTS, glob: Settings | Column = DEFAULTS,
+             analyzers: Analyzers = Analyzers(), enrich=None, **how) -> DataFrame:
+    """``gates``, then ``enrich`` (DataFrame -> DataFrame, joins side inputs
+    once the text is dropped), then ``decide``; one scan, one projection."""
+    out = gates(df, direction, req=req, glob=glob, analyzers=analyzers, **how)
+    return decide(enrich(out) if enrich else out, req=req, glob=glob, analyzers=analyzers)
+
+
 def evaluate_input(df: DataFrame, **how) -> DataFrame:
     """F13 input chain (see ``evaluate``)."""
     return evaluate(df, F.lit("input"), **how)

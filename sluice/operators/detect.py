@@ -52,8 +52,13 @@ def first_pattern_literal(text: Column, patterns) -> Column:
 
 
 def first_pattern_column(text: Column, patterns: Column) -> Column:
-    """Same, with a per-row ARRAY<STRING> of patterns (policy join form)."""
-    return F.get(F.filter(patterns, lambda p: text.rlike(F.concat(F.lit("(?iU)"), p))), 0)
+    """Same, with a per-row ARRAY<STRING> of patterns (policy join form), taken
+    from the Python dialect to Java's like literal ones."""
+    def java(p):
+        named = F.regexp_replace(p, r"\(\?P<", "(?<")
+        return F.concat(F.lit("(?iU)"), F.regexp_replace(named, r"\(\?P=(\w+)\)", r"\\k<$1>"))
+
+    return F.get(F.filter(patterns, lambda p: F.rlike(text, java(p))), 0)
 
 
 def pattern_ranks_literal(text: Column, patterns) -> Column:

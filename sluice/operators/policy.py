@@ -3,103 +3,99 @@ V3 activate / create_policy, V4 history_filter, V5 version_diff,
 W4 next_version, W5 latest_version, A7 policy_summary, J1-J3 resolution,
 P7 normalize_entries, P8 coerce_settings, P9 merge_settings.
 
-A change log ``(policy_id, seq, ts, actor, action, list, entry_id, value)``
-replaces the reference's copy-on-write JSON store.  Instead of materialising
-every version (quadratic), entries are stored as validity intervals
-``[valid_from, valid_to)`` in version numbers, so a snapshot at version N is
-the filter ``valid_from <= N < coalesce(valid_to, inf)``.
-
-Acceptance needs no sequential replay: entry ids are minted by adds (or
-list replacements) and never reused, so whether an update or delete finds
-its entry depends only on that entry's own add, its first delete after the
-add, and the first list replacement after the add - window aggregates per
-entry.  Version numbers are a running count of accepted changes per policy.
-Policy logs are admin-edit scale; the per-policy windows stream sorted
-input and spill, they do not collect.
+Two tables hold the edits instead of copy-on-write JSON:
+
+* ``changes`` (policy_id, seq, ts, actor, action, list, lists, entry_id,
+  value, pin): one row per change, ``seq`` distinct over all policies.  add,
+  update and delete concern one entry of ``list``; replace sets all ``lists``
+  anew; activate moves the active pointer to version ``pin`` (null: the
+  policy's newest).
+* ``entries`` (policy_id, seq, list, entry_id, value): what a replacement
+  puts into its lists, none or any number.  A change made on an older base
+  version is written as a replacement of every list that differs, with the
+  base's entries; so an id can live again after its list was replaced.
+
+Entries are validity intervals ``[valid_from, valid_to)`` in version numbers,
+so a snapshot at version N is the filter ``valid_from <= N < valid_to``.
+Acceptance needs no replay: a life of an entry starts with an add or a
+replacement that holds it, and ends with the first delete in it or the next
+replacement of its list.  Version numbers are a running count of accepted
+changes.  Windows span one entry's events, or one range of one policy's
+changes (see ``running``), never a whole policy.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from .. import formats as FMT
+from ..functions.rules import term_entries
+from ..functions.text import casefold, strip
 from ..settings import DEFAULTS, MUTABLE_FIELDS, field_kind
+from .running import next_flagged, running_count
 
 ENTRY_PREFIX = {"blocklist": "bl", "prompt_patterns": "pp", "golden_set": "gs"}
-# History action names per list and change kind.
-HISTORY_ACTION = {
-    ("blocklist", "add"): "blocklist_entry_added",
-    ("blocklist", "update"): "blocklist_entry_updated",
-    ("blocklist", "delete"): "blocklist_entry_deleted",
-    ("blocklist", "replace"): "blocklist_replaced",
-    ("prompt_patterns", "add"): "prompt_pattern_added",
-    ("prompt_patterns", "update"): "prompt_pattern_updated",
-    ("prompt_patterns", "delete"): "prompt_pattern_deleted",
-    ("prompt_patterns", "replace"): "prompt_patterns_replaced",
-    ("golden_set", "add"): "golden_set_item_added",
-    ("golden_set", "update"): "golden_set_item_updated",
-    ("golden_set", "delete"): "golden_set_item_deleted",
-    ("golden_set", "replace"): "golden_set_replaced",
-}
-
-INF = 2 ** 31 - 1
-
-
-def accept_changes(log: DataFrame) -> DataFrame:
-    """Add ``accepted`` and, for accepted edits, ``version`` (v1 = bootstrap).
-
-    add / replace: always accepted.  update: the entry exists (added before,
-    not yet deleted or swept by a replacement).  delete: the first delete of
-    a live entry.  Activations are pointer moves, not versions.
+INF = 2**31 - 1
+
+
+def _replacements(changes: DataFrame) -> DataFrame:
+    """(policy_id, list, seq) of every list that a replacement sets anew."""
+    return changes.where("action = 'replace'").select("policy_id", F.explode(F.array_distinct("lists")).alias("list"), "seq")
+
+
+def entry_events(changes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(policy_id, list, entry_id, seq, event, value, life, accepted): every
+    event of every entry; ``event`` is start, update or delete."""
+    ev = changes.where("action in ('add', 'update', 'delete')").select(
+        "policy_id", "list", "entry_id", "seq", F.when(F.col("action") == "add", "start").otherwise(F.col("action")).alias("event"), "value")
+    ev = ev.unionByName(entries.select("policy_id", "list", "entry_id", "seq", F.lit("start").alias("event"), "value"))
+    ev = next_flagged(ev, ["policy_id", "list"], "seq", _replacements(changes), "_swept")
+    one = Window.partitionBy("policy_id", "list", "entry_id").orderBy("seq")
+    ev = ev.withColumn("life", F.sum((F.col("event") == "start").cast("int")).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    life = Window.partitionBy("policy_id", "list", "entry_id", "life")
+    start = F.col("event") == "start"
+    ev = ev.withColumn("_end", F.min(F.when(start, F.col("_swept"))).over(life)) \
+        .withColumn("_del", F.min(F.when(F.col("event") == "delete", F.col("seq"))).over(life))
+    before = lambda c: F.col(c).isNull() | (F.col("seq") < F.col(c))
+    alive = (F.col("life") > 0) & before("_end")
+    accepted = F.when(start, F.lit(True)).when(F.col("event") == "update", alive & before("_del")) \
+        .otherwise(alive & (F.col("seq") == F.col("_del")))
+    return ev.withColumn("accepted", accepted).drop("_swept", "_end", "_del")
+
+
+def accept_changes(changes: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds ``accepted``, ``version`` of accepted edits (v1 = bootstrap) and
+    ``current``, the policy's newest version once the change is done.
+
+    add, replace: always accepted; update, delete: the entry is alive;
+    activate: the version it pins exists by then (a pointer move, no version).
     """
-    # "first replacement after this row" as a running minimum in descending
-    # order: an incrementally grown frame (linear), where a following-rows
-    # frame would be recomputed for every row.
-    later = Window.partitionBy("policy_id", "list").orderBy(F.col("seq").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    ent = Window.partitionBy("policy_id", "list", "entry_id")
-    is_add = F.col("action").isin("add", "replace")
-    ev = log.withColumn("_next_rep", F.min(F.when(F.col("action") == "replace", F.col("seq"))).over(later))
-    ev = ev.withColumn("_add", F.min(F.when(is_add, F.col("seq"))).over(ent)) \
-        .withColumn("_add_rep", F.min(F.when(is_add, F.col("_next_rep"))).over(ent))
-    ev = ev.withColumn("_del", F.min(F.when((F.col("action") == "delete") & (F.col("seq") > F.col("_add")),
-                                            F.col("seq"))).over(ent))
-    kill = F.least(F.col("_del"), F.col("_add_rep"))
-    alive = F.col("_add").isNotNull() & (F.col("seq") > F.col("_add")) & (kill.isNull() | (F.col("seq") <= kill))
-    accepted = (
-        F.when(is_add, True)
-        .when(F.col("action") == "update", alive & (kill.isNull() | (F.col("seq") < kill)))
-        .when(F.col("action") == "delete", alive & (F.col("seq") == F.col("_del"))
-              & (F.col("_add_rep").isNull() | (F.col("_del") < F.col("_add_rep"))))
-        .otherwise(False)
-    )
-    ev = ev.withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("_next_rep", "_add", "_add_rep", "_del")
-    pol = Window.partitionBy("policy_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    n_acc = F.sum(F.col("accepted").cast("int")).over(pol)
-    return ev.withColumn("version", F.when(F.col("accepted"), n_acc + 1))
-
-
-def entry_intervals(accepted: DataFrame) -> DataFrame:
-    """V1: (policy_id, list, entry_id, value, valid_from, valid_to)."""
-    acc = accepted.where(F.col("accepted"))
-    later = Window.partitionBy("policy_id", "list").orderBy(F.col("seq").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    ent = Window.partitionBy("policy_id", "list", "entry_id").orderBy("seq")
-    acc = acc.withColumn("_rep_after", F.min(F.when(F.col("action") == "replace", F.col("version"))).over(later))
-    acc = acc.withColumn("_next_edit", F.lead("version").over(ent))
-    opened = acc.where(F.col("action").isin("add", "update", "replace"))
-    return opened.select(
-        "policy_id", "list", "entry_id", "value", F.col("version").alias("valid_from"),
-        F.least(F.col("_next_edit"), F.col("_rep_after")).alias("valid_to"))
+    ok = entry_events(changes, entries).where("accepted and event <> 'start'").select("policy_id", "seq", F.lit(True).alias("_ok"))
+    ch = changes.join(ok, ["policy_id", "seq"], "left")
+    ch = ch.withColumn("_edit", F.col("action").isin("add", "replace") | F.coalesce("_ok", F.lit(False)))
+    ch = running_count(ch, ["policy_id"], "seq", "_edit", "_n").withColumn("current", F.col("_n") + 1)
+    pinned = (F.col("action") == "activate") & (F.col("pin").isNull() | F.col("pin").between(F.lit(1), F.col("current")))
+    return ch.withColumn("accepted", F.col("_edit") | pinned) \
+        .withColumn("version", F.when(F.col("_edit"), F.col("current"))).drop("_ok", "_edit", "_n")
+
+
+def entry_intervals(changes: DataFrame, entries: DataFrame, accepted: DataFrame) -> DataFrame:
+    """V1/V2: (policy_id, list, entry_id, value, valid_from, valid_to)."""
+    ver = accepted.where("version is not null").select("policy_id", "seq", "version")
+    ev = entry_events(changes, entries).where("accepted")
+    ev = next_flagged(ev, ["policy_id", "list"], "seq", _replacements(changes), "_swept")
+    ev = ev.join(ver, ["policy_id", "seq"])
+    swept = ver.select("policy_id", F.col("seq").alias("_swept"), F.col("version").alias("_swept_at"))
+    ev = ev.join(swept, ["policy_id", "_swept"], "left")
+    life = Window.partitionBy("policy_id", "list", "entry_id", "life").orderBy("seq")
+    ev = ev.withColumn("valid_to", F.coalesce(F.lead("version").over(life), F.col("_swept_at")))
+    return ev.where("event <> 'delete'").select(
+        "policy_id", "list", "entry_id", "value", F.col("version").alias("valid_from"), "valid_to")
 
 
 def snapshot(intervals: DataFrame, versions: DataFrame) -> DataFrame:
-    """Entries live at the version given per policy in ``versions``
-    (policy_id, at_version) - a small table, so the join is broadcast by
-    size at run time."""
+    """Entries live at each (policy_id, at_version) of ``versions``."""
     j = intervals.join(versions, "policy_id")
     return j.where((F.col("valid_from") <= F.col("at_version"))
                    & (F.coalesce(F.col("valid_to"), F.lit(INF)) > F.col("at_version")))
@@ -107,30 +103,25 @@ def snapshot(intervals: DataFrame, versions: DataFrame) -> DataFrame:
 
 def latest_versions(accepted: DataFrame) -> DataFrame:
     """Newest version per policy and number of versions (v1 included)."""
-    return accepted.groupBy("policy_id").agg(
-        (F.count_if(F.col("accepted")) + 1).alias("current_version"),
-        (F.count_if(F.col("accepted")) + 1).alias("n_versions"))
+    n = F.max("current")
+    return accepted.groupBy("policy_id").agg(n.alias("current_version"), n.alias("n_versions"))
 
 
 def history_rows(accepted: DataFrame) -> DataFrame:
     """V4: one history row per accepted edit and per activation."""
-    amap = F.create_map(*[x for (lst, kind), name in HISTORY_ACTION.items()
-                          for x in (F.lit(f"{lst}|{kind}"), F.lit(name))])
-    action = F.when(F.col("action") == "activate", F.lit("policy_activated")) \
-        .otherwise(amap[F.concat_ws("|", F.col("list"), F.col("action"))])
-    summary = (
-        F.when(F.col("action") == "add", F.concat(F.lit("Added blocklist term: "), F.col("value")))
-        .when(F.col("action") == "update", F.concat(F.lit("Updated blocklist entry "), F.col("entry_id")))
-        .when(F.col("action") == "delete", F.concat(F.lit("Deleted blocklist entry "), F.col("entry_id")))
-        .when(F.col("action") == "replace", F.lit("Replaced active blocklist"))
-        .otherwise(F.concat(F.lit("Activated policy "), F.col("policy_id")))
-    )
-    rows = accepted.where(F.col("accepted") | (F.col("action") == "activate"))
-    return rows.select(
+    edit, policy, lead, tail = FMT.HISTORY_ACTIVATED
+    pairs = lambda i: F.create_map(*(x for k, v in FMT.HISTORY.items() for x in (F.lit("|".join(k)), F.lit(v[i]))))
+    key = F.concat_ws("|", F.coalesce(F.col("list"), F.get("lists", F.lit(0))), F.col("action"))
+    moved = F.col("action") == "activate"
+    version = F.when(moved, F.coalesce("pin", "current")).otherwise(F.col("version"))
+    what = F.when(F.col("action") == "add", F.col("value")).when(F.col("action") == "replace", F.lit("")).otherwise(F.col("entry_id"))
+    return accepted.where("accepted").select(
         F.concat(F.lit("hist_"), F.col("seq").cast("string")).alias("event_id"), F.col("ts").alias("timestamp"),
-        "actor", "policy_id", "version", action.alias("action"),
-        F.when(F.col("action") == "activate", F.lit("policy")).otherwise(F.col("list")).alias("target"),
-        summary.alias("summary"))
+        "actor", "policy_id", version.alias("version"),
+        F.when(moved, F.lit(edit)).otherwise(pairs(0)[key]).alias("action"),
+        F.when(moved, F.lit(policy)).otherwise(F.coalesce(F.col("list"), F.get("lists", F.lit(0)))).alias("target"),
+        F.when(moved, F.concat(F.lit(lead), F.col("policy_id"), F.lit(tail), version.cast("string")))
+        .otherwise(F.concat(pairs(1)[key], what)).alias("summary"))
 
 
 def history_filter(history: DataFrame, policy_id: str | None = None) -> DataFrame:
@@ -138,95 +129,102 @@ def history_filter(history: DataFrame, policy_id: str | None = None) -> DataFram
 
 
 def version_diff(intervals: DataFrame, pairs: DataFrame) -> DataFrame:
-    """V5: entries added, removed or changed between ``old`` and ``new``
-    versions given per policy in ``pairs`` (policy_id, old, new)."""
-    old = snapshot(intervals, pairs.select("policy_id", F.col("old").alias("at_version"))) \
-        .select("policy_id", "list", "entry_id", F.col("value").alias("old_value"))
-    new = snapshot(intervals, pairs.select("policy_id", F.col("new").alias("at_version"))) \
-        .select("policy_id", "list", "entry_id", F.col("value").alias("new_value"))
-    j = old.join(new, ["policy_id", "list", "entry_id"], "full_outer")
-    change = F.when(F.col("old_value").isNull(), "added").when(F.col("new_value").isNull(), "removed") \
-        .when(F.col("old_value") != F.col("new_value"), "changed")
-    return j.select("policy_id", "list", "entry_id", change.alias("change")).where(F.col("change").isNotNull())
+    """V5: entries added, removed or changed between the ``old`` and ``new``
+    versions given per policy in ``pairs`` (policy_id, old, new): one pass, each
+    interval says whether it is live at either."""
+    j = intervals.join(pairs, "policy_id")
+    live = lambda v: (F.col("valid_from") <= F.col(v)) & (F.coalesce(F.col("valid_to"), F.lit(INF)) > F.col(v))
+    both = j.where(live("old") | live("new")).groupBy("policy_id", "list", "entry_id").agg(
+        F.max(F.when(live("old"), F.col("value"))).alias("_old"), F.max(F.when(live("new"), F.col("value"))).alias("_new"))
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed") \
+        .when(F.col("_old") != F.col("_new"), "changed")
+    return both.select("policy_id", "list", "entry_id", change.alias("change")).where(F.col("change").isNotNull())
 
 
 def active_pointer(accepted: DataFrame, initial_policy: str) -> DataFrame:
-    """V3: the final (active_policy_id, active_version).
-
-    The pointer is the last activation; any later version of the then-active
-    policy becomes active at once, so with activations that pin the current
-    version the active version is that policy's latest version.
-    """
-    acts = accepted.where(F.col("action") == "activate").agg(
-        F.max_by("policy_id", "seq").alias("active_policy_id"))
-    pid = F.coalesce(F.col("active_policy_id"), F.lit(initial_policy))
-    latest = latest_versions(accepted)
-    return acts.select(pid.alias("active_policy_id")).join(
-        latest.select(F.col("policy_id").alias("active_policy_id"), F.col("current_version").alias("active_version")),
-        "active_policy_id", "left").select("active_policy_id", F.coalesce("active_version", F.lit(1)).alias("active_version"))
+    """V3: the final (active_policy_id, active_version), one row: the last
+    accepted activation's policy at the version it pins, or at that policy's
+    newest version if the policy was edited since."""
+    last = accepted.where("accepted and action = 'activate'").agg(
+        F.max(F.struct("seq", "policy_id", F.coalesce("pin", "current").alias("at"))).alias("p"))
+    last = last.select(F.coalesce("p.policy_id", F.lit(initial_policy)).alias("active_policy_id"),
+                       F.coalesce("p.seq", F.lit(-1)).alias("_seq"), F.coalesce("p.at", F.lit(1)).alias("_at"))
+    since = accepted.where("version is not null").select(F.col("policy_id").alias("active_policy_id"), F.col("seq").alias("_s"), "version")
+    new = since.join(last, "active_policy_id").where("_s > _seq").agg(F.max("version").alias("_new"))
+    return last.select("active_policy_id", F.coalesce(new.scalar(), F.col("_at")).alias("active_version"))
 
 
 def policy_summary(accepted: DataFrame, pointer: DataFrame) -> DataFrame:
     """Id, current version, is_active and the active version."""
-    latest = latest_versions(accepted)
-    j = latest.join(F.broadcast(pointer), latest["policy_id"] == pointer["active_policy_id"], "left")
-    return j.select("policy_id", "current_version", F.col("active_policy_id").isNotNull().alias("is_active"),
-                    F.col("active_version"))
+    pid, ver = (pointer.select(c).scalar() for c in ("active_policy_id", "active_version"))
+    active = F.col("policy_id") == pid
+    return latest_versions(accepted).select("policy_id", "current_version", active.alias("is_active"), F.when(active, ver).alias("active_version"))
 
 
-def clone_policy(intervals: DataFrame, pointer: tuple[str, int], new_policy_id: str, existing: DataFrame) -> DataFrame:
+def clone_policy(intervals: DataFrame, pointer: DataFrame, new_policy_id: str, existing: DataFrame) -> DataFrame:
     """V3 create_policy: the active snapshot becomes version 1 of a new
-    policy; refused (empty result) when the id already exists (409)."""
-    if existing.where(F.col("policy_id") == new_policy_id).limit(1).count() > 0:
-        return intervals.limit(0).select("policy_id", "list", "entry_id", "value", "valid_from", "valid_to")
-    at = intervals.sparkSession.createDataFrame([(pointer[0], int(pointer[1]))], "policy_id string, at_version int")
-    snap = snapshot(intervals, at)
-    return snap.select(F.lit(new_policy_id).alias("policy_id"), "list", "entry_id", "value",
-                       F.lit(1).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"))
-
-
-def read_pointer(pointer: DataFrame) -> tuple[str, int]:
-    """The active pointer is one configuration row, read once per batch."""
-    row = pointer.select("active_policy_id", "active_version").first()
-    return (row[0], int(row[1])) if row else ("default", 1)
+    policy; empty when the id already exists (409)."""
+    at = pointer.select(F.col("active_policy_id").alias("policy_id"), F.col("active_version").alias("at_version"))
+    taken = existing.where(F.col("policy_id") == new_policy_id).agg(F.count(F.lit(1))).scalar()
+    return snapshot(intervals, at).where(taken == 0).select(
+        F.lit(new_policy_id).alias("policy_id"), "list", "entry_id", "value",
+        F.lit(1).cast("bigint").alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"))
 
 
 # ------------------------------------------------------------------ resolution
 
-def resolve_policy(req: DataFrame, policies: DataFrame, versions: DataFrame, pointer: tuple[str, int]) -> DataFrame:
-    """Per request -> (status, applied_policy_id, applied_version).
+def resolve_policy(req: DataFrame, policies: DataFrame, pointer: DataFrame) -> DataFrame:
+    """Adds (status, applied_policy_id, applied_version) per request.
 
-    Request-scoped id (non-blank ``policy_id``, else ``meta_policy_id``)
-    else the active policy; a version pin must be an integer (400); 0 or
-    none means the policy's current version, except that with neither id
-    nor version the *active* version applies.  Unknown -> 404.
-    The policy and pointer tables are small config tables (broadcast).
+    Requests carry ``policy_id``, ``policy_version_text`` and, from their
+    metadata, ``meta_policy_id`` and ``meta_version_text``; the body's own
+    values win where they are there.  A version must be an integer (400); 0 or
+    none means the policy's current version, except that with neither id nor
+    version the *active* version applies.  Unknown policies and versions give
+    404.  A policy's versions are 1..current_version, so one join by policy
+    settles both; which side is broadcast, if any, is left to its size.
     """
-    pid_raw = F.coalesce(F.when(F.length(F.trim("policy_id")) > 0, F.trim("policy_id")),
-                         F.when(F.length(F.trim("meta_policy_id")) > 0, F.trim("meta_policy_id")))
-    ver_txt = F.col("policy_version_text")
-    ver_int = F.expr("try_cast(trim(policy_version_text) AS INT)")
-    r = req.withColumn("_pid", pid_raw).withColumn("_bad_ver", ver_txt.isNotNull() & ver_int.isNull()) \
-        .withColumn("_ver", ver_int)
-    r = r.withColumn("active_policy_id", F.lit(pointer[0])).withColumn("active_version", F.lit(int(pointer[1])))
-    target_pid = F.coalesce(F.col("_pid"), F.col("active_policy_id"))
-    r = r.withColumn("_target_pid", target_pid)
-    pol = policies.select(F.col("policy_id").alias("_target_pid"), F.col("current_version").alias("_cur"))
-    r = r.join(F.broadcast(pol), "_target_pid", "left")
-    zero_or_none = F.col("_ver").isNull() | (F.col("_ver") == 0)
-    target_ver = (F.when(F.col("_pid").isNull() & F.col("_ver").isNull(), F.col("active_version"))
-                  .when(zero_or_none, F.col("_cur")).otherwise(F.col("_ver")))
-    r = r.withColumn("_target_ver", target_ver)
-    ver = versions.select(F.col("policy_id").alias("_target_pid"), F.col("version").alias("_target_ver"),
-                          F.lit(True).alias("_vexists"))
-    r = r.join(F.broadcast(ver), ["_target_pid", "_target_ver"], "left")
-    status = (F.when(F.col("_bad_ver"), 400).when(F.col("_cur").isNull(), 404)
-              .when(F.col("_vexists").isNull(), 404).otherwise(200))
-    return r.withColumn("status", status).withColumn(
-        "applied_policy_id", F.when(F.col("status") == 200, F.col("_target_pid"))).withColumn(
-        "applied_version", F.when(F.col("status") == 200, F.col("_target_ver"))).drop(
-        "_pid", "_bad_ver", "_ver", "active_policy_id", "active_version", "_target_pid", "_cur", "_target_ver",
-        "_vexists")
+    named = lambda c: F.when(F.length(strip(F.col(c))) > 0, strip(F.col(c)))
+    ver_txt = F.coalesce("policy_version_text", "meta_version_text")
+    r = req.withColumns({"_pid": F.coalesce(named("policy_id"), named("meta_policy_id")),
+                         "_ver": strip(ver_txt).try_cast("int"), "_bad": ver_txt.isNotNull() & strip(ver_txt).try_cast("int").isNull(),
+                         "_apid": pointer.select("active_policy_id").scalar(), "_aver": pointer.select("active_version").scalar()})
+    r = r.withColumn("_target", F.coalesce("_pid", "_apid"))
+    r = r.join(policies.select(F.col("policy_id").alias("_target"), F.col("current_version").alias("_cur")), "_target", "left")
+    at = (F.when(F.col("_pid").isNull() & F.col("_ver").isNull(), F.col("_aver"))
+          .when(F.col("_ver").isNull() | (F.col("_ver") == 0), F.col("_cur")).otherwise(F.col("_ver")))
+    status = F.when(F.col("_bad"), 400).when(F.col("_cur").isNull() | ~at.between(F.lit(1), F.col("_cur")), 404).otherwise(200)
+    r = r.withColumn("status", status)
+    ok = F.col("status") == 200
+    return r.withColumns({"applied_policy_id": F.when(ok, F.col("_target")), "applied_version": F.when(ok, at).cast("int")}) \
+        .drop("_pid", "_ver", "_bad", "_apid", "_aver", "_target", "_cur")
+
+
+def version_rules(intervals: DataFrame, versions: DataFrame, runtime_terms, runtime_patterns) -> DataFrame:
+    """The rules of each (policy_id, version) of ``versions``: ``terms``
+    (with casefold keys), ``patterns`` and ``golden``, in list order, and
+    ``terms_from`` / ``patterns_from``.  An empty list of terms or patterns
+    falls back to the runtime's; the golden set may be empty."""
+    live = snapshot(intervals, versions.select("policy_id", F.col("version").alias("at_version")))
+    item = F.struct("valid_from", "entry_id", "value")
+    of = lambda name: F.sort_array(F.collect_list(F.when(F.col("list") == name, item)))
+    got = live.groupBy("policy_id", F.col("at_version").alias("version")).agg(
+        of("blocklist").alias("_b"), of("prompt_patterns").alias("_p"), of("golden_set").alias("_g"))
+    rows = versions.select("policy_id", "version").join(got, ["policy_id", "version"], "left")
+    values = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<valid_from:bigint,entry_id:string,value:string>>")), lambda x: x["value"])
+    rows = rows.select("policy_id", "version", values("_b").alias("_b"), values("_p").alias("patterns"), values("_g").alias("golden"))
+    # one casefold call over the distinct terms, not one per row of a version
+    words = rows.select(F.explode("_b").alias("term")).distinct().withColumn("key", casefold(F.col("term")))
+    keyed = rows.select("policy_id", "version", F.explode("_b").alias("term")).join(words, "term").groupBy("policy_id", "version").agg(
+        F.sort_array(F.collect_set(F.struct("term", "key"))).alias("terms"))
+    rows = rows.drop("_b").join(keyed, ["policy_id", "version"], "left")
+    runtime = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(k).alias("key")) for t, k in term_entries(runtime_terms)))
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    source = lambda c: F.when(some(c), "version").otherwise("runtime")
+    return rows.select(
+        "policy_id", "version", rule_fallback(F.col("terms"), runtime).alias("terms"),
+        rule_fallback(F.col("patterns"), F.array(*map(F.lit, runtime_patterns))).alias("patterns"), "golden",
+        source("terms").alias("terms_from"), source("patterns").alias("patterns_from"))
 
 
 def rule_fallback(rules: Column, runtime: Column) -> Column:
@@ -299,7 +297,3 @@ def merge_settings(overrides: DataFrame, *, key: list[str], field: str, value: s
         F.max_by(F.col(value), F.col(order)).alias("_val"))
     m = last.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(field), F.col("_val")))).alias("_ov"))
     return m.select(*key, settings_struct_from_map(base, F.col("_ov")).alias("settings"))
-
-
-def stable_hash(*parts: str) -> str:
-    return hashlib.sha256("\u0001".join(parts).encode()).hexdigest()[:12]

@@ -11,6 +11,7 @@ MODULES = (
     "q_embeddings",
     "q_policy",
     "q_ops",
+    "q_check",
     "q_streaming",
 )
 

@@ -1,15 +1,20 @@
 """Policy-history queries.  The change log is derived from ``orders``:
 
-* policy     = 'p' || (o_orderkey div 3000)   (contiguous key ranges)
+* policy     = 'p' || (o_orderkey div 300)   (contiguous key ranges)
 * seq, ts    = o_orderkey, o_orderdate;  actor = 'cust-' || o_custkey
-* status F   -> add of a fresh entry 'bl_<orderkey>'
+* status F   -> add of a fresh entry <orderkey>
 * status O   -> update of a nearby earlier entry
-* status P   -> activation when o_totalprice < 5000, otherwise a delete of a
-  nearby earlier entry (the replace-list variant turns P orders under
-  100000 into whole-list replacements)
-
-The nearby target is 'bl_<orderkey - 1 - floor(totalprice / 50000)>', so
-edits hit live, deleted and never-existing entries alike.
+* status P   -> activation when o_totalprice < 20000 (pinned, in two of three,
+  to version 1 + custkey mod 90, which may not exist), a replacement of a list
+  when below 100000 (of the prompt patterns as well when below 50000) by
+  custkey mod 3 entries, the second of which brings back an earlier id;
+  otherwise a delete of a nearby earlier entry
+
+An entry's number names its list (mod 3); the nearby target is
+orderkey - 1 - floor(totalprice / 50000), so edits hit live, deleted, swept
+and never-existing entries alike.  Values are words and patterns that occur
+in the generated conversations.  The SQL side replays the log change by
+change, with the live entries of a policy as its state.
 """
 
 from __future__ import annotations
@@ -17,154 +22,182 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import DEFAULT_TERMS
+from ..functions.rules import DEFAULT_PATTERNS, DEFAULT_TERMS
 from ..operators import policy as P
-from ..session import table
-from .chains import DOC_RULES, chain_sql
+from ..session import materialize, table
+from .chains import DOC_RULES, chain_sql, sql_str
 from .registry import register
 
+LISTS = ("blocklist", "prompt_patterns", "golden_set")
+PREFIXES = ("bl", "pp", "gs")
+VALUES = (("nicht", "über", "with the", "token", "shall not occur"), (r"de\s+la", r"und\s+(?P<a>der|die)", r"never\s+seen"), ("g1", "g2"))
+
 
-def change_log(spark, sf, with_replace: bool = False) -> DataFrame:
+def _log(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
-    status, price, key = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderkey")
-    action = (F.when(status == "F", "add").when(status == "O", "update").when(price < 5000, "activate"))
-    if with_replace:
-        action = action.when(price < 100000, "replace")
-    action = action.otherwise("delete")
-    target = F.concat(F.lit("bl_"), (key - 1 - F.floor(price / 50000)).cast("bigint").cast("string"))
-    entry = (F.when(action == "add", F.concat(F.lit("bl_"), key.cast("string")))
-             .when(action == "replace", F.concat(F.lit("bl_r"), key.cast("string")))
-             .when(action == "activate", F.lit(None).cast("string")).otherwise(target))
-    value = (F.when(action.isin("add", "update"),
-                    F.concat(F.lower("o_orderpriority"), F.lit("-"), F.col("o_custkey").cast("string")))
-             .when(action == "replace", F.concat(F.lit("replaced-"), F.col("o_custkey").cast("string"))))
-    return o.select(
-        F.concat(F.lit("p"), F.floor(key / 3000).cast("bigint").cast("string")).alias("policy_id"),
-        key.alias("seq"), F.col("o_orderdate").alias("ts"),
-        F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("actor"),
-        action.alias("action"), F.lit("blocklist").alias("list"), entry.alias("entry_id"), value.alias("value"))
-
-
-def _log_sql(with_replace: bool = False) -> str:
-    rep = "WHEN o_totalprice < 100000 THEN 'replace'" if with_replace else ""
-    return f"""
-log AS (
-  SELECT 'p' || CAST(o_orderkey // 3000 AS VARCHAR) AS policy_id, o_orderkey AS seq, o_orderdate AS ts,
-         'cust-' || CAST(o_custkey AS VARCHAR) AS actor, action, 'blocklist' AS list,
-         CASE WHEN action = 'add' THEN 'bl_' || CAST(o_orderkey AS VARCHAR)
-              WHEN action = 'replace' THEN 'bl_r' || CAST(o_orderkey AS VARCHAR)
-              WHEN action = 'activate' THEN NULL
-              ELSE 'bl_' || CAST(o_orderkey - 1 - CAST(floor(o_totalprice / 50000) AS BIGINT) AS VARCHAR) END AS entry_id,
-         CASE WHEN action IN ('add', 'update') THEN lower(o_orderpriority) || '-' || CAST(o_custkey AS VARCHAR)
-              WHEN action = 'replace' THEN 'replaced-' || CAST(o_custkey AS VARCHAR) END AS value
-  FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'add' WHEN o_orderstatus = 'O' THEN 'update'
-                       WHEN o_totalprice < 5000 THEN 'activate' {rep} ELSE 'delete' END AS action FROM orders)
-),
-ev AS (
-  SELECT *, min(CASE WHEN action = 'replace' THEN seq END) OVER (PARTITION BY policy_id, list ORDER BY seq
-              ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_rep FROM log
-),
-e2 AS (
-  SELECT *, min(CASE WHEN action IN ('add', 'replace') THEN seq END) OVER (PARTITION BY policy_id, list, entry_id) AS a_seq,
-            min(CASE WHEN action IN ('add', 'replace') THEN next_rep END) OVER (PARTITION BY policy_id, list, entry_id) AS a_rep
-  FROM ev
-),
-e3 AS (
-  SELECT *, min(CASE WHEN action = 'delete' AND seq > a_seq THEN seq END) OVER (PARTITION BY policy_id, list, entry_id) AS d_seq
-  FROM e2
-),
-acc AS (
-  SELECT *, CASE WHEN action IN ('add', 'replace') THEN true
-       WHEN action = 'update' THEN coalesce(a_seq IS NOT NULL AND seq > a_seq
-                                   AND (least(d_seq, a_rep) IS NULL OR seq < least(d_seq, a_rep)), false)
-       WHEN action = 'delete' THEN coalesce(a_seq IS NOT NULL AND seq > a_seq AND seq = d_seq
-                                   AND (a_rep IS NULL OR d_seq < a_rep), false)
-       ELSE false END AS accepted
-  FROM e3
+    status, price, key, cust = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderkey"), F.col("o_custkey")
+    action = (F.when(status == "F", "add").when(status == "O", "update").when(price < 20000, "activate")
+              .when(price < 100000, "replace").otherwise("delete"))
+    number = F.when(action == "add", key).otherwise(F.greatest(F.lit(0), key - 1 - F.floor(price / 50000))).cast("bigint")
+    o = o.select(F.concat(F.lit("p"), F.floor(key / 300).cast("bigint").cast("string")).alias("policy_id"), key.alias("seq"),
+                 F.col("o_orderdate").alias("ts"), F.concat(F.lit("cust-"), cust.cast("string")).alias("actor"), action.alias("action"),
+                 number.alias("_n"), cust.alias("_cust"), price.alias("_price"))
+    kind = (F.col("_n") % 3).cast("int")
+    at = lambda names: F.get(F.array(*map(F.lit, names)), kind)
+    value = F.get(F.get(F.array(*(F.array(*map(F.lit, v)) for v in VALUES)), kind),
+                  (F.col("_cust") % F.get(F.array(*(F.lit(len(v)) for v in VALUES)), kind)).cast("int"))
+    return o.withColumns({"_list": at(LISTS), "_id": F.concat(at(PREFIXES), F.lit("_"), F.col("_n").cast("string")), "_value": value})
+
+
+def change_log(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(changes, entries) as ``operators.policy`` takes them."""
+    o = _log(spark, sf)
+    act = F.col("action")
+    one = act.isin("add", "update", "delete")
+    lists = F.when(F.col("_price") < 50000, F.array_distinct(F.array("_list", F.lit("prompt_patterns")))).otherwise(F.array("_list"))
+    changes = o.select(
+        "policy_id", "seq", "ts", "actor", "action", F.when(one, F.col("_list")).alias("list"),
+        F.when(act == "replace", lists).alias("lists"), F.when(one, F.col("_id")).alias("entry_id"),
+        F.when(act.isin("add", "update"), F.col("_value")).alias("value"),
+        F.when((act == "activate") & (F.col("_cust") % 3 > 0), 1 + F.col("_cust") % 90).cast("bigint").alias("pin"))
+    fresh = F.struct(F.concat(F.lit("r_"), F.col("seq").cast("string")).alias("entry_id"), F.lit("replaced").alias("value"))
+    back = F.struct(F.col("_id").alias("entry_id"), F.col("_value").alias("value"))
+    held = F.slice(F.array(fresh, back), F.lit(1), (F.col("_cust") % 3).cast("int"))
+    entries = o.where("action = 'replace'").select("policy_id", "seq", F.col("_list").alias("list"), F.explode(held).alias("e"))
+    return changes, entries.select("policy_id", "seq", "list", "e.entry_id", "e.value")
+
+
+_VALUE_SQL = "[" + ", ".join("[" + ", ".join(sql_str(x) for x in v) + "]" for v in VALUES) + "][1 + n % 3]"
+_REPLAY = f"""
+WITH RECURSIVE log AS (
+  SELECT *, 'p' || CAST(seq // 300 AS VARCHAR) AS policy_id, (['blocklist', 'prompt_patterns', 'golden_set'])[1 + n % 3] AS list,
+         (['bl', 'pp', 'gs'])[1 + n % 3] || '_' || CAST(n AS VARCHAR) AS entry_id,
+         ({_VALUE_SQL})[1 + cust % len({_VALUE_SQL})] AS value,
+         row_number() OVER (PARTITION BY seq // 300 ORDER BY seq) AS rn,
+         CASE WHEN action = 'activate' AND cust % 3 > 0 THEN 1 + cust % 90 END AS pin
+  FROM (SELECT *, CASE WHEN action = 'add' THEN seq ELSE greatest(0, seq - 1 - CAST(floor(price / 50000) AS BIGINT)) END AS n
+        FROM (SELECT o_orderkey AS seq, o_orderdate AS ts, 'cust-' || CAST(o_custkey AS VARCHAR) AS actor, o_custkey AS cust, o_totalprice AS price,
+                     CASE WHEN o_orderstatus = 'F' THEN 'add' WHEN o_orderstatus = 'O' THEN 'update' WHEN o_totalprice < 20000 THEN 'activate'
+                          WHEN o_totalprice < 100000 THEN 'replace' ELSE 'delete' END AS action FROM orders))
 ),
-ver AS (
-  SELECT *, CASE WHEN accepted THEN 1 + sum(CAST(accepted AS INTEGER)) OVER (PARTITION BY policy_id ORDER BY seq
-                 ROWS UNBOUNDED PRECEDING) END AS version
-  FROM acc
+r AS (
+  SELECT policy_id, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS seq, 'bootstrap' AS action, true AS accepted, CAST(1 AS BIGINT) AS version,
+         CAST([] AS STRUCT(list VARCHAR, entry_id VARCHAR, value VARCHAR, since BIGINT)[]) AS live
+  FROM log WHERE rn = 1
+  UNION ALL
+  SELECT policy_id, rn, seq, action, accepted, version + CASE WHEN accepted AND action <> 'activate' THEN 1 ELSE 0 END,
+    CASE WHEN action = 'add' THEN list_append(live, {{'list': list, 'entry_id': entry_id, 'value': value, 'since': version + 1}})
+         WHEN action = 'update' AND hit THEN list_append(list_filter(live, lambda e: NOT (e.list = list AND e.entry_id = entry_id)),
+              {{'list': list, 'entry_id': entry_id, 'value': value, 'since': version + 1}})
+         WHEN action = 'delete' AND hit THEN list_filter(live, lambda e: NOT (e.list = list AND e.entry_id = entry_id))
+         WHEN action = 'replace' THEN list_concat(
+              list_filter(live, lambda e: e.list <> list AND NOT (price < 50000 AND e.list = 'prompt_patterns')),
+              list_slice([{{'list': list, 'entry_id': 'r_' || CAST(seq AS VARCHAR), 'value': 'replaced', 'since': version + 1}},
+                          {{'list': list, 'entry_id': entry_id, 'value': value, 'since': version + 1}}], 1, cust % 3))
+         ELSE live END
+  FROM (SELECT l.policy_id, l.rn, l.seq, l.action, l.list, l.entry_id, l.value, l.price, l.cust, r.version, r.live,
+               len(list_filter(r.live, lambda e: e.list = l.list AND e.entry_id = l.entry_id)) > 0 AS hit,
+               CASE WHEN l.action IN ('add', 'replace') THEN true WHEN l.action = 'activate' THEN l.pin IS NULL OR l.pin <= r.version
+                    ELSE len(list_filter(r.live, lambda e: e.list = l.list AND e.entry_id = l.entry_id)) > 0 END AS accepted
+        FROM r JOIN log l ON l.policy_id = r.policy_id AND l.rn = r.rn + 1)
 ),
-iv AS (
-  SELECT policy_id, list, entry_id, value, version AS valid_from, action,
-         least(lead(version) OVER (PARTITION BY policy_id, list, entry_id ORDER BY seq),
-               min(CASE WHEN action = 'replace' THEN version END) OVER (PARTITION BY policy_id, list ORDER BY seq
-                   ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS valid_to
-  FROM ver WHERE accepted
-),
-intervals AS (SELECT policy_id, list, entry_id, value, valid_from, valid_to FROM iv
-              WHERE action IN ('add', 'update', 'replace')),
-latest AS (SELECT policy_id, CAST(count(*) FILTER (WHERE accepted) + 1 AS BIGINT) AS current_version FROM ver
-           GROUP BY policy_id)"""
+latest AS (SELECT policy_id, max(version) AS current_version FROM r GROUP BY policy_id),
+at_version AS (SELECT policy_id, version, arg_max(live, rn) AS live FROM r GROUP BY ALL),
+seen AS (SELECT policy_id, version, unnest(live, recursive := true) FROM at_version),
+intervals AS (SELECT s.policy_id, list, entry_id, value, since AS valid_from,
+                     CASE WHEN max(version) < any_value(current_version) THEN max(version) + 1 END AS valid_to
+              FROM seen s JOIN latest USING (policy_id) GROUP BY s.policy_id, list, entry_id, value, since),
+pointer AS (
+  SELECT coalesce(a.policy_id, 'p0') AS active_policy_id,
+         coalesce((SELECT max(version) FROM r WHERE r.policy_id = a.policy_id AND r.seq > a.seq AND r.accepted AND r.action <> 'activate'),
+                  a.at, 1) AS active_version
+  FROM (SELECT 1) LEFT JOIN (
+    SELECT l.policy_id, l.seq, coalesce(l.pin, r.version) AS at FROM log l JOIN r ON r.policy_id = l.policy_id AND r.rn = l.rn
+    WHERE l.action = 'activate' AND r.accepted ORDER BY l.seq DESC LIMIT 1) a ON true
+)"""
 
 
-def _accepted(spark, sf, with_replace=False):
-    return P.accept_changes(change_log(spark, sf, with_replace))
+def _accepted(spark, sf) -> DataFrame:
+    return P.accept_changes(*change_log(spark, sf))
 
 
-_IV_COLS = "policy_id, list, entry_id, value, CAST(valid_from AS INTEGER) AS valid_from, CAST(valid_to AS INTEGER) AS valid_to"
+def _intervals(spark, sf) -> DataFrame:
+    changes, entries = change_log(spark, sf)
+    return P.entry_intervals(changes, entries, P.accept_changes(changes, entries))
 
 
-def _iv_select(df):
-    return df.select("policy_id", "list", "entry_id", "value", F.col("valid_from").cast("int").alias("valid_from"),
-                     F.col("valid_to").cast("int").alias("valid_to"))
+def policy_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(accepted, intervals), written once for queries that use them often."""
+    changes, entries = change_log(spark, sf)
+    accepted = materialize(P.accept_changes(changes, entries), "policy-changes")
+    return accepted, materialize(P.entry_intervals(changes, entries, accepted), "policy-entries")
 
 
-@register("apply_changes", sql=f"WITH {_log_sql()} SELECT {_IV_COLS} FROM intervals")
+@register("apply_changes", sql=f"{_REPLAY} SELECT policy_id, list, entry_id, value, valid_from, valid_to FROM intervals")
 def apply_changes(spark, sf):
     """V1: entry edits -> validity intervals per entry in version numbers."""
-    return _iv_select(P.entry_intervals(_accepted(spark, sf)))
+    return _intervals(spark, sf)
 
 
-@register("replace_list", sql=f"WITH {_log_sql(True)} SELECT {_IV_COLS} FROM intervals")
+@register("replace_list", sql=f"""
+{_REPLAY}
+SELECT i.policy_id, list, valid_from AS version, count(*) AS n_entries, count(*) FILTER (starts_with(entry_id, 'r_')) AS n_fresh
+FROM intervals i JOIN r ON r.policy_id = i.policy_id AND r.version = i.valid_from AND r.action = 'replace'
+GROUP BY ALL
+""")
 def replace_list(spark, sf):
-    """V2: whole-list replacements close every live entry and open the new list."""
-    return _iv_select(P.entry_intervals(_accepted(spark, sf, with_replace=True)))
+    """V2: what each whole-list replacement put into its list (none, one or
+    two entries, some of them ids that lived before)."""
+    changes, entries = change_log(spark, sf)
+    accepted = P.accept_changes(changes, entries)
+    made = accepted.where("action = 'replace'").select("policy_id", F.col("version").alias("valid_from"))
+    return P.entry_intervals(changes, entries, accepted).join(made, ["policy_id", "valid_from"]).groupBy(
+        "policy_id", "list", F.col("valid_from").alias("version")).agg(
+        F.count(F.lit(1)).alias("n_entries"), F.count_if(F.startswith("entry_id", F.lit("r_"))).alias("n_fresh"))
 
 
 @register("next_version", sql=f"""
-WITH {_log_sql()} SELECT policy_id, seq, accepted, CAST(version AS BIGINT) AS version FROM ver WHERE action <> 'activate'
+{_REPLAY} SELECT policy_id, seq, accepted, CASE WHEN accepted AND action <> 'activate' THEN version END AS version FROM r WHERE rn > 0
 """)
 def next_version(spark, sf):
-    """Each accepted edit gets current + 1; rejected edits get none."""
-    a = _accepted(spark, sf).where(F.col("action") != "activate")
-    return a.select("policy_id", "seq", "accepted", F.col("version").cast("bigint").alias("version"))
+    """Each accepted edit gets current + 1; rejected edits and activations
+    get none."""
+    return _accepted(spark, sf).select("policy_id", "seq", "accepted", "version")
 
 
-@register("latest_version", sql=f"""
-WITH {_log_sql()} SELECT policy_id, current_version, current_version AS n_versions FROM latest
-""")
+@register("latest_version", sql=f"{_REPLAY} SELECT policy_id, current_version, current_version AS n_versions FROM latest")
 def latest_version(spark, sf):
     """Newest version per policy and the number of versions."""
-    return P.latest_versions(_accepted(spark, sf)).select(
-        "policy_id", F.col("current_version").cast("bigint").alias("current_version"),
-        F.col("n_versions").cast("bigint").alias("n_versions"))
-
-
-_HIST_SQL = """
-SELECT 'hist_' || CAST(seq AS VARCHAR) AS event_id, ts AS "timestamp", actor, policy_id, CAST(version AS BIGINT) AS version,
-       CASE WHEN action = 'activate' THEN 'policy_activated' ELSE 'blocklist_entry_' ||
-            CASE action WHEN 'add' THEN 'added' WHEN 'update' THEN 'updated' ELSE 'deleted' END END AS action,
-       CASE WHEN action = 'activate' THEN 'policy' ELSE list END AS target,
-       CASE action WHEN 'add' THEN 'Added blocklist term: ' || value
-                   WHEN 'update' THEN 'Updated blocklist entry ' || entry_id
-                   WHEN 'delete' THEN 'Deleted blocklist entry ' || entry_id
-                   ELSE 'Activated policy ' || policy_id END AS summary
-FROM ver WHERE accepted OR action = 'activate'"""
-
-
-@register("history_filter", sql=f"WITH {_log_sql()} {_HIST_SQL}")
+    return P.latest_versions(_accepted(spark, sf))
+
+
+@register("history_filter", sql=f"""
+{_REPLAY}
+SELECT 'hist_' || CAST(l.seq AS VARCHAR) AS event_id, l.ts AS "timestamp", actor, l.policy_id,
+  CASE WHEN l.action = 'activate' THEN coalesce(pin, version) ELSE version END AS version,
+  CASE l.action WHEN 'activate' THEN 'policy_activated'
+    WHEN 'replace' THEN list || '_replaced'
+    ELSE CASE list WHEN 'blocklist' THEN 'blocklist_entry' WHEN 'prompt_patterns' THEN 'prompt_pattern' ELSE 'golden_set_entry' END
+         || CASE l.action WHEN 'add' THEN '_added' WHEN 'update' THEN '_updated' ELSE '_deleted' END END AS action,
+  CASE WHEN l.action = 'activate' THEN 'policy' ELSE list END AS target,
+  CASE l.action WHEN 'activate' THEN 'Activated policy ' || l.policy_id || ' version ' || CAST(coalesce(pin, version) AS VARCHAR)
+    WHEN 'replace' THEN CASE list WHEN 'blocklist' THEN 'Replaced active blocklist' WHEN 'prompt_patterns' THEN 'Replaced active prompt patterns'
+                        ELSE 'Replaced active golden set' END
+    WHEN 'add' THEN CASE list WHEN 'blocklist' THEN 'Added blocklist term: ' WHEN 'prompt_patterns' THEN 'Added prompt pattern: '
+                    ELSE 'Added golden set entry ' END || value
+    ELSE CASE l.action WHEN 'update' THEN 'Updated ' ELSE 'Deleted ' END || CASE list WHEN 'blocklist' THEN 'blocklist entry '
+         WHEN 'prompt_patterns' THEN 'prompt pattern entry ' ELSE 'golden set entry ' END || entry_id END AS summary
+FROM log l JOIN r ON r.policy_id = l.policy_id AND r.rn = l.rn WHERE accepted AND l.policy_id <> 'p1'
+""")
 def history_filter(spark, sf):
-    """V4: the append-only history (one row per version and per activation);
-    ``policy.history_filter`` narrows it to one policy."""
-    h = P.history_filter(P.history_rows(_accepted(spark, sf)))
-    return h.withColumn("version", F.col("version").cast("bigint"))
+    """V4: the history, one row per version and per activation, of every policy
+    but one, which ``policy.history_filter`` picks out to be left away."""
+    h = P.history_rows(_accepted(spark, sf))
+    return h.join(P.history_filter(h, "p1").select("event_id"), "event_id", "left_anti")
 
 
 @register("version_diff", sql=f"""
-WITH {_log_sql()},
+{_REPLAY},
 pairs AS (SELECT policy_id, current_version // 2 AS old, current_version AS new FROM latest),
 o AS (SELECT i.policy_id, list, entry_id, value FROM intervals i JOIN pairs p ON p.policy_id = i.policy_id
       WHERE valid_from <= old AND coalesce(valid_to, 2147483647) > old),
@@ -179,92 +212,56 @@ WHERE o.value IS NULL OR n.value IS NULL OR o.value <> n.value
 def version_diff(spark, sf):
     """V5: per policy, entries added / removed / changed between the version
     half-way through its history and its current version."""
-    acc = _accepted(spark, sf)
-    pairs = P.latest_versions(acc).select("policy_id", F.floor(F.col("current_version") / 2).cast("int").alias("old"),
-                                          F.col("current_version").cast("int").alias("new"))
-    return P.version_diff(P.entry_intervals(acc), pairs)
-
-
-_POINTER_SQL = """
-pointer AS (
-  SELECT coalesce((SELECT arg_max(policy_id, seq) FROM log WHERE action = 'activate'), 'p0') AS active_policy_id
-)"""
+    changes, entries = change_log(spark, sf)
+    acc = materialize(P.accept_changes(changes, entries), "policy-changes")
+    pairs = P.latest_versions(acc).select("policy_id", F.floor(F.col("current_version") / 2).alias("old"), F.col("current_version").alias("new"))
+    return P.version_diff(P.entry_intervals(changes, entries, acc), pairs)
 
 
-@register("activate", sql=f"""
-WITH {_log_sql()}, {_POINTER_SQL}
-SELECT p.active_policy_id, coalesce(l.current_version, 1) AS active_version
-FROM pointer p LEFT JOIN latest l ON l.policy_id = p.active_policy_id
-""")
+@register("activate", sql=f"{_REPLAY} SELECT active_policy_id, active_version FROM pointer")
 def activate(spark, sf):
-    """V3: the final active pointer (last activation, then every new version
-    of the active policy becomes active at once)."""
-    a = P.active_pointer(_accepted(spark, sf), initial_policy="p0")
-    return a.select("active_policy_id", F.col("active_version").cast("bigint").alias("active_version"))
+    """V3: the final active pointer: the last activation that pinned a version
+    there was, moved on by the policy's later versions."""
+    return P.active_pointer(_accepted(spark, sf), initial_policy="p0")
 
 
 @register("policy_summary", sql=f"""
-WITH {_log_sql()}, {_POINTER_SQL}
+{_REPLAY}
 SELECT l.policy_id, l.current_version, l.policy_id = p.active_policy_id AS is_active,
-       CASE WHEN l.policy_id = p.active_policy_id THEN l.current_version END AS active_version
+       CASE WHEN l.policy_id = p.active_policy_id THEN p.active_version END AS active_version
 FROM latest l, pointer p
 """)
 def policy_summary(spark, sf):
     """Per policy: current version, whether active, the active version."""
-    acc = _accepted(spark, sf)
-    s = P.policy_summary(acc, P.active_pointer(acc, initial_policy="p0"))
-    return s.select("policy_id", F.col("current_version").cast("bigint").alias("current_version"),
-                    F.coalesce("is_active", F.lit(False)).alias("is_active"),
-                    F.col("active_version").cast("bigint").alias("active_version"))
+    acc = materialize(_accepted(spark, sf), "policy-changes")
+    return P.policy_summary(acc, P.active_pointer(acc, initial_policy="p0"))
 
 
 # ------------------------------------------------------------------ J1-J3 on conversation requests
 
-POLICIES = [("default", 2), ("customer-b", 1), ("customer-c", 3)]
-VERSIONS = [("default", 1, "system", "Bootstrapped"), ("default", 2, "admin", "Added blocklist term"),
-            ("customer-b", 1, "admin", "Created from active policy snapshot"),
-            ("customer-c", 1, "admin", "Created from active policy snapshot"),
-            ("customer-c", 2, "admin", "Replaced prompt patterns"),
-            ("customer-c", 3, "admin", "Replaced prompt patterns")]
-# terms per version; an empty list falls back to the runtime list
-VERSION_TERMS = {("default", 1): [], ("default", 2): ["nicht"], ("customer-b", 1): ["customer-b-forbidden"],
-                 ("customer-c", 1): [], ("customer-c", 2): ["über", "with the"], ("customer-c", 3): []}
-POINTER = ("default", 1)
-
-_REQ_SQL = """
+_REQ_SQL = _REPLAY + """,
 req AS (
   SELECT conv_id, turn,
-    CASE turn WHEN 1 THEN 'customer-b' WHEN 2 THEN 'customer-c' WHEN 3 THEN 'missing' WHEN 4 THEN '  ' END AS policy_id,
-    CASE WHEN turn = 4 THEN 'customer-c' END AS meta_policy_id,
-    CASE turn WHEN 2 THEN '2' WHEN 5 THEN '0' WHEN 6 THEN '9' WHEN 7 THEN 'abc' END AS policy_version_text
+    CASE turn WHEN 1 THEN 'p1' WHEN 2 THEN 'p2' WHEN 3 THEN 'missing' WHEN 4 THEN '  ' END AS policy_id,
+    CASE WHEN turn = 4 THEN 'p3' END AS meta_policy_id,
+    CASE turn WHEN 2 THEN '2' WHEN 5 THEN '0' WHEN 6 THEN '900' WHEN 7 THEN 'abc' END AS policy_version_text,
+    CASE WHEN turn = 4 THEN '5' WHEN turn = 2 THEN '7' WHEN turn = 1 AND conv_id % 2 = 0 THEN 'x' END AS meta_version_text
   FROM conversations
 ),
-pol(policy_id, current_version) AS (VALUES ('default', 2), ('customer-b', 1), ('customer-c', 3)),
-vers(policy_id, version, created_by, change_summary) AS (VALUES
-  ('default', 1, 'system', 'Bootstrapped'), ('default', 2, 'admin', 'Added blocklist term'),
-  ('customer-b', 1, 'admin', 'Created from active policy snapshot'),
-  ('customer-c', 1, 'admin', 'Created from active policy snapshot'),
-  ('customer-c', 2, 'admin', 'Replaced prompt patterns'), ('customer-c', 3, 'admin', 'Replaced prompt patterns')),
 r1 AS (
   SELECT *, coalesce(nullif(trim(policy_id), ''), nullif(trim(meta_policy_id), '')) AS pid,
-         TRY_CAST(trim(policy_version_text) AS INTEGER) AS v,
-         policy_version_text IS NOT NULL AND TRY_CAST(trim(policy_version_text) AS INTEGER) IS NULL AS bad
-  FROM req
+         coalesce(policy_version_text, meta_version_text) AS vt FROM req
 ),
 r2 AS (
-  SELECT r1.*, coalesce(pid, 'default') AS tpid, pol.current_version AS cur FROM r1
-  LEFT JOIN pol ON pol.policy_id = coalesce(pid, 'default')
+  SELECT r1.*, coalesce(pid, p.active_policy_id) AS tpid, TRY_CAST(trim(vt) AS INTEGER) AS v, latest.current_version AS cur, p.active_version AS aver
+  FROM r1 CROSS JOIN pointer p LEFT JOIN latest ON latest.policy_id = coalesce(pid, p.active_policy_id)
 ),
 r3 AS (
-  SELECT *, CASE WHEN pid IS NULL AND v IS NULL THEN 1 WHEN v IS NULL OR v = 0 THEN cur ELSE v END AS tver FROM r2
+  SELECT *, CASE WHEN pid IS NULL AND v IS NULL THEN aver WHEN v IS NULL OR v = 0 THEN cur ELSE v END AS tver FROM r2
 ),
 resolved AS (
-  SELECT r3.conv_id, r3.turn,
-    CASE WHEN bad THEN 400 WHEN cur IS NULL THEN 404 WHEN vers.version IS NULL THEN 404 ELSE 200 END AS status,
-    CASE WHEN NOT bad AND cur IS NOT NULL AND vers.version IS NOT NULL THEN tpid END AS applied_policy_id,
-    CASE WHEN NOT bad AND cur IS NOT NULL AND vers.version IS NOT NULL THEN tver END AS applied_version,
-    vers.created_by, vers.change_summary
-  FROM r3 LEFT JOIN vers ON vers.policy_id = r3.tpid AND vers.version = r3.tver
+  SELECT conv_id, turn, CASE WHEN vt IS NOT NULL AND v IS NULL THEN 400 WHEN cur IS NULL OR tver NOT BETWEEN 1 AND cur THEN 404 ELSE 200 END AS status,
+    tpid, tver FROM r3
 )"""
 
 
@@ -273,63 +270,70 @@ def _requests(spark, sf):
     t = F.col("turn")
     return c.select(
         "conv_id", "turn",
-        F.when(t == 1, "customer-b").when(t == 2, "customer-c").when(t == 3, "missing").when(t == 4, "  ")
-        .alias("policy_id"),
-        F.when(t == 4, "customer-c").alias("meta_policy_id"),
-        F.when(t == 2, "2").when(t == 5, "0").when(t == 6, "9").when(t == 7, "abc").alias("policy_version_text"))
-
-
-def _config(spark):
-    pol = spark.createDataFrame(POLICIES, "policy_id string, current_version int")
-    ver = spark.createDataFrame(VERSIONS, "policy_id string, version int, created_by string, change_summary string")
-    return pol, ver
+        F.when(t == 1, "p1").when(t == 2, "p2").when(t == 3, "missing").when(t == 4, "  ").alias("policy_id"),
+        F.when(t == 4, "p3").alias("meta_policy_id"),
+        F.when(t == 2, "2").when(t == 5, "0").when(t == 6, "900").when(t == 7, "abc").alias("policy_version_text"),
+        F.when(t == 4, "5").when(t == 2, "7").when((t == 1) & (F.col("conv_id") % 2 == 0), "x").alias("meta_version_text"))
 
 
 def _resolved(spark, sf):
-    pol, ver = _config(spark)
-    return P.resolve_policy(_requests(spark, sf), pol, ver, POINTER)
+    acc = materialize(_accepted(spark, sf), "policy-changes")
+    return P.resolve_policy(_requests(spark, sf), P.latest_versions(acc), P.active_pointer(acc, "p0"))
 
 
-@register("resolve_policy", sql=f"WITH {_REQ_SQL} SELECT conv_id, turn, status, applied_policy_id, applied_version FROM resolved")
+@register("resolve_policy", sql=f"""
+{_REQ_SQL} SELECT conv_id, turn, status, CASE WHEN status = 200 THEN tpid END AS applied_policy_id,
+  CAST(CASE WHEN status = 200 THEN tver END AS INTEGER) AS applied_version FROM resolved
+""")
 def resolve_policy(spark, sf):
-    """Request-scoped policy (body, then metadata) else active; version
-    pin, 0/none = current, none at all = active version; 404 / 400 rows."""
-    r = _resolved(spark, sf)
-    return r.select("conv_id", "turn", "status", "applied_policy_id", "applied_version")
+    """Request-scoped policy and version (body, then metadata) else active;
+    0 or no version = current, none at all = active version; 404 / 400 rows."""
+    return _resolved(spark, sf).select("conv_id", "turn", "status", "applied_policy_id", "applied_version")
 
 
 @register("version_lookup", sql=f"""
-WITH {_REQ_SQL} SELECT conv_id, turn, applied_version AS version, created_by, change_summary FROM resolved WHERE status = 200
+{_REQ_SQL}
+SELECT conv_id, turn, CAST(tver AS INTEGER) AS version, coalesce(l.actor, 'system') AS created_by
+FROM resolved LEFT JOIN r ON r.policy_id = tpid AND r.version = tver AND r.rn > 0 AND r.accepted AND r.action <> 'activate'
+LEFT JOIN log l ON l.policy_id = r.policy_id AND l.seq = r.seq WHERE status = 200
 """)
 def version_lookup(spark, sf):
     """The version record each resolved request is judged under."""
-    _pol, ver = _config(spark)
-    r = _resolved(spark, sf).where(F.col("status") == 200)
-    v = ver.select(F.col("policy_id").alias("applied_policy_id"), F.col("version").alias("applied_version"),
-                   "created_by", "change_summary")
-    return r.join(F.broadcast(v), ["applied_policy_id", "applied_version"]).select(
-        "conv_id", "turn", F.col("applied_version").alias("version"), "created_by", "change_summary")
+    acc = materialize(_accepted(spark, sf), "policy-changes")
+    ver = acc.where("version is not null").select(
+        F.col("policy_id").alias("applied_policy_id"), F.col("version").alias("applied_version"), "actor")
+    resolved = P.resolve_policy(_requests(spark, sf), P.latest_versions(acc), P.active_pointer(acc, "p0"))
+    return resolved.where("status = 200").join(ver, ["applied_policy_id", "applied_version"], "left").select(
+        "conv_id", "turn", F.col("applied_version").cast("int").alias("version"), F.coalesce("actor", F.lit("system")).alias("created_by"))
 
 
-_TERMS_VALUES = ", ".join(f"('{p}', {v}, {len(ts)})" for (p, v), ts in VERSION_TERMS.items())
+def request_rules(resolved: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The rules of every version that a resolved request is judged under."""
+    used = resolved.where("status = 200").select(F.col("applied_policy_id").alias("policy_id"), F.col("applied_version").alias("version")).distinct()
+    return P.version_rules(intervals, used, DEFAULT_TERMS, DEFAULT_PATTERNS)
 
 
 @register("rule_fallback", sql=f"""
-WITH {_REQ_SQL}, vt(policy_id, version, n) AS (VALUES {_TERMS_VALUES})
-SELECT conv_id, turn, CASE WHEN vt.n > 0 THEN vt.n ELSE {len(DEFAULT_TERMS)} END AS n_terms,
-       CASE WHEN vt.n > 0 THEN 'version' ELSE 'runtime' END AS terms_source
-FROM resolved JOIN vt ON vt.policy_id = resolved.applied_policy_id AND vt.version = resolved.applied_version
-WHERE status = 200
+{_REQ_SQL},
+n AS (SELECT conv_id, turn, count(DISTINCT value) FILTER (i.list = 'blocklist') AS t, count(i.entry_id) FILTER (i.list = 'prompt_patterns') AS p,
+             count(i.entry_id) FILTER (i.list = 'golden_set') AS g
+      FROM resolved LEFT JOIN intervals i ON i.policy_id = tpid AND valid_from <= tver AND coalesce(valid_to, 2147483647) > tver
+      WHERE status = 200 GROUP BY ALL)
+SELECT conv_id, turn, CAST(CASE WHEN t > 0 THEN t ELSE {len(DEFAULT_TERMS)} END AS INTEGER) AS n_terms, CASE WHEN t > 0 THEN 'version' ELSE 'runtime' END AS terms_from,
+       CAST(CASE WHEN p > 0 THEN p ELSE {len(DEFAULT_PATTERNS)} END AS INTEGER) AS n_patterns, CASE WHEN p > 0 THEN 'version' ELSE 'runtime' END AS patterns_from,
+       CAST(g AS INTEGER) AS n_golden
+FROM n
 """)
 def rule_fallback(spark, sf):
-    """A version with an empty term list uses the runtime's list."""
-    rows = [(p, v, ts) for (p, v), ts in VERSION_TERMS.items()]
-    vt = spark.createDataFrame(rows, "applied_policy_id string, applied_version int, terms array<string>")
-    r = _resolved(spark, sf).where(F.col("status") == 200).join(F.broadcast(vt), ["applied_policy_id", "applied_version"])
-    runtime = F.array(*[F.lit(t) for t in DEFAULT_TERMS])
-    eff = P.rule_fallback(F.col("terms"), runtime)
-    return r.select("conv_id", "turn", F.size(eff).alias("n_terms"),
-                    F.when(F.size("terms") > 0, "version").otherwise("runtime").alias("terms_source"))
+    """Each request's rules; a version with no terms or no patterns uses
+    the runtime's, a version with no golden set has none."""
+    accepted, intervals = policy_tables(spark, sf)
+    resolved = P.resolve_policy(_requests(spark, sf), P.latest_versions(accepted), P.active_pointer(accepted, "p0"))
+    resolved = materialize(resolved, "resolved")
+    rules = request_rules(resolved, intervals).withColumnsRenamed({"policy_id": "applied_policy_id", "version": "applied_version"})
+    return resolved.where("status = 200").join(rules, ["applied_policy_id", "applied_version"]).select(
+        "conv_id", "turn", F.size("terms").alias("n_terms"), "terms_from", F.size("patterns").alias("n_patterns"), "patterns_from",
+        F.size("golden").alias("n_golden"))
 
 
 # ------------------------------------------------------------------ V6

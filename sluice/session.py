@@ -92,6 +92,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:10]}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` as Parquet below the shared folder and read it back, where
+    several later steps use it; a lost executor then repeats none of its work."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Session setting: read tables into so many partitions (a round-robin
 #: shuffle).  Unset, scans are split by Spark's own settings; the bench sets it
 #: because its tables are single files of one row group, which can't be split.
