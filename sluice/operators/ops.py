@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..functions.timecols import epoch_micros
 from .ratelimit import rate_limit
 
 # Watchdog defaults.
@@ -32,17 +33,23 @@ def failure_streak(ticks: DataFrame, *, key: str, ts: str, order_id: str, fail:
                    threshold: int = HEALTH_FAIL_THRESHOLD) -> DataFrame:
     """Consecutive failures; every ``threshold``-th one fires and resets.
 
-    Gaps and islands: a success opens a new island (running count of
-    successes), failures are numbered inside it, and a failure fires when
-    its number is a multiple of the threshold - the reset after firing
-    makes the counter periodic, whether or not the restart was allowed.
-    Both windows share one hash partitioning by key (one exchange).
+    A failure's number is the running count of failures less that count at the
+    last success; it fires when the number is a multiple of the threshold -
+    the reset after firing makes the counter periodic, whether or not the
+    restart was allowed.  Both running values are split by day: one row per
+    (key, day) carries them over, and windows span one key's day at most.
     """
-    w = Window.partitionBy(key).orderBy(ts, order_id)
-    island = F.sum(F.when(F.col(fail), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    t = ticks.withColumn("_island", island)
-    rn = F.row_number().over(Window.partitionBy(key, "_island", fail).orderBy(ts, order_id))
-    return t.withColumn("fired", F.col(fail) & ((rn % threshold) == 0)).drop("_island")
+    t = ticks.withColumn("_day", F.floor(epoch_micros(ticks, ts) / 86_400_000_000))
+    day = Window.partitionBy(key, "_day").orderBy(ts, order_id).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_f", F.sum(F.col(fail).cast("int")).over(day))
+    t = t.withColumn("_s", F.max(F.when(~F.col(fail), F.col("_f"))).over(day))
+    per = t.groupBy(key, "_day").agg(F.max("_f").alias("_n"), F.max("_s").alias("_last"))
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    per = per.withColumn("_since", F.coalesce(F.max(F.col("_before") + F.col("_last")).over(before), F.lit(0)))
+    t = t.join(per.select(key, "_day", "_before", "_since"), [key, "_day"])
+    number = F.when(F.col("_s").isNotNull(), F.col("_f") - F.col("_s")).otherwise(F.col("_before") + F.col("_f") - F.col("_since"))
+    return t.withColumn("fired", F.col(fail) & (number % threshold == 0)).drop("_day", "_f", "_s", "_before", "_since")
 
 
 def probe_summary(results: DataFrame, *, run: str, passed: str) -> DataFrame:

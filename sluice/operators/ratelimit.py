@@ -5,23 +5,25 @@ window (age strictly greater than ``window``), reject when ``max`` hits
 remain, otherwise admit and store the hit.  Rejected hits are not stored,
 so a plain range-window count is wrong; the rule is a fold.
 
-Plan (three exchanges, none of which puts a whole hot key in one task
-before the fold):
-
-1. ``(key, bucket = ts // window)`` -> min/max ts.  A partial aggregate, so
-   a key holding a third of all rows still shuffles one row per bucket.
-2. On that compact table, a per-key window marks buckets whose first event
-   is more than ``window`` after the previous event: there every stored hit
-   has expired, the state is empty and the fold can restart.  Running sum
-   -> segment number.  (A gap > window can only start a bucket.)
-3. Events join the bucket table on (key, bucket) to get their segment, are
-   hash-partitioned by (key, segment) - a hot key's segments land in
-   different tasks - sorted within partitions, and folded by a streaming
-   ``mapInPandas`` whose state is at most ``max`` timestamps.  Nothing is
-   collected per group; a segment streams through in Arrow batches.
-
-The remaining sequential unit is one gap-free segment of one key, which the
-rule itself makes sequential.
+Plan:
+
+1. ``(key, bucket = ts // window)`` -> count, min and max time.  A partial
+   aggregate, so a key that holds a third of all rows shuffles one row a bucket.
+2. On that compact table a bucket is *calm* when it and the one before hold at
+   most ``max`` events together: each of its events then sees fewer than
+   ``max`` raw hits in its window and is surely admitted.  So after a calm
+   bucket the stored hits are exactly its events, and the fold can start anew
+   with them as seeds; after an empty bucket or a gap it starts with none.
+   That cuts all traffic that stays below the limit.
+3. Events join the bucket table on (key, bucket) for their segment (and, in a
+   calm bucket, once more as seeds of the next), are dealt by (key, segment),
+   so a hot key's segments land in different tasks, sorted within partitions,
+   and folded by a streaming ``mapInPandas`` whose state is at most ``max``
+   times.  The fold steps from one admitted hit to the next: once the window
+   is full, a sorted search finds the first event late enough, and all before
+   it are refused at once.
+
+What stays sequential is one stretch of one key that is at its limit.
 """
 
 from __future__ import annotations
@@ -40,39 +42,68 @@ from ..functions.timecols import epoch_micros
 MICROS = 1_000_000
 
 
-def segments(events: DataFrame, key: str, t_us: str, window_us: int) -> DataFrame:
-    """(key, bucket, seg) for every occupied bucket of every key."""
+def segments(events: DataFrame, key: str, t_us: str, window_us: int, max_hits: int, cooldown_us: int = 0) -> DataFrame:
+    """(key, bucket, seg, seeds) for every occupied bucket of every key;
+    ``seeds`` is the segment that starts with this bucket's events, if one does."""
     b = events.select(key, t_us, F.floor(F.col(t_us) / window_us).cast("long").alias("bucket"))
-    per = b.groupBy(key, "bucket").agg(F.min(t_us).alias("t_min"), F.max(t_us).alias("t_max"))
+    per = b.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(t_us).alias("t_min"), F.max(t_us).alias("t_max"))
     w = Window.partitionBy(key).orderBy("bucket")
-    prev_t = F.lag("t_max").over(w)
-    starts = (prev_t.isNull() | ((F.col("t_min") - prev_t) > window_us)).cast("int")
-    return per.select(key, "bucket", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("seg"))
+    beside = F.lag("bucket").over(w) == F.col("bucket") - 1
+    gap = F.col("t_min") - F.lag("t_max").over(w)
+    calm = F.col("n") + F.when(beside, F.lag("n").over(w)).otherwise(0) <= max_hits
+    if cooldown_us:
+        calm = calm & (F.col("n") == 1) & (gap.isNull() | (gap >= cooldown_us))
+    per = per.withColumns({"_calm": calm, "_empty": F.coalesce(~beside | (gap > window_us), F.lit(True))})
+    seeded = ~F.col("_empty") & F.lag("_calm").over(w)
+    per = per.withColumn("_seeded", F.coalesce(seeded, F.lit(False)))
+    starts = (F.col("_empty") | F.col("_seeded")).cast("int")
+    per = per.withColumn("seg", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return per.select(key, "bucket", "seg", F.when(F.lead("_seeded").over(w), F.lead("seg").over(w)).alias("seeds"))
+
+
+def fold_times(ts: np.ndarray, hits: deque, window_us: int, max_hits: int, cooldown_us: int = 0) -> np.ndarray:
+    """Refusals of one key's events in order; ``hits`` are the admitted times
+    that still count, kept up to date.  Goes from admitted event to admitted
+    event: the refused ones between are found by sorted search."""
+    out = np.zeros(len(ts), bool)
+    i = 0
+    while i < len(ts):
+        now = int(ts[i])
+        while hits and now - hits[0] > window_us:
+            hits.popleft()
+        j = i
+        if len(hits) >= max_hits:
+            j = int(np.searchsorted(ts, hits[0] + window_us, "right")) if hits else len(ts)
+        elif cooldown_us and hits and now - hits[-1] < cooldown_us:
+            j = int(min(np.searchsorted(ts, hits[-1] + cooldown_us, "left"), np.searchsorted(ts, hits[-1] + window_us, "right")))
+        if j > i:
+            out[i:j] = True
+            i = j
+            continue
+        hits.append(now)
+        i += 1
+    return out
 
 
 def _fold_batches(key: str, window_us: int, max_hits: int, cooldown_us: int = 0):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur = None
-        hits: deque = deque()
+        cur, hits = None, deque()
         for pdf in batches:
-            keys = pdf[key].to_numpy()
-            segs = pdf["_seg"].to_numpy()
+            n = len(pdf)
+            if not n:
+                continue
+            keys, segs, seed = pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf["_seed"].to_numpy(dtype=bool)
             ts = pdf["_t"].to_numpy(dtype=np.int64)
-            out = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                g = (keys[i], segs[i])
-                if g != cur:
-                    cur = g
-                    hits.clear()
-                now = ts[i]
-                while hits and now - hits[0] > window_us:
-                    hits.popleft()
-                if len(hits) >= max_hits or (cooldown_us and hits and now - hits[-1] < cooldown_us):
-                    out[i] = True
-                else:
-                    hits.append(now)
+            out = np.zeros(n, dtype=bool)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (segs[1:] != segs[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, n]):
+                if (keys[lo], segs[lo]) != cur:
+                    cur, hits = (keys[lo], segs[lo]), deque()
+                own = lo + int(seed[lo:hi].sum())  # seeds are older than all others of their segment
+                hits.extend(int(t) for t in ts[lo:own])
+                out[own:hi] = fold_times(ts[own:hi], hits, window_us, max_hits, cooldown_us)
             pdf["limited"] = out
-            yield pdf
+            yield pdf[~seed]
     return run
 
 
@@ -92,12 +123,16 @@ def rate_limit(events: DataFrame, *, key: str, ts: str, order_id: str, window_se
     cols = events.columns
     base = events.withColumn("_t", epoch_micros(events, ts))
     cand = base.where(F.col(eligible)) if eligible else base
-    seg = segments(cand, key, "_t", window_us).withColumnRenamed("seg", "_seg")
-    tagged = cand.withColumn("_bucket", F.floor(F.col("_t") / window_us).cast("long")) \
-        .join(seg.withColumnRenamed("bucket", "_bucket"), [key, "_bucket"]).drop("_bucket")
+    cooldown_us = int(cooldown_seconds) * MICROS
+    seg = segments(cand, key, "_t", window_us, int(max_requests), cooldown_us)
+    seg = seg.select(F.col(key), F.col("bucket").alias("_bucket"), F.filter(F.array(
+        F.struct(F.col("seg").alias("seg"), F.lit(False).alias("seed")), F.when(F.col("seeds").isNotNull(), F.struct(F.col("seeds").alias("seg"), F.lit(True).alias("seed")))),
+        lambda s: s.isNotNull()).alias("_s"))
+    tagged = cand.withColumn("_bucket", F.floor(F.col("_t") / window_us).cast("long")).join(seg, [key, "_bucket"])
+    tagged = tagged.withColumn("_s", F.explode("_s")).select(*cols, "_t", F.col("_s.seg").alias("_seg"), F.col("_s.seed").alias("_seed"))
     ordered = tagged.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_t", order_id)
     schema = T.StructType(list(ordered.schema.fields) + [T.StructField("limited", T.BooleanType())])
-    flagged = ordered.mapInPandas(_fold_batches(key, window_us, int(max_requests), int(cooldown_seconds) * MICROS), schema).select(*cols, "limited")
+    flagged = ordered.mapInPandas(_fold_batches(key, window_us, int(max_requests), cooldown_us), schema).select(*cols, "limited")
     if not eligible:
         return flagged
     rest = events.where(~F.coalesce(F.col(eligible), F.lit(False))).withColumn("limited", F.lit(None).cast("boolean"))

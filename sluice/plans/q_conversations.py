@@ -152,13 +152,13 @@ def phase1_q(spark, sf):
                     p1["detail"].alias("detail"))
 
 
-def conv_decisions(spark, sf, rows: DataFrame | None = None) -> DataFrame:
+def conv_decisions(spark, sf, rows: DataFrame | None = None, keep: list[str] = []) -> DataFrame:
     """F13 evaluate_text: user rows take the input chain, assistant rows the
     output chain, other roles give an error row; one scan, one projection."""
     rows = _canon_rows(spark, sf) if rows is None else rows
     direction = F.when(F.col("role") == "user", "input").when(F.col("role") == "assistant", "output").otherwise("other")
     dec = evaluate(rows, direction, req=CONV_REQ, glob=DEFAULTS, rules=Rules(CONV_RULES.effective()), drop_text=True)
-    return dec.select("conv_id", "turn", "stage", "action", "reason_code", "detail", "reached")
+    return dec.select("conv_id", "turn", "stage", "action", "reason_code", "detail", "reached", *keep)
 
 
 _CONV_IN = chain_sql("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'", "conv_id, turn",

@@ -35,16 +35,28 @@ def stream_rate_limit(spark, sf):
     return spark.read.parquet(S.run_to_sink(out, "stream_rate_limit")).select("event_id", "user_id", "limited")
 
 
-@register("stream_metrics", sql="""
-SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2
+_TS_SQL = "date_trunc('day', TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (conv_id * 11 + turn))"
+
+
+@register("stream_metrics", sql=f"""
+WITH d AS (SELECT *, {_TS_SQL} AS window_start FROM ({_CONV_ALL}))
+SELECT window_start, 'requests' AS counter, '' AS label, count(*) AS n FROM d WHERE action <> 'error' GROUP BY ALL
+UNION ALL SELECT window_start, 'blocks', reason_code, count(*) FROM d WHERE action = 'block' GROUP BY ALL
+UNION ALL SELECT window_start, 'actions', action, count(*) FROM d WHERE action <> 'error' GROUP BY ALL
+UNION ALL SELECT window_start, 'phases', 'phase1', count(*) FROM d WHERE stage = 'input' GROUP BY ALL
+UNION ALL SELECT window_start, p, q, count(*) FROM d, (VALUES ('phases', 'phase2'), ('phases', 'phase3')) v(p, q)
+  WHERE stage IS NOT NULL AND NOT gated GROUP BY ALL
 """)
 def stream_metrics(spark, sf):
-    """Running counters per day and event type (complete mode; the day
-    window is ours - the reference's counters never reset)."""
-    src = S.file_stream(spark, sf, "events")
-    agg = src.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    out = spark.read.parquet(S.run_to_sink(agg, "stream_metrics", mode="complete"))
-    return out.select(F.col("w.start").alias("window_start"), "event_type", "n")
+    """Running counters of the decision stream (requests, blocks by reason,
+    phases, final actions) per day of a derived event time, with a watermark."""
+    src = S.file_stream(spark, sf, "conversations")
+    c = canon(F.col("text"))
+    ts = F.timestamp_seconds(F.lit(1704067200) + 60 * (F.col("conv_id") * 11 + F.col("turn")))
+    rows = src.select("conv_id", "turn", "role", c["text"].alias("text"), c["key"].alias("key"), ts.alias("ts"))
+    dec = conv_decisions(spark, sf, rows=rows, keep=["ts"])
+    out = S.run_to_sink(S.decision_counts(dec, "ts", "366 days", "1 day"), "stream_metrics", mode="update")
+    return S.latest_rows(spark, out, ["window_start", "counter", "label"], "n").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _ticks(df):
@@ -52,11 +64,32 @@ def _ticks(df):
                      ((F.col("event_type") == "error") & (F.col("value") > 25)).alias("log_hit"))
 
 
-@register("stream_guard")
+def _guard_sql(cooldown=120, window=3600, most=6, threshold=3) -> str:
+    """Watchdog replay: the state is the streak and the restarts kept."""
+    us = 1_000_000
+    ok = lambda h: f"(len({h}) < {most} AND (len({h}) = 0 OR t - list_max({h}) >= {cooldown * us}))"
+    return f"""
+WITH RECURSIVE ev AS (
+  SELECT event_id AS rid, user_id AS k, epoch_us(ts) AS t, event_type <> 'error' AS fine, event_type = 'error' AND value > 25 AS log,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+),
+r(k, rn, rid, attempts, restarts, streak, hits) AS (
+  SELECT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0, 0, 0, CAST([] AS BIGINT[]) FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT k, rn, rid, CAST(log AS INTEGER) + CAST(due AS INTEGER), CAST(log AND a AS INTEGER) + CAST(due AND {ok('h1')} AS INTEGER),
+         CASE WHEN due THEN 0 ELSE s END, CASE WHEN due AND {ok('h1')} THEN list_append(h1, t) ELSE h1 END
+  FROM (SELECT *, s >= {threshold} AS due, CASE WHEN log AND a THEN list_append(h0, t) ELSE h0 END AS h1
+        FROM (SELECT *, {ok('h0')} AS a
+              FROM (SELECT e.*, CASE WHEN e.fine THEN 0 ELSE r.streak + 1 END AS s, list_filter(r.hits, lambda h: e.t - h <= {window * us}) AS h0
+                    FROM r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1)))
+)
+SELECT rid AS event_id, k AS user_id, attempts, restarts FROM r WHERE rn > 0"""
+
+
+@register("stream_guard", sql=_guard_sql())
 def stream_guard(spark, sf):
     """T4: watchdog per service (user): log-pattern restarts, then health
-    streaks of 3; shared 120 s cooldown and 6-per-hour budget.  Checked
-    against the batch fold and a plain-Python replay in the tests."""
+    streaks of 3; shared 120 s cooldown and 6-per-hour budget."""
     src = _ticks(S.file_stream(spark, sf, "events"))
     out = S.stream_guard(src, key="user_id", ts="ts", order_id="event_id", ok="ok", log_hit="log_hit")
     return spark.read.parquet(S.run_to_sink(out, "stream_guard")).select("event_id", "user_id", "attempts", "restarts")

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.timecols import epoch_micros
+from ..operators.ratelimit import fold_times
 from ..session import scratch_path
 
 MICROS = 1_000_000
@@ -43,39 +44,58 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | No
     return stream.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
-def run_to_sink(df: DataFrame, name: str, mode: str = "append") -> str:
-    """Drain the stream (availableNow) into a Parquet sink; return its path."""
-    spark = df.sparkSession
-    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    if mode == "complete":
-        def write(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-        q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt) \
-            .trigger(availableNow=True).start()
+def run_to_sink(df: DataFrame, name: str, mode: str = "append", at: str | None = None) -> str:
+    """Drain the stream (availableNow) into a Parquet sink; return its path.
+
+    ``at`` names the folder of sink and checkpoint, to resume a stream that
+    ran there before.  In ``update`` mode each micro-batch's changed rows are
+    kept under its number (column ``epoch``); ``latest_rows`` reads the result.
+    """
+    base = at or scratch_path(df.sparkSession, name)
+    out, ckpt = f"{base}/out", f"{base}/checkpoint"
+    stream = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if mode == "update":
+        def write(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        q = stream.foreachBatch(write).start()
     else:
-        q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt) \
-            .trigger(availableNow=True).start(out)
+        q = stream.format("parquet").start(out)
     q.awaitTermination()
     return out
 
 
+def latest_rows(spark: SparkSession, out: str, keys: list[str], value: str) -> DataFrame:
+    """The last value written per key by an update-mode stream."""
+    return spark.read.parquet(out).groupBy(*keys).agg(F.max_by(value, "epoch").alias(value))
+
+
+def decision_counts(dec: DataFrame, ts: str, late: str, width: str) -> DataFrame:
+    """Running counters of a decision stream per window: requests, blocks by
+    reason, phases and final actions.  Rows later than ``late`` are left out
+    and a window's state is dropped once the watermark has passed it."""
+    k = lambda m, v: F.struct(F.lit(m).alias("counter"), v.cast("string").alias("label"))
+    keys = F.array_compact(F.concat(
+        F.array(F.when(F.col("action") != "error", k("requests", F.lit(""))),
+                F.when((F.col("action") == "block") & F.col("reason_code").isNotNull(), k("blocks", F.col("reason_code"))),
+                F.when(F.col("action") != "error", k("actions", F.col("action")))),
+        F.transform("reached", lambda p: k("phases", p))))
+    rows = dec.withWatermark(ts, late).select(F.window(ts, width).alias("w"), F.explode(keys).alias("k"))
+    return rows.groupBy("w", "k.counter", "k.label").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"), "counter", "label", "n")
+
+
 # ------------------------------------------------------------------ T2: per-key rate-limit state
 
 def _rate_state_fn(window_us: int, max_hits: int, cooldown_us: int = 0):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         hits = deque(state.get[0] if state.exists else [])
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "_rid"], kind="stable")
-        ts = pdf["_t"].to_numpy(dtype=np.int64)
-        out = np.zeros(len(pdf), dtype=bool)
-        for i, now in enumerate(ts):
-            while hits and now - hits[0] > window_us:
-                hits.popleft()
-            if len(hits) >= max_hits or (cooldown_us and hits and now - hits[-1] < cooldown_us):
-                out[i] = True
-            else:
-                hits.append(int(now))
+        # times and ids only: 16 bytes an event of this key and micro-batch
+        parts = [(p["_t"].to_numpy(np.int64), p["_rid"].to_numpy()) for p in pdfs]
+        ts, rid = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((rid, ts))
+        limited = fold_times(ts[order], hits, window_us, max_hits, cooldown_us)
         state.update((list(hits),))
-        yield pd.DataFrame({"_key": [key[0]] * len(pdf), "_rid": pdf["_rid"].to_numpy(), "limited": out})
+        yield pd.DataFrame({"_key": [key[0]] * len(ts), "_rid": rid[order], "limited": limited})
     return fn
 
 

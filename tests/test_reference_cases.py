@@ -82,39 +82,53 @@ def test_pinned_versions(spark):
 def test_scoped_policy_resolution(spark):
     from sluice.operators.policy import resolve_policy
 
-    req = spark.createDataFrame([(1, None, None, None), (2, "customer-b", None, None), (3, "nope", None, None),
-                                 (4, None, None, "0"), (5, None, None, "x")],
-                                "id int, policy_id string, meta_policy_id string, policy_version_text string")
+    req = spark.createDataFrame([(1, None, None, None, None), (2, "customer-b", None, None, None), (3, "nope", None, None, None),
+                                 (4, None, None, "0", "9"), (5, None, None, "x", None), (6, " ", "customer-b", None, "1"), (7, None, None, None, "4")],
+                                "id int, policy_id string, meta_policy_id string, policy_version_text string, meta_version_text string")
     pol = spark.createDataFrame([("default", 3), ("customer-b", 1)], "policy_id string, current_version int")
-    ver = spark.createDataFrame([("default", 1), ("default", 2), ("default", 3), ("customer-b", 1)],
-                                "policy_id string, version int")
-    out = {r.id: (r.status, r.applied_policy_id, r.applied_version)
-           for r in resolve_policy(req, pol, ver, ("default", 2)).collect()}
+    pointer = spark.createDataFrame([("default", 2)], "active_policy_id string, active_version int")
+    out = {r.id: (r.status, r.applied_policy_id, r.applied_version) for r in resolve_policy(req, pol, pointer).collect()}
     assert out[1] == (200, "default", 2)      # active version, older than current
     assert out[2] == (200, "customer-b", 1)
     assert out[3] == (404, None, None)
     assert out[4] == (200, "default", 3)      # version 0 -> current
     assert out[5] == (400, None, None)
+    assert out[6] == (200, "customer-b", 1)   # metadata where the body names none
+    assert out[7] == (404, None, None)
 
 
 def test_entry_edits_make_versions(spark):
-    from sluice.operators.policy import accept_changes, entry_intervals, history_rows
-
-    log = spark.createDataFrame([
-        ("p", 1, "a", "add", "blocklist", "bl_1", "foo"),
-        ("p", 2, "a", "update", "blocklist", "bl_1", "bar"),
-        ("p", 3, "a", "delete", "blocklist", "bl_1", None),
-        ("p", 4, "a", "delete", "blocklist", "bl_1", None),     # already gone -> 404, no version
-        ("p", 5, "a", "update", "blocklist", "bl_9", "zzz"),    # unknown id -> 404
-    ], "policy_id string, seq int, actor string, action string, list string, entry_id string, value string") \
-        .withColumn("ts", F.current_timestamp())
-    acc = accept_changes(log)
-    vers = [r.version for r in acc.orderBy("seq").collect()]
-    assert vers == [2, 3, 4, None, None]
-    hist = [r.action for r in history_rows(acc).orderBy("event_id").collect()]
-    assert hist == ["blocklist_entry_added", "blocklist_entry_updated", "blocklist_entry_deleted"]
-    iv = sorted((r.value, r.valid_from, r.valid_to) for r in entry_intervals(acc).collect())
-    assert iv == [("bar", 3, 4), ("foo", 2, 3)]
+    from sluice.operators.policy import accept_changes, active_pointer, clone_policy, entry_intervals, history_rows
+
+    changes = spark.createDataFrame([
+        ("p", 1, "add", "blocklist", None, "bl_1", "foo", None),
+        ("p", 2, "update", "blocklist", None, "bl_1", "bar", None),
+        ("p", 3, "delete", "blocklist", None, "bl_1", None, None),
+        ("p", 4, "delete", "blocklist", None, "bl_1", None, None),     # already gone -> 404, no version
+        ("p", 5, "update", "blocklist", None, "bl_9", "zzz", None),    # unknown id -> 404
+        ("p", 6, "replace", None, ["blocklist", "golden_set"], None, None, None),  # two terms, no golden item
+        ("p", 7, "update", "blocklist", None, "bl_1", "back", None),   # its id lives again
+        ("p", 8, "activate", None, None, None, None, 2),
+        ("p", 9, "activate", None, None, None, None, 99),              # no such version
+        ("p", 10, "replace", None, ["blocklist"], None, None, None),   # emptied
+    ], "policy_id string, seq bigint, action string, list string, lists array<string>, entry_id string, value string, pin bigint") \
+        .withColumns({"ts": F.current_timestamp(), "actor": F.lit("a")})
+    entries = spark.createDataFrame([("p", 6, "blocklist", "bl_1", "one"), ("p", 6, "blocklist", "bl_2", "two")],
+                                    "policy_id string, seq bigint, list string, entry_id string, value string")
+    acc = accept_changes(changes, entries)
+    assert [r.version for r in acc.orderBy("seq").collect()] == [2, 3, 4, None, None, 5, 6, None, None, 7]
+    hist = [(r.action, r.version) for r in history_rows(acc).orderBy(F.substring("event_id", 6, 9).cast("int")).collect()]
+    assert hist == [("blocklist_entry_added", 2), ("blocklist_entry_updated", 3), ("blocklist_entry_deleted", 4), ("blocklist_replaced", 5),
+                    ("blocklist_entry_updated", 6), ("policy_activated", 2), ("blocklist_replaced", 7)]
+    iv = entry_intervals(changes, entries, acc)
+    assert sorted((r.value, r.valid_from, r.valid_to) for r in iv.collect()) == [("back", 6, 7), ("bar", 3, 4), ("foo", 2, 3), ("one", 5, 6), ("two", 5, 7)]
+    before = acc.where("seq <= 9")
+    pointer = active_pointer(before, "p")
+    assert pointer.first() == ("p", 2)                 # pinned, and not edited since
+    assert active_pointer(acc, "p").first() == ("p", 7)
+    clone = clone_policy(iv, pointer, "q", acc.select("policy_id"))
+    assert [(r.policy_id, r.value, r.valid_from) for r in clone.collect()] == [("q", "foo", 1)]
+    assert clone_policy(iv, pointer, "p", acc.select("policy_id")).count() == 0
 
 
 def test_chat_flattening(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.plans import all_queries
 from sluice.session import table
+from sluice.streaming import pipelines as S
 from sluice.streaming.pipelines import guard_batch, guard_fold
 
 QUERIES, _ = all_queries()
@@ -52,6 +53,61 @@ def test_guard_fold_matches_python():
     assert [(int(a), int(b)) for a, b in zip(t, d)] == [want[i] for i in range(400)]
 
 
+def _in_files(spark, sf, at, n=3):
+    """The events table as n files that overlap in time."""
+    ev = table(spark, sf, "events")
+    for i in range(n):
+        ev.where(F.col("event_id") % n == i).coalesce(1).write.mode("append").parquet(f"{at}/events.parquet")
+        yield
+
+
+def test_streams_over_micro_batches_and_a_restart(spark, sf, tmp_path):
+    """State carries over micro-batches, and a stream that is stopped after
+    some files goes on from its checkpoint."""
+    rate = lambda: S.stream_rate_limit(S.file_stream(spark, str(tmp_path), "events", max_files=1), key="user_id", ts="ts",
+                                       order_id="event_id", window_seconds=86400, max_requests=2)
+    for _ in _in_files(spark, sf, tmp_path):
+        out = S.run_to_sink(rate(), "rate", at=f"{tmp_path}/rate")
+    got = {r.event_id: r.limited for r in spark.read.parquet(out).collect()}
+    once = S.run_to_sink(rate(), "rate", at=f"{tmp_path}/once")
+    assert got == {r.event_id: r.limited for r in spark.read.parquet(once).collect()}
+    rows = [(r.event_id, r.user_id, r.ts) for r in table(spark, sf, "events").collect()]
+    want, state = {}, {}
+    for i in range(3):  # batch by batch, in event time within each
+        for rid, key, t in sorted((r for r in rows if r[0] % 3 == i), key=lambda r: (r[1], r[2], r[0])):
+            hits = state.setdefault(key, [])
+            while hits and (t - hits[0]).total_seconds() > 86400:
+                hits.pop(0)
+            want[rid] = len(hits) >= 2
+            if not want[rid]:
+                hits.append(t)
+    assert got == want
+
+
+def test_one_key_below_the_limit_is_cut_into_segments(spark):
+    import datetime as dt
+
+    from sluice.operators.ratelimit import MICROS, rate_limit, segments
+
+    t0 = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([(i, "k", t0 + dt.timedelta(seconds=7 * i)) for i in range(2000)], "id long, k string, ts timestamp_ntz")
+    per = segments(ev.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))), "k", "_t", 60 * MICROS, 30).collect()
+    assert len({r.seg for r in per}) == len(per) > 200
+    assert rate_limit(ev, key="k", ts="ts", order_id="id", window_seconds=60, max_requests=30).where("limited").count() == 0
+    rng = np.random.default_rng(3)
+    secs = np.cumsum(rng.integers(0, 40, 3000))
+    ev = spark.createDataFrame([(i, "k", t0 + dt.timedelta(seconds=int(x))) for i, x in enumerate(secs)], "id long, k string, ts timestamp_ntz")
+    for most, cool in ((3, 0), (4, 0), (2, 25), (6, 120)):
+        got = {r.id: r.limited for r in rate_limit(ev, key="k", ts="ts", order_id="id", window_seconds=60, max_requests=most, cooldown_seconds=cool).collect()}
+        hits, want = [], {}
+        for i, x in enumerate(secs):
+            hits = [h for h in hits if x - h <= 60]
+            want[i] = len(hits) >= most or bool(cool and hits and x - hits[-1] < cool)
+            if not want[i]:
+                hits.append(x)
+        assert got == want, (most, cool)
+
+
 def test_stream_guard_equals_batch(spark, sf):
     stream = {r.event_id: (r.attempts, r.restarts) for r in QUERIES["stream_guard"](spark, sf).collect()}
     ev = table(spark, sf, "events").select(
