@@ -41,5 +41,18 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts.  Spark's default of 10,000 would hold some
+#: ten MB to some hundred MB in the JVM, on its way, and in the Python worker.
+ARROW_ROWS = 400
+
+
+def map_texts(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` for rows that hold whole texts, in small batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > ARROW_ROWS:
+        conf.set(key, ARROW_ROWS)
+    return df.mapInArrow(fn, schema)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")

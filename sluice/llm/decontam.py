@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .words import letter_words, ngram_hashes
 
 N = 5
@@ -147,7 +148,7 @@ def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
-    got = docs.select("text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    got = map_texts(docs.select("text"), count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
     return {r["seed"]: r["n"] for r in got}
 
 
@@ -178,7 +179,7 @@ def judge(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: in
                 [part.column("doc_id"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
                 ["doc_id", "score", "item_id", "n_items"])
 
-    out = df.mapInArrow(batches, kind)
+    out = map_texts(df, batches, kind)
     return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", F.col("score") + F.lit(0.0), "n_items").toDF(
         "doc_id", "contaminated", "item_id", "score", "n_items")
 
@@ -192,4 +193,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         for part in parts:
             yield part.filter(pa.array([not any(s >= threshold for b in blocks for s, _ in b.judge(t.as_py())) for t in part.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_texts(docs, keep, docs.schema)

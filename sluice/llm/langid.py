@@ -26,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 DIM = 512
+#: Letters of one label that a training task counts at a time.
+CODES = 1 << 19
 HELD_OUT = 2
 #: At this cosine or below a text fits no profile (the pipeline rejects it).
 MIN_SCORE = 0.0
@@ -85,18 +89,28 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
     def sums(parts):
         total: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        size: dict[str, int] = {}
+
+        def add(lang):
+            grams, counts = trigrams(np.concatenate(held.pop(lang)))
+            total[lang] = total.get(lang, np.zeros(DIM, np.int64)) + _exact_bundle(grams, counts)
+            size[lang] = 0
+
         for part in parts:
-            texts: dict[str, list] = {}
             for text, lang in zip(part.column("text"), part.column("lang")):
-                texts.setdefault(lang.as_py(), []).append(letter_codes(text.as_py()))
-            for lang, codes in texts.items():
-                grams, counts = trigrams(np.concatenate(codes))
-                total[lang] = total.get(lang, np.zeros(DIM, np.int64)) + _exact_bundle(grams, counts)
+                lang, codes = lang.as_py(), letter_codes(text.as_py())
+                held.setdefault(lang, []).append(codes)
+                size[lang] = size.get(lang, 0) + len(codes)
+                if size[lang] >= CODES:
+                    add(lang)
+        for lang in list(held):
+            add(lang)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    rows = rows.mapInArrow(sums, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
+    rows = map_texts(rows, sums, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
     out: dict[str, np.ndarray] = {}
     for r in rows.groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():
         out.setdefault(r["lang"], np.zeros(DIM))[r["i"]] = r["x"]
@@ -143,7 +157,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             )
 
     df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return df.mapInArrow(batches, "doc_id bigint, lang_pred string, score double")
+    return map_texts(df, batches, "doc_id bigint, lang_pred string, score double")
 
 
 def held_out():
@@ -166,4 +180,4 @@ def with_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
             got = (judge(t.as_py()) for t in part.column(at))
             yield part.filter(pa.array([label != "und" and score > min_score for label, score in got], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_texts(docs, keep, docs.schema)

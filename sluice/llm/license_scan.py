@@ -26,6 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_texts
 from .license_rules import BASE, KINDS, RULES
 from .words import letter_words
 
@@ -118,4 +119,4 @@ def scan(docs: DataFrame) -> DataFrame:
             )
 
     df = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    return df.mapInArrow(batches, "doc_id bigint, n_words bigint, detections array<struct<first: bigint, end: bigint, label: string, confidence: double, base: boolean>>")
+    return map_texts(df, batches, "doc_id bigint, n_words bigint, detections array<struct<first: bigint, end: bigint, label: string, confidence: double, base: boolean>>")

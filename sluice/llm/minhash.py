@@ -13,11 +13,15 @@ pairs of a key's bucket are looked at, without ever listing all pairs:
 
 1. Turns of stars: in each bucket whose members aren't all in one component,
    one member, another in each turn, is compared with all others.
-2. The rest: between nodes of different components that still share a bucket.
-   A node's private shingles (no other of these nodes has them) bound its
-   similarity to any other set: with n shingles of which u are private, it
-   can only link with a set of at most (n - u) / s - u shingles, s being the
-   threshold.  The pairs that both sides' bounds allow are compared.
+2. The rest, between nodes of different components that still share a bucket.
+   Shingles that at most RARE of these nodes have are rare.  Of the shingles
+   of a set, ordered by how many of these nodes have them, the first
+   n - s n + 1 (s being the threshold) must hold one that any linked set has
+   among its own first; so where these are all rare, joining on the rare ones
+   among them finds every link, in at most RARE rows a shingle.  Nodes with
+   fewer rare shingles, r, can link without sharing one only with sets of at
+   most (n - r) / s - r shingles; pairs of such nodes that both sides' bounds
+   allow are compared where they share a bucket.
 
 Step 2 leaves out only pairs that can't link, so what remains of chance is
 the banding: a pair at exactly 0.85 shares no key with probability 0.001
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, id_key, materialize
+from .common import LAST_ID, id_key, materialize, slices
 from .graph import components
 from .words import WordHashes, blank_words, ngram_hashes
 
@@ -47,6 +51,8 @@ SHINGLE, PERCENT = 3, 85
 HALVES, ROWS, AGREE = 8, 3, 30
 MINHASHES = 2 * HALVES * ROWS
 TURNS = 2
+#: Nodes that a rare shingle has at most.
+RARE = 16
 _BITS = 25  # of each minhash that is kept, below its number
 _WORDS = WordHashes()
 
@@ -80,7 +86,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     text), ``n``, ``node`` (hash of the set, null if empty), ``sig``."""
 
     def batches(parts):
-        for part in parts:
+        for part in slices(parts):
             n, node, sig = [], [], []
             for t in part.column("text"):
                 s = shingle_set(t.as_py(), size)
@@ -140,7 +146,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     of each."""
 
     def batches(parts):
-        for part in parts:
+        for part in slices(parts):
             sets = [shingle_set(t.as_py(), size).view(np.int64) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
@@ -166,23 +172,28 @@ def _stars(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(lead, "key").where("label <> _l").select("x", F.col("node").alias("y"))
 
 
-def _bounded_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open buckets, of different labels, that the bounds by private
-    shingles allow."""
-    some = rows.select("node").distinct()
-    shingles = sets.join(some, "node").select("node", F.explode("set").alias("s"))
-    private = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
-    private = private.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    facts = some.join(nodes.select("node", "n"), "node").join(private, "node", "left").select(
-        "node", "n", F.coalesce("u", F.lit(0)).alias("u"))
-    # what 100 (n - u) >= percent (m + u) allows for the other set's size m
-    facts = facts.withColumn("most", F.floor((100 * (F.col("n") - F.col("u"))) / percent).cast("bigint") - F.col("u"))
-    facts = facts.where(100 * F.col("most") >= percent * F.col("n"))
-    rows = materialize(rows.join(facts, "node"), "open-rows")
-    a, b = (rows.select("key", *(F.col(c).alias(c + s) for c in ("node", "label", "n", "most"))) for s in "12")
-    return a.join(b, "key").where(
-        "node1 < node2 and label1 <> label2 and n2 <= most1 and n1 <= most2"
-        f" and {percent} * greatest(n1, n2) <= 100 * least(n1, n2)").select(F.col("node1").alias("x"), F.col("node2").alias("y"))
+def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different labels that can still link (step 2)."""
+    some = rows.select("node", "label").distinct()
+    shingles = sets.join(some.select("node"), "node").select("node", F.explode("set").alias("s"))
+    rare = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
+    first = shingles.join(rare, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("rare"))
+    facts = some.join(nodes.select("node", "n"), "node").join(first, "node", "left")
+    facts = facts.withColumn("r", F.coalesce(F.size("rare"), F.lit(0)).cast("bigint"))
+    facts = facts.withColumn("p", F.floor((100 - percent) * F.col("n") / 100) + 1)
+    # what 100 (n - r) >= percent (m + r) allows for the other set's size m
+    facts = facts.withColumn("most", F.floor((100 * (F.col("n") - F.col("r"))) / percent) - F.col("r"))
+    facts = materialize(facts.withColumn("first", F.slice("rare", F.lit(1), F.col("p").cast("int"))).drop("rare"), "facts")
+
+    def pairs(of, by, also=""):
+        a, b = (of.select(by, *(F.col(c).alias(c + i) for c in ("node", "label", "n", "most"))) for i in "12")
+        return a.join(b, by).where(f"node1 < node2 and label1 <> label2 and {percent} * greatest(n1, n2) <= 100 * least(n1, n2) {also}").select(
+            F.col("node1").alias("x"), F.col("node2").alias("y"))
+
+    shared = pairs(facts.select("*", F.explode("first").alias("e")).where("e.c > 1").withColumn("s", F.col("e.s")), "s")
+    common = facts.where(f"r < p and 100 * most >= {percent} * n").drop("label")
+    common = _open(rows.join(common, "node"))
+    return shared.union(pairs(common, "key", "and n2 <= most1 and n1 <= most2"))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, turns: int = TURNS) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +211,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, turns:
         rest = materialize(_open(_labelled(found, labels)), "open")
         if not rest.limit(1).count():
             break
-        pairs = _stars(rest, turn) if turn < turns else _bounded_pairs(rest, sets, nodes, percent)
+        pairs = _stars(rest, turn) if turn < turns else _last_pairs(rest, sets, nodes, percent)
         new = verify.links(pairs)
         links = new if links is None else links.union(new)
         labels = components(links)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, materialize
+from .common import id_key, materialize, map_texts
 from .words import mixed
 
 WINDOW, GRAM = 400, 100
@@ -51,10 +51,11 @@ LEFT = WINDOW - GRAM
 FILL = b"\xff"
 #: Entries of a sorted run and (about) of a merged range; occurrences from
 #: which a gram is hot; group size up to which pairs are compared one by one.
-RUN, RANGE, HOT, SMALL = 50_000, 50_000, 50_000, 24
-PIECE = 1 << 20
+RUN, RANGE, HOT, SMALL = 8_000, 12_000, 20_000, 24
+PIECE = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _BYTE = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -96,7 +97,7 @@ def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nda
         low = np.minimum(back[:n], ahead[span - 1 : span - 1 + n])
         p = np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         places.append(p + at)
-        hashes.append(h[p])
+        hashes.append(mixed(h[p] ^ _OTHER))  # anchors have small hashes; these are spread evenly
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     p, first = np.unique(np.concatenate(places), return_index=True)
@@ -272,7 +273,7 @@ def _surveyed(docs: DataFrame) -> DataFrame:
                 pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))],
                 ["id", "t", "n_bytes", "sha", "p", "g"])
 
-    return _texts(docs).mapInArrow(batches, "id bigint, t bigint, n_bytes bigint, sha string, p array<int>, g array<bigint>")
+    return map_texts(_texts(docs), batches, "id bigint, t bigint, n_bytes bigint, sha string, p array<int>, g array<bigint>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -314,7 +315,7 @@ def _sorted_runs(rows: DataFrame, parts: int) -> DataFrame:
                     found, n = {}, 0
         yield from (pa.RecordBatch.from_pylist([r], kind) for r in code(found))
 
-    return rows.mapInArrow(batches, _RUN)
+    return map_texts(rows, batches, _RUN)
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -347,7 +348,7 @@ def _hot_windows(rows: DataFrame) -> DataFrame:
                     [pa.array([d.as_py()] * n, pa.int64()), pa.array([t.as_py()] * n, pa.int64()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())],
                     ["id", "t", "lo", "h"])
 
-    windows = materialize(rows.mapInArrow(batches, "id bigint, t bigint, lo int, h binary"), "hot-windows")
+    windows = materialize(map_texts(rows, batches, "id bigint, t bigint, lo int, h binary"), "hot-windows")
     twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     return windows.join(twice, "h").select("id", "t", "lo", (F.col("lo") + WINDOW).alias("hi"))
 
@@ -394,8 +395,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string()), pa.array([g[0] for g in got], pa.binary())],
                 ["id", "t", "n_removed", "n_spans", "new", "kept"])
 
-    changed = texts.select("id", "t", "text").dropDuplicates(["id", "t"]).join(found, ["id", "t"]).mapInArrow(
-        batches, "id bigint, t bigint, n_removed bigint, n_spans bigint, new string, kept binary")
+    changed = texts.select("id", "t", "text").dropDuplicates(["id", "t"]).join(found, ["id", "t"])
+    changed = map_texts(changed, batches, "id bigint, t bigint, n_removed bigint, n_spans bigint, new string, kept binary")
     out = rows.select("id", "t", "n_bytes", "sha").join(changed, ["id", "t"], "left")
     zero = F.lit(0).cast("bigint")
     return out.select("id", "t", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
