@@ -115,7 +115,9 @@ def languages(spark, sf_dir):
 
 @_query("op8_decontaminate")
 def contamination(spark, sf_dir):
-    return decontam.judge(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    """The contaminated documents, each with its best item and score."""
+    found = decontam.judge(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.where("contaminated").drop("contaminated")
 
 
 @_query("op9_url_filter")
