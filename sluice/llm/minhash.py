@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, id_key, materialize, slices
+from .common import LAST_ID, id_key, materialize, map_texts
 from .graph import components
 from .words import WordHashes, blank_words, ngram_hashes
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     text), ``n``, ``node`` (hash of the set, null if empty), ``sig``."""
 
     def batches(parts):
-        for part in slices(parts):
+        for part in parts:
             n, node, sig = [], [], []
             for t in part.column("text"):
                 s = shingle_set(t.as_py(), size)
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 ["id", "t", "n", "node", "sig"])
 
     df = docs.select(id_key(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("t"), "text")
-    return df.mapInArrow(batches, "id bigint, t bigint, n bigint, node bigint, sig array<int>")
+    return map_texts(df, batches, "id bigint, t bigint, n bigint, node bigint, sig array<int>")
 
 
 def _small_hashes(first: int) -> Column:
@@ -146,12 +146,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     of each."""
 
     def batches(parts):
-        for part in slices(parts):
+        for part in parts:
             sets = [shingle_set(t.as_py(), size).view(np.int64) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
     rows = docs.select(id_key(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("t"), "text").join(wanted, ["id", "t"])
-    return materialize(rows.select("node", "text").mapInArrow(batches, "node bigint, set array<bigint>"), "sets").dropDuplicates(["node"])
+    return materialize(map_texts(rows.select("node", "text"), batches, "node bigint, set array<bigint>"), "sets").dropDuplicates(["node"])
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -185,15 +185,17 @@ def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int
     facts = facts.withColumn("most", F.floor((100 * (F.col("n") - F.col("r"))) / percent) - F.col("r"))
     facts = materialize(facts.withColumn("first", F.slice("rare", F.lit(1), F.col("p").cast("int"))).drop("rare"), "facts")
 
-    def pairs(of, by, also=""):
-        a, b = (of.select(by, *(F.col(c).alias(c + i) for c in ("node", "label", "n", "most"))) for i in "12")
-        return a.join(b, by).where(f"node1 < node2 and label1 <> label2 and {percent} * greatest(n1, n2) <= 100 * least(n1, n2) {also}").select(
-            F.col("node1").alias("x"), F.col("node2").alias("y"))
-
-    shared = pairs(facts.select("*", F.explode("first").alias("e")).where("e.c > 1").withColumn("s", F.col("e.s")), "s")
+    fits = f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and a.label <> b.label"
+    # nodes of each rare shingle, RARE at most; many shingles have the same, which count once
+    held = facts.select(F.explode("first").alias("e"), F.struct("node", "label", "n").alias("f")).where("e.c > 1")
+    held = held.groupBy("e.s").agg(F.sort_array(F.collect_list("f")).alias("l")).where(F.size("l") > 1).select("l").distinct()
+    shared = held.select(F.explode(F.expr(
+        f"flatten(transform(l, (a, i) -> transform(filter(slice(l, i + 2, size(l)), b -> {fits}), b -> struct(a.node as x, b.node as y))))")).alias("p"))
     common = facts.where(f"r < p and 100 * most >= {percent} * n").drop("label")
     common = _open(rows.join(common, "node"))
-    return shared.union(pairs(common, "key", "and n2 <= most1 and n1 <= most2"))
+    a, b = (common.select("key", F.struct("node", "label", "n", "most").alias(c)) for c in "ab")
+    allowed = a.join(b, "key").where(f"a.node < b.node and {fits} and b.n <= a.most and a.n <= b.most")
+    return shared.select("p.x", "p.y").union(allowed.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, turns: int = TURNS) -> tuple[DataFrame, DataFrame]:
