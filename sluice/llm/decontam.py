@@ -1,18 +1,16 @@
 """Operator 8: benchmark decontamination.
 
 Test items are cut into runs of N words, the seeds.  One pass over the
-documents counts in how many each seed occurs; an item keeps its rarer half
-(all seeds up to its median count, so an item that is copied everywhere still
-keeps seeds).  A second pass finds the kept seeds in each text, lines up the
-text around them with the item by Smith-Waterman on words, and scores the
-alignment as a share of the item's best possible score, so copies with words
-changed, added or left out still score high.  A document is contaminated if
-an item scores THRESHOLD or more.
+documents finds the seeds in each text, lines up the text around them with the
+item by Smith-Waterman on words, and scores the alignment as a share of the
+item's best possible score, so copies with words changed, added or left out
+still score high.  All seeds of an item count, so every copy that keeps one
+run of N words is aligned; one that keeps none is not seen.  A document is
+contaminated if an item scores THRESHOLD or more.
 
 Items are read in blocks of at most BLOCK_WORDS words (their size is checked
-first); a block's seeds are what the tasks get in their closure, and all
-blocks are judged in the second pass.  Documents are never shuffled; only (seed, count)
-sums are.
+first); the blocks are what the tasks get in their closure.  Documents are
+never shuffled.
 
 Defined cases: null or blank text is clean; items that are null or have fewer
 than N words can't be told from chance and are never matched; an item text
@@ -58,7 +56,6 @@ class Items:
         self.at, self.item = at[order], item[order]
         self.seeds, self.start = np.unique(flat[order], return_index=True)
         self.start = np.append(self.start, len(flat))
-        self.keep = np.ones(len(flat), bool)  # by (seed, place)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -79,24 +76,13 @@ class Items:
         true = self.seeds[seed] == grams
         return codes, places[true], seed[true]
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Of each item the seeds up to its median count."""
-        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.start))
-        count = np.array([counts.get(int(s), 0) for s in range(len(self.seeds))], np.int64)[seed] if len(seed) else np.zeros(0, np.int64)
-        order = np.lexsort((count, self.item))
-        first = np.searchsorted(self.item[order], np.arange(len(self.words)))
-        size = np.bincount(self.item, minlength=len(self.words)) if len(self.item) else np.zeros(0, np.int64)
-        median = count[order][first + (size - 1) // 2] if len(size) else np.zeros(0, np.int64)
-        self.keep = count <= median[self.item] if len(seed) else self.keep
-
     def judge(self, text: str | None) -> list[tuple[float, int]]:
-        """(score, item id) of the items with a kept seed in the text."""
+        """(score, item id) of the items with a seed in the text."""
         codes, places, seeds = self.hits(text)
         spots: dict[int, set[int]] = {}
         for p, s in zip(places.tolist(), seeds.tolist()):
             for e in range(self.start[s], self.start[s + 1]):
-                if self.keep[e]:
-                    spots.setdefault(int(self.item[e]), set()).add(p - int(self.at[e]))
+                spots.setdefault(int(self.item[e]), set()).add(p - int(self.at[e]))
         out = []
         for item, begins in spots.items():
             words, best = self.words[item], 0.0
@@ -136,34 +122,12 @@ def item_blocks(items: DataFrame, n: int = N, block_words: int = BLOCK_WORDS):
         yield Items([(r["item_id"], r["text"]) for r in part.collect()], n)
 
 
-def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """seed number -> documents that hold it, over all documents; at most one
-    row a seed reaches the driver."""
-
-    def count(parts):
-        total = np.zeros(len(items.seeds), np.int64)
-        for part in parts:
-            for t in part.column("text"):
-                total[np.unique(items.hits(t.as_py())[2])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
-
-    got = map_texts(docs.select("text"), count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    return {r["seed"]: r["n"] for r in got}
-
-
-def rare_blocks(docs: DataFrame, items: DataFrame, n: int = N, block_words: int = BLOCK_WORDS):
-    for block in item_blocks(items, n, block_words):
-        block.keep_rare(seed_counts(docs, block))
-        yield block
-
-
 def judge(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id, contaminated,
     item_id, score, n_items``: the best item (null without a seed), its score,
     and how many items reach the threshold."""
     kind = "doc_id bigint, score double, item_id bigint, n_items bigint"
-    blocks = list(rare_blocks(docs, items, n, block_words))
+    blocks = list(item_blocks(items, n, block_words))
     df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def batches(parts):
@@ -186,7 +150,7 @@ def judge(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: in
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that no item reaches the threshold in."""
-    blocks = list(rare_blocks(docs, items, n, block_words))
+    blocks = list(item_blocks(items, n, block_words))
     at = docs.columns.index("text")
 
     def keep(parts):

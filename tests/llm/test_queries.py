@@ -111,6 +111,19 @@ def test_edited_leaks_score_high(spark):
     assert not any(got[i].contaminated for i in (*range(100, 140), 200))
 
 
+@pytest.mark.parametrize("size,edits", [(20, 3), (30, 4), (40, 5), (60, 8)])
+def test_single_edited_copy_is_found(spark, size, edits):
+    """The only copy of an item in the corpus, with spread edits, and half a copy."""
+    item = [f"item{i}" for i in range(size)]
+    changed = list(item)
+    for k in range(edits):
+        changed[(2 * k + 1) * size // (2 * edits)] = "other"
+    for copy in (changed, item[: (size + 1) // 2]):
+        rows = [(1, " ".join(["before"] * 30 + copy + ["after"] * 30)), (2, "before " * 60)]
+        got = decontam.judge(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).where("contaminated").collect()
+        assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)]
+
+
 def test_alignment_equals_the_plain_table():
     rng = np.random.default_rng(5)
     for _ in range(50):
