@@ -150,6 +150,38 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def judged_urls(spark, branches, fill=0):
+    """(path, pages, bad pages) on host h -> path -> (template, verdict, bad rate)."""
+    pages, labels = [], []
+    for path, n, bad in branches:
+        for k in range(n):
+            i = len(pages) + 1
+            pages.append((i, f"http://h/{path}/{i}"))
+            labels.append((i, int(k < bad)))
+    for k in range(fill):  # another host, three in ten bad
+        i = len(pages) + 1
+        pages.append((i, f"http://other/{i}"))
+        labels.append((i, int(k % 10 < 3)))
+    out = url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "key bigint, bad int"), ())
+    return {r.path.rsplit("/", 1)[0][1:]: (r.template, r.verdict, r.bad_rate) for r in out.where("host = 'h'").collect()}
+
+
+def test_url_branches_merge_level_by_level(spark):
+    """Alike branches below /a, and then /a and /b, are one; /c differs."""
+    got = judged_urls(spark, [("a/x", 30, 3), ("a/y", 30, 2), ("b", 30, 3), ("c", 30, 29)], 100)
+    assert {k: v[1] for k, v in got.items()} == {"a/x": "allow", "a/y": "allow", "b": "allow", "c": "block"}
+    assert got["a/x"][2] == got["a/y"][2] == got["b"][2] < got["c"][2]
+    base = (8 + 29 + 30 + 1) / (220 + 2)
+    assert got["b"][2] == pytest.approx((8 + 10 * base) / (90 + 10))
+
+
+def test_url_rate_is_smoothed_once(spark):
+    """A host's only template has no siblings that vouch for it."""
+    got = judged_urls(spark, [("a", 2, 2)], 1000)
+    base = (302 + 1) / (1002 + 2)
+    assert got["a"][1:] == ("allow", pytest.approx((2 + 10 * base) / 12))
+
+
 def test_line_dedup(docs, none):
     got = [(r.row.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.drop_lines(docs).collect()]
     same(got, [(i, *w) for i, w in zip(IDS, brute.line_dedup([(i, t) for i, t, _, _ in ROWS]))])
