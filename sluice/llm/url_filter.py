@@ -1,6 +1,6 @@
 """Operator 9: URL filter by path-template tree (DataFrame functions only).
 
-Per host the paths form a tree of their first DEPTH segments.  Segments that look
+Per host the paths form a tree of segments, of any depth.  Segments that look
 variable (numbers, long hex, ids with digits) become wildcards at once; so
 does every child of a branch point with many children and few pages for each.
 The tree is built a level at a time; a path that is alone below a branch point
@@ -45,7 +45,6 @@ MANY_CHILDREN, MIN_PAGES_PER_CHILD = 20, 3
 MERGE_Z = 1.96
 #: Pseudo-counts of the smoothing, and the smoothed bad rate that rejects.
 PRIOR_WEIGHT, REJECT_AT = 10, 0.5
-DEPTH = 3
 
 
 def host_of(url: Column) -> Column:
@@ -69,7 +68,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def segments(path: Column) -> Column:
     """The path's segments, generalised; empty ones are left out."""
-    some = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH)
+    some = F.filter(F.split(path, "/"), lambda s: s != "")
     return F.transform(some, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 

@@ -182,6 +182,12 @@ def test_url_rate_is_smoothed_once(spark):
     assert got["a"][1:] == ("allow", pytest.approx((2 + 10 * base) / 12))
 
 
+def test_url_branches_below_three_segments(spark):
+    got = judged_urls(spark, [("a/b/c/good", 20, 0), ("a/b/c/spam", 20, 20), ("a/b/c/d/e/f/good", 20, 0), ("a/b/c/d/e/f/spam/x", 20, 20)], 100)
+    assert {k: v[1] for k, v in got.items()} == {k: "block" if "spam" in k else "allow" for k in got} and len(got) == 4
+    assert got["a/b/c/d/e/f/spam/x"][0] == "/a/b/c/d/e/f/spam/x/*"
+
+
 def test_line_dedup(docs, none):
     got = [(r.row.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.drop_lines(docs).collect()]
     same(got, [(i, *w) for i, w in zip(IDS, brute.line_dedup([(i, t) for i, t, _, _ in ROWS]))])
