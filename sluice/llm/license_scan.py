@@ -43,8 +43,9 @@ def compiled():
         gates.setdefault(phrase, []).append(len(rules))
         rules.append((label, BASE_PRIORITY, BASE_CONFIDENCE, True, re.compile(rf"(?<![^ ])(?={phrase}(?![^ ]))")))
     for line in RULES.strip().splitlines():
-        label, kind, keyword, regex = line.split(" | ")
-        gates.setdefault(keyword, []).append(len(rules))
+        label, kind, keywords, regex = line.split(" | ")
+        for keyword in keywords.split("; "):
+            gates.setdefault(keyword, []).append(len(rules))
         rules.append((label, *KINDS[kind], False, re.compile(rf"(?<![^ ])(?:{regex})(?![^ ])")))
     auto = ahocorasick.Automaton()
     for keyword, ids in gates.items():

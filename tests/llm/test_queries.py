@@ -1,6 +1,7 @@
 """The registered queries: against their SQL, against plain versions on the
 whole small tables, and on groups made to be hard."""
 
+import itertools
 import random
 
 import brute
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, decontam, minhash, suffix_dedup
+from sluice.llm import ann, decontam, license_rules, license_scan, minhash, suffix_dedup
 from sluice.llm.queries import ORACLE, QUERIES
 from sluice.session import TABLES
 
@@ -44,6 +45,47 @@ def test_licenses(spark, sf, docs):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def expansions(tree):
+    """Texts a rule's parsed regex matches: all branches and options, \0 for
+    a class of many characters, repetitions none, once and as often as three."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            some = [chr(v) for _, v in arg]
+        elif op in ("IN", "NOT_LITERAL"):
+            some = ["\0"]
+        elif op == "SUBPATTERN":
+            some = expansions(arg[3])
+        elif op == "BRANCH":
+            some = [x for b in arg[1] for x in expansions(b)]
+        else:
+            assert op == "MAX_REPEAT", op
+            low, high, part = arg
+            some = ["".join(x) for k in {low, min(low + 1, high), min(high, 3)} for x in itertools.product(expansions(part), repeat=k)]
+        out = [o + x for o in out for x in some]
+    return set(out)
+
+
+def test_rules_pass_their_own_gate():
+    from re import _parser
+
+    for line in license_rules.RULES.strip().splitlines():
+        label, _, keywords, regex = line.split(" | ")
+        if regex != "published by the free software foundation version 2":
+            for text in expansions(_parser.parse(regex)):
+                assert any(k in text for k in keywords.split("; ")), (label, text)
+
+
+def test_license_spellings():
+    for text, label in (("GNU General Public Licence version 3", "gpl-3"), ("Apache Licence 2.0", "apache-2"), ("released under the MIT Licence", "mit"),
+                        ("European Union Public License 1.2", "eupl-1.2"), ("bsd style license", "bsd"), ("zlib/libpng license", "zlib"),
+                        ("PNG Reference Library License", "libpng"), ("FreeType License", "freetype")):
+        assert label in {d[2] for d in license_scan.detect(text)[1]}, text
+
+
 def test_secrets(spark, sf, docs):
     for r in QUERIES["op2_secret_scan"](spark, sf).collect():
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute.secret_base(docs[r.doc_id].text)
