@@ -24,10 +24,12 @@ pairs of a key's bucket are looked at, without ever listing all pairs:
    allow are compared where they share a bucket.
 
 Step 2 leaves out only pairs that can't link, so what remains of chance is
-the banding: a pair at exactly 0.85 shares no key with probability 0.001
-(one link; a component mostly has several), more similar pairs less.  Before
-sets are compared, pairs with fewer than AGREE equal minhashes are dropped,
-which a pair at 0.85 suffers with probability 3e-5.
+the banding: HALVES is the least with which a pair exactly at the threshold
+shares no key with probability MISS at most (one link; a component mostly has
+several), more similar pairs less.  Before sets are compared, pairs with fewer
+than AGREE equal minhashes are dropped, which a pair at the threshold suffers
+with probability DROP at most.  ``banding`` gives both for a threshold: 8 and
+30 at 0.85, 11 and 39 at 0.80.
 
 Defined cases: null or blank text has an empty set and links with nothing;
 fewer words than a shingle make one shingle of them all; a null doc_id comes
@@ -37,6 +39,9 @@ linked by their sets only; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,8 +53,7 @@ from .graph import components
 from .words import WordHashes, blank_words, ngram_hashes
 
 SHINGLE, PERCENT = 3, 85
-HALVES, ROWS, AGREE = 8, 3, 30
-MINHASHES = 2 * HALVES * ROWS
+ROWS, MISS, DROP = 3, 0.001, 5e-5
 TURNS = 2
 #: Nodes that a rare shingle has at most.
 RARE = 16
@@ -57,6 +61,20 @@ _BITS = 25  # of each minhash that is kept, below its number
 _WORDS = WordHashes()
 
 
+@lru_cache
+def banding(percent: int) -> tuple[int, int]:
+    """(HALVES, AGREE) of a threshold."""
+    s, halves = percent / 100, 1
+    while 1 - (1 - (1 - s**ROWS) ** halves) ** 2 > MISS:
+        halves += 1
+    n, agree, below = 2 * halves * ROWS, 0, 0.0
+    while agree < n and (below := below + comb(n, agree) * s**agree * (1 - s) ** (n - agree)) <= DROP:
+        agree += 1
+    if n > 1 << (32 - _BITS):
+        raise ValueError(f"a threshold of {percent} % needs {n} minhashes")
+    return halves, agree
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     words = blank_words(text)
@@ -67,23 +85,27 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(ngram_hashes(_WORDS.of(words), size))
 
 
-_RNG = np.random.Generator(np.random.PCG64(3))
-_XOR = _RNG.integers(0, 2**63, MINHASHES, dtype=np.uint64)[:, None]
-_ODD = (_RNG.integers(0, 2**63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+@lru_cache
+def _factors(minhashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(3))
+    xor = rng.integers(0, 2**63, minhashes, dtype=np.uint64)[:, None]
+    return xor, (rng.integers(0, 2**63, minhashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 
 
-def signature(shingles: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    """MINHASHES numbers: the minhash's place and its upper bits."""
-    low = np.full(MINHASHES, 2**64 - 1, np.uint64)
+def signature(shingles: np.ndarray, minhashes: int, chunk: int = 2048) -> np.ndarray:
+    """``minhashes`` numbers: the minhash's place and its upper bits."""
+    xor, odd = _factors(minhashes)
+    low = np.full(minhashes, 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(shingles), chunk):
-            low = np.minimum(low, ((shingles[i : i + chunk][None, :] ^ _XOR) * _ODD).min(1))
-    return ((np.arange(MINHASHES, dtype=np.int64) << _BITS) | (low >> np.uint64(64 - _BITS)).astype(np.int64)).astype(np.int32)
+            low = np.minimum(low, ((shingles[i : i + chunk][None, :] ^ xor) * odd).min(1))
+    return ((np.arange(minhashes, dtype=np.int64) << _BITS) | (low >> np.uint64(64 - _BITS)).astype(np.int64)).astype(np.int32)
 
 
-def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``id`` (null as LAST_ID), ``t`` (hash of the
     text), ``n``, ``node`` (hash of the set, null if empty), ``sig``."""
+    minhashes = 2 * banding(percent)[0] * ROWS
 
     def batches(parts):
         for part in parts:
@@ -92,7 +114,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 s = shingle_set(t.as_py(), size)
                 n.append(len(s))
                 node.append(xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-                sig.append(signature(s) if len(s) else None)
+                sig.append(signature(s, minhashes) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
                 ["id", "t", "n", "node", "sig"])
@@ -101,10 +123,10 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return map_texts(df, batches, "id bigint, t bigint, n bigint, node bigint, sig array<int>")
 
 
-def _small_hashes(first: int) -> Column:
-    """The HALVES small hashes of the collection that starts at a minhash."""
+def _small_hashes(first: int, halves: int) -> Column:
+    """The ``halves`` small hashes of the collection that starts at a minhash."""
     part = lambda i: [F.get("sig", F.lit(first + i * ROWS + r)) for r in range(ROWS)]
-    return F.array(*(F.xxhash64(*part(i)) for i in range(HALVES)))
+    return F.array(*(F.xxhash64(*part(i)) for i in range(halves)))
 
 
 def _shared(rows: DataFrame, by: str) -> DataFrame:
@@ -113,13 +135,13 @@ def _shared(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(both, by)
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
+def buckets(nodes: DataFrame, halves: int) -> DataFrame:
     """(key, node): table keys that two nodes or more have."""
-    halves = nodes.select("node", F.posexplode(F.concat(_small_hashes(0), _small_hashes(HALVES * ROWS))).alias("at", "h"))
-    halves = _shared(halves, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("s"))
-    left, right = F.filter("s", lambda x: x["at"] < HALVES), F.filter("s", lambda x: x["at"] >= HALVES)
+    rows = nodes.select("node", F.posexplode(F.concat(_small_hashes(0, halves), _small_hashes(halves * ROWS, halves))).alias("at", "h"))
+    rows = _shared(rows, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("s"))
+    left, right = F.filter("s", lambda x: x["at"] < halves), F.filter("s", lambda x: x["at"] >= halves)
     keys = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a.h, b.h))))
-    return materialize(_shared(materialize(halves.select("node", F.explode(keys).alias("key")), "lsh-keys"), "key"), "lsh-buckets")
+    return materialize(_shared(materialize(rows.select("node", F.explode(keys).alias("key")), "lsh-keys"), "key"), "lsh-buckets")
 
 
 class Verifier:
@@ -127,6 +149,7 @@ class Verifier:
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
         self.nodes, self.sets, self.percent = nodes.select("node", "n", "sig"), sets, percent
+        self.agree = banding(percent)[1]
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """``pairs``: (x, y) of nodes -> those that link, written out."""
@@ -134,7 +157,7 @@ class Verifier:
         for side in ("x", "y"):
             p = p.join(self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
         fits = F.lit(self.percent) * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")
-        p = materialize(p.where(fits & (F.size(F.array_intersect("sx", "sy")) >= AGREE)).select("x", "y", "nx", "ny"), "pairs")
+        p = materialize(p.where(fits & (F.size(F.array_intersect("sx", "sy")) >= self.agree)).select("x", "y", "nx", "ny"), "pairs")
         for side in ("x", "y"):
             p = p.join(self.sets.select(F.col("node").alias(side), F.col("set").alias(f"set{side}")), side)
         both = F.size(F.array_intersect("setx", "sety"))
@@ -201,11 +224,11 @@ def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, turns: int = TURNS) -> tuple[DataFrame, DataFrame]:
     """(rows, members): ``rows`` as of ``sketches``, written out, and (node,
     label) of every node that links with another."""
-    rows = materialize(sketches(docs, size), "sketches")
+    rows = materialize(sketches(docs, size, percent), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.min(F.struct("id", "t", "n", "sig")).alias("r")).select("node", "r.id", "r.t", "r.n", "r.sig")
     nodes = materialize(nodes, "nodes")
-    found = buckets(nodes)
+    found = buckets(nodes, banding(percent)[0])
     sets = _sets(docs, nodes.select("id", "t", "node").join(found.select("node").distinct(), "node"), size)
     verify = Verifier(nodes, sets, percent)
     labels = links = None

@@ -196,6 +196,16 @@ def test_dense_group_of_near_copies(spark, turns):
     assert got == sorted((i, *w) for (i, _), w in zip(rows, brute.near_classes(rows)))
 
 
+def test_pairs_at_the_pipelines_threshold_are_found(spark):
+    """Groups of two at a similarity of exactly 0.8, by sets of 90 shingles."""
+    rows, pairs = [], 3000
+    for i in range(pairs):
+        both = [f"c{i}x{k}" for k in range(84)]
+        rows += [(2 * i + j, " ".join(both + [f"d{i}x{j}x{k}" for k in range(10)])) for j in (0, 1)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80)
+    assert got.where("id = component and id % 2 = 1").count() <= 0.002 * pairs
+
+
 def test_recall_of_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((3000, 48)) * rng.uniform(0.2, 3, (3000, 1))
