@@ -32,8 +32,6 @@ DIM = 512
 #: Letters of one label that a training task counts at a time.
 CODES = 1 << 19
 HELD_OUT = 2
-#: At this cosine or below a text fits no profile (the pipeline rejects it).
-MIN_SCORE = 0.0
 
 
 @lru_cache(1)
@@ -169,15 +167,15 @@ def learned(docs: DataFrame) -> dict[str, np.ndarray]:
     return train(docs.where(~held_out()))
 
 
-def with_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` that have a language: the prediction isn't ``und``
-    and its cosine is above ``min_score``."""
+def with_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose prediction isn't ``und``.  The cosine doesn't
+    reject: that of a text unlike all profiles is noise of either sign, and
+    that of a short text in a known language can be as low."""
     judge = judge_with(learned(docs))
     at = docs.columns.index("text")
 
     def keep(parts):
         for part in parts:
-            got = (judge(t.as_py()) for t in part.column(at))
-            yield part.filter(pa.array([label != "und" and score > min_score for label, score in got], pa.bool_()))
+            yield part.filter(pa.array([judge(t.as_py())[0] != "und" for t in part.column(at)], pa.bool_()))
 
     return map_texts(docs, keep, docs.schema)

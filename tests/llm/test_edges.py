@@ -2,6 +2,7 @@
 empty tables, and with extra columns of clashing names."""
 
 import hashlib
+import random
 from collections import Counter
 
 import brute
@@ -113,6 +114,16 @@ def test_language_id(docs, none):
     assert langid.predict(none, langid.train(none)).count() == 0
 
 
+def test_texts_in_an_unseen_script_are_judged_alike(spark):
+    """The sign of a cosine that is noise must not tell texts apart."""
+    rng = random.Random(8)
+    word = lambda first: "".join(chr(first + rng.randrange(30)) for _ in range(6))
+    rows = [(i, f"{word(97 - 1)} and the house", "en") for i in range(20)] + [(i, f"{word(97 - 1)} und das Haus", "de") for i in range(20, 40)]
+    rows += [(i, f"{word(0x10D0)} {word(0x10D0)}", None) for i in range(1000, 1300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langid.with_language(df).where("doc_id >= 1000").count() == 300
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string, doc_id string")
 
