@@ -8,26 +8,31 @@ still score high.  All seeds of an item count, so every copy that keeps one
 run of N words is aligned; one that keeps none is not seen.  A document is
 contaminated if an item scores THRESHOLD or more.
 
-Items are read in blocks of at most BLOCK_WORDS words (their size is checked
-first); the blocks are what the tasks get in their closure.  Documents are
-never shuffled.
-
-Defined cases: null or blank text is clean; items that are null or have fewer
-than N words can't be told from chance and are never matched; an item text
-that repeats counts under each of its ids; among items of the same score the
-smallest id is named; rows that repeat a doc_id are judged each by itself; an
+Items are read in blocks of about BLOCK_WORDS words (their size is checked
+first); the tasks get a block in their closure.  More than one block are
+judged one after the other, each in a pass over the numbered documents that
+writes the documents it finds, so neither the driver nor a task holds more
+than one block.  Documents are never shuffled.
+
+Defined cases: null or blank text is clean; items whose text is null or has
+fewer than N words can't be told from chance and are never matched; items
+without an id contaminate like others, but are named by null and not counted;
+an item text that repeats counts under each of its ids; among items of the
+same score the smallest id is named, null last; rows that repeat a doc_id are judged each by itself; an
 empty table of documents gives an empty result, and an empty benchmark leaves
 all documents clean.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialize
 from .words import letter_words, ngram_hashes
 
 N = 5
@@ -36,14 +41,18 @@ BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
+def _by_id(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 class Items:
     """One block of items: word codes, seeds and where they stand."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = N):
+    def __init__(self, rows: list[tuple[int | None, str]], n: int = N):
         self.n = n
         self.codes: dict[bytes, int] = {}
         self.ids, self.words = [], []
-        for item, text in sorted(rows, key=lambda r: r[0]):
+        for item, text in sorted(rows, key=lambda r: _by_id(r[0])):
             words = letter_words(text)
             if len(words) >= n:
                 self.ids.append(item)
@@ -76,7 +85,7 @@ class Items:
         true = self.seeds[seed] == grams
         return codes, places[true], seed[true]
 
-    def judge(self, text: str | None) -> list[tuple[float, int]]:
+    def judge(self, text: str | None) -> list[tuple[float, int | None]]:
         """(score, item id) of the items with a seed in the text."""
         codes, places, seeds = self.hits(text)
         spots: dict[int, set[int]] = {}
@@ -112,49 +121,92 @@ def align(text: np.ndarray, item: np.ndarray) -> float:
     return best / (MATCH * len(item))
 
 
-def item_blocks(items: DataFrame, n: int = N, block_words: int = BLOCK_WORDS):
-    """``items`` (item_id, text) as Items blocks of a checked size."""
-    rows = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+def item_blocks(items: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[Items]]:
+    """How many blocks ``items`` (item_id, text) make, and the blocks, each
+    read when it is asked for."""
+    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     size = rows.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"] or 0
     blocks = -(-size // block_words)
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        yield Items([(r["item_id"], r["text"]) for r in part.collect()], n)
+
+    def read():
+        for b in range(blocks):
+            part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+            yield Items([(r["item_id"], r["text"]) for r in part.collect()], n)
+
+    return blocks, read()
+
+
+def _found(rows: DataFrame, block: Items, threshold: float) -> DataFrame:
+    """Per row of ``rows`` (row, text) that holds a seed of the block: ``row,
+    score, item_id`` of the best item, ``n_items``, ``contaminated``."""
+    kind = pa.schema([("row", pa.int64()), ("score", pa.float64()), ("item_id", pa.int64()), ("n_items", pa.int64()), ("contaminated", pa.bool_())])
+
+    def batches(parts):
+        for part in parts:
+            got = []
+            for row, t in zip(part.column("row").to_pylist(), part.column("text")):
+                found = block.judge(t.as_py())
+                if found:
+                    score, item = min(found, key=lambda f: (-f[0], _by_id(f[1])))
+                    high = [i for s, i in found if s >= threshold]
+                    got.append((row, score, item, sum(i is not None for i in high), bool(high)))
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, g)) for g in got], schema=kind)
+
+    return map_texts(rows, batches, "row bigint, score double, item_id bigint, n_items bigint, contaminated boolean")
+
+
+def _best_of_all(rows: DataFrame, blocks: Iterator[Items], threshold: float) -> DataFrame:
+    """``_found`` over all blocks, one after the other."""
+    found = None
+    for block in blocks:
+        new = materialize(_found(rows, block, threshold), "leaks")
+        found = new if found is None else found.union(new)
+    first = F.struct(-F.col("score"), F.col("item_id").isNull(), "item_id")
+    return found.groupBy("row").agg(F.max("score").alias("score"), F.min_by("item_id", first).alias("item_id"), F.sum("n_items").alias("n_items"), F.max("contaminated").alias("contaminated"))
 
 
 def judge(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id, contaminated,
-    item_id, score, n_items``: the best item (null without a seed), its score,
-    and how many items reach the threshold."""
-    kind = "doc_id bigint, score double, item_id bigint, n_items bigint"
-    blocks = list(item_blocks(items, n, block_words))
+    item_id, score, n_items``: whether an item reaches the threshold, the best
+    item (null without a seed), its score, and how many items with an id reach
+    the threshold."""
+    names = ("doc_id", "contaminated", "item_id", "score", "n_items")
     df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    size, blocks = item_blocks(items, n, block_words)
+    if size > 1:
+        df = materialize(df.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        out = df.select("row", "doc_id").join(_best_of_all(df.select("row", "text"), blocks, threshold), "row", "left")
+        none = {"contaminated": False, "score": 0.0, "n_items": 0}
+        return out.select(*(F.coalesce(c, F.lit(none[c])).alias(c) if c in none else F.col(c) for c in names))
+    block = next(blocks, Items([], n))
 
     def batches(parts):
         for part in parts:
             got = []
             for t in part.column("text"):
-                text = t.as_py()
-                found = [f for b in blocks for f in b.judge(text)]
-                score, item = min(((-s, i) for s, i in found), default=(0.0, None))
-                got.append((-score, item, sum(s >= threshold for s, _ in found)))
-            cols = list(zip(*got)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
-                ["doc_id", "score", "item_id", "n_items"])
+                found = block.judge(t.as_py())
+                score, item = min(found, key=lambda f: (-f[0], _by_id(f[1])), default=(0.0, None))
+                high = [i for s, i in found if s >= threshold]
+                got.append((bool(high), item, score, sum(i is not None for i in high)))
+            cols = list(zip(*got)) or [(), (), (), ()]
+            kinds = (pa.bool_(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], list(names))
 
-    out = map_texts(df, batches, kind)
-    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", F.col("score") + F.lit(0.0), "n_items").toDF(
-        "doc_id", "contaminated", "item_id", "score", "n_items")
+    return map_texts(df, batches, "doc_id bigint, contaminated boolean, item_id bigint, score double, n_items bigint")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that no item reaches the threshold in."""
-    blocks = list(item_blocks(items, n, block_words))
-    at = docs.columns.index("text")
+    size, blocks = item_blocks(items, n, block_words)
+    if size > 1:
+        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
+        whole = materialize(whole, "numbered")
+        bad = _best_of_all(whole.select("row", F.col("doc.text").alias("text")), blocks, threshold).where("contaminated").select("row")
+        return whole.join(bad, "row", "left_anti").select("doc.*")
+    block, at = next(blocks, Items([], n)), docs.columns.index("text")
 
     def keep(parts):
         for part in parts:
-            yield part.filter(pa.array([not any(s >= threshold for b in blocks for s, _ in b.judge(t.as_py())) for t in part.column(at)], pa.bool_()))
+            yield part.filter(pa.array([not any(s >= threshold for s, _ in block.judge(t.as_py())) for t in part.column(at)], pa.bool_()))
 
     return map_texts(docs, keep, docs.schema)

@@ -142,6 +142,32 @@ def test_decontaminate(spark, docs, none):
 A_WORDS = brute.A
 
 
+def test_decontaminate_block_by_block(spark, docs, monkeypatch):
+    """Small blocks, read one by one after the last was judged, find the same;
+    copies of an item without an id go, too."""
+    some = items(spark, [(i, f"{brute.PASSAGE[60 * i :]} tail {i}", "") for i in range(4)] + [(None, "text without an id its second line is here", "")])
+    # decontam reads a block of items by its own call: count those not yet judged
+    open_blocks, most = [0], [0]
+    make, write = decontam.Items.__init__, decontam.materialize
+
+    def made(self, *a):
+        open_blocks[0] += 1
+        most[0] = max(most[0], open_blocks[0])
+        make(self, *a)
+
+    def written(df, name, *a):
+        open_blocks[0] -= name == "leaks"
+        return write(df, name, *a)
+
+    whole = [tuple(r) for r in decontam.judge(docs, some).collect()]
+    left = [r.doc_id for r in decontam.clean_documents(docs, some).collect()]
+    monkeypatch.setattr(decontam.Items, "__init__", made)
+    monkeypatch.setattr(decontam, "materialize", written)
+    same([tuple(r) for r in decontam.judge(docs, some, block_words=30).collect()], whole)
+    same([r.doc_id for r in decontam.clean_documents(docs, some, block_words=30).collect()], left)
+    assert most[0] == 1 and any(c and d is None for d, c, *_ in whole) and left.count(None) == 1
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.com/de/x/1?q", "http://www.example.net/en/2", "ftp://x.net/", "http://net/a", "http://x.net", "x.org/fr/3", None, "",
             "http://sub.x.org/fr/9#f", "http://org/fr", "http://notnet/", "HTTP://example.com/DE/", "a://b://c/d", "://h", "http://h/123?x=/de/", "http://h/123?x=/de/"]
