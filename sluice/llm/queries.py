@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, decontam, langid, license_scan, line_dedup, minhash, mixing, secret_scan, suffix_dedup, url_filter
+from . import ann, decontam, hard_negatives, langid, license_scan, line_dedup, minhash, mixing, quality, secret_scan, suffix_dedup, url_filter, vector_codes
 from .common import documents
 
 QUERIES: dict = {}
@@ -142,3 +142,51 @@ FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id
 def lines(spark, sf_dir):
     out = line_dedup.drop_lines(documents(spark, sf_dir))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Assignment and averaging written out round by round; a distance and its
+    index are compared as one number, distance * entries + index."""
+    nearest = """SELECT p.vec_id, p.part, min(list_sum(list_transform(generate_series(1, len(p.x)), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT * {k} + b.k) AS m
+    FROM p JOIN {book} b USING (part) GROUP BY ALL"""
+    steps = [f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"p AS (SELECT vec_id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x FROM v, generate_series(0, {parts - 1}) g(part))",
+             f"b0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS k, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))"]
+    for r in range(rounds):
+        steps += [f"a{r} AS ({nearest.format(k=entries, book=f'b{r}')})",
+                  f"""u{r} AS (SELECT part, k, list(m ORDER BY i) AS x FROM (SELECT part, a.m % {entries} AS k, i, floor(sum(p.x[i])::DOUBLE / count(*))::BIGINT AS m
+    FROM a{r} a JOIN p USING (vec_id, part), unnest(generate_series(1, len(p.x))) g(i) GROUP BY ALL) GROUP BY ALL)""",
+                  f"b{r + 1} AS (SELECT b.part, b.k, coalesce(u.x, b.x) AS x FROM b{r} b LEFT JOIN u{r} u USING (part, k))"]
+    last = f"a{rounds} AS ({nearest.format(k=entries, book=f'b{rounds}')})"
+    steps += [last, f"""c AS (SELECT vec_id, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY ALL)""",
+              f"d AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, k)) AS s FROM b{rounds})"]
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, d.s AS codebooks_sha256 FROM c JOIN v USING (vec_id), d"""
+
+
+@_query("op11_vector_codes", _codes_sql())
+def vector_codebooks(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return vector_codes.compress(rows).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+@_query("op12_quality_rules")
+def qualities(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op13_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS s FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) QUALIFY row_number() OVER w <= 10
+""")
+def negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("v"))
+    return hard_negatives.mine(rows)

@@ -148,3 +148,54 @@ def targets(sizes, weights=(1, 2, 3), cap=3):
             left -= out[s]
         free -= full
     return out
+
+
+def finite(v, limit=8192):
+    return v is not None and all(x is not None and abs(x) < limit for x in v)
+
+
+def codebooks(rows, parts=16, entries=64, rounds=2):
+    """[(id, label, v)] of one length -> ([(id, label, code, error)], sha256)."""
+    x = [[int(256 * c // 1) for c in v] for _, _, v in rows]
+    d = len(x[0])
+    cut = [[r[p * d // parts : (p + 1) * d // parts] for r in x] for p in range(parts)]
+    first = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][2]))[:entries]
+    books = [[c[i] for i in first] for c in cut]
+    near = lambda v, book: min((sum((a - b) ** 2 for a, b in zip(v, e)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            mine = defaultdict(list)
+            for v in cut[p]:
+                mine[near(v, book)[1]].append(v)
+            books[p] = [[sum(c) // len(c) for c in zip(*mine[k])] if k in mine else e for k, e in enumerate(book)]
+    out = []
+    for i, (key, label, _) in enumerate(rows):
+        got = [near(cut[p][i], books[p]) for p in range(parts)]
+        out.append((key, label, "".join(f"{k:02x}" for _, k in got), sum(s for s, _ in got)))
+    written = ",".join(str(c) for book in books for e in book for c in e)
+    return out, hashlib.sha256(written.encode()).hexdigest()
+
+
+def hard_negatives(rows, every=100, positives=5, negatives=10):
+    """[(id, label, v)] of one length -> rows of the contract."""
+    x = {i: (la, [int(256 * c // 1) for c in v]) for i, la, v in rows}
+    out = []
+    for a in (i for i in x if i % every == 0):
+        score = {i: sum(p * q for p, q in zip(v, x[a][1])) for i, (_, v) in x.items() if i != a}
+        order = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in order if x[i][0] == x[a][0]][:positives]:
+            some = [i for i in order if x[i][0] != x[a][0] and 30 * score[p] <= 100 * score[i] <= 90 * score[p]][:negatives]
+            out += [(a, p, n, i, score[p], score[i]) for n, i in enumerate(some, 1)]
+    return out
+
+
+def quality_base(text):
+    text = text or ""
+    words = BLANK_WORD.findall(text)
+    lines = text.split("\n")
+    dup = sum(1 for i, x in enumerate(lines) if BLANK_WORD.search(x) and x in lines[:i])
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = Counter(windows)
+    again = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(3)}
+    failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), failed
