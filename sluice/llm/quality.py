@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,29 +66,31 @@ class Model:
 
 
 def _places(text: str, words: list[bytes]):
-    """Hashed places of the n-grams, in pieces: (family, places)."""
+    """Hashed places of the n-grams, in pieces: (family, places); each family
+    has one piece at least."""
     h = _WORDS.of(words)
     for n in (1, 2):
-        yield 0, (ngram_hashes(h, n) % np.uint64(DIM)).astype(np.int64)
+        yield 0, (ngram_hashes(h, n) & np.uint64(DIM - 1)).astype(np.int64)
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     for n in (2, 3, 4):
-        for lo in range(0, max(0, len(codes) - n + 1), CHUNK):
+        for lo in range(0, max(1, len(codes) - n + 1), CHUNK):
             part = codes[lo : lo + CHUNK + n - 1]
-            key = np.full(len(part) - n + 1, n, np.uint64)
+            key = np.full(max(0, len(part) - n + 1), n, np.uint64)
             for i in range(n):  # 21 bits a code point, three at most without loss, the fourth mixed in
-                key = (mixed(key) if i == 3 else key << np.uint64(21)) ^ part[i : len(part) - n + 1 + i]
-            yield 1, (mixed(key) % np.uint64(DIM)).astype(np.int64)
+                key = (mixed(key) if i == 3 else key << np.uint64(21)) ^ part[i : len(key) + i]
+            yield 1, (mixed(key) & np.uint64(DIM - 1)).astype(np.int64)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(places ascending, values): per family, the share of its n-grams."""
     text = text or ""
-    total = [np.zeros(DIM), np.zeros(DIM)]
+    places = [[], []]
     for family, at in _places(text, text.encode("utf-8", "surrogatepass").split()):
-        total[family] += np.bincount(at, minlength=DIM)
-    value = sum(SHARE * t / max(t.sum(), 1) for t in total)
-    at = np.flatnonzero(value)
-    return at, value[at]
+        places[family].append(at)
+    at = [np.concatenate(p) for p in places]
+    share = [np.full(len(a), SHARE / max(len(a), 1)) for a in at]
+    where, n = np.unique(np.concatenate(at), return_inverse=True)
+    return where, np.bincount(n, np.concatenate(share), len(where))
 
 
 def margin(model: Model, text: str, words: list[bytes]) -> float:
@@ -150,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             out = []
             for y, text in zip(part.column("y").to_pylist(), part.column("text")):
                 at, value = features(text.as_py())
-                out.append(" ".join([str(y), *(f"{i + 1}:{v:.6g}" for i, v in zip(at.tolist(), value.tolist()))]))
+                pairs = pc.binary_join_element_wise(pc.cast(pa.array(at + 1), pa.string()), pc.cast(pa.array(value.astype(np.float32)), pa.string()), ":")
+                out.append(" ".join([str(y), *pairs.to_pylist()]))
             yield pa.RecordBatch.from_arrays([part.column("fold"), pa.array(out, pa.string())], ["fold", "value"])
 
     rows = sample(docs, labels).select("text", "y", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % CALIBRATE == 0).cast("int").alias("fold"))
@@ -158,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     of = lambda fold: {r.y for r in kinds if r.fold == fold}
     if len(of(0)) < 2:
         return None
-    map_texts(rows, lines, "fold int, value string").write.partitionBy("fold").text(path)
+    map_texts(rows, lines, "fold int, value string").write.partitionBy("fold").option("compression", "gzip").text(path)
     read = lambda fold: spark.read.format("libsvm").option("numFeatures", str(DIM)).load(f"{path}/fold={fold}")
     fitted = LogisticRegression(maxIter=STEPS, regParam=PENALTY).fit(read(0))
     model = Model(fitted.coefficients.toArray(), float(fitted.intercept))
