@@ -14,7 +14,9 @@ Prediction is one narrow map, with the prototypes in its closure.
 Defined cases: a text that is null or has no letter is ``und`` with score 0,
 and so is every text when no row has a label; ties go to the label that sorts
 first; a null doc_id counts as empty text for the held-out rule; repeated
-rows are judged alike; an empty table gives an empty result.
+rows are judged alike; an empty table gives an empty result.  As a filter
+(``with_language``), texts without letters and long texts unlike all profiles
+go; where no row has a label nothing was learned, and every row stays.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ DIM = 512
 #: Letters of one label that a training task counts at a time.
 CODES = 1 << 19
 HELD_OUT = 2
+#: A text unlike a profile has a cosine of deviation 1 / sqrt(DIM).  As a filter,
+#: a text of LEAST distinct trigrams or more whose best cosine is below NOISE
+#: deviations is in none of the languages; a shorter one may be all rare words.
+LEAST, NOISE = 100, 4.0
 
 
 @lru_cache(1)
@@ -125,18 +131,19 @@ def _exact_bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def judge_with(prototypes: dict[str, np.ndarray]):
-    """text -> (label, cosine), with the prototypes in the closure."""
+    """text -> (label, cosine, distinct trigrams), with the prototypes in the
+    closure."""
     names = list(prototypes)
     units = np.stack([p / max(np.linalg.norm(p), 1e-300) for p in prototypes.values()]) if names else np.zeros((0, DIM))
 
     def judge(text):
         grams, counts = trigrams(letter_codes(text))
         if not len(grams) or not names:
-            return "und", 0.0
+            return "und", 0.0, len(grams)
         v = bundle(grams, counts)
         cos = units @ v / max(np.linalg.norm(v), 1e-300)
         best = int(np.argmax(cos))
-        return names[best], float(min(1.0, max(0.0, cos[best])))
+        return names[best], float(min(1.0, max(0.0, cos[best]))), len(grams)
 
     return judge
 
@@ -168,14 +175,19 @@ def learned(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose prediction isn't ``und``.  The cosine doesn't
-    reject: that of a text unlike all profiles is noise of either sign, and
-    that of a short text in a known language can be as low."""
-    judge = judge_with(learned(docs))
+    """The rows of ``docs`` in a learned language, with their own columns."""
+    prototypes = learned(docs)
+    if not prototypes:
+        return docs
+    judge = judge_with(prototypes)
     at = docs.columns.index("text")
 
+    def known(text):
+        label, cosine, grams = judge(text)
+        return label != "und" and (grams < LEAST or cosine >= NOISE / np.sqrt(DIM))
+
     def keep(parts):
         for part in parts:
-            yield part.filter(pa.array([judge(t.as_py())[0] != "und" for t in part.column(at)], pa.bool_()))
+            yield part.filter(pa.array([known(t.as_py()) for t in part.column(at)], pa.bool_()))
 
     return map_texts(docs, keep, docs.schema)

@@ -124,6 +124,25 @@ def test_texts_in_an_unseen_script_are_judged_alike(spark):
     assert langid.with_language(df).where("doc_id >= 1000").count() == 300
 
 
+@pytest.mark.parametrize("labels", [0, 1, 4])
+def test_language_filter_by_number_of_labels(spark, labels):
+    """No label: all rows stay.  Else texts without letters and long texts in
+    an unseen script go, and texts in a learned language stay, short or long."""
+    rng = random.Random(9)
+    word = lambda first, n=20: "".join(chr(first + rng.randrange(n)) for _ in range(rng.randrange(2, 8)))
+    scripts = [97, 0x0430, 0x03B1, 0x0561]
+    text = lambda first, n: " ".join(word(first) for _ in range(n))
+    rows = [(i, text(scripts[i % 4], 1 if i % 8 < 4 else 150), f"l{i % 4}" if i % 4 < labels else None) for i in range(80)]
+    rows += [(1000 + i, text(0x10D0, 150), None) for i in range(60)] + [(2000, "12345 ... !", "l0" if labels else None), (2001, None, None), (2002, "", None)]
+    got = {r.doc_id for r in langid.with_language(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    if not labels:
+        assert got == {r[0] for r in rows}
+        return
+    learned = {r[0] for r in rows if r[2] and r[0] < 1000}
+    assert learned <= got and not got & {2000, 2001, 2002}
+    assert len([i for i in got if 1000 <= i < 2000]) <= 2
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string, doc_id string")
 
