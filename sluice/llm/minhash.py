@@ -12,7 +12,10 @@ Keys only name candidates; every link is confirmed on the full sets.  Which
 pairs of a key's bucket are looked at, without ever listing all pairs:
 
 1. Turns of stars: in each bucket whose members aren't all in one component,
-   one member, another in each turn, is compared with all others.
+   one member is compared with all others.  Of a bucket's members that is the
+   most central one that hasn't led before: the one that meets the most nodes
+   over all its buckets.  In a group of copies of one text, that text and its
+   closest copies lead everywhere, and what links with them is done.
 2. The rest, between nodes of different components that still share a bucket.
    Shingles that at most RARE of these nodes have are rare.  Of the shingles
    of a set, ordered by how many of these nodes have them, the first
@@ -21,7 +24,8 @@ pairs of a key's bucket are looked at, without ever listing all pairs:
    among them finds every link, in at most RARE rows a shingle.  Nodes with
    fewer rare shingles, r, can link without sharing one only with sets of at
    most (n - r) / s - r shingles; pairs of such nodes that both sides' bounds
-   allow are compared where they share a bucket.
+   allow are compared where they share a bucket, each pair in the first
+   bucket that it shares only.
 
 Step 2 leaves out only pairs that can't link, so what remains of chance is
 the banding: HALVES is the least with which a pair exactly at the threshold
@@ -189,10 +193,19 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
-def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """(x, y): each open bucket's lead of this turn with its other members."""
-    lead = rows.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("x"), F.min_by("label", F.xxhash64("node", F.lit(turn))).alias("_l"))
-    return rows.join(lead, "key").where("label <> _l").select("x", F.col("node").alias("y"))
+def _stars(rows: DataFrame, led: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(x, y): each open bucket's lead of this turn with its other members; and
+    the leads so far (key, x), by which a bucket has another lead each turn."""
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
+    weight = rows.join(size, "key").groupBy("node").agg(F.sum("_c").alias("_w"))
+    some = rows.join(weight, "node")
+    if led is not None:
+        some = some.join(led.withColumnRenamed("x", "node"), ["key", "node"], "left_anti")
+    first = F.struct("_w", "node")
+    lead = some.groupBy("key").agg(F.max_by("node", first).alias("x"), F.max_by("label", first).alias("_l"))
+    lead = materialize(lead, "leads")
+    now = lead.select("key", "x")
+    return rows.join(lead, "key").where("label <> _l").select("x", F.col("node").alias("y")), now if led is None else led.union(now)
 
 
 def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -216,8 +229,11 @@ def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int
         f"flatten(transform(l, (a, i) -> transform(filter(slice(l, i + 2, size(l)), b -> {fits}), b -> struct(a.node as x, b.node as y))))")).alias("p"))
     common = facts.where(f"r < p and 100 * most >= {percent} * n").drop("label")
     common = _open(rows.join(common, "node"))
-    a, b = (common.select("key", F.struct("node", "label", "n", "most").alias(c)) for c in "ab")
-    allowed = a.join(b, "key").where(f"a.node < b.node and {fits} and b.n <= a.most and a.n <= b.most")
+    # a node has HALVES^2 keys at most; a pair is named in the first key it shares, not in each
+    keys = common.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    common = materialize(common.join(keys, "node"), "common")
+    a, b = (common.select("key", F.struct("node", "label", "n", "most", "keys").alias(c)) for c in "ab")
+    allowed = a.join(b, "key").where(f"a.node < b.node and {fits} and b.n <= a.most and a.n <= b.most and key = array_min(array_intersect(a.keys, b.keys))")
     return shared.select("p.x", "p.y").union(allowed.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
 
 
@@ -231,15 +247,24 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, turns:
     found = buckets(nodes, banding(percent)[0])
     sets = _sets(docs, nodes.select("id", "t", "node").join(found.select("node").distinct(), "node"), size)
     verify = Verifier(nodes, sets, percent)
-    labels = links = None
+    labels = links = led = before = None
     for turn in range(turns + 1):
         rest = materialize(_open(_labelled(found, labels)), "open")
-        if not rest.limit(1).count():
+        left = rest.count()
+        if not left:
             break
-        pairs = _stars(rest, turn) if turn < turns else _last_pairs(rest, sets, nodes, percent)
+        # a turn that closed little is the last
+        last = turn == turns or (before is not None and left > 0.8 * before)
+        before = left
+        if not last:
+            pairs, led = _stars(rest, led)
+        else:
+            pairs = _last_pairs(rest, sets, nodes, percent)
         new = verify.links(pairs)
         links = new if links is None else links.union(new)
         labels = components(links)
+        if last:
+            break
     return rows, labels
 
 
