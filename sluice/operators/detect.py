@@ -6,12 +6,10 @@ Rules arrive in one of two shapes:
 * literal Python lists (one rule set for the whole batch): terms become a
   constant array folded into the plan, each regex one literal ``rlike`` so
   Java compiles it once per task;
-* per-row array columns produced by the policy join (J1): the same
-  expressions evaluated through higher-order functions.
+* per-row array columns produced by the policy join (J1): terms through
+  higher-order functions, patterns through programs compiled once per list.
 
-A term table (J4) is gathered into one such array by a Spark aggregate, so a
-list of any length takes the same path: one narrow projection over the
-texts, no shuffle of them.
+Term tables of any length (J4, and F3 over a table) are in ``termjoin``.
 """
 
 from __future__ import annotations
@@ -19,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import first_pattern_of
 from ..functions.rules import java_regex, term_entries
 from ..functions.text import casefold
+from .termjoin import term_hits, with_term_hits  # noqa: F401  (J4 and F3 over term tables)
 
 TERM_TYPE = "array<struct<term:string,key:string>>"
 
@@ -52,13 +52,10 @@ def first_pattern_literal(text: Column, patterns) -> Column:
 
 
 def first_pattern_column(text: Column, patterns: Column) -> Column:
-    """Same, with a per-row ARRAY<STRING> of patterns (policy join form), taken
-    from the Python dialect to Java's like literal ones."""
-    def java(p):
-        named = F.regexp_replace(p, r"\(\?P<", "(?<")
-        return F.concat(F.lit("(?iU)"), F.regexp_replace(named, r"\(\?P=(\w+)\)", r"\\k<$1>"))
-
-    return F.get(F.filter(patterns, lambda p: F.rlike(text, java(p))), 0)
+    """Same, with a per-row ARRAY<STRING> of patterns (policy join form): each
+    distinct list is compiled once per worker (see ``functions.patterns``)."""
+    some = F.size(patterns) > 0
+    return first_pattern_of(F.when(some, text), F.when(some, patterns))
 
 
 def pattern_ranks_literal(text: Column, patterns) -> Column:
@@ -72,16 +69,5 @@ def pattern_ranks_literal(text: Column, patterns) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
-def term_array(terms_df: DataFrame) -> DataFrame:
-    """One row: all (term, key) rows of a term table as an array ``terms``."""
-    return terms_df.agg(F.sort_array(F.collect_list(F.struct("term", "key"))).alias("terms"))
-
-
-def term_hits(docs: DataFrame, id_cols: list[str], key_col: str, terms_df: DataFrame) -> DataFrame:
-    """One row per (text, term) containment."""
-    rows = docs.select(*id_cols, F.col(key_col).alias("_key"), term_array(terms_df).scalar().alias("terms"))
-    return rows.select(*id_cols, F.explode(blocklist_hits(F.col("_key"), F.col("terms"))).alias("term"))
-
-
 def casefold_terms(df: DataFrame, term_col: str = "term") -> DataFrame:
     return df.withColumn("key", casefold(F.col(term_col)))

@@ -1,10 +1,7 @@
 """Semantic analyzers: F9 golden_relevance, J6 golden_cross, O3 best_label,
 O4 rerank_topn, U2 score_udf, U3 embed_udf.
 
-The golden set is a table.  A Spark aggregate gathers it into one row, an
-array of (idx, label, vector, norm) in list order, and every row is scored
-against that array in place: no shuffle of the rows, one path for a set of
-any size, and no vector passes through the driver.
+The golden set is a table of any size, scored in blocks (see ``golden``).
 """
 
 from __future__ import annotations
@@ -12,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.spans import let
-from ..functions.vectors import best_match, cosine, norm, normed_cosine
+from ..functions.vectors import cosine
+from .golden import best, cross
+
 
 def golden_rows(df: DataFrame, label: str, vec: str, order: str) -> DataFrame:
     """(idx, label, vec); ``idx`` (the list order) is the ``order`` column."""
@@ -26,36 +24,21 @@ def golden_rows(df: DataFrame, label: str, vec: str, order: str) -> DataFrame:
                      F.col(vec).cast("array<double>").alias("vec"))
 
 
-def golden_array(golden: DataFrame) -> DataFrame:
-    """One row: the golden set as ARRAY<STRUCT<idx, label, vec, norm>>."""
-    item = F.struct("idx", "label", "vec", norm(F.col("vec")).alias("norm"))
-    return golden.agg(F.sort_array(F.collect_list(item)).alias("_golden"))
-
-
-def _against(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
-    return df.select(*id_cols, F.col(vec).cast("array<double>").alias("_v"), golden_array(golden).scalar().alias("_golden"))
-
-
 def golden_cross(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
     """One row per (row, golden item) with the cosine score, the long form
     that the query asks for."""
-    scores = let(norm(F.col("_v")), lambda n: F.transform("_golden", lambda g, i: F.struct(
-        (i + 1).alias("idx"), g["label"].alias("golden_label"), normed_cosine(g["vec"], g["norm"], F.col("_v"), n).alias("score"))))
-    return _against(df, vec, golden, id_cols).select(*id_cols, F.explode(scores).alias("s")) \
-        .select(*id_cols, "s.idx", "s.golden_label", "s.score")
+    return cross(df, vec, golden, id_cols)
 
 
 def relevance(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
     """(score, label) of the best golden match for every row."""
-    m = let(norm(F.col("_v")), lambda n: best_match(F.col("_v"), n, F.col("_golden")))
-    out = _against(df, vec, golden, id_cols).select(*id_cols, m.alias("m"))
-    return out.select(*id_cols, F.col("m.label").alias("matched_label"), F.col("m.score").alias("score"))
+    return best(df, vec, golden, id_cols)
 
 
 def best_label(df: DataFrame, vec: str, golden: DataFrame, id_cols: list[str]) -> DataFrame:
-    """O3: first-best arg-max, taken inside the row: highest score, then lowest
-    index; a best of exactly -1.0 (never beaten) gives a null label."""
-    return relevance(df, vec, golden, id_cols).withColumnRenamed("matched_label", "best_label")
+    """O3: first-best arg-max: highest score, then lowest index; a best of
+    exactly -1.0 (never beaten) gives a null label."""
+    return best(df, vec, golden, id_cols).withColumnRenamed("matched_label", "best_label")
 
 
 def rerank_topn(queries: DataFrame, candidates: DataFrame, *, group: str, qvec: str, cvec: str,

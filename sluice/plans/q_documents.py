@@ -11,7 +11,7 @@ from ..functions.pii import DEFAULT_RECOGNIZERS, pii_spans
 from ..functions.rules import term_entries
 from ..operators.decide import toxicity_score
 from ..operators.detect import blocklist_hits, first_pattern_literal, hits_detail, pattern_ranks_literal, \
-    term_hits, terms_literal
+    term_hits, terms_literal, with_term_hits
 from ..operators.sinks import audit_json, write_audit
 from ..session import scratch_path, table
 from .chains import (DOC_RULES, PII_SQL, canon_docs, doc_decision_sql, doc_input_decisions,
@@ -65,10 +65,9 @@ FROM (SELECT doc_id, {sql_term_hits(sql_casefold('text'), DOC_RULES.terms)} AS h
 WHERE len(hits) > 0
 """)
 def blocklist_match(spark, sf):
-    """casefold containment of the phrase list, sorted hits, first five in detail."""
-    d = canon_docs(spark, sf)
-    hits = blocklist_hits(F.col("key"), terms_literal(DOC_RULES.terms))
-    return (d.select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
+    """casefold containment of a phrase table, sorted hits, first five in detail."""
+    hits = with_term_hits(canon_docs(spark, sf), ["doc_id"], "key", _term_table(spark, DOC_RULES.terms))
+    return (hits.where(F.size("hits") > 0)
             .select("doc_id", F.size("hits").cast("bigint").alias("n_hits"),
                     hits_detail(F.col("hits"), "Input matched blocklist terms: ").alias("detail")))
 
@@ -107,8 +106,8 @@ SELECT doc_id, unnest(hits) AS term
 FROM (SELECT doc_id, {sql_term_hits(sql_casefold('text'), DOC_RULES.terms)} AS hits FROM documents)
 """)
 def terms_theta(spark, sf):
-    """Text x terms containment, one row per hit: packed constant array
-    within the size bound, gram equi-join beyond it (never a nested loop)."""
+    """Text x terms containment, one row per hit, over the anchors of a term
+    table (never a nested loop)."""
     d = canon_docs(spark, sf)
     return term_hits(d, ["doc_id"], "key", _term_table(spark, DOC_RULES.terms))
 
