@@ -34,6 +34,8 @@ TOX_TYPE = "struct<enabled:boolean,scores:map<string,double>,score:double,error:
 REL_TYPE = "struct<enabled:boolean,score:double,error:string,matched_label:string>"
 PII_TYPE = f"struct<enabled:boolean,results:{SPAN_TYPE},error:string>"
 ERR_TYPE = "array<struct<analyzer:string,error:string>>"
+#: The error of an analyzer that gave no result in time (fixed value).
+TIMEOUT = "timeout"
 
 
 def _p1(action: str, reason, detail) -> Column:
@@ -123,6 +125,14 @@ class Analyzers:
     relevance: str | None = None         # STRUCT<score,label> from best_match
     golden_size: str | None = None       # INT, size of the policy's golden set
     pii: bool = True
+    # STRING columns: why an analyzer gave no result (null: it did; "timeout")
+    pii_error: str | None = None
+    tox_error: str | None = None
+    relevance_error: str | None = None
+
+    def error(self, name: str) -> Column:
+        c = getattr(self, f"{name}_error")
+        return F.col(c) if c else F.lit(None).cast("string")
 
 
 def text_features(text: Column, req: Column, glob: Column, an: "Analyzers") -> Column:
@@ -141,42 +151,51 @@ def text_features(text: Column, req: Column, glob: Column, an: "Analyzers") -> C
 
 
 def phase2(feat: Column, req: Column, glob: Column, an: "Analyzers") -> Column:
-    """analyzers gathered into one struct; skipped -> empty parts."""
+    """analyzers gathered into one struct; skipped -> empty parts.
+
+    An analyzer that failed is not enabled and has its error and no result; the
+    names of those that timed out are ``timeouts``, other failures ``errors``.
+    """
     run = feat["run"]
+    nothing = F.lit(None)
+    no_spans, no_scores = F.array().cast(SPAN_TYPE), F.create_map().cast("map<string,double>")
+
+    def unless_failed(name, ok, **failed):
+        """``ok``, or where the analyzer failed its error and ``failed``, in the
+        order of the fields of ``ok``."""
+        error = an.error(name)
+        return F.when(error.isNotNull(), F.struct(F.lit(False).alias("enabled"), *(
+            (error if f == "error" else c).alias(f) for f, c in failed.items()))).otherwise(ok)
+
     pii_on = glob["pii_enabled"] & F.lit(an.pii)
-    pii = F.struct(pii_on.alias("enabled"),
-                   F.when(pii_on, feat["pii"]).otherwise(F.array().cast(SPAN_TYPE)).alias("results"),
-                   F.lit(None).cast("string").alias("error"))
+    pii = unless_failed("pii", F.struct(
+        pii_on.alias("enabled"), F.when(pii_on, feat["pii"]).otherwise(no_spans).alias("results"), nothing.cast("string").alias("error")),
+        results=no_spans, error=None)
     tox_on = glob["toxicity_enabled"] & F.lit(an.tox_scores is not None)
-    scores = F.col(an.tox_scores) if an.tox_scores else F.create_map().cast("map<string,double>")
-    tox = F.struct(
-        tox_on.alias("enabled"),
-        F.when(tox_on, F.coalesce(scores, F.create_map().cast("map<string,double>")))
-        .otherwise(F.create_map().cast("map<string,double>")).alias("scores"),
-        F.when(tox_on, toxicity_score(scores)).otherwise(F.lit(0.0)).alias("score"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    scores = F.col(an.tox_scores) if an.tox_scores else no_scores
+    tox = unless_failed("tox", F.struct(
+        tox_on.alias("enabled"), F.when(tox_on, F.coalesce(scores, no_scores)).otherwise(no_scores).alias("scores"),
+        F.when(tox_on, toxicity_score(scores)).otherwise(F.lit(0.0)).alias("score"), nothing.cast("string").alias("error")),
+        scores=no_scores, score=nothing.cast("double"), error=None)
     gsize = F.col(an.golden_size) if an.golden_size else F.lit(0)
-    rel_col = F.col(an.relevance) if an.relevance else F.lit(None).cast("struct<score:double,label:string>")
-    nothing = F.lit(None)
-    rel = (
-        F.when(~req["relevance_enabled"], F.struct(F.lit(False).alias("enabled"), nothing.cast("double").alias("score"),
-                                                   nothing.cast("string").alias("error"),
-                                                   nothing.cast("string").alias("matched_label")))
-        .when(F.coalesce(gsize, F.lit(0)) == 0,
-              F.struct(F.lit(False).alias("enabled"), nothing.cast("double").alias("score"),
-                       F.lit("golden_set_empty").alias("error"), nothing.cast("string").alias("matched_label")))
-        .otherwise(F.struct(F.lit(True).alias("enabled"), rel_col["score"].alias("score"),
-                            nothing.cast("string").alias("error"), rel_col["label"].alias("matched_label")))
-    )
-    errors = F.filter(F.array(
+    rel_col = F.col(an.relevance) if an.relevance else nothing.cast("struct<score:double,label:string>")
+    part = lambda on, score, error, label: F.struct(F.lit(on).alias("enabled"), score.cast("double").alias("score"),
+                                                    error.cast("string").alias("error"), label.cast("string").alias("matched_label"))
+    rel = unless_failed("relevance", (
+        F.when(~req["relevance_enabled"], part(False, nothing, nothing, nothing))
+        .when(F.coalesce(gsize, F.lit(0)) == 0, part(False, nothing, F.lit("golden_set_empty"), nothing))
+        .otherwise(part(True, rel_col["score"], nothing, rel_col["label"]))),
+        score=nothing.cast("double"), error=None, matched_label=nothing.cast("string"))
+    failures = F.array(
         F.struct(F.lit("pii").alias("analyzer"), pii["error"].alias("error")),
         F.struct(F.lit("toxicity").alias("analyzer"), tox["error"].alias("error")),
         F.struct(F.lit("relevance").alias("analyzer"), rel["error"].alias("error")),
-    ), lambda e: e["error"].isNotNull() & (e["error"] != "timeout"))
+    )
+    errors = F.filter(failures, lambda e: e["error"].isNotNull() & (e["error"] != TIMEOUT))
+    timeouts = F.transform(F.filter(failures, lambda e: e["error"] == TIMEOUT), lambda e: e["analyzer"])
     return F.when(run, F.struct(
         req["phase2_mode"].alias("mode"), pii.alias("pii"), tox.alias("toxicity"), rel.alias("relevance"),
-        F.array().cast("array<string>").alias("timeouts"), errors.alias("errors"), F.lit(True).alias("ran"),
+        timeouts.alias("timeouts"), errors.alias("errors"), F.lit(True).alias("ran"),
     )).otherwise(F.struct(
         req["phase2_mode"].alias("mode"), nothing.cast(PII_TYPE).alias("pii"),
         nothing.cast(TOX_TYPE).alias("toxicity"), nothing.cast(REL_TYPE).alias("relevance"),

@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 from .. import formats as FMT
 from ..functions.rules import term_entries
 from ..functions.text import casefold, strip
+from ..session import materialize
 from ..settings import DEFAULTS, MUTABLE_FIELDS, field_kind
 from .running import next_flagged, running_count
 
 ENTRY_PREFIX = {"blocklist": "bl", "prompt_patterns": "pp", "golden_set": "gs"}
 INF = 2**31 - 1
+#: Order of what was there before a log starts.
+BEFORE = -1
 
 
 def _replacements(changes: DataFrame) -> DataFrame:
@@ -44,56 +47,84 @@ def _replacements(changes: DataFrame) -> DataFrame:
     return changes.where("action = 'replace'").select("policy_id", F.explode(F.array_distinct("lists")).alias("list"), "seq")
 
 
-def entry_events(changes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(policy_id, list, entry_id, seq, event, value, life, accepted): every
-    event of every entry; ``event`` is start, update or delete."""
+def entry_events(changes: DataFrame, entries: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """(policy_id, list, entry_id, seq, event, value, since, life, swept,
+    accepted): every event of every entry; ``event`` is start, update or delete,
+    ``swept`` the next replacement of the entry's list.  Entries that were live
+    before the log starts (``live``: policy_id, list, entry_id, value,
+    valid_from) start at seq BEFORE and bring their version as ``since``."""
+    none = F.lit(None).cast("bigint").alias("since")
     ev = changes.where("action in ('add', 'update', 'delete')").select(
-        "policy_id", "list", "entry_id", "seq", F.when(F.col("action") == "add", "start").otherwise(F.col("action")).alias("event"), "value")
-    ev = ev.unionByName(entries.select("policy_id", "list", "entry_id", "seq", F.lit("start").alias("event"), "value"))
-    ev = next_flagged(ev, ["policy_id", "list"], "seq", _replacements(changes), "_swept")
-    one = Window.partitionBy("policy_id", "list", "entry_id").orderBy("seq")
+        "policy_id", "list", "entry_id", "seq", F.when(F.col("action") == "add", "start").otherwise(F.col("action")).alias("event"), "value", none)
+    ev = ev.unionByName(entries.select("policy_id", "list", "entry_id", "seq", F.lit("start").alias("event"), "value", none))
+    if live is not None:
+        ev = ev.unionByName(live.select("policy_id", "list", "entry_id", F.lit(BEFORE).cast("bigint").alias("seq"), F.lit("start").alias("event"), "value",
+                                        F.col("valid_from").cast("bigint").alias("since")))
+    ev = next_flagged(ev, ["policy_id", "list"], "seq", _replacements(changes), "swept")
+    one = Window.partitionBy("policy_id", "list", "entry_id").orderBy("seq", "since")
     ev = ev.withColumn("life", F.sum((F.col("event") == "start").cast("int")).over(one.rowsBetween(Window.unboundedPreceding, 0)))
     life = Window.partitionBy("policy_id", "list", "entry_id", "life")
     start = F.col("event") == "start"
-    ev = ev.withColumn("_end", F.min(F.when(start, F.col("_swept"))).over(life)) \
+    ev = ev.withColumn("_end", F.min(F.when(start, F.col("swept"))).over(life)) \
         .withColumn("_del", F.min(F.when(F.col("event") == "delete", F.col("seq"))).over(life))
     before = lambda c: F.col(c).isNull() | (F.col("seq") < F.col(c))
     alive = (F.col("life") > 0) & before("_end")
     accepted = F.when(start, F.lit(True)).when(F.col("event") == "update", alive & before("_del")) \
         .otherwise(alive & (F.col("seq") == F.col("_del")))
-    return ev.withColumn("accepted", accepted).drop("_swept", "_end", "_del")
+    return ev.withColumn("accepted", accepted).drop("_end", "_del")
 
 
-def accept_changes(changes: DataFrame, entries: DataFrame) -> DataFrame:
+def accepted_of(changes: DataFrame, events: DataFrame, currents: DataFrame | None = None) -> DataFrame:
     """Adds ``accepted``, ``version`` of accepted edits (v1 = bootstrap) and
-    ``current``, the policy's newest version once the change is done.
+    ``current``, the policy's newest version once the change is done; counting
+    goes on from ``currents`` (policy_id, current) where that is given.
 
     add, replace: always accepted; update, delete: the entry is alive;
     activate: the version it pins exists by then (a pointer move, no version).
     """
-    ok = entry_events(changes, entries).where("accepted and event <> 'start'").select("policy_id", "seq", F.lit(True).alias("_ok"))
+    ok = events.where("accepted and event <> 'start'").select("policy_id", "seq", F.lit(True).alias("_ok"))
     ch = changes.join(ok, ["policy_id", "seq"], "left")
     ch = ch.withColumn("_edit", F.col("action").isin("add", "replace") | F.coalesce("_ok", F.lit(False)))
-    ch = running_count(ch, ["policy_id"], "seq", "_edit", "_n").withColumn("current", F.col("_n") + 1)
+    ch = running_count(ch, ["policy_id"], "seq", "_edit", "_n").withColumn("_first", F.lit(1).cast("bigint"))
+    if currents is not None:
+        ch = ch.drop("_first").join(currents.select("policy_id", F.col("current").alias("_first")), "policy_id", "left")
+    ch = ch.withColumn("current", F.col("_n") + F.coalesce("_first", F.lit(1)))
     pinned = (F.col("action") == "activate") & (F.col("pin").isNull() | F.col("pin").between(F.lit(1), F.col("current")))
     return ch.withColumn("accepted", F.col("_edit") | pinned) \
-        .withColumn("version", F.when(F.col("_edit"), F.col("current"))).drop("_ok", "_edit", "_n")
+        .withColumn("version", F.when(F.col("_edit"), F.col("current"))).drop("_ok", "_edit", "_n", "_first")
 
 
-def entry_intervals(changes: DataFrame, entries: DataFrame, accepted: DataFrame) -> DataFrame:
+def intervals_of(events: DataFrame, accepted: DataFrame) -> DataFrame:
     """V1/V2: (policy_id, list, entry_id, value, valid_from, valid_to)."""
     ver = accepted.where("version is not null").select("policy_id", "seq", "version")
-    ev = entry_events(changes, entries).where("accepted")
-    ev = next_flagged(ev, ["policy_id", "list"], "seq", _replacements(changes), "_swept")
-    ev = ev.join(ver, ["policy_id", "seq"])
-    swept = ver.select("policy_id", F.col("seq").alias("_swept"), F.col("version").alias("_swept_at"))
-    ev = ev.join(swept, ["policy_id", "_swept"], "left")
+    ev = events.where("accepted").join(ver, ["policy_id", "seq"], "left").withColumn("version", F.coalesce("since", "version"))
+    swept = ver.select("policy_id", F.col("seq").alias("swept"), F.col("version").alias("_swept_at"))
+    ev = ev.join(swept, ["policy_id", "swept"], "left")
     life = Window.partitionBy("policy_id", "list", "entry_id", "life").orderBy("seq")
     ev = ev.withColumn("valid_to", F.coalesce(F.lead("version").over(life), F.col("_swept_at")))
     return ev.where("event <> 'delete'").select(
         "policy_id", "list", "entry_id", "value", F.col("version").alias("valid_from"), "valid_to")
 
 
+def accept_changes(changes: DataFrame, entries: DataFrame) -> DataFrame:
+    """``accepted_of`` a whole log."""
+    return accepted_of(changes, entry_events(changes, entries))
+
+
+def entry_intervals(changes: DataFrame, entries: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``intervals_of`` a whole log."""
+    return intervals_of(entry_events(changes, entries), accepted)
+
+
+def written_history(changes: DataFrame, entries: DataFrame, live: DataFrame | None = None,
+                    currents: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, accepted, changes): the log is read once, and each later step
+    reads what the step before wrote."""
+    changes, entries = materialize(changes, "policy-log"), materialize(entries, "policy-log-entries")
+    events = materialize(entry_events(changes, entries, live), "policy-events")
+    return events, materialize(accepted_of(changes, events, currents), "policy-changes"), changes
+
+
 def snapshot(intervals: DataFrame, versions: DataFrame) -> DataFrame:
     """Entries live at each (policy_id, at_version) of ``versions``."""
     j = intervals.join(versions, "policy_id")

@@ -6,7 +6,10 @@ The golden set is a table of any size, scored in blocks (see ``golden``).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.vectors import cosine
+from .decide import TIMEOUT
 from .golden import best, cross
 
 
@@ -81,6 +85,60 @@ def make_score_udf(labels: list[str], loader: Callable[[], ScoreFn] = column_sco
     return score_udf
 
 
+def make_outcome_udf(labels: list[str], loader: Callable[[], ScoreFn] = column_scorer, deadline: float | None = None, rows: int = 64):
+    """U2 with outcomes: (scores, error) per row, one of the two null.
+
+    ``rows`` inputs go to the model at a time.  If it raises, they are asked one
+    by one, so that only the rows at fault carry the error's text (a TimeoutError
+    is ``timeout``).  With a ``deadline``, in seconds an Arrow batch, rows whose
+    answer isn't there by then are ``timeout``; a call under way is left behind,
+    not interrupted.
+    """
+    schema = T.StructType([T.StructField("scores", T.MapType(T.StringType(), T.DoubleType())), T.StructField("error", T.StringType())])
+
+    @pandas_udf(schema)
+    def outcome_udf(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for batch in it:
+            if model is None:
+                model = loader()
+            out = outcomes(model, batch, labels, None if deadline is None else time.monotonic() + deadline, rows)
+            yield pd.DataFrame(out, columns=["scores", "error"], index=batch.index)
+
+    return outcome_udf
+
+
+def outcomes(model: ScoreFn, batch: pd.DataFrame, labels: list[str], until: float | None, rows: int) -> list[tuple]:
+    """(scores, error) of every row of a batch (see ``make_outcome_udf``)."""
+    late, out, calls = (None, TIMEOUT), [], ThreadPoolExecutor(1)
+
+    def ask(part):
+        if until is None:
+            return model(part)
+        left = until - time.monotonic()
+        if left <= 0:
+            raise FutureTimeout
+        return calls.submit(model, part).result(left)
+
+    def some(part):
+        try:
+            got = ask(part)
+            return [(dict(zip(labels, map(float, r))), None) for r in got[labels].itertuples(index=False)]
+        except FutureTimeout:
+            return [late] * len(part)
+        except Exception as exc:  # whatever a model raises is the row's outcome
+            if len(part) > 1:
+                return [o for i in range(len(part)) for o in some(part.iloc[i : i + 1])]
+            return [(None, str(exc))]
+
+    try:
+        for lo in range(0, len(batch), rows):
+            out += some(batch.iloc[lo : lo + rows])
+    finally:
+        calls.shutdown(wait=False, cancel_futures=True)
+    return out
+
+
 def make_embed_udf(dim: int, embed: Callable[[pd.Series], pd.Series] | None = None):
     """Batch of inputs -> vectors; a vector of the wrong length becomes an
     ``embedding_shape_mismatch`` error instead of a value.  Default ``embed``

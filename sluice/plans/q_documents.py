@@ -227,6 +227,50 @@ def final_action_q(spark, sf):
     return dec.select("doc_id", "action", "reason_code", "detail")
 
 
+_FAULT_SQL = "CASE WHEN d.doc_id % 10 = 1 THEN 'timeout' WHEN d.doc_id % 10 = 2 THEN 'model not ready' END"
+
+
+@register("analyzer_outcomes", sql=f"""
+SELECT doc_id, CASE WHEN failed THEN 'allow' ELSE action END AS action,
+       CASE WHEN NOT failed THEN reason_code WHEN fault = 'timeout' THEN 'ANALYZER_TIMEOUT_OBSERVE' END AS reason_code,
+       CASE WHEN NOT failed THEN detail WHEN fault = 'timeout' THEN {sql_str(FMT.MSG_TIMEOUT + 'toxicity')} ELSE {sql_str(FMT.MSG_ALLOW)} END AS detail,
+       CASE WHEN NOT gated AND fault = 'timeout' THEN 'toxicity' ELSE '' END AS timeouts,
+       CASE WHEN NOT gated AND fault <> 'timeout' THEN 'toxicity: ' || fault ELSE '' END AS errors
+FROM (WITH {doc_decision_sql('output', enforce=False)}
+      SELECT dec.*, {_FAULT_SQL} AS fault, NOT gated AND fault IS NOT NULL AND coalesce(reason_code, '') <> 'PII_DETECTED' AS failed
+      FROM dec JOIN documents d ON d.doc_id = dec.doc_id)
+""")
+def analyzer_outcomes(spark, sf):
+    """Toxicity comes from a model hook that fails on some rows and
+    times out on others; what the others found decides, and a timeout alone
+    allows with a reason."""
+    from ..operators.decide import Analyzers, Rules, evaluate_output
+    from ..operators.semantic import make_outcome_udf
+    from .chains import DOC_GLOB, DOC_REQ
+
+    def load():
+        def model(batch):
+            for fault in batch["fault"].dropna():
+                raise TimeoutError("timeout") if fault == "timeout" else RuntimeError(fault)
+            return batch[["toxic"]].fillna(0.0)
+        return model
+
+    outcome = make_outcome_udf(["toxic"], load)
+    fault = F.when(F.col("doc_id") % 10 == 1, "timeout").when(F.col("doc_id") % 10 == 2, "model not ready")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("toxic"))
+
+    def enrich(df):
+        out = df.join(labels, "doc_id", "left").withColumn("_o", outcome(F.struct("toxic", fault.alias("fault"))))
+        return out.withColumns({"tox": F.col("_o.scores"), "tox_error": F.col("_o.error")}).drop("_o")
+
+    dec = evaluate_output(canon_docs(spark, sf), req=DOC_REQ.with_(phase3_mode="observe"), glob=DOC_GLOB, rules=Rules(DOC_RULES),
+                          analyzers=Analyzers(tox_scores="tox", tox_error="tox_error"), drop_text=True, enrich=enrich)
+    none = F.array().cast("array<string>")
+    errors = F.transform("phase2.errors", lambda e: F.concat(e["analyzer"], F.lit(": "), e["error"]))
+    return dec.select("doc_id", "action", "reason_code", "detail", F.array_join(F.coalesce("phase2.timeouts", none), ", ").alias("timeouts"),
+                      F.array_join(F.coalesce(errors, none), ", ").alias("errors"))
+
+
 # ------------------------------------------------------------------ A2 (flagship), A4, S4, P11
 
 @register("blocks_by_reason", sql=f"""

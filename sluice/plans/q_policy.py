@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import DEFAULT_PATTERNS, DEFAULT_TERMS
 from ..operators import policy as P
-from ..session import materialize, table
+from ..operators.policy_log import PolicyLog
+from ..session import materialize, scratch_path, table
 from .chains import DOC_RULES, chain_sql, sql_str
 from .registry import register
 
@@ -118,25 +119,34 @@ pointer AS (
 
 
 def _accepted(spark, sf) -> DataFrame:
-    return P.accept_changes(*change_log(spark, sf))
-
-
-def _intervals(spark, sf) -> DataFrame:
-    changes, entries = change_log(spark, sf)
-    return P.entry_intervals(changes, entries, P.accept_changes(changes, entries))
+    """The log with what was accepted, written."""
+    return P.written_history(*change_log(spark, sf))[1]
 
 
 def policy_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(accepted, intervals), written once for queries that use them often."""
-    changes, entries = change_log(spark, sf)
-    accepted = materialize(P.accept_changes(changes, entries), "policy-changes")
-    return accepted, materialize(P.entry_intervals(changes, entries, accepted), "policy-entries")
+    events, accepted, _ = P.written_history(*change_log(spark, sf))
+    return accepted, materialize(P.intervals_of(events, accepted), "policy-entries")
 
 
 @register("apply_changes", sql=f"{_REPLAY} SELECT policy_id, list, entry_id, value, valid_from, valid_to FROM intervals")
 def apply_changes(spark, sf):
     """V1: entry edits -> validity intervals per entry in version numbers."""
-    return _intervals(spark, sf)
+    events, accepted, _ = P.written_history(*change_log(spark, sf))
+    return P.intervals_of(events, accepted)
+
+
+@register("apply_batches", sql=f"{_REPLAY} SELECT policy_id, list, entry_id, value, valid_from, valid_to FROM intervals")
+def apply_batches(spark, sf):
+    """V1, V2, incremental: the log comes in five batches by seq, each merged
+    into the stored intervals of the lists it names."""
+    changes, entries = (materialize(x, "policy-log") for x in change_log(spark, sf))
+    at = changes.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    log = PolicyLog(spark, scratch_path(spark, "policy-state"))
+    for i in range(5):
+        some = F.floor((F.col("seq") - (at.low or 0)) * 5 / ((at.high or 0) - (at.low or 0) + 1)) == i
+        log.add(changes.where(some), entries.where(some))
+    return log.intervals()
 
 
 @register("replace_list", sql=f"""
@@ -148,10 +158,9 @@ GROUP BY ALL
 def replace_list(spark, sf):
     """V2: what each whole-list replacement put into its list (none, one or
     two entries, some of them ids that lived before)."""
-    changes, entries = change_log(spark, sf)
-    accepted = P.accept_changes(changes, entries)
+    events, accepted, _ = P.written_history(*change_log(spark, sf))
     made = accepted.where("action = 'replace'").select("policy_id", F.col("version").alias("valid_from"))
-    return P.entry_intervals(changes, entries, accepted).join(made, ["policy_id", "valid_from"]).groupBy(
+    return P.intervals_of(events, accepted).join(made, ["policy_id", "valid_from"]).groupBy(
         "policy_id", "list", F.col("valid_from").alias("version")).agg(
         F.count(F.lit(1)).alias("n_entries"), F.count_if(F.startswith("entry_id", F.lit("r_"))).alias("n_fresh"))
 
@@ -212,10 +221,9 @@ WHERE o.value IS NULL OR n.value IS NULL OR o.value <> n.value
 def version_diff(spark, sf):
     """V5: per policy, entries added / removed / changed between the version
     half-way through its history and its current version."""
-    changes, entries = change_log(spark, sf)
-    acc = materialize(P.accept_changes(changes, entries), "policy-changes")
+    events, acc, _ = P.written_history(*change_log(spark, sf))
     pairs = P.latest_versions(acc).select("policy_id", F.floor(F.col("current_version") / 2).alias("old"), F.col("current_version").alias("new"))
-    return P.version_diff(P.entry_intervals(changes, entries, acc), pairs)
+    return P.version_diff(P.intervals_of(events, acc), pairs)
 
 
 @register("activate", sql=f"{_REPLAY} SELECT active_policy_id, active_version FROM pointer")
@@ -233,7 +241,7 @@ FROM latest l, pointer p
 """)
 def policy_summary(spark, sf):
     """Per policy: current version, whether active, the active version."""
-    acc = materialize(_accepted(spark, sf), "policy-changes")
+    acc = _accepted(spark, sf)
     return P.policy_summary(acc, P.active_pointer(acc, initial_policy="p0"))
 
 
@@ -277,7 +285,7 @@ def _requests(spark, sf):
 
 
 def _resolved(spark, sf):
-    acc = materialize(_accepted(spark, sf), "policy-changes")
+    acc = _accepted(spark, sf)
     return P.resolve_policy(_requests(spark, sf), P.latest_versions(acc), P.active_pointer(acc, "p0"))
 
 
@@ -299,7 +307,7 @@ LEFT JOIN log l ON l.policy_id = r.policy_id AND l.seq = r.seq WHERE status = 20
 """)
 def version_lookup(spark, sf):
     """The version record each resolved request is judged under."""
-    acc = materialize(_accepted(spark, sf), "policy-changes")
+    acc = _accepted(spark, sf)
     ver = acc.where("version is not null").select(
         F.col("policy_id").alias("applied_policy_id"), F.col("version").alias("applied_version"), "actor")
     resolved = P.resolve_policy(_requests(spark, sf), P.latest_versions(acc), P.active_pointer(acc, "p0"))
