@@ -9,7 +9,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as FutureTimeout
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -117,19 +116,19 @@ def outcomes(model: ScoreFn, batch: pd.DataFrame, labels: list[str], until: floa
             return model(part)
         left = until - time.monotonic()
         if left <= 0:
-            raise FutureTimeout
+            raise TimeoutError
         return calls.submit(model, part).result(left)
 
     def some(part):
         try:
             got = ask(part)
             return [(dict(zip(labels, map(float, r))), None) for r in got[labels].itertuples(index=False)]
-        except FutureTimeout:
-            return [late] * len(part)
         except Exception as exc:  # whatever a model raises is the row's outcome
+            if until is not None and time.monotonic() >= until:
+                return [late] * len(part)
             if len(part) > 1:
                 return [o for i in range(len(part)) for o in some(part.iloc[i : i + 1])]
-            return [(None, str(exc))]
+            return [late if isinstance(exc, TimeoutError) else (None, str(exc))]
 
     try:
         for lo in range(0, len(batch), rows):

@@ -42,7 +42,7 @@ def test_outcome_udf(spark):
         return model
 
     udf = make_outcome_udf(["a"], load, deadline=60.0)
-    got = {r.id: (r.o.scores, r.o.error) for r in spark.range(3).select("id", udf(F.struct(F.col("id").cast("double").alias("x"))).alias("o")).collect()}
+    got = {r.id: (r.o.scores, r.o.error) for r in spark.range(3).coalesce(1).select("id", udf(F.struct(F.col("id").cast("double").alias("x"))).alias("o")).collect()}
     assert got == {0: ({"a": 0.0}, None), 1: (None, "timeout"), 2: ({"a": 2.0}, None)}
 
 
