@@ -34,7 +34,7 @@ from ..functions.rules import term_entries
 from ..functions.text import casefold, strip
 from ..session import materialize
 from ..settings import DEFAULTS, MUTABLE_FIELDS, field_kind
-from .running import next_flagged, running_count
+from .running import last_before, next_flagged, running_count
 
 ENTRY_PREFIX = {"blocklist": "bl", "prompt_patterns": "pp", "golden_set": "gs"}
 INF = 2**31 - 1
@@ -215,13 +215,44 @@ def resolve_policy(req: DataFrame, policies: DataFrame, pointer: DataFrame) -> D
     404.  A policy's versions are 1..current_version, so one join by policy
     settles both; which side is broadcast, if any, is left to its size.
     """
-    named = lambda c: F.when(F.length(strip(F.col(c))) > 0, strip(F.col(c)))
-    ver_txt = F.coalesce("policy_version_text", "meta_version_text")
-    r = req.withColumns({"_pid": F.coalesce(named("policy_id"), named("meta_policy_id")),
-                         "_ver": strip(ver_txt).try_cast("int"), "_bad": ver_txt.isNotNull() & strip(ver_txt).try_cast("int").isNull(),
-                         "_apid": pointer.select("active_policy_id").scalar(), "_aver": pointer.select("active_version").scalar()})
+    r = _asked(req).withColumns({"_apid": pointer.select("active_policy_id").scalar(), "_aver": pointer.select("active_version").scalar()})
     r = r.withColumn("_target", F.coalesce("_pid", "_apid"))
     r = r.join(policies.select(F.col("policy_id").alias("_target"), F.col("current_version").alias("_cur")), "_target", "left")
+    return _settled(r)
+
+
+def resolve_policy_at(req: DataFrame, accepted: DataFrame, initial_policy: str, as_of: str = "as_of") -> DataFrame:
+    """J1 as of each request's own place in the log (column ``as_of``, compared
+    with ``seq``): the pointer, and the versions there are, are those that the
+    changes up to that place made.  Three as-of joins, split by ranges of the
+    log, with the activations and twice with the accepted edits."""
+    marks = accepted.withColumn(as_of, F.col("seq"))
+    moved = marks.where("accepted and action = 'activate'").withColumn("at", F.coalesce("pin", "current"))
+    made = marks.where("version is not null")
+    r = last_before(_asked(req), [], as_of, moved.select(as_of, "policy_id", "seq", "at"), ["policy_id", "seq", "at"], "_act")
+    r = r.withColumn("_apid", F.coalesce("_act.policy_id", F.lit(initial_policy)))
+    newest = lambda key: made.select(F.col("policy_id").alias(key), as_of, "seq", "version")
+    r = last_before(r, ["_apid"], as_of, newest("_apid"), ["seq", "version"], "_edit")
+    since = F.col("_edit.seq") > F.coalesce("_act.seq", F.lit(BEFORE))
+    r = r.withColumn("_aver", F.coalesce(F.when(since, F.col("_edit.version")), F.col("_act.at"), F.lit(1))).drop("_act", "_edit")
+    r = r.withColumn("_target", F.coalesce("_pid", "_apid"))
+    r = last_before(r, ["_target"], as_of, newest("_target"), ["version"], "_made")
+    known = accepted.select(F.col("policy_id").alias("_target"), F.lit(1).cast("bigint").alias("_first")).distinct()
+    r = r.join(known, "_target", "left").withColumn("_cur", F.when(F.col("_first").isNotNull(), F.coalesce("_made.version", "_first")))
+    return _settled(r.drop("_made", "_first"))
+
+
+def _asked(req: DataFrame) -> DataFrame:
+    """``_pid``, ``_ver`` and ``_bad``: the policy and version a request names."""
+    named = lambda c: F.when(F.length(strip(F.col(c))) > 0, strip(F.col(c)))
+    text = F.coalesce("policy_version_text", "meta_version_text")
+    version = strip(text).try_cast("int")
+    return req.withColumns({"_pid": F.coalesce(named("policy_id"), named("meta_policy_id")), "_ver": version, "_bad": text.isNotNull() & version.isNull()})
+
+
+def _settled(r: DataFrame) -> DataFrame:
+    """Status and applied policy, from what was asked, the pointer (``_apid``,
+    ``_aver``), the policy meant (``_target``) and its newest version (``_cur``)."""
     at = (F.when(F.col("_pid").isNull() & F.col("_ver").isNull(), F.col("_aver"))
           .when(F.col("_ver").isNull() | (F.col("_ver") == 0), F.col("_cur")).otherwise(F.col("_ver")))
     status = F.when(F.col("_bad"), 400).when(F.col("_cur").isNull() | ~at.between(F.lit(1), F.col("_cur")), 404).otherwise(200)

@@ -43,3 +43,24 @@ def next_flagged(df: DataFrame, keys: list[str], order: str, marks: DataFrame, o
     inside = Window.partitionBy(*keys, "_r").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
     tag = both.withColumn("_is", F.col("_mark").isNotNull()).withColumn("_next", F.min("_mark").over(inside)).where("not _is")
     return tag.join(per, [*keys, "_r"]).withColumn(out, F.coalesce("_next", "_later")).drop("_r", "_mark", "_is", "_next", "_later")
+
+
+def last_before(df: DataFrame, keys: list[str], order: str, marks: DataFrame, values: list[str], out: str, width: int = WIDTH) -> DataFrame:
+    """As-of join: ``out`` is the struct of ``values`` of the last of ``marks``
+    (keys, order, values; orders distinct per key) at or before the row's own
+    order among those of the same key, or null.  Without keys, over all marks.
+
+    Rows and marks meet by (key, range of the order): one row a range carries
+    the last mark before it, so neither a key nor a time is one task.
+    """
+    value = F.struct(*values)
+    m = _ranged(marks.select(*keys, F.col(order).cast("bigint").alias(order), value.alias("_mark")), order, width)
+    rows = _ranged(df.withColumn("_row", F.struct(*df.columns)).select(*keys, F.col(order).cast("bigint").alias(order), "_row"), order, width)
+    per = rows.select(*keys, "_r").distinct().join(m.groupBy(*keys, "_r").agg(F.max_by("_mark", order).alias("_last")), [*keys, "_r"], "full_outer")
+    upto = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_r", F.last("_last", ignorenulls=True).over(upto).alias("_before"))
+    both = rows.unionByName(m, allowMissingColumns=True).withColumn("_is", F.col("_row").isNotNull())
+    # at equal orders marks come first
+    inside = Window.partitionBy(*keys, "_r").orderBy(order, "_is").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_now", F.last("_mark", ignorenulls=True).over(inside)).where("_is")
+    return both.join(per, [*keys, "_r"]).select("_row.*", F.coalesce("_now", "_before").alias(out))

@@ -22,7 +22,7 @@ from ..settings import DEFAULTS, settings_struct_from_map
 from ..sources.requests import parse_check_requests
 from .chains import sql_casefold, sql_pii_count
 from .q_events import request_bodies
-from .q_policy import _REPLAY, policy_tables, request_rules
+from .q_policy import _REPLAY, AS_OF, AS_OF_SQL, policy_tables, request_rules
 from .registry import register
 
 WINDOW, MAX_HITS = 3600, 4
@@ -48,7 +48,7 @@ def requests(spark, sf):
         .otherwise(F.col("request.policy_version_text")).alias("policy_version_text"),
         F.when(cid % 6 != 3, F.col("request.meta_policy_id")).alias("meta_policy_id"), F.col("request.meta_version_text").alias("meta_version_text"))
     accepted, intervals = policy_tables(spark, sf)
-    return materialize(P.resolve_policy(r, P.latest_versions(accepted), P.active_pointer(accepted, "p0")), "requests"), intervals
+    return materialize(P.resolve_policy_at(r.withColumn("as_of", F.expr(AS_OF)), accepted, "p0").drop("as_of"), "requests"), intervals
 
 
 _SQL = f"""
@@ -60,11 +60,8 @@ req AS (
     CASE WHEN conv_id % 6 <> 3 AND NOT ((conv_id + turn) % 12 IN (0, 6)) THEN 'p' || CAST(conv_id % 5 AS VARCHAR) END AS meta_policy_id
   FROM conversations c WHERE role = 'user'
 ),
-q1 AS (SELECT req.*, coalesce(policy_id, meta_policy_id) AS pid, TRY_CAST(vt AS INTEGER) AS v FROM req),
-q2 AS (SELECT q1.*, coalesce(pid, p.active_policy_id) AS tpid, l.current_version AS cur, p.active_version AS aver
-       FROM q1 CROSS JOIN pointer p LEFT JOIN latest l ON l.policy_id = coalesce(q1.pid, p.active_policy_id)),
-q3 AS (SELECT *, CASE WHEN pid IS NULL AND v IS NULL THEN aver WHEN v IS NULL OR v = 0 THEN cur ELSE v END AS ver FROM q2),
-q4 AS (SELECT *, CASE WHEN vt IS NOT NULL AND v IS NULL THEN 400 WHEN cur IS NULL OR ver NOT BETWEEN 1 AND cur THEN 404 ELSE 200 END AS status FROM q3),
+asked AS (SELECT req.*, {AS_OF} AS as_of, coalesce(policy_id, meta_policy_id) AS pid, TRY_CAST(vt AS INTEGER) AS v FROM req),
+{AS_OF_SQL.replace('settled AS', 'q4 AS')},
 live AS (SELECT conv_id, turn, i.* FROM q4 JOIN intervals i ON i.policy_id = tpid AND valid_from <= ver AND coalesce(valid_to, 2147483647) > ver WHERE status = 200),
 rules AS (SELECT conv_id, turn, list_distinct(list(value) FILTER (list = 'blocklist')) AS terms,
             list(value ORDER BY valid_from, entry_id) FILTER (list = 'prompt_patterns') AS pats,
@@ -100,7 +97,8 @@ UNION ALL SELECT conv_id, turn, status, NULL, NULL, 'error', 'POLICY' FROM q4 WH
 
 @register("full_check", sql=_SQL)
 def full_check(spark, sf):
-    """Every user turn as a check call under its own policy version.
+    """Every user turn as a check call under its own policy version, as of the
+    call's place in the policy log.
 
     The source is read once, parsed and written with each call's policy; the
     text is judged under its version's rules in one projection and dropped, and

@@ -289,6 +289,37 @@ def _resolved(spark, sf):
     return P.resolve_policy(_requests(spark, sf), P.latest_versions(acc), P.active_pointer(acc, "p0"))
 
 
+#: What a request resolves to as of its place in the log (``as_of``): with
+#: ``asked`` (as_of, pid, vt, v and any others) before it, ``settled`` after it.
+AS_OF_SQL = """
+acts AS (SELECT l.policy_id, l.seq, coalesce(l.pin, r.version) AS pinned FROM log l JOIN r ON r.policy_id = l.policy_id AND r.rn = l.rn
+         WHERE l.action = 'activate' AND r.accepted),
+s1 AS (SELECT asked.*, (SELECT arg_max({'p': policy_id, 's': seq, 'pinned': pinned}, seq) FROM acts WHERE acts.seq <= asked.as_of) AS a FROM asked),
+s2 AS (SELECT *, coalesce(pid, a.p, 'p0') AS tpid,
+         coalesce((SELECT max(r.version) FROM r WHERE r.policy_id = coalesce(s1.a.p, 'p0') AND r.seq > coalesce(s1.a.s, -1) AND r.seq <= s1.as_of
+                   AND r.accepted AND r.action <> 'activate'), a.pinned, 1) AS aver FROM s1),
+s3 AS (SELECT *, (SELECT max(r.version) FROM r WHERE r.policy_id = s2.tpid AND r.seq <= s2.as_of) AS cur FROM s2),
+s4 AS (SELECT *, CASE WHEN pid IS NULL AND v IS NULL THEN aver WHEN v IS NULL OR v = 0 THEN cur ELSE v END AS ver FROM s3),
+settled AS (SELECT *, CASE WHEN vt IS NOT NULL AND v IS NULL THEN 400 WHEN cur IS NULL OR ver NOT BETWEEN 1 AND cur THEN 404 ELSE 200 END AS status FROM s4)"""
+
+#: Requests come while the log is being written: each at its own place in it.
+AS_OF = "conv_id * 37 + turn * 11"
+
+
+@register("resolve_policy_at", sql=f"""
+{_REQ_SQL},
+asked AS (SELECT conv_id, turn, {AS_OF} AS as_of, pid, vt, TRY_CAST(trim(vt) AS INTEGER) AS v FROM r1),
+{AS_OF_SQL.replace('settled AS', 'at_time AS')}
+SELECT conv_id, turn, status, CASE WHEN status = 200 THEN tpid END AS applied_policy_id,
+  CAST(CASE WHEN status = 200 THEN ver END AS INTEGER) AS applied_version FROM at_time
+""")
+def resolve_policy_at(spark, sf):
+    """J1 as of the request's time: each request is judged under the pointer and
+    the versions that there were at its place in the log."""
+    requests = _requests(spark, sf).withColumn("as_of", F.expr(AS_OF))
+    return P.resolve_policy_at(requests, _accepted(spark, sf), "p0").select("conv_id", "turn", "status", "applied_policy_id", "applied_version")
+
+
 @register("resolve_policy", sql=f"""
 {_REQ_SQL} SELECT conv_id, turn, status, CASE WHEN status = 200 THEN tpid END AS applied_policy_id,
   CAST(CASE WHEN status = 200 THEN tver END AS INTEGER) AS applied_version FROM resolved
