@@ -30,7 +30,7 @@ pairs of a key's bucket are looked at, without ever listing all pairs:
 Step 2 leaves out only pairs that can't link, so what remains of chance is
 the banding: HALVES is the least with which a pair exactly at the threshold
 shares no key with probability MISS at most (one link; a component mostly has
-several), more similar pairs less.  Before sets are compared, pairs with fewer
+several), more similar pairs less.  In step 1, before sets are compared, pairs with fewer
 than AGREE equal minhashes are dropped, which a pair at the threshold suffers
 with probability DROP at most.  ``banding`` gives both for a threshold: 8 and
 30 at 0.85, 11 and 39 at 0.80.
@@ -161,7 +161,10 @@ class Verifier:
         for side in ("x", "y"):
             p = p.join(self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
         fits = F.lit(self.percent) * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")
-        p = materialize(p.where(fits & (F.size(F.array_intersect("sx", "sy")) >= self.agree)).select("x", "y", "nx", "ny"), "pairs")
+        return self.confirmed(materialize(p.where(fits & (F.size(F.array_intersect("sx", "sy")) >= self.agree)).select("x", "y", "nx", "ny"), "pairs"))
+
+    def confirmed(self, p: DataFrame) -> DataFrame:
+        """``p``: (x, y, nx, ny), each pair once -> those that link, written out."""
         for side in ("x", "y"):
             p = p.join(self.sets.select(F.col("node").alias(side), F.col("set").alias(f"set{side}")), side)
         both = F.size(F.array_intersect("setx", "sety"))
@@ -209,7 +212,8 @@ def _stars(rows: DataFrame, led: DataFrame | None) -> tuple[DataFrame, DataFrame
 
 
 def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different labels that can still link (step 2)."""
+    """(x, y, nx, ny): the pairs of different labels that can still link (step
+    2), with the sizes of their sets."""
     some = rows.select("node", "label").distinct()
     shingles = sets.join(some.select("node"), "node").select("node", F.explode("set").alias("s"))
     rare = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
@@ -226,7 +230,7 @@ def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int
     held = facts.select(F.explode("first").alias("e"), F.struct("node", "label", "n").alias("f")).where("e.c > 1")
     held = held.groupBy("e.s").agg(F.sort_array(F.collect_list("f")).alias("l")).where(F.size("l") > 1).select("l").distinct()
     shared = held.select(F.explode(F.expr(
-        f"flatten(transform(l, (a, i) -> transform(filter(slice(l, i + 2, size(l)), b -> {fits}), b -> struct(a.node as x, b.node as y))))")).alias("p"))
+        f"flatten(transform(l, (a, i) -> transform(filter(slice(l, i + 2, size(l)), b -> {fits}), b -> struct(a.node as x, b.node as y, a.n as nx, b.n as ny))))")).alias("p"))
     common = facts.where(f"r < p and 100 * most >= {percent} * n").drop("label")
     common = _open(rows.join(common, "node"))
     # a node has HALVES^2 keys at most; a pair is named in the first key it shares, not in each
@@ -234,7 +238,7 @@ def _last_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int
     common = materialize(common.join(keys, "node"), "common")
     a, b = (common.select("key", F.struct("node", "label", "n", "most", "keys").alias(c)) for c in "ab")
     allowed = a.join(b, "key").where(f"a.node < b.node and {fits} and b.n <= a.most and a.n <= b.most and key = array_min(array_intersect(a.keys, b.keys))")
-    return shared.select("p.x", "p.y").union(allowed.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
+    return shared.select("p.*").union(allowed.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"))).distinct()
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, turns: int = TURNS) -> tuple[DataFrame, DataFrame]:
@@ -253,14 +257,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, turns:
         left = rest.count()
         if not left:
             break
-        # a turn that closed little is the last
-        last = turn == turns or (before is not None and left > 0.8 * before)
+        # a turn that closed less than half leaves the rest to the last step
+        last = turn == turns or (before is not None and 2 * left > before)
         before = left
         if not last:
             pairs, led = _stars(rest, led)
+            new = verify.links(pairs)
         else:
-            pairs = _last_pairs(rest, sets, nodes, percent)
-        new = verify.links(pairs)
+            new = verify.confirmed(materialize(_last_pairs(rest, sets, nodes, percent), "last-pairs"))
         links = new if links is None else links.union(new)
         labels = components(links)
         if last:
