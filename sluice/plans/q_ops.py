@@ -10,8 +10,8 @@ from ..functions.rules import DEFAULT_PATTERNS
 from ..operators import ops as O
 from ..operators.sinks import exposition_lines, metric_rows
 from ..session import scratch_path, table
-from ..sources.files import latest_run_files, load_terms, rules_from_json
-from .chains import doc_decision_sql, doc_output_decisions
+from ..sources.files import latest_run_files, load_rules, load_terms, rules_from_json
+from .chains import doc_decision_sql, doc_output_decisions, sql_str
 from .registry import register
 
 
@@ -163,17 +163,35 @@ def load_rules_q(spark, sf):
     return rules.groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("p")).cast("bigint").alias("n_patterns"))
 
 
+@register("load_rule_files", sql=f"""
+SELECT CASE item_id % 4 WHEN 0 THEN coalesce(text, '') || '|z' WHEN 1 THEN '' ELSE {sql_str('|'.join(DEFAULT_PATTERNS))} END AS patterns, count(*) AS n_files
+FROM benchmark GROUP BY 1
+""")
+def load_rule_files_q(spark, sf):
+    """S2 through its reader: every ``benchmark`` item becomes a rules file of
+    its own (two patterns, an empty list, no such key, or broken)."""
+    path = scratch_path(spark, "rules")
+    kind, key = F.col("item_id") % 4, "prompt_injection_patterns"
+    given = lambda *p: F.to_json(F.struct(F.array(*p).cast("array<string>").alias(key)))
+    doc = (F.when(kind == 0, given(F.coalesce("text", F.lit("")), F.lit("z"))).when(kind == 1, given())
+           .when(kind == 2, F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("note")))).otherwise(F.lit("{not json")))
+    table(spark, sf, "benchmark").select(doc.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return load_rules(spark, path).groupBy(F.array_join(key, "|").alias("patterns")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @register("latest_run_files", sql="""
 SELECT source AS run_id, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS total_bytes
-FROM documents WHERE source = (SELECT max(source) FROM documents) GROUP BY source
+FROM documents WHERE source = (SELECT min(source) FROM documents) GROUP BY source
 """)
 def latest_run_files_q(spark, sf):
     """Documents written as probe-run directories (one per source) into
-    the shared checkpoint folder by Spark's writer, read back with the
-    binaryFile source; bytes of the newest run's files."""
+    the shared checkpoint folder by Spark's writer, the run of the smallest name
+    last, read back with the binaryFile source; bytes of the newest run's files."""
     root = scratch_path(spark, "runs")
-    table(spark, sf, "documents").select("source", "text").write.mode("overwrite") \
-        .partitionBy("source").text(root)
+    docs = table(spark, sf, "documents").select("source", "text").where("source is not null")
+    last = docs.agg(F.min("source")).scalar()
+    docs.where(F.col("source") > last).write.partitionBy("source").text(root)
+    docs.where(F.col("source") == last).write.mode("append").partitionBy("source").text(root)
     f = latest_run_files(spark, root)
     return f.groupBy("run_id").agg(F.sum("length").cast("bigint").alias("total_bytes"))
 

@@ -48,13 +48,14 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_run_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files of the newest run directory under ``root`` (run ids sort by
-    name, as timestamped directory names do).  ``binaryFile`` lists and
-    reads in parallel; the newest run is a one-row aggregate joined back."""
+    """Files of the run directory under ``root`` that was written last: the
+    one with the newest file, at equal times the larger name.  ``binaryFile``
+    lists and reads in parallel; only names and times are read to find the run,
+    a one-row aggregate that is joined back."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_extract(F.col("path"), r"^.*/([^/]+)/([^/]+)$", 1), "^[^=/]+=", "")
     name = F.regexp_extract(F.col("path"), r"^.*/([^/]+)/([^/]+)$", 2)
     f = files.select(rel.alias("run_id"), name.alias("file"), "length", "content", "modificationTime")
     f = f.where(~F.col("file").isin(*WRITER_MARKERS) & ~F.col("file").rlike(r"^[.].*[.]crc$"))
-    newest = f.agg(F.max("run_id").alias("run_id"))
+    newest = f.agg(F.max_by("run_id", F.struct("modificationTime", "run_id")).alias("run_id"))
     return f.join(F.broadcast(newest), "run_id", "left_semi")
