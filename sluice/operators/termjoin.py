@@ -16,6 +16,8 @@ texts and grams meet in equi-joins instead: the grams of a text, exploded, with
 the term grams (a semi-join, then counts) and with the anchors, and the candidate
 pairs with the texts, where the exact test is the join's condition.
 
+Up to FEW terms skip step 1 and take any of their grams; the result is the same.
+
 Defined cases: null texts hold nothing; blank terms are no terms; terms that
 repeat count once; rows that repeat an id are judged each.
 """
@@ -33,6 +35,9 @@ from pyspark.sql import types as T
 GRAM = 4
 #: Most grams, and most bytes of terms, that travel to the tasks.
 KNOWN, HELD = 1 << 20, 16 << 20
+#: Terms up to which any gram will do as an anchor: counting would cost a pass
+#: over the texts, and testing so few terms costs little.
+FEW = 256
 #: Texts looked at in one go.
 ROWS = 256
 
@@ -118,6 +123,9 @@ def anchored(docs: DataFrame, key: str, terms: DataFrame, known: int = KNOWN) ->
     # a gram's size is its highest byte
     size = lambda c: F.when(c < 1 << 16, 1).when(c < 1 << 24, 2).when(c < 1 << 32, 3).otherwise(4)
     sizes = sorted(r[0] for r in rows.select(size(F.col("gram"))).distinct().collect())
+    if rows.select("term", "key").distinct().limit(FEW + 1).count() <= FEW:
+        few = rows.groupBy("term", "key").agg(F.min_by("gram", F.xxhash64("gram")).alias("gram"))
+        return materialize(few, "term-anchors"), sizes
     counts = gram_counts(docs, key, rows.select("gram").distinct(), sizes, known)
     held = rows.join(counts, "gram", "left").groupBy("term", "key").agg(
         F.min_by("gram", F.struct("c", "gram")).alias("gram"), F.min(F.coalesce("c", F.lit(0))).alias("least"))
