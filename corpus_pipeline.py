@@ -26,7 +26,8 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without letters or text go."""
+    """Documents in a learned language; those without letters or text go, and long
+    ones unlike all profiles.  Without labels all stay."""
     return langid.with_language(docs)
 
 
