@@ -14,7 +14,12 @@ Two shapes are supported:
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +107,42 @@ def conversation_messages(conv: DataFrame, *, conv_id: str, turn: str, role: str
     return counts.join(msgs, conv_id, "left")
 
 
+#: Characters of a piece of a transcript.
+PIECE = 1 << 20
+
+
 def segment_concat(df: DataFrame, *, key: str, order: str, text: str) -> DataFrame:
-    """Ordered segments of one transcript joined with no separator, stripped."""
-    g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))).alias("_s"))
-    return g.select(key, strip(F.array_join(F.transform("_s", lambda s: s[text]), "")).alias("text"))
+    """Ordered segments of one transcript joined with no separator, stripped.
+
+    Two levels: rows are dealt by ranges of (key, order) and sorted there, and
+    each range joins what it has of a key to pieces as it reads; then the few
+    pieces of a key are joined.  So no task holds a long transcript as rows.
+    Null segments are left out (a key of nothing else has an empty text); at
+    equal orders segments come by their text; null orders come first.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("t"))
+    rows = rows.repartitionByRange("k", "o", "t").sortWithinPartitions("k", "o", "t").select("k", "t")
+
+    def pieces(batches):
+        part, n, cur, held, size = TaskContext.get().partitionId(), 0, None, [], 0
+        kind = None
+
+        def piece():
+            return pa.RecordBatch.from_arrays([pa.array([cur[0]], kind), pa.array([part], pa.int32()), pa.array([n], pa.int64()),
+                                               pa.array(["".join(held)], pa.string())], ["k", "part", "n", "t"])
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, run in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), key=itemgetter(0)):
+                if cur is not None and (cur[0] != k or size >= PIECE):
+                    yield piece()
+                    n, held, size = n + 1, [], 0
+                cur = (k,)
+                held.append("".join(t for _, t in run if t is not None))
+                size += len(held[-1])
+        if cur is not None:
+            yield piece()
+
+    schema = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("part", T.IntegerType()),
+                           T.StructField("n", T.LongType()), T.StructField("t", T.StringType())])
+    g = rows.mapInArrow(pieces, schema).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "n", "t"))).alias("s"))
+    return g.select(F.col("k").alias(key), strip(F.array_join("s.t", "")).alias("text"))
