@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import formats as FMT
 
-def audit_json(dec: DataFrame, request_id: Column, *, slot: str, path: str, policy_id: Column,
+def audit_rows(dec: DataFrame, request_id: Column, *, slot: str, path: str, policy_id: Column,
                policy_version: Column, stream: Column | None = None) -> DataFrame:
-    """The full audit record as one JSON string per row (for a text sink)."""
+    """(final_action, value): the full audit record of every decision other
+    than ``allow`` as one JSON string, and the action it is filed under."""
     rec = F.struct(
         request_id.alias("request_id"), F.lit(slot).alias("slot"), F.lit(path).alias("path"),
         (stream if stream is not None else F.lit(False)).alias("stream"),
@@ -26,12 +27,18 @@ def audit_json(dec: DataFrame, request_id: Column, *, slot: str, path: str, poli
         F.lit(None).cast("double").alias("upstream_latency_ms"),
         F.lit(None).cast("double").alias(FMT.AUDIT_LATENCY_FIELD),
     )
-    return dec.where(F.col("action") != "allow").select(F.to_json(rec).alias("value"))
+    return dec.where(F.col("action") != "allow").select(F.col("action").alias("final_action"), F.to_json(rec).alias("value"))
 
 
 def write_audit(audit: DataFrame, path: str) -> None:
-    """Append audit records, one JSON text a line."""
-    audit.write.mode("append").text(path)
+    """Append audit records, one JSON text a line, in a folder per final action."""
+    audit.write.mode("append").partitionBy("final_action").text(path)
+
+
+def write_audit_epoch(audit: DataFrame, epoch: int, path: str) -> None:
+    """The records of one micro-batch, below its number.  A micro-batch that is
+    run again after a failure replaces what it had written."""
+    audit.write.mode("overwrite").partitionBy("final_action").text(f"{path}/epoch={epoch}")
 
 
 # ------------------------------------------------------------------ counters

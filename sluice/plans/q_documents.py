@@ -12,7 +12,7 @@ from ..functions.rules import term_entries
 from ..operators.decide import toxicity_score
 from ..operators.detect import blocklist_hits, first_pattern_literal, hits_detail, pattern_ranks_literal, \
     term_hits, terms_literal, with_term_hits
-from ..operators.sinks import audit_json, write_audit
+from ..operators.sinks import audit_rows, write_audit
 from ..session import scratch_path, table
 from .chains import (DOC_RULES, PII_SQL, canon_docs, doc_decision_sql, doc_input_decisions,
                      doc_output_decisions, sql_casefold, sql_first_pattern, sql_str, sql_term_hits)
@@ -305,7 +305,7 @@ def audit_sink(spark, sf):
     to the shared folder and read back."""
     path = scratch_path(spark, "audit")
     dec = doc_output_decisions(spark, sf)
-    write_audit(audit_json(dec, F.col("doc_id").cast("string"), slot="documents", path="/guardrails/output/check",
+    write_audit(audit_rows(dec, F.col("doc_id").cast("string"), slot="documents", path="/guardrails/output/check",
                            policy_id=F.lit("default"), policy_version=F.lit(1)), path)
     v = F.parse_json("value")
     get = lambda p, kind: F.variant_get(v, f"$.{p}", kind)

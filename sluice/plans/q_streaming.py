@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import canon
+from ..operators.sinks import audit_rows, write_audit_epoch
 from ..streaming import pipelines as S
 from .q_conversations import _CONV_ALL, conv_decisions
 from .q_events import RL_MAX, RL_WINDOW
@@ -48,15 +49,38 @@ UNION ALL SELECT window_start, p, q, count(*) FROM d, (VALUES ('phases', 'phase2
   WHERE stage IS NOT NULL AND NOT gated GROUP BY ALL
 """)
 def stream_metrics(spark, sf):
-    """Running counters of the decision stream (requests, blocks by reason,
-    phases, final actions) per day of a derived event time, with a watermark."""
+    """Counters of the decision stream (requests, blocks by reason, phases,
+    final actions) per day of a derived event time."""
     src = S.file_stream(spark, sf, "conversations")
     c = canon(F.col("text"))
     ts = F.timestamp_seconds(F.lit(1704067200) + 60 * (F.col("conv_id") * 11 + F.col("turn")))
     rows = src.select("conv_id", "turn", "role", c["text"].alias("text"), c["key"].alias("key"), ts.alias("ts"))
     dec = conv_decisions(spark, sf, rows=rows, keep=["ts"])
-    out = S.run_to_sink(S.decision_counts(dec, "ts", "366 days", "1 day"), "stream_metrics", mode="update")
-    return S.latest_rows(spark, out, ["window_start", "counter", "label"], "n").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    out = S.run_to_sink(dec, "stream_metrics", write=S.write_counts("ts", "1 day"))
+    return S.total_counts(spark, out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("audit_stream", sql=f"""
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, stage, 'default' AS policy_id, CAST(1 AS INTEGER) AS policy_version,
+  action AS final_action, reason_code, stage = 'input' AS has_phase1, CASE WHEN gated THEN NULL ELSE 'gray' END AS p3_action
+FROM ({_CONV_ALL}) WHERE action IN ('block', 'observe')
+""")
+def audit_stream(spark, sf):
+    """The audit records of the decision stream, once each, filed by
+    micro-batch and final action and read back."""
+    src = S.file_stream(spark, sf, "conversations")
+    c = canon(F.col("text"))
+    rows = src.select("conv_id", "turn", "role", c["text"].alias("text"), c["key"].alias("key"))
+    dec = conv_decisions(spark, sf, rows=rows, keep=["phase1", "phase2", "phase3"]).where("action <> 'error'")
+    audit = audit_rows(dec, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), slot="conversations",
+                       path="/guardrails/text/check", policy_id=F.lit("default"), policy_version=F.lit(1))
+    out = spark.read.schema("value string, epoch long, final_action string").text(S.run_to_sink(audit, "audit_stream", write=write_audit_epoch))
+    v = F.parse_json("value")
+    get = lambda p, kind: F.variant_get(v, f"$.{p}", kind)
+    p1 = get("phase1.action", "string").isNotNull()
+    return out.select(get("request_id", "string").alias("request_id"), F.when(p1, "input").otherwise("output").alias("stage"),
+                      get("policy_id", "string").alias("policy_id"), get("policy_version", "int").alias("policy_version"), "final_action",
+                      get("reason_code", "string").alias("reason_code"), p1.alias("has_phase1"), get("phase3.action", "string").alias("p3_action"))
 
 
 def _ticks(df):

@@ -10,28 +10,40 @@ Ordering rule: the reference is arrival-ordered by wall clock; here each
 micro-batch is ordered by event time (then id) within a key before it is
 folded into the key's state.  Events arriving in a later micro-batch with
 an older timestamp than ones already folded are evaluated against the
-current state (never re-opened).  No watermark is used for T2/T4, so no
-row is dropped as late; their per-key state is bounded by the rule itself
-(at most ``max`` admitted timestamps, plus a streak counter).
+current state (never re-opened).
+
+State of T2/T4 ends with what it can still decide: a timer per key fires when
+the watermark (newest event time less ``late``) has passed the key's last
+stored time by the window, and the key's state goes.  The watermark only moves
+those timers.  The time column itself doesn't reach the stateful operator, so
+no row is dropped as late: one that comes later than ``late`` is judged by
+what state is left.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.timecols import epoch_micros
 from ..operators.ratelimit import fold_times
 from ..session import scratch_path
 
 MICROS = 1_000_000
+#: How much later than the newest event an event may come and still meet its
+#: key's whole state.
+LATE = "1 hour"
+#: Timers and per-key state need the RocksDB store.
+STORE = ("spark.sql.streaming.stateStore.providerClass",
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -44,72 +56,133 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | No
     return stream.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
-def run_to_sink(df: DataFrame, name: str, mode: str = "append", at: str | None = None) -> str:
-    """Drain the stream (availableNow) into a Parquet sink; return its path.
+def run_to_sink(df: DataFrame, name: str, at: str | None = None, write: Callable[[DataFrame, int, str], None] | None = None) -> str:
+    """Drain the stream (availableNow) into a sink; return its path.
 
     ``at`` names the folder of sink and checkpoint, to resume a stream that
-    ran there before.  In ``update`` mode each micro-batch's changed rows are
-    kept under its number (column ``epoch``); ``latest_rows`` reads the result.
+    ran there before.  Rows are appended as Parquet, or each micro-batch is
+    given to ``write`` with its number and the path; ``write`` must replace
+    what an earlier try of that number has written.
     """
     base = at or scratch_path(df.sparkSession, name)
-    out, ckpt = f"{base}/out", f"{base}/checkpoint"
-    stream = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if mode == "update":
-        def write(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        q = stream.foreachBatch(write).start()
-    else:
-        q = stream.format("parquet").start(out)
-    q.awaitTermination()
+    out = f"{base}/out"
+    stream = df.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    with _store(df.sparkSession):
+        q = stream.foreachBatch(lambda batch, epoch: write(batch, epoch, out)).start() if write else stream.format("parquet").start(out)
+        q.awaitTermination()
     return out
 
 
-def latest_rows(spark: SparkSession, out: str, keys: list[str], value: str) -> DataFrame:
-    """The last value written per key by an update-mode stream."""
-    return spark.read.parquet(out).groupBy(*keys).agg(F.max_by(value, "epoch").alias(value))
+@contextmanager
+def _store(spark: SparkSession) -> Iterator[None]:
+    """The state store of streams started inside; a started stream keeps it."""
+    key, rocks = STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def decision_counts(dec: DataFrame, ts: str, late: str, width: str) -> DataFrame:
-    """Running counters of a decision stream per window: requests, blocks by
-    reason, phases and final actions.  Rows later than ``late`` are left out
-    and a window's state is dropped once the watermark has passed it."""
+def decision_counts(dec: DataFrame, ts: str, width: str) -> DataFrame:
+    """Counters of decisions per window: requests, blocks by reason, phases
+    and final actions."""
     k = lambda m, v: F.struct(F.lit(m).alias("counter"), v.cast("string").alias("label"))
     keys = F.array_compact(F.concat(
         F.array(F.when(F.col("action") != "error", k("requests", F.lit(""))),
                 F.when((F.col("action") == "block") & F.col("reason_code").isNotNull(), k("blocks", F.col("reason_code"))),
                 F.when(F.col("action") != "error", k("actions", F.col("action")))),
         F.transform("reached", lambda p: k("phases", p))))
-    rows = dec.withWatermark(ts, late).select(F.window(ts, width).alias("w"), F.explode(keys).alias("k"))
+    rows = dec.select(F.window(ts, width).alias("w"), F.explode(keys).alias("k"))
     return rows.groupBy("w", "k.counter", "k.label").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("window_start"), "counter", "label", "n")
 
 
+def write_counts(ts: str, width: str) -> Callable[[DataFrame, int, str], None]:
+    """T3's sink.  Counters add up, so each micro-batch writes its own below its
+    number and no state is held: no watermark, and no row is too late."""
+    def write(batch: DataFrame, epoch: int, path: str) -> None:
+        decision_counts(batch, ts, width).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return write
+
+
+def total_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The counters so far: sums over the micro-batches."""
+    rows = spark.read.schema("window_start timestamp, counter string, label string, n bigint").parquet(out)
+    return rows.groupBy("window_start", "counter", "label").agg(F.sum("n").alias("n"))
+
+
+# ------------------------------------------------------------------ state with expiry
+
+def _expire_at(handle, last_us: int | None, keep_us: int) -> None:
+    """The key's only timer: once the watermark is there, no event in time can
+    be within ``keep_us`` of ``last_us``."""
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    if last_us is not None:
+        handle.registerTimer((last_us + keep_us) // 1000 + 1)
+
+
+def _columns(rows: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray]:
+    """The key's rows of this micro-batch in event time, as arrays (time and id
+    first): ids, times and flags only, column by column."""
+    parts = [[p[c].to_numpy() for c in ("t_us", "rid", *names)] for p in rows]
+    cols = [np.concatenate(c) for c in zip(*parts)]
+    order = np.lexsort((cols[1], cols[0]))
+    return [cols[0][order].astype(np.int64), *(c[order] for c in cols[1:])]
+
+
+def _stateful(ev: DataFrame, key: str, order_id: str, processor: StatefulProcessor, out: list[T.StructField], like: T.StructType) -> DataFrame:
+    schema = T.StructType([T.StructField("_key", like[key].dataType), T.StructField("_rid", like[order_id].dataType), *out])
+    return ev.groupBy("grp").transformWithStateInPandas(processor, schema, "Append", "eventTime") \
+        .withColumnRenamed("_rid", order_id).withColumnRenamed("_key", key)
+
+
+def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """``t_us`` in microseconds, and the watermark over it.  Names that begin
+    with an underscore would not reach the stateful function."""
+    return df.withColumn("t_us", epoch_micros(df, ts)).withColumn("_ts", F.timestamp_micros("t_us")).withWatermark("_ts", late)
+
+
 # ------------------------------------------------------------------ T2: per-key rate-limit state
 
-def _rate_state_fn(window_us: int, max_hits: int, cooldown_us: int = 0):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        hits = deque(state.get[0] if state.exists else [])
-        # times and ids only: 16 bytes an event of this key and micro-batch
-        parts = [(p["_t"].to_numpy(np.int64), p["_rid"].to_numpy()) for p in pdfs]
-        ts, rid = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((rid, ts))
-        limited = fold_times(ts[order], hits, window_us, max_hits, cooldown_us)
-        state.update((list(hits),))
-        yield pd.DataFrame({"_key": [key[0]] * len(ts), "_rid": rid[order], "limited": limited})
-    return fn
+class RateState(StatefulProcessor):
+    """Admitted times of a key; gone once the window has passed the last one."""
+
+    def __init__(self, window_us: int, max_hits: int):
+        self.window_us, self.max_hits = window_us, max_hits
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.hits = handle.getValueState("hits", T.StructType([T.StructField("hits", T.ArrayType(T.LongType()))]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        hits = deque(int(x) for x in self.hits.get()[0]) if self.hits.exists() else deque()
+        ts, rid = _columns(rows, [])
+        limited = fold_times(ts, hits, self.window_us, self.max_hits)
+        if hits:
+            self.hits.update(([int(x) for x in hits],))
+        else:
+            self.hits.clear()
+        _expire_at(self.handle, int(hits[-1]) if hits else None, self.window_us)
+        yield pd.DataFrame({"_key": [key[0]] * len(ts), "_rid": rid, "limited": limited})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.hits.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_rate_limit(events: DataFrame, *, key: str, ts: str, order_id: str, window_seconds: int,
-                      max_requests: int) -> DataFrame:
-    """W1 as a stateful stream (state <= max_requests timestamps per key)."""
-    ev = events.select(F.col(order_id).alias("_rid"), F.col(key), epoch_micros(events, ts).alias("_t"))
-    out_schema = T.StructType([T.StructField("_key", events.schema[key].dataType),
-                               T.StructField("_rid", events.schema[order_id].dataType),
-                               T.StructField("limited", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("hits", T.ArrayType(T.LongType()))])
-    return ev.groupBy(key).applyInPandasWithState(
-        _rate_state_fn(int(window_seconds) * MICROS, int(max_requests)), out_schema, state_schema,
-        "append", GroupStateTimeout.NoTimeout).withColumnRenamed("_rid", order_id).withColumnRenamed("_key", key)
+                      max_requests: int, late: str = LATE) -> DataFrame:
+    """W1 as a stateful stream (state <= max_requests timestamps per key,
+    for keys with an admitted event in the last window + ``late`` only)."""
+    ev = _timed(events, ts, late).select(F.col(key).alias("grp"), F.col(order_id).alias("rid"), "t_us")
+    return _stateful(ev, key, order_id, RateState(int(window_seconds) * MICROS, int(max_requests)),
+                     [T.StructField("limited", T.BooleanType())], events.schema)
 
 
 # ------------------------------------------------------------------ T4: watchdog state
@@ -125,7 +198,13 @@ def guard_fold(ts: np.ndarray, ok: np.ndarray, log_hit: np.ndarray, streak: int,
     """
     r = deque(restarts)
     done = np.zeros(len(ts), dtype=np.int32)
-    tried = np.zeros(len(ts), dtype=np.int32)
+    ok, log_hit = np.asarray(ok, bool), np.asarray(log_hit, bool)
+    at = np.arange(len(ts))
+    # failures since the last good tick, those carried in included
+    good = np.maximum.accumulate(np.where(ok, at, -1))
+    failed = np.where(good < 0, at + 1 + min(streak, max(threshold, 1) - 1), at - good)
+    due = ~ok & (failed % max(threshold, 1) == 0)
+    tried = log_hit.astype(np.int32) + due
 
     def attempt(now):
         if r and now - r[-1] < cooldown_us:
@@ -137,49 +216,57 @@ def guard_fold(ts: np.ndarray, ok: np.ndarray, log_hit: np.ndarray, streak: int,
         r.append(int(now))
         return True
 
-    for i, now in enumerate(ts):
-        if log_hit[i]:
-            tried[i] += 1
-            done[i] += attempt(now)
-        if ok[i]:
-            streak = 0
+    for i in np.flatnonzero(tried):
+        for _ in range(tried[i]):
+            done[i] += attempt(ts[i])
+    left = 0 if not len(ts) or ok[-1] else int(failed[-1]) % max(threshold, 1)
+    return done, tried, left if len(ts) else streak, list(r)
+
+
+class GuardState(StatefulProcessor):
+    """Streak and kept restarts of a service.  Once the window and the cooldown
+    have passed the last restart, the restarts go, and the state with them
+    unless a streak of failures is open (the rule lets no time end that)."""
+
+    def __init__(self, cooldown_us: int, window_us: int, max_restarts: int, threshold: int):
+        self.rule = (cooldown_us, window_us, max_restarts, threshold)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("guard", T.StructType([
+            T.StructField("streak", T.IntegerType()), T.StructField("restarts", T.ArrayType(T.LongType()))]))
+
+    def _keep(self, streak: int, restarts: list) -> None:
+        if streak or restarts:
+            self.state.update((int(streak), [int(x) for x in restarts]))
         else:
-            streak += 1
-            if streak >= threshold:
-                tried[i] += 1
-                done[i] += attempt(now)
-                streak = 0
-    return done, tried, streak, list(r)
-
-
-def _guard_state_fn(cooldown_us: int, window_us: int, max_restarts: int, threshold: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        streak, restarts = (state.get[0], state.get[1]) if state.exists else (0, [])
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "_rid"], kind="stable")
-        done, tried, streak, restarts = guard_fold(
-            pdf["_t"].to_numpy(dtype=np.int64), pdf["ok"].to_numpy(dtype=bool), pdf["log_hit"].to_numpy(dtype=bool),
-            int(streak), list(restarts), cooldown_us, window_us, max_restarts, threshold)
-        state.update((int(streak), [int(x) for x in restarts]))
-        yield pd.DataFrame({"_key": [key[0]] * len(pdf), "_rid": pdf["_rid"].to_numpy(),
-                            "attempts": tried, "restarts": done})
-    return fn
+            self.state.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        streak, restarts = (self.state.get()[0], list(self.state.get()[1])) if self.state.exists() else (0, [])
+        ts, rid, ok, log_hit = _columns(rows, ["ok", "log_hit"])
+        done, tried, streak, restarts = guard_fold(ts, ok, log_hit, int(streak), restarts, *self.rule)
+        self._keep(streak, restarts)
+        _expire_at(self.handle, int(restarts[-1]) if restarts else None, max(self.rule[:2]))
+        yield pd.DataFrame({"_key": [key[0]] * len(ts), "_rid": rid, "attempts": tried, "restarts": done})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            self._keep(int(self.state.get()[0]), [])
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_guard(ticks: DataFrame, *, key: str, ts: str, order_id: str, ok: str, log_hit: str,
                  cooldown_seconds: int = 120, window_seconds: int = 3600, max_restarts: int = 6,
-                 threshold: int = 3) -> DataFrame:
+                 threshold: int = 3, late: str = LATE) -> DataFrame:
     """T4: the watchdog tick loop per service as a stateful stream."""
-    ev = ticks.select(F.col(order_id).alias("_rid"), F.col(key), epoch_micros(ticks, ts).alias("_t"),
-                      F.col(ok).alias("ok"), F.col(log_hit).alias("log_hit"))
-    out_schema = T.StructType([T.StructField("_key", ticks.schema[key].dataType),
-                               T.StructField("_rid", ticks.schema[order_id].dataType),
-                               T.StructField("attempts", T.IntegerType()), T.StructField("restarts", T.IntegerType())])
-    state_schema = T.StructType([T.StructField("streak", T.IntegerType()),
-                                 T.StructField("restarts", T.ArrayType(T.LongType()))])
-    fn = _guard_state_fn(cooldown_seconds * MICROS, window_seconds * MICROS, max_restarts, threshold)
-    return ev.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                   GroupStateTimeout.NoTimeout) \
-        .withColumnRenamed("_rid", order_id).withColumnRenamed("_key", key)
+    ev = _timed(ticks, ts, late).select(F.col(key).alias("grp"), F.col(order_id).alias("rid"), "t_us",
+                                        F.col(ok).alias("ok"), F.col(log_hit).alias("log_hit"))
+    rule = GuardState(cooldown_seconds * MICROS, window_seconds * MICROS, max_restarts, threshold)
+    return _stateful(ev, key, order_id, rule, [T.StructField("attempts", T.IntegerType()), T.StructField("restarts", T.IntegerType())], ticks.schema)
 
 
 def guard_batch(ticks: DataFrame, *, key: str, ts: str, order_id: str, ok: str, log_hit: str,
