@@ -26,7 +26,7 @@ from ..functions.rules import DEFAULT_PATTERNS, DEFAULT_TERMS
 from ..operators import policy as P
 from ..operators.policy_log import PolicyLog
 from ..session import materialize, scratch_path, table
-from .chains import DOC_RULES, chain_sql, sql_str
+from .chains import sql_casefold, sql_pii_count, sql_str
 from .registry import register
 
 LISTS = ("blocklist", "prompt_patterns", "golden_set")
@@ -377,42 +377,65 @@ def rule_fallback(spark, sf):
 
 # ------------------------------------------------------------------ V6
 
-V2_RULES = DOC_RULES
-V3_RULES = type(DOC_RULES)(terms=DOC_RULES.terms, patterns=(r"und\s+(der|die)",))
+_PINNED_SQL = f"""
+{_REPLAY},
+pins AS (SELECT doc_id, text, {sql_casefold('text')} AS key, l.policy_id, CAST(1 + current_version // 2 AS INTEGER) AS version_a, CAST(current_version AS INTEGER) AS version_b
+         FROM documents JOIN latest l ON l.policy_id = 'p' || CAST(doc_id % 5 AS VARCHAR)),
+used AS (SELECT DISTINCT policy_id, version_a AS v FROM pins UNION SELECT DISTINCT policy_id, version_b FROM pins),
+rules AS (SELECT u.policy_id, u.v, list_distinct(list(value) FILTER (list = 'blocklist')) AS terms,
+            list(value ORDER BY valid_from, entry_id) FILTER (list = 'prompt_patterns') AS pats
+          FROM used u LEFT JOIN intervals i ON i.policy_id = u.policy_id AND valid_from <= v AND coalesce(valid_to, 2147483647) > v GROUP BY ALL),
+j AS (SELECT pins.*, v, coalesce(terms, [{', '.join(sql_str(t) for t in DEFAULT_TERMS)}]) AS terms,
+        coalesce(pats, [{', '.join(sql_str(t) for t in DEFAULT_PATTERNS)}]) AS pats
+      FROM pins JOIN rules USING (policy_id) WHERE v IN (version_a, version_b)),
+g AS (SELECT *, CASE WHEN length(text) > 12000 THEN 'INPUT_TOO_LONG'
+                 WHEN len(list_filter(terms, lambda t: contains(key, {sql_casefold('t')}))) > 0 THEN 'BLOCKLIST_MATCH'
+                 WHEN len(list_filter(pats, lambda p: regexp_matches(text, '(?i)' || p))) > 0 THEN 'PROMPT_INJECTION_PATTERN' END AS gate FROM j),
+d AS (SELECT *, CASE WHEN gate IS NOT NULL THEN 'block' WHEN length(trim(text)) > 0 AND {sql_pii_count('text')} > 0 THEN 'observe' ELSE 'allow' END AS action,
+        CASE WHEN gate IS NOT NULL THEN gate WHEN length(trim(text)) > 0 AND {sql_pii_count('text')} > 0 THEN 'PII_DETECTED' END AS reason FROM g)
+SELECT a.doc_id, a.policy_id, a.version_a, a.version_b, a.action AS action_a, a.reason AS reason_a, b.action AS action_b, b.reason AS reason_b,
+       a.action <> b.action AS changed
+FROM d a JOIN d b ON a.doc_id = b.doc_id WHERE a.v = a.version_a AND b.v = b.version_b
+"""
 
 
-@register("pinned_replay", sql=f"""
-WITH a AS ({chain_sql("SELECT doc_id, text FROM documents", "doc_id", "input", V2_RULES, 12000, False)}),
-     b AS ({chain_sql("SELECT doc_id, text FROM documents", "doc_id", "input", V3_RULES, 12000, False)})
-SELECT a.doc_id, a.action AS action_v2, a.reason_code AS reason_v2, b.action AS action_v3, b.reason_code AS reason_v3,
-       a.action <> b.action AS changed
-FROM a JOIN b ON a.doc_id = b.doc_id
-""")
+@register("pinned_replay", sql=_PINNED_SQL)
 def pinned_replay(spark, sf):
-    """V6: the same texts judged under pinned versions 2 and 3 (version 3
-    dropped a pattern): both decisions side by side, one scan, no join.
-    Phase 1 depends on the version's rules; the analyzers do not, so they
-    run once per row."""
+    """V6: each text judged under two pinned versions of its policy, one half
+    way through the policy's history and the current one, side by side.
+
+    The rules of the versions come from the policy tables and are joined by
+    (policy, version).  One scan of the texts; phase 1 depends on the version's
+    rules, the analyzers don't, so they run once per row.
+    """
     from ..operators.decide import Analyzers, Rules, final_action, phase1, phase2, phase3, text_features
     from ..settings import DEFAULTS, settings_struct
     from .chains import canon_docs
 
+    accepted, intervals = policy_tables(spark, sf)
+    current = P.latest_versions(accepted).select("policy_id", F.col("current_version").cast("int").alias("version_b"))
+    pins = current.withColumn("version_a", (1 + F.floor(F.col("version_b") / 2)).cast("int"))
+    asked = pins.select(F.lit(200).alias("status"), F.col("policy_id").alias("applied_policy_id"), F.explode(F.array("version_a", "version_b")).alias("applied_version"))
+    rules = materialize(request_rules(asked, intervals), "pinned-rules")
+    for side in ("a", "b"):
+        pins = pins.join(rules.select("policy_id", F.col("version").cast("int").alias(f"version_{side}"), F.col("terms").alias(f"terms_{side}"),
+                                      F.col("patterns").alias(f"patterns_{side}")), ["policy_id", f"version_{side}"])
+    pins = materialize(pins, "pins")
+
     req = settings_struct(DEFAULTS)
     t, k = F.col("text"), F.col("key")
-    p1 = {v: phase1(t, k, F.lit(False), F.lit(0), F.lit(False), req, Rules(r.effective()))
-          for v, r in (("v2", V2_RULES), ("v3", V3_RULES))}
-    d = canon_docs(spark, sf).select("doc_id", p1["v2"].alias("p1_v2"), p1["v3"].alias("p1_v3"),
-                                     text_features(t, req, req, Analyzers()).alias("feat"))
-    p2 = phase2(F.col("feat"), req, req, Analyzers())
-    d = d.select("doc_id", "p1_v2", "p1_v3", p2.alias("p2"))
-    d = d.select("doc_id", "p1_v2", "p1_v3", final_action(F.col("p2"), phase3(F.col("p2"), req), req).alias("fin"))
+    d = canon_docs(spark, sf).withColumn("policy_id", F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string"))).join(pins, "policy_id")
+    ids = ("doc_id", "policy_id", "version_a", "version_b")
+    p1 = {v: phase1(t, k, F.lit(False), F.lit(0), F.lit(False), req, Rules(terms_col=f"terms_{v}", patterns_col=f"patterns_{v}")) for v in ("a", "b")}
+    d = d.select(*ids, p1["a"].alias("p1_a"), p1["b"].alias("p1_b"), text_features(t, req, req, Analyzers()).alias("feat"))
+    d = d.select(*ids, "p1_a", "p1_b", phase2(F.col("feat"), req, req, Analyzers()).alias("p2"))
+    d = d.select(*ids, "p1_a", "p1_b", final_action(F.col("p2"), phase3(F.col("p2"), req), req).alias("fin"))
     out = []
-    for v in ("v2", "v3"):
+    for v in ("a", "b"):
         blocked = F.col(f"p1_{v}.action") == "block"
         out += [F.when(blocked, F.col(f"p1_{v}.action")).otherwise(F.col("fin.action")).alias(f"action_{v}"),
                 F.when(blocked, F.col(f"p1_{v}.reason_code")).otherwise(F.col("fin.reason_code")).alias(f"reason_{v}")]
-    r = d.select("doc_id", *out)
-    return r.withColumn("changed", F.col("action_v2") != F.col("action_v3"))
+    return d.select(*ids, *out).withColumn("changed", F.col("action_a") != F.col("action_b"))
 
 
 # ------------------------------------------------------------------ P7-P9 on part
