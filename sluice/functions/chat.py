@@ -16,14 +16,13 @@ from __future__ import annotations
 
 from itertools import groupby
 from operator import itemgetter
+from unicodedata import normalize
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from .text import is_ascii, is_blank, strip
 
@@ -31,10 +30,9 @@ PART_TYPE = "array<struct<type:string,text:string>>"
 MESSAGE_TYPE = f"array<struct<role:string,content:string,parts:{PART_TYPE}>>"
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def _canon_list_udf(s: pd.Series) -> pd.Series:
-    flat = s.explode().str.normalize("NFC").str.strip()
-    return flat.groupby(level=0, sort=False).agg(list).reindex(s.index).where(s.notna(), None)
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=False)  # see ``text``
+def _canon_list_udf(texts: list[str | None] | None) -> list[str | None] | None:
+    return None if texts is None else [None if t is None else normalize("NFC", t).strip() for t in texts]
 
 
 def canon_list(arr: Column) -> Column:

@@ -1,21 +1,25 @@
 """Text canonicalisation (P1 normalize_text, P2 casefold_key).
 
-Spark has no NFC or full-casefold builtin, so one Arrow-batched pandas UDF
-returns both the canonical text (NFC, then Unicode strip) and its casefold
-key in a single pass.  Pure-ASCII rows never reach Python: for them NFC is
-the identity, casefold equals ASCII lower-casing and Unicode strip equals
-stripping the ASCII whitespace set, all of which Catalyst evaluates in
-whole-stage codegen.  The UDF input is nulled for those rows because a CASE
-does not stop a Python UDF from being called.
+Spark has no NFC or full-casefold builtin, so one UDF returns both the
+canonical text (NFC, then Unicode strip) and its casefold key in a single pass.
+Pure-ASCII rows are not sent to Python: for them NFC is the identity, casefold
+equals ASCII lower-casing and Unicode strip equals stripping the ASCII
+whitespace set, all of which Catalyst evaluates in whole-stage codegen.  The
+UDF input is nulled for those rows because a CASE does not stop a Python UDF
+from being called.
+
+UDFs on whole texts are plain ones, not Arrow's: a Python worker then holds the
+hundred rows that Spark pickles at a time, where an Arrow batch may hold 10,000
+texts or 64 MB, several times over once it is turned into objects and back.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 # The characters for which Python's str.isspace() is true.
 WHITESPACE = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -23,15 +27,17 @@ WHITESPACE = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u20
 _ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 
-@pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("key", T.StringType())]))
-def _canon_udf(s: pd.Series) -> pd.DataFrame:
-    text = s.str.normalize("NFC").str.strip()
-    return pd.DataFrame({"text": text, "key": text.str.casefold()})
+@F.udf(returnType=T.StructType([T.StructField("text", T.StringType()), T.StructField("key", T.StringType())]), useArrow=False)
+def _canon_udf(s: str | None) -> tuple[str | None, str | None]:
+    if s is None:
+        return None, None
+    text = normalize("NFC", s).strip()
+    return text, text.casefold()
 
 
-@pandas_udf(T.StringType())
-def _casefold_udf(s: pd.Series) -> pd.Series:
-    return s.str.casefold()
+@F.udf(returnType=T.StringType(), useArrow=False)
+def _casefold_udf(s: str | None) -> str | None:
+    return None if s is None else s.casefold()
 
 
 def strip(col: Column) -> Column:
