@@ -12,9 +12,8 @@ import re
 from functools import lru_cache
 from re import _parser
 
-import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 #: Programs that a worker keeps, and the patterns it has compiled so far.
 PROGRAMS = 4096
@@ -56,6 +55,8 @@ def program(patterns: tuple[str, ...]) -> Program:
     return Program(patterns)
 
 
-@pandas_udf(T.StringType())
-def first_pattern_of(text: pd.Series, patterns: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or p is None else program(tuple(x for x in p if x is not None)).first(t) for t, p in zip(text, patterns)], dtype=object)
+@F.udf(returnType=T.StringType(), useArrow=False)  # see ``text``
+def first_pattern_of(text: str | None, patterns: list[str | None] | None) -> str | None:
+    if text is None or patterns is None:
+        return None
+    return program(tuple(x for x in patterns if x is not None)).first(text)
