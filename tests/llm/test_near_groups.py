@@ -55,3 +55,29 @@ def test_few_pairs_of_a_large_group_reach_the_sets(spark, monkeypatch, turns):
     assert got == sorted((i, *w) for (i, _), w in zip(rows, brute.near_classes(rows)))
     # of 11,175 pairs
     assert seen.get("pairs", 0) + seen["last-pairs"] <= 2 * seen["links"] + 1000
+
+
+def test_last_step_meets_few_nodes_of_a_large_group(spark, monkeypatch):
+    """Copies of one text with up to ten words replaced: most are one component
+    after the stars, and chance edits that few copies share are no candidates."""
+    rng, seen, real = random.Random(3), {}, minhash.materialize
+    base, other = [f"w{i}" for i in range(150)], [f"v{i}" for i in range(25)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randrange(11)):
+            w[rng.randrange(len(w))] = rng.choice(other)
+        rows.append((i, " ".join(w)))
+
+    def kept(df, name, *rest):
+        seen[name] = real(df, name, *rest)
+        return seen[name]
+
+    monkeypatch.setattr(minhash, "materialize", kept)
+    got = sorted((r.id, r.n_shingles, r.component, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted((i, *w) for (i, _), w in zip(rows, brute.near_classes(rows)))
+    links = seen["links"].count()
+    assert links > 20 and seen["last-pairs"].count() <= 2 * links + 20
+    met = seen["few"].select("key").join(seen["common"].select("key"), "key").count()
+    before = seen["open"].groupBy("key").count().selectExpr("sum(count * count)").first()[0]
+    assert met <= before / 20
